@@ -716,7 +716,9 @@ def throttle_batch(spark, sf_dir):
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
+    """As many files as the cluster has cores, as uploads would come."""
+    files = df.sparkSession.sparkContext.defaultParallelism
+    df.repartition(files).write.option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def _wide_text(spark, sf_dir) -> DataFrame:

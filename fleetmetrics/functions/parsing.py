@@ -20,11 +20,12 @@ WHITESPACE = (
 # Control characters that are dropped (below 32, not tab, LF, CR).
 CONTROL_CHARACTERS = "".join(chr(i) for i in range(32) if chr(i) not in "\t\n\r")
 
-_NUMBER = (
-    r"\A(?:[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
-    r"|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+"
-    r"|(?i:inf|infinity))|(?i:nan))\z"
+_FINITE = (
+    r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+    r"|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+)"
 )
+_NUMBER = rf"\A(?:{_FINITE}|(?i:[+-]?(?:inf|infinity)|nan))\z"
+_NOT_FINITE = r"(?i)(?:\A|\x01)(?:[+-]?inf(?:inity)?|nan)(?:\x01|\z)"
 _RFC3339 = r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:\d\d)"
 _SPACED = r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:[.,]\d+)?"
 _RELATIVE = r"\Anow\s*([+-])\s*(\d+)\s*([smhd])\z"
@@ -39,10 +40,24 @@ def trim_space(col: Column) -> Column:
 
 def _number_or_zero(text: Column, kind: str) -> Column:
     value = text.try_cast(kind)
+    # Out of range reads as infinity, which only a literal may mean.
     overflow = (F.abs(value) == float("inf")) & ~F.lower(text).contains("inf")
     return F.when(text.rlike(_NUMBER) & ~overflow, value).otherwise(F.lit(0).cast(kind))
 
 
+def finite32_or_zero(col: Column) -> Column:
+    """:func:`to_float32_or_zero` where rows with literal infinities are rejected anyway."""
+    value = col.try_cast("float")
+    return F.when(col.rlike(rf"\A{_FINITE}\z") & (F.abs(value) < float("inf")), value).otherwise(
+        F.lit(0).cast("float")
+    )
+
+
+def any_not_finite(*texts: Column) -> Column:
+    """Whether any of the texts spells an infinity or not-a-number."""
+    return F.concat_ws("\x01", *texts).rlike(_NOT_FINITE)
+
+
 def to_float32_or_zero(col: Column) -> Column:
     """Text to a 32-bit float; empty, malformed and out-of-range text is 0."""
     return _number_or_zero(col, "float")
@@ -94,20 +109,21 @@ def resolve_relative_time(expression: Column | str, as_of: Column | datetime | s
         return _resolve_literal(expression, as_of)
     text = F.lower(trim_space(expression))
     base = instant(as_of)
-    sign = F.when(F.regexp_extract(text, _RELATIVE, 1) == "-", -1).otherwise(1)
-    unit = F.regexp_extract(text, _RELATIVE, 3)
-    per_unit = F.coalesce(*[F.when(unit == u, n) for u, n in UNIT_SECONDS.items()])
-    amount = F.regexp_extract(text, _RELATIVE, 2).try_cast("decimal(20,0)")
-    seconds = amount * per_unit * sign
+    signed = F.regexp_replace(text, _RELATIVE, "$1$2").try_cast("decimal(20,0)")
+    units = F.create_map(*[F.lit(x) for pair in UNIT_SECONDS.items() for x in pair])
+    seconds = signed * F.try_element_at(units, F.right(text, F.lit(1)))
     # Beyond the years a timestamp may hold, the text counts as malformed.
-    shifted = F.when(
-        F.abs(seconds) < 10_000 * 366 * 86400,
-        F.timestamp_micros(F.unix_micros(base) + seconds.cast("long") * 1_000_000),
-    )
-    moved = F.when(F.year(shifted).between(1, 9999), shifted)
+    near = F.when(F.abs(seconds) < 10_000 * 366 * 86400, seconds.cast("long"))
+    shifted = F.timestamp_seconds(F.unix_seconds(base) + near)
+    moved = F.when(F.year(shifted).between(1, 9999), shifted + _fraction(base))
     return F.when(text == "now", base).when(text.rlike(_RELATIVE), moved)
 
 
+def _fraction(ts: Column) -> Column:
+    """What a timestamp has beyond whole seconds, as an interval."""
+    return ts - F.date_trunc("second", ts)
+
+
 def _resolve_literal(expression: str, as_of: datetime | str) -> datetime:
     text = expression.strip().lower()
     if text == "now":

@@ -188,6 +188,10 @@ def read_cells_by_name(
     return rows.select(*[pick(n).alias(n) for n in names], "source_file")
 
 
+def _or_null(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
 def _or_blank(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit("")) if name in df.columns else F.lit("")
 
@@ -202,28 +206,27 @@ def parse_wide(
     its own timestamp column.
     """
     now = instant(as_of)
-    ts = now if timestamp_mode == "processing" else P.parse_ts(
-        P.trim_space(_or_blank(df, "timestamp")), now
-    )
-    rows = df.select(
-        ts.alias("ts"),
-        F.lit(cluster_id).alias("cluster_id"),
+    # Fields are cut out and trimmed once; parsing below refers to them by name.
+    texts = df.select(
+        P.trim_space(_or_null(df, "timestamp")).alias("timestamp"),
         *[
-            P.first_non_empty(*[_or_blank(df, a) for a in aliases]).alias(field)
+            P.first_non_empty(*[F.col(a) for a in aliases if a in df.columns]).alias(field)
             for field, aliases in WIDE_ALIASES.items()
         ],
-        *[P.to_float32_or_zero(P.trim_space(_or_blank(df, m))).alias(m) for m in METRICS],
-        now.alias("ingested_at"),
+        *[P.trim_space(_or_null(df, m)).alias(m) for m in METRICS],
         "source_file",
     )
-    finite = [~F.isnan(m) & (F.abs(m) != float("inf")) for m in METRICS]
-    all_finite = finite[0]
-    for f in finite[1:]:
-        all_finite = all_finite & f
-    return rows.withColumn(
-        "reject_reason",
+    ts = now if timestamp_mode == "processing" else P.parse_ts(F.col("timestamp"), now)
+    return texts.select(
+        ts.alias("ts"),
+        F.lit(cluster_id).alias("cluster_id"),
+        *WIDE_ALIASES,
+        *[P.finite32_or_zero(F.col(m)).alias(m) for m in METRICS],
+        now.alias("ingested_at"),
+        "source_file",
         F.when((F.col("gpu_id") == "") | (F.col("hostname") == ""), "missing required fields")
-        .when(~all_finite, "metric is not a finite number"),
+        .when(P.any_not_finite(*map(F.col, METRICS)), "metric is not a finite number")
+        .alias("reject_reason"),
     )
 
 
