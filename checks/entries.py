@@ -879,7 +879,7 @@ def run_ingest_stream(spark, sf_dir):
     rows = _wide_text(spark, sf_dir).drop("seq")
     _write_csv(rows, folder)
     _run(jobs.run_ingest_stream(spark, folder, out, f"{out}/checkpoint", rows.columns, as_of=AS_OF))
-    sent = sinks.read_batches_of(spark, f"{out}/messages").drop("batch_id")
+    sent = sinks.read_batches_of(spark, f"{out}/messages").drop("micro_batch")
     good = M.decode_messages(sent)[0].select("hostname", "gpu_id", "timestamp", F.lit("").alias("reason"))
     rejects = sinks.read_batches_of(spark, f"{out}/rejects")
     return good.unionByName(
@@ -928,7 +928,7 @@ def collect_messages_job(spark, sf_dir):
 @query
 def snapshot_then_tail(spark, sf_dir):
     counts = tm.messages(spark, sf_dir).select("message_id", "topic", "created_at")
-    return _into_table(spark, _stream_of(spark, counts)).drop("batch_id")
+    return _into_table(spark, _stream_of(spark, counts)).drop("micro_batch")
 
 
 @query
@@ -953,7 +953,19 @@ def expire_stream(spark, sf_dir):
     log = tm.messages(spark, sf_dir).select("message_id", "topic", "created_at", "expires_at")
     acks = tm.acks(spark, sf_dir).select("message_id", "acked_at")
     expired = stateful.expire_stream(_stream_of(spark, log), _stream_of(spark, acks), "0 seconds")
-    return _ntz(_into_table(spark, expired).drop("batch_id"), "expired_at")
+    return _ntz(_into_table(spark, expired).drop("micro_batch"), "expired_at")
+
+
+@query
+def expire_stream_join(spark, sf_dir):
+    log = tm.messages(spark, sf_dir).select("message_id", "topic", "created_at", "expires_at")
+    acks = tm.acks(spark, sf_dir).select("message_id", "acked_at")
+    as_time = lambda df, *cols: df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
+    expired = windows.expire_stream(
+        as_time(_stream_of(spark, log), "created_at", "expires_at"),
+        as_time(_stream_of(spark, acks), "acked_at"), "25 days", "0 seconds",
+    )
+    return _ntz(_into_table(spark, expired).drop("micro_batch"), "expired_at")
 
 
 @query
@@ -961,7 +973,7 @@ def liveness_stream(spark, sf_dir):
     beats = _stream_of(spark, tm.heartbeats(spark, sf_dir))
     beats = beats.withColumn("ts", F.col("ts").cast("timestamp"))
     out = _into_table(spark, windows.liveness_stream(beats, 12 * 3600))
-    return _ntz(out.drop("batch_id"), "up_from", "down_at")
+    return _ntz(out.drop("micro_batch"), "up_from", "down_at")
 
 
 @query

@@ -660,6 +660,13 @@ ORACLES: dict[str, str] = {
           and epoch_ms(expires_at) + 1 <= (select least(
             (select epoch_ms(max(created_at)) from messages),
             (select epoch_ms(max(acked_at)) from acks)))""", "fates"),
+    "expire_stream_join": _with(
+        """select message_id, topic, expires_at as expired_at
+        from fates join messages using (message_id, topic, expires_at)
+        where (acked_at is null or acked_at > expires_at)
+          and created_at + interval 25 days < (select least(
+            (select max(created_at) from messages), (select max(acked_at) from acks)))""",
+        "fates"),
     "liveness_stream": _with(_SESSIONS, "heartbeats"),
     "throttle_stream": _with(
         "select seq, hostname, filled >= 1 as allowed from refilled",

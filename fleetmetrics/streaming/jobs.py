@@ -75,7 +75,7 @@ def run_collect_stream(
         )
         write_with_retry(points, lambda df: write_batch(df, f"{store}/points", batch_id))
         write_with_retry(bad, lambda df: write_batch(df, f"{store}/dead_letters", batch_id))
-        stored = spark.read.parquet(f"{store}/points/batch_id={batch_id}")
+        stored = spark.read.parquet(f"{store}/points/micro_batch={batch_id}")
         sightings = stored.groupBy(*IDENTITY, *ATTRIBUTES).agg(
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
             F.min("stream_key").alias("stream_key"),
@@ -117,7 +117,7 @@ def current_gpus(spark: SparkSession, store: str, collector_id: str = "collector
 def compact_points(spark: SparkSession, store: str, version: str) -> str:
     """Write the current points as a new version and give its folder; nothing is overwritten."""
     path = f"{store}/points_v={version}"
-    current_points(spark, store).drop("batch_id").write.mode("errorifexists").parquet(path)
+    current_points(spark, store).drop("micro_batch").write.mode("errorifexists").parquet(path)
     return path
 
 

@@ -16,11 +16,11 @@ MAX_RETRIES, RETRY_DELAY = 3, 1.0
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write a micro-batch to its own folder; a replay replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
 
 
 def read_batches_of(spark: SparkSession, path: str) -> DataFrame:
-    """All micro-batches below ``path``, with their ``batch_id``."""
+    """All micro-batches below ``path``, with their number as ``micro_batch``."""
     return spark.read.parquet(path)
 
 
