@@ -53,9 +53,7 @@ def consume_many(
 ) -> DataFrame:
     """:func:`consume_fifo` for each of several topics at once."""
     wanted = df.filter(F.col("topic").isin(list(topics)))
-    oldest = first_n_per_key(
-        wanted, ["topic"], [F.col("stream_key")], n, spread=["stream_key"]
-    )
+    oldest = first_n_per_key(wanted, ["topic"], [F.col("stream_key")], n)
     return live_messages(oldest, as_of)
 
 
@@ -70,7 +68,7 @@ def claim_work(
     wanted = n * len(consumers)
     taken = first_n_per_key(
         df.filter(F.col("topic") == topic), ["topic"], [F.col("stream_key")], wanted,
-        spread=["stream_key"], rank="claim_no",
+        rank="claim_no",
     )
     nanos = F.lit(str(round(utc(as_of).timestamp() * 1_000_000) * 1000))
     turn = F.pmod(F.col("claim_no") - 1, F.lit(len(consumers))).cast("int")

@@ -10,20 +10,19 @@ from pyspark.sql import functions as F
 
 def first_n_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *,
-    spread: Sequence[str], lanes: int = 256, rank: str | None = None,
+    lanes: int = 256, rank: str | None = None,
 ) -> DataFrame:
     """The first ``n`` rows per key in ``order``.
 
-    Rows of a key are first cut down inside hashed lanes, so that no task ever
-    sees more than a lane of a hot key; the lanes' survivors, at most
-    ``n * lanes`` per key, are then ranked together. The result is exact.
-    ``spread`` are the columns whose hash picks the lane.
+    Every task keeps ``n`` rows per key. The tasks' survivors meet in lanes, each
+    fed by its share of the tasks, which again keep ``n`` rows per key; the lanes'
+    survivors, at most ``n * lanes`` per key, are ranked together. So no task
+    ranks what a million others kept of a hot key, and the result is exact.
     """
-    lane = F.pmod(F.xxhash64(*spread), F.lit(lanes))
     inside = Window.partitionBy(*keys, "_lane").orderBy(*order)
     overall = Window.partitionBy(*keys).orderBy(*order)
     ranked = (
-        df.withColumn("_lane", lane)
+        df.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_rn") <= n)
         .drop("_lane", "_rn")

@@ -23,6 +23,7 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -36,6 +37,15 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shuffle_partitions(shuffled_bytes: int, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """How many partitions to start a shuffle with; adaptive execution joins up small ones.
+
+    For ``spark.sql.shuffle.partitions``: Spark's 200 would make 100 GB tasks of
+    a 20 TB shuffle.
+    """
+    return max(200, -(-shuffled_bytes // target_bytes))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 

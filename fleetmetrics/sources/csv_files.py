@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import parsing as P
 from ..schemas import DEFAULT_CLUSTER, METRICS, REQUIRED_COLUMNS
-from ..session import instant
+from ..session import instant, shared_dir
 
 MAX_FILE_BYTES = 100 * 1024 * 1024
 _CSV_GLOB = "*.[cC][sS][vV]"
@@ -120,10 +120,12 @@ def check_required_columns(
         raise ValueError(f"missing required headers: [{' '.join(missing)}]")
 
 
-def distinct_headers(spark: SparkSession, path: str, max_bytes: int) -> list[list[str]]:
-    """The different headers in use, in a fixed order: one small row per export format."""
-    rows = file_headers(spark, path, max_bytes).select("headers").distinct().collect()
-    return sorted(r.headers for r in rows)
+def _noted(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """What was found out about the files, one small row each, kept in the shared folder
+    so that their contents are not read for it again."""
+    path = shared_dir(spark, "file-notes")
+    files.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _cells(
@@ -148,15 +150,23 @@ def _cells(
 def read_cells_by_name(
     spark: SparkSession, path: str, *, fold_case: bool,
     header: Sequence[str] | None = None, required: Sequence[str] = (),
-    max_bytes: int = MAX_FILE_BYTES, multi_line: bool = True,
+    max_bytes: int = MAX_FILE_BYTES, multi_line: bool = True, files: DataFrame | None = None,
 ) -> DataFrame:
     """All fields as text under their header names, plus ``source_file``.
 
-    ``header`` names the header all files share and saves the header pass. A
-    file that lacks a required column contributes no rows; if every file lacks
-    one, ValueError is raised. A field the file does not have is NULL.
+    ``header`` names the header all files share and saves the header pass;
+    ``files`` is the result of an earlier one. A file that lacks a required
+    column contributes no rows; if every file lacks one, ValueError is raised. A
+    field the file does not have is NULL.
     """
-    headers = [list(header)] if header else distinct_headers(spark, path, max_bytes)
+    if header:
+        headers = [list(header)]
+    else:
+        if files is None:
+            found = file_headers(spark, path, max_bytes)
+            files = _noted(spark, found.select("source_file", "headers"))
+        # One small row per export format in use, in a fixed order.
+        headers = sorted(r.headers for r in files.select("headers").distinct().collect())
     named = {
         i: normalise(h) if fold_case else list(h)
         for i, h in enumerate(headers)
@@ -175,7 +185,7 @@ def read_cells_by_name(
     numbers = F.create_map(
         *[x for i in named for x in (F.array(*map(F.lit, headers[i])), F.lit(i))]
     )
-    formats = file_headers(spark, path, max_bytes).select(
+    formats = files.select(
         "source_file", F.try_element_at(numbers, F.col("headers")).alias("_format")
     )
     rows = cells.join(formats.filter("_format is not null"), "source_file")
@@ -234,13 +244,13 @@ def read_wide_csv(
     spark: SparkSession, path: str, as_of: datetime | str, *,
     timestamp_mode: str = "event", cluster_id: str = DEFAULT_CLUSTER,
     header: Sequence[str] | None = None, max_bytes: int = MAX_FILE_BYTES,
-    multi_line: bool = True,
+    multi_line: bool = True, files: DataFrame | None = None,
 ) -> DataFrame:
     """One row per GPU and moment. Header names are trimmed and lower-cased; of two
     equal names the last wins; rows may be short or long."""
     cells = read_cells_by_name(
         spark, path, fold_case=True, header=header, required=REQUIRED_COLUMNS,
-        max_bytes=max_bytes, multi_line=multi_line,
+        max_bytes=max_bytes, multi_line=multi_line, files=files,
     )
     return parse_wide(cells, as_of, timestamp_mode, cluster_id)
 
@@ -281,29 +291,31 @@ def read_long_csv(
 
 
 def ingest_manifest(
-    spark: SparkSession, path: str, as_of: datetime | str, *,
-    max_bytes: int = MAX_FILE_BYTES, header: Sequence[str] | None = None,
+    spark: SparkSession, path: str, as_of: datetime | str, *, max_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     """Per file: id, name, size, MD5, headers, record counts, status and error."""
-    files = file_headers(spark, path, max_bytes)
+    files = _noted(spark, file_headers(spark, path, max_bytes))
     names = F.transform("headers", lambda h: F.lower(P.trim_space(h)))
     missing = F.filter(
         F.array(*map(F.lit, REQUIRED_COLUMNS)), lambda r: ~F.array_contains(names, r)
     )
-    counts = (
-        read_wide_csv(spark, path, as_of, header=header, max_bytes=max_bytes)
-        .groupBy("source_file")
-        .agg(
-            F.count_if(F.col("reject_reason").isNull()).alias("_processed"),
-            F.count(F.lit(1)).alias("_total"),
+    checked = files.withColumn("_missing", missing)
+    if checked.filter(F.size("_missing") == 0).isEmpty():
+        counts = spark.createDataFrame([], "source_file string, _processed long, _total long")
+    else:
+        counts = (
+            read_wide_csv(spark, path, as_of, max_bytes=max_bytes, files=files)
+            .groupBy("source_file")
+            .agg(
+                F.count_if(F.col("reject_reason").isNull()).alias("_processed"),
+                F.count(F.lit(1)).alias("_total"),
+            )
         )
-    )
     bad = F.size("_missing") > 0
     total = F.when(bad, 0).otherwise(F.coalesce("_total", F.lit(0)))
     processed = F.when(bad, 0).otherwise(F.coalesce("_processed", F.lit(0)))
     return (
-        files.withColumn("_missing", missing)
-        .join(counts, "source_file", "left")
+        checked.join(counts, "source_file", "left")
         .select(
             F.concat_ws(
                 "_",

@@ -89,9 +89,21 @@ def run_collect_stream(
     return start_batches(messages, handle, checkpoint, interval)
 
 
-def current_points(spark: SparkSession, store: str) -> DataFrame:
-    """The points log with the last write per GPU and second."""
+def current_points(
+    spark: SparkSession, store: str, compacted: int | None = None
+) -> DataFrame:
+    """The points log with the last write per GPU and second.
+
+    ``compacted`` names a version written by :func:`compact_points`; then only
+    the micro-batches after it are read from the log.
+    """
     log = read_batches_of(spark, f"{store}/points")
+    if compacted is not None:
+        done = spark.read.parquet(_version(store, compacted))
+        log = log.filter(F.col("micro_batch") > compacted)
+        log = log.drop("micro_batch").unionByName(done)
+    else:
+        log = log.drop("micro_batch")
     return upsert_readings(log.drop("telemetry_id"), order=("stream_key",))
 
 
@@ -114,11 +126,25 @@ def current_gpus(spark: SparkSession, store: str, collector_id: str = "collector
     return gpu_status(gpus, newest)
 
 
-def compact_points(spark: SparkSession, store: str, version: str) -> str:
-    """Write the current points as a new version and give its folder; nothing is overwritten."""
-    path = f"{store}/points_v={version}"
-    current_points(spark, store).drop("micro_batch").write.mode("errorifexists").parquet(path)
-    return path
+def _version(store: str, micro_batch: int) -> str:
+    return f"{store}/points-up-to-{micro_batch}"
+
+
+def compact_points(
+    spark: SparkSession, store: str, micro_batch: int, previous: int | None = None
+) -> None:
+    """Write the points as of a finished micro-batch, starting from an earlier version.
+
+    Each version has its own folder, so nothing that may be read is overwritten.
+    """
+    log = read_batches_of(spark, f"{store}/points").filter(F.col("micro_batch") <= micro_batch)
+    if previous is not None:
+        log = log.filter(F.col("micro_batch") > previous)
+    log = log.drop("micro_batch")
+    if previous is not None:
+        log = log.unionByName(spark.read.parquet(_version(store, previous)))
+    merged = upsert_readings(log.drop("telemetry_id"), order=("stream_key",))
+    merged.write.mode("errorifexists").parquet(_version(store, micro_batch))
 
 
 def batch_stream(

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 # Tries per batch and the base delay between them, in seconds.
 MAX_RETRIES, RETRY_DELAY = 3, 1.0
@@ -28,10 +29,47 @@ def read_batches_of(spark: SparkSession, path: str) -> DataFrame:
 class SenderTotals:
     """Counts kept by the driver of a stream."""
 
+    records: int = 0
     batches: int = 0
     errors: int = 0
     last_process_time: datetime | None = None
     attempts: list[int] = field(default_factory=list)
+    started_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
+
+    @property
+    def processing_rate(self) -> float:
+        """Records per second from the start to the last batch."""
+        last = self.last_process_time
+        elapsed = (last - self.started_at).total_seconds() if last else 0
+        return self.records / elapsed if elapsed > 0 else 0.0
+
+
+class SenderListener(StreamingQueryListener):
+    """Adds up what the batches of observed streams report. See :func:`observed`."""
+
+    def __init__(self, name: str = "sender"):
+        self.name, self.totals = name, SenderTotals()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None and row["records"]:
+            self.totals.records += row["records"]
+            self.totals.batches += 1
+            self.totals.last_process_time = datetime.now(timezone.utc)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.totals.errors += event.exception is not None
+
+
+def observed(sdf: DataFrame, name: str = "sender") -> DataFrame:
+    """The same stream, counted on the way without a pass of its own."""
+    return sdf.observe(name, F.count(F.lit(1)).alias("records"))
 
 
 def write_with_retry(

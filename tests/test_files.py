@@ -134,6 +134,11 @@ def test_manifest(spark, tmp_path):
     assert bad.file_id.endswith("_bad.csv")
 
 
+def test_manifest_of_unusable_files(spark, tmp_path):
+    rows = S.ingest_manifest(spark, put(tmp_path, a="gpu_id\n1\n", b="x\n"), NOW).collect()
+    assert [r.status for r in rows] == ["error", "error"] and all(r.total_records == 0 for r in rows)
+
+
 def test_ingest_folder(spark, tmp_path):
     done = ingest_folder(spark, put(tmp_path, a=WIDE), NOW)
     records = decode_messages(done.messages)[0]

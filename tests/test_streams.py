@@ -91,8 +91,10 @@ def test_collect_stream_equals_the_batch_job(spark):
     assert rows(jobs.current_hosts(spark, out).select("hostname", "created_at", "status.last_seen")) == \
         rows(batch.hosts.select("hostname", "created_at", "status.last_seen"))
     assert sinks.read_batches_of(spark, f"{out}/dead_letters").count() == 1
-    version = jobs.compact_points(spark, out, "1")
-    assert rows(spark.read.parquet(version).select(*pick)) == rows(points.select(*pick))
+    jobs.compact_points(spark, out, 0)
+    assert rows(jobs.current_points(spark, out, compacted=0).select(*pick)) == rows(points.select(*pick))
+    jobs.compact_points(spark, out, 1, previous=0)
+    assert rows(jobs.current_points(spark, out, compacted=1).select(*pick)) == rows(points.select(*pick))
 
 
 def test_first_sightings_and_status(spark):
@@ -219,6 +221,24 @@ def test_retry():
     assert (totals.batches, totals.errors) == (1, 1)
 
 
+def test_sender_listener(spark):
+    import time
+
+    df = spark.createDataFrame([reading(i) for i in range(7)], WIDE)
+    listener = sinks.SenderListener()
+    spark.streams.addListener(listener)
+    try:
+        table(spark, sinks.observed(stream(spark, df, df)))
+        for _ in range(100):
+            if listener.totals.records == 14:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert (listener.totals.records, listener.totals.batches, listener.totals.errors) == (14, 2, 0)
+    assert listener.totals.processing_rate > 0
+
+
 def test_store_round_trip(spark, tmp_path):
     df = spark.createDataFrame([reading(i, i * 600, gpu=str(i % 2)) for i in range(12)], WIDE)
     path = str(tmp_path / "readings")
