@@ -857,7 +857,7 @@ def _stream_of(spark, df: DataFrame) -> DataFrame:
 
 def _events_stream(spark, sf_dir) -> DataFrame:
     return (
-        spark.readStream.schema(tm.events(spark, sf_dir).schema)
+        spark.readStream.schema(tm.EVENTS)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir)
     )

@@ -62,23 +62,20 @@ def encode_messages(
     )
 
 
-def parse_payload(df: DataFrame, schema: T.StructType = RECORD) -> DataFrame:
-    """Messages with a parsed ``record`` and, where the payload is malformed, ``bad_payload``."""
+def decode_messages(
+    df: DataFrame, schema: T.StructType = RECORD
+) -> tuple[DataFrame, DataFrame]:
+    """(records, malformed messages with ``bad_payload``).
+
+    Missing numbers are 0, missing texts empty.
+    """
     with_bad = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
     text = F.decode("payload", "UTF-8")
     parsed = df.withColumn(
         "record",
         F.from_json(text, with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}),
     )
-    broken = F.col("record").isNull() | F.col("record._bad").isNotNull()
-    return parsed.withColumn("bad_payload", F.when(broken, F.coalesce(text, F.lit(""))))
-
-
-def decode_messages(
-    df: DataFrame, schema: T.StructType = RECORD
-) -> tuple[DataFrame, DataFrame]:
-    """(records, malformed messages). Missing numbers are 0, missing texts empty."""
-    parsed = parse_payload(df, schema)
+    broken = F.col("payload").isNull() | F.col("record._bad").isNotNull()
 
     def field(f: T.StructField) -> Column:
         value = F.col(f"record.{f.name}")
@@ -89,9 +86,9 @@ def decode_messages(
         return value.alias(f.name)
 
     kept = [c for c in ("message_id", "topic", "stream_key", "created_at") if c in df.columns]
-    good = parsed.filter(F.col("bad_payload").isNull()).select(*kept, *map(field, schema.fields))
-    bad = parsed.filter(F.col("bad_payload").isNotNull()).drop("record")
-    return good, bad
+    good = parsed.filter(~broken).select(*kept, *map(field, schema.fields))
+    bad = parsed.filter(broken).withColumn("bad_payload", F.coalesce(text, F.lit("")))
+    return good, bad.drop("record")
 
 
 def records_to_readings(records: DataFrame, as_of, cluster_id: str) -> DataFrame:
