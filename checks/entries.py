@@ -495,7 +495,9 @@ def decode_messages(spark, sf_dir):
     garbled = F.when(
         F.element_at("headers", "gpu_id") == "7", F.encode(F.lit('{"gpu_id": '), "UTF-8")
     ).otherwise(F.col("payload"))
-    good, bad = M.decode_messages(sent.withColumn("payload", garbled))
+    path = shared_dir(spark, "messages")
+    sent.withColumn("payload", garbled).write.parquet(path)
+    good, bad = M.decode_messages(spark.read.schema(sent.schema).parquet(path))
     good = _doubles(good, *METRICS).select("message_id", "timestamp", "hostname", "uuid", *METRICS)
     return good.unionByName(
         bad.select("message_id", F.col("bad_payload").alias("timestamp")),
@@ -851,7 +853,7 @@ def _run(query) -> None:
 def _stream_of(spark, df: DataFrame) -> DataFrame:
     """A frame as a stream, by way of a written table."""
     path = shared_dir(spark, "stream-input")
-    df.write.parquet(path)
+    df.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
     return jobs.snapshot_then_tail(spark, path, df.schema)
 
 
