@@ -5,10 +5,11 @@ They need the RocksDB state store (``session.RECOMMENDED_CONF``).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.throttle import DEFAULT_BURST, DEFAULT_RATE, Bucket
 from .sinks import start_batches
 
-
-def _micros(moment: datetime) -> int:
-    aware = moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment
-    whole = int(aware.replace(microsecond=0).timestamp())
-    return whole * 1_000_000 + aware.microsecond
+# The row code below travels with its tasks; executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class _Expiry(StatefulProcessor):
