@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, quality
 from .packing import pack_documents
 from .sharding import shard_documents
 from .tables import table
@@ -26,6 +26,16 @@ def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = F.coalesce("quality", F.lit(0)) == 1
+    trusted = good & (F.coalesce("toxic", F.lit(0)) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", good.alias("good"), trusted.alias("trusted"))
+    found = quality.judge(table(spark, sf_dir, "documents"), labels)
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -34,6 +44,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op4_bin_completion": op4_bin_completion,
+    "op7_ratio_quality": op7_ratio_quality,
     "op9_language_id": op9_language_id,
 }
 
