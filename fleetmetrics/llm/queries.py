@@ -11,6 +11,7 @@ from . import langid, quality
 from .packing import pack_documents
 from .sharding import shard_documents
 from .tables import table
+from .topk import top_k
 
 SHARDS = 16
 
@@ -26,6 +27,10 @@ def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.coalesce("quality", F.lit(0)) == 1
     trusted = good & (F.coalesce("toxic", F.lit(0)) == 0)
@@ -44,8 +49,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op4_bin_completion": op4_bin_completion,
+    "op6_histogram_topk": op6_histogram_topk,
     "op7_ratio_quality": op7_ratio_quality,
     "op9_language_id": op9_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+OP6_SQL = """
+with v as (
+  select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as w from embeddings
+  where vec_id is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(
+    [cast(x as double) for x in q.w], [cast(x as double) for x in c.w]) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank,
+  vec_id, score
+from s qualify rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op6_histogram_topk": OP6_SQL}
