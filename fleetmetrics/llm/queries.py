@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from ..session import shared_dir
+from . import langid, quality, warc
 from .packing import pack_documents
 from .sharding import shard_documents
 from .tables import table
@@ -41,6 +42,20 @@ def op7_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "archives")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages"), min_bytes=0), path)
+    found = warc.read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).try_cast("long")
+    return found.select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        F.coalesce(warc.base32(F.sha1("payload")), F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -51,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bin_completion": op4_bin_completion,
     "op6_histogram_topk": op6_histogram_topk,
     "op7_ratio_quality": op7_ratio_quality,
+    "op8_warc_source": op8_warc_source,
     "op9_language_id": op9_language_id,
 }
 
@@ -68,4 +84,23 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op6_histogram_topk": OP6_SQL}
+OP8_SQL = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as hex from pages),
+d as (
+  select page_id, octet_length(payload) as payload_bytes, hex,
+    translate(concat(
+      lpad(to_base(('0x' || hex[1:5])::bigint, 32), 4, '0'), lpad(to_base(('0x' || hex[6:10])::bigint, 32), 4, '0'),
+      lpad(to_base(('0x' || hex[11:15])::bigint, 32), 4, '0'), lpad(to_base(('0x' || hex[16:20])::bigint, 32), 4, '0'),
+      lpad(to_base(('0x' || hex[21:25])::bigint, 32), 4, '0'), lpad(to_base(('0x' || hex[26:30])::bigint, 32), 4, '0'),
+      lpad(to_base(('0x' || hex[31:35])::bigint, 32), 4, '0'), lpad(to_base(('0x' || hex[36:40])::bigint, 32), 4, '0')
+    ), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+    min(page_id) over (partition by hex) as first
+  from p)
+select page_id, payload_bytes, payload_digest,
+  case when page_id <> first then 'revisit' else 'response' end as record_type,
+  case when page_id <> first then first end as refers_to
+from d
+"""
+
+ORACLES: dict[str, str] = {"op6_histogram_topk": OP6_SQL, "op8_warc_source": OP8_SQL}
