@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import langid, quality, warc
+from .html_text import extract_pages
 from .packing import pack_documents
 from .sharding import shard_documents
 from .tables import table
@@ -17,6 +18,10 @@ from .topk import top_k
 SHARDS = 16
 
 
+def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS, grown_weight=1.0)
     return placed.select(
@@ -62,6 +67,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_text_density": op2_text_density,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op4_bin_completion": op4_bin_completion,
     "op6_histogram_topk": op6_histogram_topk,
