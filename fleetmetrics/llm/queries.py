@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from . import langid, quality, warc
 from .html_text import extract_pages
+from .near_dedup import NearCopies, near_copies
 from .packing import pack_documents
 from .sharding import shard_documents
 from .tables import table
@@ -66,6 +67,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"), NearCopies(words=3, percent=85))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_text_density": op2_text_density,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ratio_quality": op7_ratio_quality,
     "op8_warc_source": op8_warc_source,
     "op9_language_id": op9_language_id,
+    "op10_odd_sketch_dedup": op10_odd_sketch_dedup,
 }
 
 OP6_SQL = """
