@@ -13,12 +13,17 @@ from .html_text import extract_pages
 from .near_dedup import NearCopies, near_copies
 from .packing import pack_documents
 from .sharding import shard_documents
+from .suffix_dedup import removal_digests
 from .tables import table
 from .topk import top_k
 
 SHARDS = 16
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -72,6 +77,7 @@ def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_text_density": op2_text_density,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op4_bin_completion": op4_bin_completion,
