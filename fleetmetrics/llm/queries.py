@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import langid, quality, warc
+from . import langid, mixing, quality, warc
 from .html_text import extract_pages
 from .near_dedup import NearCopies, near_copies
 from .packing import pack_documents
@@ -39,6 +39,22 @@ def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents' domains: toxic, else junk or clean by their quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, model = mixing.mix(
+        table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), {"clean": 0.95, "junk": 0.05}
+    )
+    shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(model.domains)]
+    return rated.select(
+        "doc_id", "n_tokens", *shares, "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies")
+    )
+
+
 def op6_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -81,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_text_density": op2_text_density,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op4_bin_completion": op4_bin_completion,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_histogram_topk": op6_histogram_topk,
     "op7_ratio_quality": op7_ratio_quality,
     "op8_warc_source": op8_warc_source,
