@@ -5,12 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fleetmetrics.llm import langid, mixing
+from fleetmetrics.llm.near_dedup import NearCopies, near_copies
+from fleetmetrics.llm.packing import pack_documents
+from fleetmetrics.llm.queries import domain_labels
+from fleetmetrics.llm.suffix_dedup import remove_repeats
 from fleetmetrics.llm.tables import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: Shares of tokens by domain; what is toxic or junk is left out.
+WEIGHTS = {"clean": 1.0}
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with a language; those without letters or text, called ``und``, go."""
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: that with the least id.
+
+    Rows that repeat an id are one document and count once; rows without an id stay.
+    """
+    kept = near_copies(docs, NearCopies()).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the strings that repeat across them; those of which nothing is left go."""
+    cut = remove_repeats(docs)
+    return cut.where(F.length(F.trim("text")) > 0).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as their rates say, to the nearest whole number."""
+    return mixing.mix(docs, domain_labels(spark, sf_dir), WEIGHTS).take(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and its place there."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language_id),
+    ("near dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("mixing to weights", mixing_to_weights),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: No SQL expresses language models, near copies by union of links, or packing; tests hold run() against brute force.
 ORACLE_SQL = None

@@ -31,7 +31,7 @@ UNKNOWN = "und"
 ORDER = 3
 SYMBOLS = 44
 UNITS = 256  # code lengths are whole multiples of 1/256 bit, so sums do not depend on their order
-DOCS_PER_LANGUAGE = 1500
+DOCS_PER_LANGUAGE = 1000  # up to this number Spark cuts each task's rows before they are shuffled by language
 CHARS_PER_DOC = 4096
 
 # What a byte counts as before symbols are dealt: small letters, one digit, one space.

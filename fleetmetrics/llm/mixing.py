@@ -291,29 +291,51 @@ def copies(rate: Column, key: Column | None = None) -> Column:
     return (F.floor(rate) + F.when(unit < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
+@dataclass(frozen=True)
+class Mix:
+    """The model, its documents' ``key, n_tokens, posterior``, and the steps that lead to their rates."""
+
+    model: DomainModel
+    members: DataFrame
+    steps: list[np.ndarray]
+
+    def rates(self) -> DataFrame:
+        return with_rates(self.members, self.steps)
+
+    def take(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """The documents with all their columns, each as often as its rate says, to the nearest whole number."""
+        kept = docs.sparkSession.sparkContext.broadcast(self.model)
+        place, steps = docs.columns.index(text), self.steps
+
+        def repeat(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                chance, _ = posteriors(kept.value, batch.column(place))
+                times = np.floor(_rates(chance, steps) + 0.5).astype(np.int64)
+                yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+
+        return docs.mapInArrow(repeat, docs.schema)
+
+
 def mix(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text",
     domain: str = "domain", budget: float | None = None, sample_docs: int = SAMPLE_DOCS,
-) -> tuple[DataFrame, DomainModel]:
-    """Each document's words, posterior and rate: ``key, n_tokens, posterior, rate``; and the model.
+) -> Mix:
+    """Fit classifier and rates.
 
     ``weights`` are the shares of tokens that the domains are to have; a domain
     that they do not name gets 0. ``budget`` is the tokens of all together; by
-    default as many as the named domains with a weight hold by expectation. A
-    null text has no words and the posterior of an empty one. Null keys are
-    passed on and rows that repeat get equal rates. Without labels every
-    posterior is empty and every rate 1.
+    default as many as the domains with a weight hold by expectation. A null
+    text has no words and the posterior of an empty one. Null keys are passed on
+    and rows with equal texts get equal rates. Without labels, or where no
+    domain with a weight has any, posteriors tell nothing and every rate is 1.
     """
     model = train(docs, labels, key, text, domain, sample_docs)
     members = stored(memberships(docs, model, key, text), "memberships")
-    if not model.domains:
-        return members.withColumn("rate", F.lit(1.0)), model
     share = np.array([float(weights.get(d, 0.0)) for d in model.domains])
     if share.sum() <= 0:
-        raise ValueError(f"weights name none of the domains {model.domains}")
+        return Mix(model, members, [])
     if budget is None:
         held = [F.sum(F.rint(F.col("n_tokens") * F.col("posterior")[d] * UNITS).cast("long")) for d in range(len(share))]
         mass = np.array([(x or 0) / UNITS for x in members.agg(*held).first()])
         budget = float(mass[share > 0].sum())
-    steps = fit_rates(members, share / share.sum() * budget)
-    return with_rates(members, steps), model
+    return Mix(model, members, fit_rates(members, share / share.sum() * budget))

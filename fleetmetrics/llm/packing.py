@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import sys
 import zlib
 from collections.abc import Iterator
@@ -29,10 +30,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 1024
 END_ID = 2
-GROUP_PIECES = 40_000  # pieces that one task packs
-SEARCH_NODES = 5_000  # fillings tried in a group beyond the first descent
+GROUP_PIECES = 20_000  # pieces that one task packs
+SEARCH_NODES = 3_000  # fillings tried in a group beyond the first descent
 LOOSE = 16  # a sequence with more than 1/LOOSE of waste is packed once more, with those of other groups
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 
 # Special token of the vocabulary file; a fixed value.
 SPECIAL = "<|endoftext|>"
@@ -42,19 +43,36 @@ SPECIAL = "<|endoftext|>"
 
 
 class _Words(dict):
-    """Token ids, as little-endian 32-bit numbers, of words with the space before them."""
+    """Token ids, as little-endian 32-bit numbers, of words with the space before them.
+
+    Holds two generations of ``KEPT_WORDS``: a word that is not met while the
+    younger one fills up is forgotten, so that frequent words stay.
+    """
 
     def __init__(self, encoding) -> None:
         self._encoding = encoding
+        self._older: dict[str, bytes] = {}
+        self._marks = {mark: _packed(encoding.encode_ordinary(mark)) for mark in ".,;:!?"}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self._older.get(word)
+        if ids is None:
+            # A mark after a letter is a token of its own.
+            if word[-1:] in self._marks and word[-2:-1].isalpha():
+                ids = self[word[:-1]] + self._marks[word[-1]]
+            else:
+                ids = _packed(self._encoding.encode_ordinary(" " + word))
         if len(self) >= KEPT_WORDS:
+            self._older = dict(self)
             self.clear()
-        ids = np.array(self._encoding.encode_ordinary(" " + word), "<u4").tobytes()
         self[word] = ids
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ByteBpe:
     """Ids of the byte-level BPE in ``json_path``, from the same merges as ranks in ``ranks_path``.
 
@@ -91,11 +109,11 @@ class ByteBpe:
                 from tokenizers import Tokenizer
 
                 self._full = Tokenizer.from_file(self._json_path)
-            return np.array(self._full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _packed(self._full.encode(text, add_special_tokens=False).ids)
         if self._irregular.search(text):
-            return np.array(self._encoding.encode_ordinary(text), "<u4").tobytes()
+            return _packed(self._encoding.encode_ordinary(text))
         first, *rest = text.split(" ")
-        head = np.array(self._encoding.encode_ordinary(first), "<u4").tobytes()
+        head = _packed(self._encoding.encode_ordinary(first))
         return head + b"".join(map(self._words.__getitem__, rest))
 
 
@@ -119,7 +137,7 @@ def tokenized_pieces(
     Returns ``key, piece, start, length, ids_crc32``. A longer document is cut
     into pieces of ``capacity`` ids, with what is left over as its first piece.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end = _packed([end_id])
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(**vocabulary)
@@ -230,24 +248,22 @@ class _Stock:
 
     def triples(self, total: int) -> Iterator[tuple[int, int, int]]:
         """Three sizes of this sum, from the largest down."""
-        high = self.largest(total)
-        smallest = (self.sizes & -self.sizes).bit_length() - 1
-        while high and 3 * high >= total >= 3 * smallest:
-            self.take(high)
-            rest = [pair for pair in self.pairs(total - high) if pair[0] <= high]
-            self.put(high)
-            for a, b in rest:
-                yield high, a, b
-            high = self.largest(high - 1)
-
-    def beside(self, room: int, *others: int) -> int:
-        """The largest size that fits beside the others."""
-        for size in others:
-            self.take(size)
-        found = self.largest(room - sum(others))
-        for size in others:
-            self.put(size)
-        return found
+        sizes = self.sizes & ((2 << total) - 1)
+        smallest = (sizes & -sizes).bit_length() - 1
+        while (high := sizes.bit_length() - 1) * 3 >= total >= 3 * smallest > 0:
+            sizes ^= 1 << high
+            rest = total - high
+            if self.sizes & (self.mirror >> (self.capacity - rest)):
+                self.take(high)
+                found = [pair for pair in self.pairs(rest) if pair[0] <= high]
+                self.put(high)
+                for a, b in found:
+                    yield high, a, b
+
+    def beside(self, room: int, other: int) -> int:
+        """The largest size that fits beside the other one."""
+        found = self.largest(room - other)
+        return self.largest(other - 1) if found == other and self.counts[other] == 1 else found
 
 
 def _closings(stock: _Stock, room: int, total: int) -> Iterator[tuple[int, ...]]:
@@ -260,7 +276,7 @@ def _closings(stock: _Stock, room: int, total: int) -> Iterator[tuple[int, ...]]
     if paired:
         return  # pairs of the same sum leave the smaller pieces for later
     for a, b, c in stock.triples(total):
-        if total == room or stock.beside(room, a) < b + c and stock.beside(room, a, b) <= c:
+        if total == room or stock.beside(room, a) < b + c:
             yield a, b, c
 
 
@@ -413,7 +429,8 @@ def pack_pieces(
         for name in ("sequence_id", "offset", "spare"):
             schema.add(name, "long")
         dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        return dealt.groupBy("group").applyInArrow(_pack_group(capacity, nodes, first_id), schema)
+        # Small rows and long work: as many tasks as groups, which adaptive execution leaves alone.
+        return dealt.repartition(groups, "group").groupBy("group").applyInArrow(_pack_group(capacity, nodes, first_id), schema)
 
     count = kept.count()
     groups = max(1, -(-count // group_pieces))

@@ -46,11 +46,11 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, model = mixing.mix(
+    mixed = mixing.mix(
         table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), {"clean": 0.95, "junk": 0.05}
     )
-    shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(model.domains)]
-    return rated.select(
+    shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(mixed.model.domains)]
+    return mixed.rates().select(
         "doc_id", "n_tokens", *shares, "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies")
     )
 

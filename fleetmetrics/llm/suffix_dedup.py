@@ -391,7 +391,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", how: Repeats = Repeats()
     Where a removed run begins or ends inside a character, the rest of that
     character goes as well, so that what is left is UTF-8.
     """
-    place = docs.columns.index(text)
+    names = docs.columns
+    place = names.index(text)
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -402,6 +403,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", how: Repeats = Repeats()
                 texts.append(_remaining(whole.encode(), runs).decode("utf-8", "ignore") if runs else whole)
             columns = batch.columns[:-1]
             columns[place] = pa.array(texts, batch.column(place).type)
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return _attached(docs, text, how).mapInArrow(cut, docs.schema)
