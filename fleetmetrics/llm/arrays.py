@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 # The row code of this subpackage travels with its tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses modulo 2**64
 
 SPACE = np.zeros(256, bool)

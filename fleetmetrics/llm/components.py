@@ -20,10 +20,9 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     a, b = F.col(left), F.col(right)
     known = links.where(a.isNotNull() & b.isNotNull())
-    nodes = known.select(a.alias("node")).union(known.select(b.alias("node"))).distinct()
-    edges = stored(
-        known.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links"
-    )
+    first = stored(known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    nodes = first.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    edges = first.where("u != v")
     before = None
     while True:
         # Large star: of all neighbours and the node itself the least, m; every greater neighbour is hung on m.

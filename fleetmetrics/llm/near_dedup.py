@@ -48,8 +48,8 @@ class NearCopies:
     samples: int = 240  # all samples go into the sketch, bands * rows of them into bands
     sketch_bits: int = 1024
     seed: int = 11
-    bucket_block: int = 4096  # sketches of a bucket compared in one task, against as many
-    set_block: int = 400_000  # shingles of a group compared in one task, against as many
+    bucket_block: int = 2048  # sketches of a bucket compared in one task, against as many
+    set_block: int = 150_000  # shingles of a group compared in one task, against as many
 
     def multipliers(self) -> np.ndarray:
         return np.random.default_rng(self.seed).integers(0, 2**32, self.samples, np.uint32) | np.uint32(1)
