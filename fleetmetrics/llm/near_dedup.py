@@ -79,10 +79,10 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 own = np.sort(total[first:last - words + 1])
                 yield own[arrays.first_of_runs(own)]
             elif last > first:
-                few = np.uint64(last - first)
-                for one in hashes[first:last]:
-                    few = few * np.uint64(arrays.BASES[1]) + one
-                yield arrays.mix(np.array([few], np.uint64))
+                few = np.array([last - first], np.uint64)
+                for place in range(first, last):
+                    few = few * np.uint64(arrays.BASES[1]) + hashes[place]
+                yield arrays.mix(few)
             else:
                 yield np.zeros(0, np.uint64)
 

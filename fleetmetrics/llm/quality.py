@@ -122,7 +122,8 @@ def train(
     marks = trusted.select(F.col(key).alias("id")).where("id is not null").distinct()
     flagged = (
         docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-        .join(marks.withColumn("trusted", F.lit(True)), "id", "left")
+        # Neither side has a bound, so it is a sort-merge join at every size.
+        .join(marks.withColumn("trusted", F.lit(True)).hint("merge"), "id", "left")
         .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     )
 
