@@ -25,13 +25,14 @@ from .tables import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORD_BUCKETS = 1 << 14
-SHAPE_BUCKETS = 1 << 12
-RATIO_BINS = 11
-FEATURES = WORD_BUCKETS + SHAPE_BUCKETS + RATIO_BINS
+SHAPE_IDS = 1 << 30  # features: words below, then runs of shapes, then shares of distinct words
+SHARE_IDS = 1 << 31
 SAMPLE_DOCS = 12_000
-FIT_STEPS = 80
-PENALTY = 3e-4
+LEAST_DOCS = 5  # a feature must be in so many documents of the sample
+LEAST_SPLIT = 5.0  # and stray so many standard deviations from chance in some domain
+FIT_STEPS = 200
+STEP = 0.3
+PENALTY = 1e-4
 ITERATIONS = 25
 TOLERANCE = 1e-3
 UNITS = 1024  # expected tokens are summed in whole 1/UNITS, so that sums do not depend on their order
@@ -48,52 +49,43 @@ SHAPE[48:58] = ord("0")
 
 @dataclass(frozen=True)
 class DomainModel:
-    """A multinomial logistic model over hashed features: a weight of each domain for each feature, and a bias."""
+    """A multinomial logistic model: the features it knows, in order, each one's weight for each domain, and a bias."""
 
     domains: tuple[str, ...]
-    weights: np.ndarray  # [FEATURES, domains]
+    features: np.ndarray
+    weights: np.ndarray  # [features, domains]
     bias: np.ndarray
 
 
-def _features(body: np.ndarray, bounds: np.ndarray, powers: arrays.Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct features and their rows, sorted by row, and the words of each row.
+def _features(body: np.ndarray, bounds: np.ndarray, powers: arrays.Powers) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row's number of words and its distinct features.
 
     Features are the words in small letters, runs of four shapes of characters,
     and the share of distinct words in tenths.
     """
     rows = len(bounds) - 1
-    tokens = arrays.per_row(arrays.words(body, bounds)[2], rows)
+    tokens = arrays.per_row(arrays.words(body, bounds)[2], rows).tolist()
     letters = LETTER[body]
     starts, ends, owner = arrays.words(letters, bounds)
     hashes = arrays.span_hashes(arrays.prefix_sums(letters, powers), starts, ends, powers)
-    words = (hashes >> np.uint64(50)).astype(np.int64)
+    words = (hashes >> np.uint64(34)).astype(np.int64)
     shape = SHAPE[body].astype(np.uint32)
     n = max(0, len(body) - 3)
     packed = np.zeros(n, np.uint32)
     for back in range(4):
         packed = (packed << np.uint32(8)) | shape[back:back + n]
-    grams = ((packed * np.uint32(2654435769)) >> np.uint32(20)).astype(np.int64) + WORD_BUCKETS
-    inside = arrays.ragged(bounds[:-1], np.maximum(np.diff(bounds) - 3, 0))
-    gram_owner = np.repeat(np.arange(rows), np.maximum(np.diff(bounds) - 3, 0))
-    # Presence, row by row: a table of flags for the chunk, a few rows at a time.
-    found_feature, found_row = [], []
-    word_cut = np.searchsorted(owner, np.arange(rows + 1))
-    gram_cut = np.searchsorted(gram_owner, np.arange(rows + 1))
-    gram_values = grams[inside]
-    flags = np.zeros(FEATURES, bool)
+    grams = ((packed * np.uint32(2654435769)) >> np.uint32(20)).astype(np.int64)
+    cuts = np.searchsorted(owner, np.arange(rows + 1)).tolist()
+    places = bounds.tolist()
+    seen = np.zeros(1 << 12, bool)
     for row in range(rows):
-        own = words[word_cut[row]:word_cut[row + 1]]
-        flags[own] = True
-        distinct = int(np.count_nonzero(flags[:WORD_BUCKETS])) if len(own) else 0
-        flags[gram_values[gram_cut[row]:gram_cut[row + 1]]] = True
-        if len(own):
-            flags[WORD_BUCKETS + SHAPE_BUCKETS + 10 * distinct // len(own)] = True
-        feature = np.flatnonzero(flags)
-        flags[feature] = False
-        found_feature.append(feature)
-        found_row.append(np.full(len(feature), row))
-    empty = [np.zeros(0, np.int64)]
-    return np.concatenate(found_feature or empty), np.concatenate(found_row or empty), tokens
+        own = np.sort(words[cuts[row]:cuts[row + 1]])
+        distinct = own[arrays.first_of_runs(own)]
+        seen[grams[places[row]:max(places[row], places[row + 1] - 3)]] = True
+        shapes = np.flatnonzero(seen)
+        seen[shapes] = False
+        share = [SHARE_IDS + 10 * len(distinct) // len(own)] if len(own) else []
+        yield tokens[row], np.concatenate([distinct, shapes + SHAPE_IDS, np.array(share, np.int64)])
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -101,28 +93,52 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return raised / raised.sum(axis=1, keepdims=True)
 
 
-def _fit(features: np.ndarray, rows: np.ndarray, label: np.ndarray, domains: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias by full gradient steps with a step size of its own for each feature."""
-    n = len(label)
-    weights, bias = np.zeros((FEATURES, domains)), np.log(np.bincount(label, minlength=domains) + 1.0)
-    target = np.eye(domains)[label]
-    scale = 1.0 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))  # long rows do not weigh more
-    moved, moved_bias = np.full(weights.shape, 1e-8), np.full(domains, 1e-8)
+def _logits(model: DomainModel, features: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    return np.stack(
+        [model.bias[d] + np.bincount(rows, weights=model.weights[features, d], minlength=n)
+         for d in range(len(model.domains))], axis=1,
+    )
+
+
+def _known(model: DomainModel, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the known ones among the features of several rows, and their rows."""
+    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    every = np.concatenate([np.zeros(0, np.int64), *found])
+    if not len(model.features):
+        return every[:0], rows[:0]
+    place = np.minimum(np.searchsorted(model.features, every), len(model.features) - 1)
+    same = model.features[place] == every
+    return place[same], rows[same]
+
+
+def _fit(found: list[np.ndarray], label: np.ndarray, domains: tuple[str, ...]) -> DomainModel:
+    """Choose the features that domains differ in, then fit by full gradient steps, scaled for each weight."""
+    n, width = len(label), len(domains)
+    ids, feature = np.unique(np.concatenate(found), return_inverse=True)
+    rows = np.repeat(np.arange(n), [len(f) for f in found])
+    share = np.bincount(label, minlength=width) / n
+    seen = np.bincount(feature, minlength=len(ids))
+    stray = np.zeros(len(ids))
+    for d in range(width):
+        expected = seen * share[d]
+        held = np.bincount(feature[label[rows] == d], minlength=len(ids))
+        stray = np.maximum(stray, np.abs(held - expected) / np.sqrt(expected * (1 - share[d]) + 1e-9))
+    chosen = (seen >= LEAST_DOCS) & (stray >= LEAST_SPLIT)
+    model = DomainModel(domains, ids[chosen], np.zeros((chosen.sum(), width)), np.log(n * share + 1.0))
+    feature, rows = _known(model, found)
+    target = np.eye(width)[label]
+    moved, moved_bias = np.full(model.weights.shape, 1e-8), np.full(width, 1e-8)
     for _ in range(FIT_STEPS):
-        logits = np.empty((n, domains))
-        for d in range(domains):
-            logits[:, d] = bias[d] + scale * np.bincount(rows, weights=weights[features, d], minlength=n)
-        error = (_softmax(logits) - target) / n
-        step = np.empty_like(weights)
-        for d in range(domains):
-            step[:, d] = np.bincount(features, weights=(error[:, d] * scale)[rows], minlength=FEATURES)
-        step += PENALTY * weights / FEATURES**0.5
+        error = (_softmax(_logits(model, feature, rows, n)) - target) / n
+        step = np.stack(
+            [np.bincount(feature, weights=error[rows, d], minlength=len(model.features)) for d in range(width)], axis=1
+        ) + PENALTY * model.weights
         moved += step**2
-        weights -= 0.5 * step / np.sqrt(moved)
+        model.weights[:] -= STEP * step / np.sqrt(moved)
         total = error.sum(axis=0)
         moved_bias += total**2
-        bias -= 0.1 * total / np.sqrt(moved_bias)
-    return weights, bias
+        model.bias[:] -= STEP * total / np.sqrt(moved_bias)
+    return model
 
 
 def train(
@@ -145,42 +161,42 @@ def train(
     # sample_docs rows of a key and a name: a bounded table.
     rows = texts.join(F.broadcast(sample), "id").select("id", "text", "domain")
 
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = arrays.Powers(arrays.BASES[0])
         for batch in batches:
             for at, end, body, bounds in arrays.chunks(batch.column("text")):
-                feature, row, _ = _features(body, bounds, powers)
-                cuts = np.searchsorted(row, np.arange(end - at + 1))
-                packed = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                packed = [found.tobytes() for _, found in _features(body, bounds, powers)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, end - at), batch.column("domain").slice(at, end - at), pa.array(packed, pa.binary())],
+                    [batch.column("id").slice(at, end - at), batch.column("domain").slice(at, end - at),
+                     pa.array(packed, pa.binary())],
                     ["id", "domain", "features"],
                 )
 
     schema = T.StructType().add("id", docs.schema[key].dataType).add("domain", "string").add("features", "binary")
-    seen = stored(rows.mapInArrow(sparse, schema), "labelled-features")
+    seen = stored(rows.mapInArrow(describe, schema), "labelled-features")
     domains = tuple(r[0] for r in seen.select("domain").distinct().orderBy("domain").collect())
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, packed = [], []
+        names, found = [], []
         for batch in batches:
             names += batch.column("domain").to_pylist()
-            packed += batch.column("features").to_pylist()
+            found += [np.frombuffer(f.as_buffer(), np.int64) for f in batch.column("features")]
         if not names:
             return
-        label = np.array([domains.index(n) for n in names])
-        rows_ = np.repeat(np.arange(len(packed)), [len(p) // 4 for p in packed])
-        weights, bias = _fit(np.frombuffer(b"".join(packed), np.int32), rows_, label, len(domains))
+        model = _fit(found, np.array([domains.index(n) for n in names]), domains)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([weights.tobytes()], pa.binary()), pa.array([bias.tobytes()], pa.binary())], ["weights", "bias"]
+            [pa.array([x.tobytes()], pa.binary()) for x in (model.features, model.weights, model.bias)],
+            ["features", "weights", "bias"],
         )
 
     ordered = seen.orderBy("id", "domain", F.xxhash64("features")).coalesce(1)
-    fitted = ordered.mapInArrow(fit, "weights binary, bias binary").collect()
+    fitted = ordered.mapInArrow(fit, "features binary, weights binary, bias binary").collect()
     if not fitted:
-        return DomainModel((), np.zeros((FEATURES, 0)), np.zeros(0))
-    weights = np.frombuffer(fitted[0]["weights"]).reshape(FEATURES, len(domains))
-    return DomainModel(domains, weights, np.frombuffer(fitted[0]["bias"]))
+        return DomainModel((), np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0))
+    return DomainModel(
+        domains, np.frombuffer(fitted[0]["features"], np.int64),
+        np.frombuffer(fitted[0]["weights"]).reshape(-1, len(domains)), np.frombuffer(fitted[0]["bias"]),
+    )
 
 
 def posteriors(model: DomainModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,19 +204,18 @@ def posteriors(model: DomainModel, column: pa.Array) -> tuple[np.ndarray, np.nda
     powers = arrays.Powers(arrays.BASES[0])
     out, tokens = np.zeros((len(column), len(model.domains))), np.zeros(len(column), np.int64)
     for at, end, body, bounds in arrays.chunks(column):
-        feature, row, tokens[at:end] = _features(body, bounds, powers)
-        n = end - at
-        scale = 1.0 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
-        for d in range(len(model.domains)):
-            out[at:end, d] = model.bias[d] + scale * np.bincount(row, weights=model.weights[feature, d], minlength=n)
-    if len(model.domains):
-        out = _softmax(out) if len(out) else out
+        found = []
+        for row, (words, own) in enumerate(_features(body, bounds, powers)):
+            tokens[at + row] = words
+            found.append(own)
+        if model.domains:
+            out[at:end] = _softmax(_logits(model, *_known(model, found), end - at))
     return np.rint(out * 65536).astype(np.int64) / 65536, tokens
 
 
 def memberships(docs: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's words and posterior: ``key, n_tokens, posterior``, in the order of ``model.domains``."""
-    kept = docs.sparkSession.sparkContext.broadcast(model)  # features times domains
+    kept = docs.sparkSession.sparkContext.broadcast(model)  # no larger than the sample's features
 
     def tell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -324,8 +339,8 @@ def mix(
 
     ``weights`` are the shares of tokens that the domains are to have; a domain
     that they do not name gets 0. ``budget`` is the tokens of all together; by
-    default as many as the domains with a weight hold by expectation. A null
-    text has no words and the posterior of an empty one. Null keys are passed on
+    default the most for which no domain needs more tokens than its documents
+    hold by expectation, so that rates stay near 1 or below. A null text has no words and the posterior of an empty one. Null keys are passed on
     and rows with equal texts get equal rates. Without labels, or where no
     domain with a weight has any, posteriors tell nothing and every rate is 1.
     """
@@ -337,5 +352,5 @@ def mix(
     if budget is None:
         held = [F.sum(F.rint(F.col("n_tokens") * F.col("posterior")[d] * UNITS).cast("long")) for d in range(len(share))]
         mass = np.array([(x or 0) / UNITS for x in members.agg(*held).first()])
-        budget = float(mass[share > 0].sum())
+        budget = float((mass[share > 0] / (share / share.sum())[share > 0]).min())
     return Mix(model, members, fit_rates(members, share / share.sum() * budget))
