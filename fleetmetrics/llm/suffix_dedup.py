@@ -4,8 +4,8 @@ Strings of ``length`` bytes are dealt by an anchor: of the n-grams of ``gram``
 bytes inside a string, the one with the least hash. Equal strings have equal
 anchors, so an anchor found once has no repeats and its text goes no further. The
 strings of one anchor stand next to each other in a document; they and the bytes
-they need make a piece. Equal pieces are counted first and enter once with their
-number. Pieces are put into shards by their anchor; each shard's suffix array and
+they need make a piece, and anchor and digest, 128 bits, name it. Equal pieces are
+counted first and enter once with their number. Pieces are put into shards by their anchor; each shard's suffix array and
 common prefixes tell which of its strings occur twice or more. The pieces of an
 anchor too frequent for one shard fill several, whose sorted strings are merged
 by binary search.
@@ -56,7 +56,12 @@ def _least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def _pieces(body: np.ndarray, bounds: np.ndarray, how: Repeats, powers: tuple[arrays.Powers, arrays.Powers]):
-    """Row, start, number of strings, anchor and 128-bit digest of each piece of a chunk."""
+    """Row, start, number of strings, anchor, digest and times of each piece of a chunk.
+
+    A piece that follows itself, as in text with a short period, is told once,
+    with how many times it comes; each time begins where the strings of the one
+    before end.
+    """
     sizes = np.maximum(np.diff(bounds) - how.length + 1, 0)
     starts = arrays.ragged(bounds[:-1], sizes)
     if not len(starts):
@@ -75,11 +80,14 @@ def _pieces(body: np.ndarray, bounds: np.ndarray, how: Repeats, powers: tuple[ar
     many = np.diff(np.append(cuts, len(starts)))
     first = starts[cuts]
     ends = first + many + how.length - 1
-    digest = [arrays.span_hashes(s, first, ends, p) for s, p in zip(sums, powers, strict=True)]
-    return owner[cuts], first - bounds[owner[cuts]], many, hashes[anchor[cuts]], digest[0], digest[1]
+    digest = arrays.span_hashes(sums[1], first, ends, powers[1])
+    row, gram = owner[cuts], hashes[anchor[cuts]]
+    once = np.flatnonzero(arrays.first_of_runs(row, gram, digest, many))
+    times = np.diff(np.append(once, len(row)))
+    return row[once], (first - bounds[row])[once], many[once], gram[once], digest[once], times
 
 
-_PIECE = "g long, r1 long, r2 long, k1 long, k2 long, at long, many int"
+_PIECE = "g long, r long, k1 long, k2 long, at long, many int, times int"
 
 
 def _cutter(how: Repeats, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -92,15 +100,15 @@ def _cutter(how: Repeats, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], I
                 found = _pieces(body, bounds, how, powers)
                 if found is None:
                     continue
-                row, first, many, anchor, r1, r2 = found
+                row, first, many, anchor, digest, times = found
+                hashes = [pa.array(x.astype(np.int64)) for x in (anchor, digest)]
+                counts = [pa.array(x.astype(np.int32)) for x in (many, times)]
                 if not whole:
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64))], ["g"])
+                    yield pa.RecordBatch.from_arrays([hashes[0], counts[1]], ["g", "times"])
                     continue
                 keys = [batch.column(k).slice(at, end - at).take(pa.array(row)) for k in ("k1", "k2")]
-                hashes = [pa.array(x.astype(np.int64)) for x in (anchor, r1, r2)]
                 yield pa.RecordBatch.from_arrays(
-                    [*hashes, *keys, pa.array(first), pa.array(many.astype(np.int32))],
-                    ["g", "r1", "r2", "k1", "k2", "at", "many"],
+                    [*hashes, *keys, pa.array(first), *counts], ["g", "r", "k1", "k2", "at", "many", "times"]
                 )
 
     return cut
@@ -124,15 +132,15 @@ def _copy_pieces(how: Repeats):
                 at, many = (told.field(n).to_numpy() for n in ("at", "many"))
                 bodies = [text[a:a + m + how.length - 1] for a, m in zip(at.tolist(), many.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*(told.field(n) for n in ("shard", "part", "g", "r1", "r2", "weight", "many")),
+                    [*(told.field(n) for n in ("shard", "part", "g", "r", "weight", "many")),
                      pa.array(bodies, pa.binary())],
-                    ["shard", "part", "g", "r1", "r2", "weight", "many", "body"],
+                    ["shard", "part", "g", "r", "weight", "many", "body"],
                 )
 
     return copy
 
 
-_SHARD_ROW = "shard long, part int, g long, r1 long, r2 long, weight long, many int, body binary"
+_SHARD_ROW = "shard long, part int, g long, r long, weight long, many int, body binary"
 
 
 def _classes(shard: pa.Table, how: Repeats):
@@ -151,20 +159,20 @@ def _classes(shard: pa.Table, how: Repeats):
 
 
 def _runs(shard: pa.Table, bounds: np.ndarray, owner: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """Runs of neighbouring strings of each piece, from the places of strings: g, r1, r2, first, last."""
+    """Runs of neighbouring strings of each piece, from the places of strings: g, r, first, last."""
     places = np.sort(places)
     starts = arrays.first_of_runs(owner[places], places - np.arange(len(places)))
     firsts = np.flatnonzero(starts)
     lasts = np.append(firsts[1:], len(places)) - 1
     piece = owner[places[firsts]]
     return pa.RecordBatch.from_arrays(
-        [*(shard.column(n).combine_chunks().take(pa.array(piece)) for n in ("g", "r1", "r2")),
+        [*(shard.column(n).combine_chunks().take(pa.array(piece)) for n in ("g", "r")),
          pa.array(places[firsts] - bounds[piece]), pa.array(places[lasts] - bounds[piece])],
-        ["g", "r1", "r2", "first", "last"],
+        ["g", "r", "first", "last"],
     )
 
 
-_RUN = "g long, r1 long, r2 long, first long, last long"
+_RUN = "g long, r long, first long, last long"
 
 
 def _by_shard(function: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
@@ -176,7 +184,7 @@ def _by_shard(function: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
 
         def whole() -> Iterator[pa.RecordBatch]:
             shard = pa.Table.from_batches(held)
-            names = np.column_stack([shard.column(n).to_numpy() for n in ("g", "r1", "r2")])
+            names = np.column_stack([shard.column(n).to_numpy() for n in ("g", "r")])
             _, once = np.unique(names, axis=0, return_index=True)
             yield from function(shard.take(pa.array(np.sort(once))))
 
@@ -206,7 +214,7 @@ def _repeated_in_shard(how: Repeats):
     return find
 
 
-_SORTED = "g long, merge long, shard_part int, strings binary, weights binary, r1 binary, r2 binary, places binary"
+_SORTED = "g long, merge long, shard_part int, strings binary, weights binary, r binary, places binary"
 
 
 def _sorted_strings(how: Repeats, merges: int):
@@ -219,7 +227,7 @@ def _sorted_strings(how: Repeats, merges: int):
         powers = arrays.Powers(arrays.BASES[0])
         hashes = arrays.span_hashes(arrays.prefix_sums(body, powers), places, places + how.length, powers)
         merge = (hashes % np.uint64(merges)).astype(np.int64)
-        names = [shard.column(n).to_numpy() for n in ("g", "r1", "r2")]
+        names = [shard.column(n).to_numpy() for n in ("g", "r")]
         for one in np.unique(merge):
             own = merge == one
             at, piece = places[own], owner[places[own]]
@@ -231,7 +239,7 @@ def _sorted_strings(how: Repeats, merges: int):
                         pa.array([g]), pa.array([one]), pa.array([shard.column("part")[0].as_py()], pa.int32()),
                         pa.array([strings.tobytes()], pa.binary()),
                         *(pa.array([x[some].astype(np.int64).tobytes()], pa.binary())
-                          for x in (weight[own], names[1][piece], names[2][piece], at - bounds[piece])),
+                          for x in (weight[own], names[1][piece], at - bounds[piece])),
                     ],
                     [field.split()[0] for field in _SORTED.split(", ")],
                 )
@@ -245,22 +253,22 @@ def _merge_shards(how: Repeats):
     def merge(runs: pa.Table) -> pa.Table:
         rows = runs.to_pylist()
         strings = [np.frombuffer(r["strings"], f"V{how.length}").view(f"S{how.length}") for r in rows]
-        numbers = {n: [np.frombuffer(r[n], np.int64) for r in rows] for n in ("weights", "r1", "r2", "places")}
+        numbers = {n: [np.frombuffer(r[n], np.int64) for r in rows] for n in ("weights", "r", "places")}
         joined = np.concatenate(strings)
         order = np.argsort(joined, kind="stable")  # merges the sorted runs
         merged = joined[order]
         total = np.concatenate([[0], np.cumsum(np.concatenate(numbers["weights"])[order])])
-        out = [[], [], [], []]
+        out = [[], [], []]
         for nth, run in enumerate(strings):
             from_, to = np.searchsorted(merged, run, "left"), np.searchsorted(merged, run, "right")
             # Strings that their own shard holds twice are known; here count those with others elsewhere.
             found = (total[to] - total[from_] > 1) & (numbers["weights"][nth] == 1)
-            for column, name in zip(out, ("r1", "r2", "places", "places")):
+            for column, name in zip(out, ("r", "places", "places")):
                 column.append(numbers[name][nth][found])
         columns = [np.concatenate(c) for c in out]
         return pa.table(
             [pa.array(np.full(len(columns[0]), rows[0]["g"])), *map(pa.array, columns)],
-            names=["g", "r1", "r2", "first", "last"],
+            names=["g", "r", "first", "last"],
         )
 
     return merge
@@ -275,14 +283,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", how: Repeats = Repeats()
     """
     texts = docs.select(text_of(text).alias("text"), *text_key(text_of(text)))
     twice = (
-        texts.select("text").mapInArrow(_cutter(how, whole=False), "g long")
-        .groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+        texts.select("text").mapInArrow(_cutter(how, whole=False), "g long, times int")
+        .groupBy("g").agg(F.sum("times").alias("n")).where("n > 1").select("g")
     )
     found = stored(texts.mapInArrow(_cutter(how, whole=True), _PIECE).join(twice, "g", "left_semi"), "pieces")
     # Equal pieces are one, with their number and the place of one of them.
     distinct = stored(
-        found.groupBy("g", "r1", "r2").agg(
-            F.count("*").alias("weight"),
+        found.groupBy("g", "r").agg(
+            F.sum("times").alias("weight"),
             *(F.first(c).alias(c) for c in ("k1", "k2", "at", "many")),
         ),
         "distinct-pieces",
@@ -295,11 +303,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", how: Repeats = Repeats()
     frequent = per_anchor.where(F.col("bytes") > how.shard_bytes).select("g", parts.alias("parts"))
     placed = distinct.join(frequent, "g", "left").select(
         F.coalesce(F.when(F.col("parts").isNotNull(), F.col("g")), F.pmod(F.xxhash64("g"), F.lit(shards))).alias("shard"),
-        F.coalesce(F.pmod("r1", F.col("parts")), F.lit(-1)).cast("int").alias("part"),
-        "g", "r1", "r2", "weight", "k1", "k2", "at", "many",
+        F.coalesce(F.pmod("r", F.col("parts")), F.lit(-1)).cast("int").alias("part"),
+        "g", "r", "weight", "k1", "k2", "at", "many",
     )
     told = placed.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("shard", "part", "g", "r1", "r2", "weight", "at", "many")).alias("told")
+        F.collect_list(F.struct("shard", "part", "g", "r", "weight", "at", "many")).alias("told")
     )
     rows = (
         texts.join(told, ["k1", "k2"]).select("k1", "k2", "text", "told")
@@ -314,9 +322,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", how: Repeats = Repeats()
         repeated = rows.mapInArrow(_by_shard(_repeated_in_shard(how)), _RUN).unionByName(across)
     else:
         repeated = rows.mapInArrow(_by_shard(_repeated_in_shard(how)), _RUN)
+    # A piece that follows itself begins again within a string's length: its spans are one.
     start = F.col("at") + F.col("first")
-    spans = found.join(repeated, ["g", "r1", "r2"]).select(
-        "k1", "k2", F.struct(start.alias("start"), (F.col("at") + F.col("last") + how.length).alias("end")).alias("span")
+    end = F.col("at") + (F.col("times") - 1) * F.col("many") + F.col("last") + how.length
+    spans = found.join(repeated, ["g", "r"]).select(
+        "k1", "k2", F.struct(start.alias("start"), end.alias("end")).alias("span")
     )
     # Copies of a text report the same spans.
     return texts, spans.distinct().groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
