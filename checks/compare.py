@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 
 import duckdb
 import pandas as pd
 from pyspark.sql import SparkSession
 
-from fleetmetrics.session import build_session
+from fleetmetrics.session import CHECKPOINT_CONF, build_session
 
 from .entries import QUERIES
 from .oracles import ORACLES
@@ -65,6 +66,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         "local[8]", **{
             "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
             "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+            CHECKPOINT_CONF: tempfile.mkdtemp(prefix="compare-"),
         }
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -475,6 +475,42 @@ def union_inputs(spark, sf_dir):
     )
 
 
+@query
+def all_readings_of_gpu(spark, sf_dir):
+    """Without a limit all rows come, however many."""
+    asked = ReadingQuery("GPU-0000000")
+    return select_readings(tm.wide(spark, sf_dir), asked, "2024-01-31").select("seq", "hostname", "gpu_id")
+
+
+@query
+def walk_pages(spark, sf_dir):
+    """The whole table, ten pages of the newest-first order one after the other."""
+    rows = tm.readings(spark, sf_dir).select("seq", "ts")
+    size = -(-rows.count() // 10)
+    pages = [R.newest_first(rows, size)]
+    for _ in range(9):
+        last = R.oldest_first(pages[-1].select(F.date_trunc("second", "ts").alias("ts"), "seq"), 1).first()
+        if last is None:
+            break
+        pages.append(R.page_after(rows, last.ts, last.seq, size))
+    return R.union_inputs(*pages)
+
+
+@query
+def write_with_retry(spark, sf_dir):
+    """A batch whose first two writes fail is written once."""
+    path, failures = shared_dir(spark, "retried"), [2]
+
+    def write(df: DataFrame) -> None:
+        if failures[0]:
+            failures[0] -= 1
+            raise OSError("the store is away")
+        sinks.write_batch(df, path, 0)
+
+    sinks.write_with_retry(tm.readings(spark, sf_dir).select("seq", "ts"), write, delay=0.0)
+    return sinks.read_batches_of(spark, path).drop("micro_batch")
+
+
 # ---- messages ----
 
 
@@ -485,16 +521,33 @@ def encode_messages(spark, sf_dir):
         "message_id", "topic", "stream_key", "created_at", "expires_at", "processed", "retries",
         F.element_at("headers", "timestamp").alias("header_timestamp"),
         F.get_json_object(F.decode("payload", "UTF-8"), "$.uuid").alias("payload_uuid"),
+        *[
+            F.round(F.get_json_object(F.decode("payload", "UTF-8"), f"$.{m}").cast("double"), 4).alias(m)
+            for m in METRICS
+        ],
     )
     return _ntz(out, "created_at", "expires_at")
 
 
+@query
+def consume_encoded(spark, sf_dir):
+    """The oldest messages by the keys that encoding gave them."""
+    sent = M.encode_messages(tm.wide(spark, sf_dir), "telemetry", 0, AS_OF)
+    oldest = queue.consume_fifo(sent, "telemetry", 120, AS_OF)
+    return oldest.select(
+        F.substring_index("message_id", "_", -1).alias("number"),
+        F.element_at("headers", "hostname").alias("hostname"),
+    )
+
+
 @query
 def decode_messages(spark, sf_dir):
     sent = M.encode_messages(tm.wide(spark, sf_dir), "telemetry", 600, AS_OF)
-    garbled = F.when(
-        F.element_at("headers", "gpu_id") == "7", F.encode(F.lit('{"gpu_id": '), "UTF-8")
-    ).otherwise(F.col("payload"))
+    gpu, raw = F.element_at("headers", "gpu_id"), lambda text: F.encode(F.lit(text), "UTF-8")
+    garbled = (
+        F.when(gpu == "7", raw('{"gpu_id": ')).when(gpu == "6", raw('{"gpu_id": "6"} xyz'))
+        .when(gpu == "5", raw("  ")).when(gpu == "4", raw("")).otherwise(F.col("payload"))
+    )
     path = shared_dir(spark, "messages")
     sent.withColumn("payload", garbled).write.parquet(path)
     good, bad = M.decode_messages(spark.read.schema(sent.schema).parquet(path))
@@ -605,9 +658,15 @@ def recover_still_processing(spark, sf_dir):
     return still.select("message_id", "stream_key")
 
 
+def _some_hosts(spark, sf_dir) -> DataFrame:
+    """Readings of which every seventh has no host."""
+    host = F.when(F.col("seq") % 7 != 0, F.col("hostname"))
+    return tm.readings(spark, sf_dir).withColumn("hostname", host)
+
+
 @query
 def pack_batches(spark, sf_dir):
-    return batching.pack_batches(tm.readings(spark, sf_dir), "hostname", 100).select(
+    return batching.pack_batches(_some_hosts(spark, sf_dir), "hostname", 100).select(
         "partition", "batch_no", "n", "first_ts", "last_ts",
         F.element_at("records.seq", 1).alias("first_seq"),
         F.element_at("records.seq", -1).alias("last_seq"),
@@ -757,9 +816,7 @@ def read_wide_csv(spark, sf_dir):
     return _ntz(_doubles(rows, *METRICS), "ts")
 
 
-@query
-def read_long_csv(spark, sf_dir):
-    path = shared_dir(spark, "exports")
+def _long_folder(spark, sf_dir, path: str) -> str:
     labels = F.concat(F.lit('k="'), "uuid", F.lit('",x="'), "metric_name", F.lit('"'))
     _write_csv(
         tm.readings(spark, sf_dir).select(
@@ -770,14 +827,41 @@ def read_long_csv(spark, sf_dir):
         ),
         path,
     )
+    return path
+
+
+@query
+def read_long_csv(spark, sf_dir):
+    path = _long_folder(spark, sf_dir, shared_dir(spark, "exports"))
     rows = csv_files.read_long_csv(spark, path, AS_OF)
     return _ntz(rows.drop("ingested_at", "source_file"), "ts")
 
 
+def _sent(messages: DataFrame) -> DataFrame:
+    """Messages as the next job finds them: written and read again."""
+    path = shared_dir(messages.sparkSession, "sent")
+    messages.write.parquet(path)
+    return messages.sparkSession.read.schema(messages.schema).parquet(path)
+
+
+@query
+def ingest_long_folder(spark, sf_dir):
+    done = ingest_folder(spark, _long_folder(spark, sf_dir, shared_dir(spark, "exports")), AS_OF)
+    good = M.decode_messages(_sent(done.messages))[0]
+    return _doubles(good.select("timestamp", "hostname", "gpu_id", "uuid", *METRICS), *METRICS)
+
+
 @query
 def ingest_manifest(spark, sf_dir):
-    manifest = csv_files.ingest_manifest(spark, _mixed_folder(spark, sf_dir), AS_OF)
-    return manifest.groupBy("status", "error").agg(
+    path = _mixed_folder(spark, sf_dir)
+    _long_folder(spark, sf_dir, f"{path}/l")
+    some = tm.readings(spark, sf_dir).select("gpu_id", "value")
+    _write_csv(some, f"{path}/x")
+    _write_csv(tm.readings(spark, sf_dir).select("hostname", "gpu_id", F.lit("now").alias("timestamp")), f"{path}/y")
+    manifest = csv_files.ingest_manifest(spark, path, AS_OF)
+    folder = F.element_at(F.split("source_file", "/"), -2)
+    form = F.when(folder == "l", "long").when(folder == "x", "bad").when(folder == "y", "none").otherwise("wide")
+    return manifest.groupBy("status", "error", form.alias("form")).agg(
         F.sum("record_count").alias("record_count"),
         F.sum("total_records").alias("total_records"),
         F.sum("skipped_records").alias("skipped_records"),
@@ -787,19 +871,20 @@ def ingest_manifest(spark, sf_dir):
 
 @query
 def select_input_files(spark, sf_dir):
-    path = _mixed_folder(spark, sf_dir)
-    files = csv_files.select_input_files(spark, path)
-    return files.agg(
-        (F.count(F.lit(1)) > 0).alias("found"),
-        F.bool_and(F.lower("filename").endswith(".csv")).alias("all_csv"),
-        F.bool_and(F.col("size") <= csv_files.MAX_FILE_BYTES).alias("all_small"),
-    )
+    """One file per event type; those no larger than the mean."""
+    path = shared_dir(spark, "selected")
+    rows = tm.events(spark, sf_dir).select("event_id", "event_type").repartition("event_type")
+    rows.write.option("header", "true").partitionBy("event_type").csv(path)
+    every = csv_files.select_input_files(spark, path, 2**62)
+    mean = every.agg(F.avg("size")).first()[0]
+    found = csv_files.select_input_files(spark, path, int(mean))
+    return found.select(F.element_at(F.split("source_file", "/"), -2).alias("folder"), "size")
 
 
 @query
 def ingest_folder_job(spark, sf_dir):
     done = ingest_folder(spark, _mixed_folder(spark, sf_dir), AS_OF)
-    good = M.decode_messages(done.messages)[0]
+    good = M.decode_messages(_sent(done.messages))[0]
     return _doubles(good.select("timestamp", "hostname", "gpu_id", "uuid", *METRICS), *METRICS)
 
 
@@ -877,26 +962,28 @@ def _stateful(spark) -> None:
 
 @query
 def run_ingest_stream(spark, sf_dir):
-    folder, out = shared_dir(spark, "arriving"), shared_dir(spark, "ingested")
-    rows = _wide_text(spark, sf_dir).drop("seq")
-    _write_csv(rows, folder)
-    _run(jobs.run_ingest_stream(spark, folder, out, f"{out}/checkpoint", rows.columns, as_of=AS_OF))
+    """Files of two formats, other column order, names and case."""
+    folder, out = _mixed_folder(spark, sf_dir), shared_dir(spark, "ingested")
+    _run(jobs.run_ingest_stream(spark, folder, out, f"{out}/checkpoint", as_of=AS_OF))
     sent = sinks.read_batches_of(spark, f"{out}/messages").drop("micro_batch")
-    good = M.decode_messages(sent)[0].select("hostname", "gpu_id", "timestamp", F.lit("").alias("reason"))
+    measured = ("temperature", "power_draw")
+    good = M.decode_messages(sent)[0].select(
+        "hostname", "gpu_id", "timestamp", F.lit("").alias("reason"), *measured
+    )
     rejects = sinks.read_batches_of(spark, f"{out}/rejects")
-    return good.unionByName(
-        rejects.select(
-            "hostname", "gpu_id", P.rfc3339(F.col("ts")).alias("timestamp"),
-            F.col("reject_reason").alias("reason"),
-        )
+    return _doubles(
+        good.unionByName(
+            rejects.select(
+                "hostname", "gpu_id", P.rfc3339(F.col("ts")).alias("timestamp"),
+                F.col("reject_reason").alias("reason"), *measured,
+            )
+        ), *measured,
     )
 
 
 def _collected(spark, sf_dir) -> str:
     out = shared_dir(spark, "collected")
     sent = M.encode_messages(tm.doubled(spark, sf_dir), "telemetry", 600, AS_OF)
-    numbered = F.lpad(F.substring_index("message_id", "_", -1), 12, "0")
-    sent = sent.withColumn("stream_key", F.concat(F.lit("/telemetry/queue/telemetry/"), numbered))
     _run(
         jobs.run_collect_stream(
             _stream_of(spark, sent), out, f"{out}/checkpoint", as_of=AS_OF, cluster_id="cluster-0"
@@ -924,7 +1011,10 @@ def collected_status(spark, sf_dir):
 def collect_messages_job(spark, sf_dir):
     sent = M.encode_messages(tm.wide(spark, sf_dir), "telemetry", 600, AS_OF)
     done = collect_messages(sent, AS_OF)
-    return done.hosts.select("cluster_id", "hostname", "created_at").transform(_ntz, "created_at")
+    gpus = done.gpus.groupBy("cluster_id", "hostname").agg(F.count(F.lit(1)).alias("gpus"))
+    points = done.points.groupBy("cluster_id", "hostname").agg(F.count(F.lit(1)).alias("points"))
+    hosts = done.hosts.select("cluster_id", "hostname", "created_at").transform(_ntz, "created_at")
+    return hosts.join(gpus, ["cluster_id", "hostname"]).join(points, ["cluster_id", "hostname"])
 
 
 @query
@@ -958,18 +1048,6 @@ def expire_stream(spark, sf_dir):
     return _ntz(_into_table(spark, expired).drop("micro_batch"), "expired_at")
 
 
-@query
-def expire_stream_join(spark, sf_dir):
-    log = tm.messages(spark, sf_dir).select("message_id", "topic", "created_at", "expires_at")
-    acks = tm.acks(spark, sf_dir).select("message_id", "acked_at")
-    as_time = lambda df, *cols: df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
-    expired = windows.expire_stream(
-        as_time(_stream_of(spark, log), "created_at", "expires_at"),
-        as_time(_stream_of(spark, acks), "acked_at"), "25 days", "0 seconds",
-    )
-    return _ntz(_into_table(spark, expired).drop("micro_batch"), "expired_at")
-
-
 @query
 def liveness_stream(spark, sf_dir):
     beats = _stream_of(spark, tm.heartbeats(spark, sf_dir))
@@ -1002,7 +1080,7 @@ def change_feed(spark, sf_dir):
 @query
 def batch_stream(spark, sf_dir):
     path = shared_dir(spark, "batches")
-    rows = _stream_of(spark, tm.readings(spark, sf_dir))
+    rows = _stream_of(spark, _some_hosts(spark, sf_dir))
     _run(jobs.batch_stream(rows, "hostname", 100, f"{path}/out", f"{path}/checkpoint", None))
     return sinks.read_batches_of(spark, f"{path}/out").select("partition", "batch_no", "n")
 

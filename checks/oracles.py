@@ -119,8 +119,10 @@ _CTES = {
     "fates": """select m.message_id, m.topic, m.expires_at,
         min(a.acked_at) as acked_at from messages m left join acks a using (message_id)
         group by all""",
+    "some_hosts": """select * replace (case when seq % 7 = 0 then null else hostname end as hostname)
+        from readings""",
     "batched": """select *, hostname as "partition", cast(floor((row_number() over (
-        partition by hostname order by seq) - 1) / 100) as bigint) as batch_no from readings""",
+        partition by hostname order by seq) - 1) / 100) as bigint) as batch_no from some_hosts""",
     "wide_csv": f"""select date_trunc('second', ts) as ts,
         case when greatest({', '.join(METRICS)}) < 5 then '' else hostname end as hostname,
         gpu_id, uuid, device, model_name, {', '.join(METRICS)} from wide""",
@@ -148,7 +150,7 @@ _NEEDS = {
     "status": ["gpus", "latest"], "host_counts": ["hosts"], "gpu_counts": ["status"],
     "metrics": ["divided"], "newest_metrics": ["metrics"], "loads": ["newest_metrics"],
     "last_decisions": ["decisions"], "known_messages": ["messages", "acks"],
-    "fates": ["messages", "acks"], "batched": ["readings"], "wide_csv": ["wide"],
+    "fates": ["messages", "acks"], "some_hosts": ["readings"], "batched": ["some_hosts"], "wide_csv": ["wide"],
 }
 
 
@@ -470,18 +472,24 @@ ORACLES: dict[str, str] = {
           select cluster_id, false as is_wide from readings
           union all select cluster_id, true from readings) group by 1, 2""", "readings"),
     "encode_messages": _with(
-        f"""select concat(hostname, '_', gpu_id, '_', seq) as message_id, 'telemetry' as topic,
-        concat('/telemetry/queue/telemetry/1706659200000000000_', hostname, '_', gpu_id, '_', seq)
-          as stream_key, {_AS_OF} as created_at, {_AS_OF} + interval 1 hour as expires_at,
+        f"""select concat(hostname, '_', gpu_id, '_', lpad(cast(seq as varchar), 19, '0')) as message_id,
+        'telemetry' as topic,
+        concat('/telemetry/queue/telemetry/1706659200000000000_', lpad(cast(seq as varchar), 19, '0'), '_',
+          hostname, '_', gpu_id) as stream_key, {_AS_OF} as created_at, {_AS_OF} + interval 1 hour as expires_at,
         false as processed, cast(0 as integer) as retries, {_ISO} as header_timestamp,
-        uuid as payload_uuid from wide""", "wide"),
+        uuid as payload_uuid, {_ROUNDED} from wide""", "wide"),
+    "consume_encoded": _with(
+        """select lpad(cast(seq as varchar), 19, '0') as number, hostname from wide
+        order by seq limit 120""", "wide"),
     "decode_messages": _with(
-        "select concat(hostname, '_', gpu_id, '_', seq) as message_id, "
-        f"""case when gpu_id = '7' then '{{"gpu_id": ' else {_ISO} end as "timestamp", """
-        "case when gpu_id <> '7' then hostname end as hostname, "
-        "case when gpu_id <> '7' then uuid end as uuid, "
+        "select concat(hostname, '_', gpu_id, '_', lpad(cast(seq as varchar), 19, '0')) as message_id, "
+        f"""case when gpu_id = '7' then '{{"gpu_id": '
+        when gpu_id = '6' then concat('{{"gpu_id": "6"}} ', 'xyz') when gpu_id = '5' then '  '
+        when gpu_id = '4' then '' else {_ISO} end as "timestamp", """
+        "case when gpu_id < '4' then hostname end as hostname, "
+        "case when gpu_id < '4' then uuid end as uuid, "
         + ", ".join(
-            f"case when gpu_id <> '7' then round(cast({m} as double), 4) end as {m}"
+            f"case when gpu_id < '4' then round(cast({m} as double), 4) end as {m}"
             for m in METRICS)
         + " from wide", "wide"),
     "live_messages": _with(
@@ -613,10 +621,17 @@ ORACLES: dict[str, str] = {
         value, concat('k="', uuid, '",x="', metric_name, '"') as labels_raw from readings""",
         "readings"),
     "ingest_manifest": _with(
-        """select 'processed' as status, '' as error, count(*) filter (hostname <> '') as record_count,
-        count(*) as total_records, count(*) filter (hostname = '') as skipped_records, true as hashed
-        from wide_csv""", "wide_csv"),
-    "select_input_files": "select true as found, true as all_csv, true as all_small",
+        """select 'processed' as status, '' as error, 'wide' as form,
+          count(*) filter (hostname <> '') as record_count, count(*) as total_records,
+          count(*) filter (hostname = '') as skipped_records, true as hashed from wide_csv
+        union all select 'processed', '', 'long', count(*), count(*), 0, true from readings
+        union all select 'error', 'missing required headers: [timestamp hostname]', 'bad', 0, 0, 0, true
+        union all select 'error', 'missing required headers: [any metric]', 'none', 0, 0, 0, true""",
+        "wide_csv", "readings"),
+    "select_input_files": """with sizes as (
+          select event_type, sum(length(cast(event_id as varchar)) + 1) + 9 as size from events group by 1)
+        select concat('event_type=', event_type) as folder, cast(size as bigint) as size from sizes
+        where size <= (select avg(size) from sizes)""",
     "ingest_folder_job": _with(
         f"""select {_ISO} as "timestamp", hostname, gpu_id, uuid, {_ROUNDED} from wide_csv
         where hostname <> ''""", "wide_csv"),
@@ -633,8 +648,17 @@ ORACLES: dict[str, str] = {
         union all select cluster_id, 1, 'cluster' from host_counts""",
         "wide", "gpu_counts", "host_counts"),
     "run_ingest_stream": _with(
-        f"""select hostname, gpu_id, {_ISO} as "timestamp", coalesce({_REJECTS}, '') as reason
+        f"""select hostname, gpu_id, {_ISO} as "timestamp", coalesce({_REJECTS}, '') as reason,
+        round(cast(temperature as double), 4) as temperature, round(cast(power_draw as double), 4) as power_draw
         from wide_csv""", "wide_csv"),
+    "ingest_long_folder": _with(
+        f"""select {_ISO.replace('ts', "date_trunc('second', ts)")} as "timestamp", hostname, gpu_id, uuid,
+        {', '.join(f"round(cast(cast(coalesce(arg_max(value, ts) filter (metric_name = '{m}'), 0) as float) as double), 4) as {m}" for m in METRICS)}
+        from readings group by date_trunc('second', ts), hostname, gpu_id, uuid""", "readings"),
+    "walk_pages": _with("select seq, ts from readings", "readings"),
+    "all_readings_of_gpu": _with(
+        f"""select seq, hostname, gpu_id from wide where uuid like '%GPU-0000000%'""", "wide"),
+    "write_with_retry": _with("select seq, ts from readings", "readings"),
     "run_collect_stream": _with(
         f"""select telemetry_id, uuid, {rnd('power_draw')} from (
           select *, row_number() over (partition by telemetry_id order by seq desc) as rn
@@ -647,7 +671,8 @@ ORACLES: dict[str, str] = {
         from gpus g join latest l using ({_IDENTITY})""", "gpus", "latest"),
     "collect_messages_job": _with(
         """select 'default-cluster' as cluster_id, hostname,
-        date_trunc('second', min(ts)) as created_at from wide group by hostname""", "wide"),
+        date_trunc('second', min(ts)) as created_at, count(distinct gpu_id) as gpus,
+        count(distinct (gpu_id, date_trunc('second', ts))) as points from wide group by hostname""", "wide"),
     "snapshot_then_tail": _with("select message_id, topic, created_at from messages", "messages"),
     "dedup_stream": _with(f"select {_IDENTITY}, uuid, device_name as model_name from gpus", "gpus"),
     "latest_status_stream": _with(
@@ -660,13 +685,6 @@ ORACLES: dict[str, str] = {
           and epoch_ms(expires_at) + 1 <= (select least(
             (select epoch_ms(max(created_at)) from messages),
             (select epoch_ms(max(acked_at)) from acks)))""", "fates"),
-    "expire_stream_join": _with(
-        """select message_id, topic, expires_at as expired_at
-        from fates join messages using (message_id, topic, expires_at)
-        where (acked_at is null or acked_at > expires_at)
-          and created_at + interval 25 days < (select least(
-            (select max(created_at) from messages), (select max(acked_at) from acks)))""",
-        "fates"),
     "liveness_stream": _with(_SESSIONS, "heartbeats"),
     "throttle_stream": _with(
         "select seq, hostname, filled >= 1 as allowed from refilled",

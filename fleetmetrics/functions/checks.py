@@ -15,7 +15,6 @@ from .parsing import _RFC3339, parse_rfc3339
 GPU_ID_MAX, HOSTNAME_MAX, CLUSTER_ID_MAX = 100, 253, 50
 ID_PATTERN = r"\A[a-zA-Z0-9_-]+\z"
 HOSTNAME_PATTERN = r"\A[a-zA-Z0-9][a-zA-Z0-9.-]*[a-zA-Z0-9]\z"
-DEFAULT_LIMIT = 1000
 MAX_AGE_YEARS = 2
 MAX_AHEAD = timedelta(hours=1)
 MAX_SPAN = timedelta(days=30)
@@ -152,39 +151,39 @@ def _require_time_range(start: str, end: str, as_of):
     return t0, t1
 
 
-def check_limit(limit, max_limit: int = DEFAULT_LIMIT):
-    """An integer from 1 to ``max_limit``; empty means ``max_limit``.
+def check_limit(limit, max_limit: int | None = None):
+    """A positive integer, at most ``max_limit`` where the caller sets one; empty means all rows.
 
-    A column of request text gives an error column; a string gives the number
-    or raises :class:`CheckError`.
+    A column of request text gives an error column; a string gives the number,
+    None where it is empty, or raises :class:`CheckError`.
     """
     if not isinstance(limit, Column):
         return _require_limit(limit or "", max_limit)
     text = F.coalesce(limit, F.lit(""))
     number = F.when(text.rlike(r"\A[+-]?\d+\z"), text.try_cast("long"))
-    return (
+    found = (
         F.when(text == "", F.lit(None))
         .when(number.isNull(), _error("limit", text, LIMIT_INVALID))
         .when(number <= 0, _error("limit", text, LIMIT_POSITIVE))
-        .when(number > max_limit, _error("limit", text, LIMIT_LARGE.format(max_limit)))
     )
+    if max_limit is None:
+        return found
+    return found.when(number > max_limit, _error("limit", text, LIMIT_LARGE.format(max_limit)))
 
 
-def limit_value(limit: Column, max_limit: int = DEFAULT_LIMIT) -> Column:
-    """The number behind an accepted limit, NULL for a rejected one."""
+def limit_value(limit: Column, max_limit: int | None = None) -> Column:
+    """The number behind an accepted limit, NULL for an empty or a rejected one."""
     text = F.coalesce(limit, F.lit(""))
-    return F.when(text == "", F.lit(max_limit)).when(
-        check_limit(limit, max_limit).isNull(), text.try_cast("int")
-    )
+    return F.when((text != "") & check_limit(limit, max_limit).isNull(), text.try_cast("long"))
 
 
-def _require_limit(text: str, max_limit: int) -> int:
+def _require_limit(text: str, max_limit: int | None) -> int | None:
     if text == "":
-        return max_limit
+        return None
     if not re.fullmatch(r"[+-]?[0-9]+", text) or abs(int(text)) >= 2**63:
         raise CheckError("limit", text, LIMIT_INVALID)
     if int(text) <= 0:
         raise CheckError("limit", text, LIMIT_POSITIVE)
-    if int(text) > max_limit:
+    if max_limit is not None and int(text) > max_limit:
         raise CheckError("limit", text, LIMIT_LARGE.format(max_limit))
     return int(text)

@@ -13,12 +13,20 @@ from ..functions.identity import partition_key
 CHUNK_WIDTH = 10_000_000
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a NULL key meets a NULL key; the keys are those of the left side."""
+    renamed = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def running_position(
     df: DataFrame, keys: Sequence[str], seq: str, *, into: str, chunk_width: int = CHUNK_WIDTH
 ) -> DataFrame:
     """The position of each row within its key in ``seq`` order, counted from 0.
 
-    ``seq`` is a unique whole number. It is cut into chunks; row counts per key
+    ``seq`` is a unique whole number; rows without one come first, in no order.
+    Rows with a NULL key are a key of their own. ``seq`` is cut into chunks; row counts per key
     and chunk, summed up over the earlier chunks, say where a chunk starts, and
     only inside a chunk are rows sorted. So a key that holds most of the table
     is spread over as many tasks as it has chunks.
@@ -36,7 +44,7 @@ def running_position(
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(seq)
     return (
-        rows.join(starts, [*keys, "_chunk"])
+        join_null_safe(rows, starts, [*keys, "_chunk"])
         .withColumn(into, F.col("_start") + F.row_number().over(inside) - 1)
         .drop("_chunk", "_start")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batching import CHUNK_WIDTH
+from .batching import CHUNK_WIDTH, join_null_safe
 
 
 def classify_changes(
@@ -20,6 +20,7 @@ def classify_changes(
     A put is a creation if the key was never put before or was deleted last.
     ``seq`` is a unique whole number. Each chunk of it takes the key's last
     operation from the chunks before, so a hot key needs no single window.
+    A NULL key is a key like others; rows without ``seq`` come first.
     """
     rows = changelog.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk_width))).withColumn(
         "_gone", F.col(op) == "DELETE"
@@ -34,7 +35,7 @@ def classify_changes(
     inside = Window.partitionBy(*keys, "_chunk").orderBy(seq)
     absent = F.coalesce(F.lag("_gone").over(inside), F.col("_before"), F.lit(True))
     return (
-        rows.join(carried, [*keys, "_chunk"])
+        join_null_safe(rows, carried, [*keys, "_chunk"])
         .withColumn("_absent", absent)
         .withColumn(
             "event_type",

@@ -17,10 +17,6 @@ from ..session import instant, instant_for, utc
 from ..sources.messages import QUEUE_PREFIX
 from .topn import first_n_per_key
 
-# A claim at most this large may be broadcast to strike its messages off the log.
-BROADCAST_CLAIM_ROWS = 100_000
-
-
 def live_messages(df: DataFrame, as_of: datetime | str) -> DataFrame:
     """Messages not yet expired; a message expires strictly after ``expires_at``."""
     return df.filter(F.col("expires_at") >= instant_for(df, "expires_at", as_of))
@@ -78,10 +74,7 @@ def claim_work(
         "processing_key",
         F.concat(F.lit("/processing/"), "consumer_id", F.lit("/"), nanos, F.lit("_"), rest_of_key),
     )
-    keys = taken.select("stream_key")
-    if wanted <= BROADCAST_CLAIM_ROWS:
-        keys = F.broadcast(keys)
-    return claimed, df.join(keys, "stream_key", "left_anti")
+    return claimed, df.join(taken.select("stream_key"), "stream_key", "left_anti")
 
 
 def ack_messages(messages: DataFrame, acks: DataFrame) -> DataFrame:

@@ -70,11 +70,12 @@ def time_range(
 
 
 def newest_first(
-    df: DataFrame, limit: int, ts: str = "ts", tie: Sequence[str] = ("seq",)
+    df: DataFrame, limit: int | None = None, ts: str = "ts", tie: Sequence[str] = ("seq",)
 ) -> DataFrame:
-    """The ``limit`` newest rows by whole second; ties by ``tie``, latest first."""
+    """Rows from the newest whole second on, ``limit`` of them or all; ties by ``tie``, latest first."""
     ties = [F.desc(c) for c in tie if c in df.columns]
-    return df.orderBy(F.date_trunc("second", F.col(ts)).desc(), *ties).limit(limit)
+    ordered = df.orderBy(F.date_trunc("second", F.col(ts)).desc(), *ties)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def oldest_first(
@@ -108,14 +109,20 @@ def gpu_metrics(
     df: DataFrame, cluster: str, host: str, gpu: str,
     start: datetime | str | None = None, end: datetime | str | None = None, limit: int = 0,
 ) -> DataFrame:
-    """Points of one exact GPU, oldest first, with time bounds at full precision."""
+    """Points of one exact GPU, oldest first, with time bounds at full precision.
+
+    Where the table has ``event_date`` partitions the bounds prune those too.
+    """
+    dated = "event_date" in df.columns
     df = df.filter(
         (F.col("cluster_id") == cluster) & (F.col("hostname") == host) & (F.col("gpu_id") == gpu)
     )
     if start is not None:
         df = df.filter(F.col("ts") >= instant_for(df, "ts", start))
+        df = df.filter(F.col("event_date") >= F.lit(utc(start).date())) if dated else df
     if end is not None:
         df = df.filter(F.col("ts") <= instant_for(df, "ts", end))
+        df = df.filter(F.col("event_date") <= F.lit(utc(end).date())) if dated else df
     return oldest_first(df, limit)
 
 
@@ -176,12 +183,18 @@ def long_to_wide(
 ) -> DataFrame:
     """One row per cluster, host, GPU and second with a column per metric.
 
-    Of several values of a metric in a second the last by ``seq`` counts (without
-    such a column the greatest); a metric that was not measured is 0.
+    Of several values of a metric in a second the last by ``seq`` counts, without
+    such a column the last by time, ingest time, file and value; a metric that
+    was not measured is 0. The same order picks the attributes.
     """
     second = F.date_trunc("second", F.col("ts")).cast(df.schema["ts"].dataType)
     named = {m: [src for src, m2 in metric_map.items() if m2 == m] for m in METRICS}
-    ordered = seq in df.columns
+    if seq in df.columns:
+        order = F.col(seq)
+    else:
+        order = F.struct(
+            "_moment", *[c for c in ("ingested_at", "source_file", "value") if c in df.columns]
+        )
 
     def last(metric: str) -> Column:
         sources = named[metric]
@@ -189,13 +202,13 @@ def long_to_wide(
             return F.lit(0).cast("float").alias(metric)
         mine = F.col("metric_name").isin(sources)
         value = F.when(mine, F.col("value"))
-        pick = F.max_by(value, F.when(mine, F.col(seq))) if ordered else F.max(value)
+        pick = F.max_by(value, F.when(mine, order))
         return F.coalesce(pick, F.lit(0.0)).cast("float").alias(metric)
 
     attributes = F.struct(*ATTRIBUTES)
-    described = F.max_by(attributes, F.col(seq)) if ordered else F.max(attributes)
+    described = F.max_by(attributes, F.struct(order, attributes))
     return (
-        df.withColumn("ts", second)
+        df.withColumn("_moment", F.col("ts")).withColumn("ts", second)
         .groupBy(*IDENTITY, "ts")
         .agg(described.alias("_a"), *map(last, METRICS))
         .select("ts", *IDENTITY, "_a.*", *METRICS)
@@ -248,14 +261,15 @@ def page(df: DataFrame, order: Sequence[Column | str], limit: int, offset: int =
 def page_after(
     df: DataFrame, last_ts: datetime | str, last_seq: int, limit: int
 ) -> DataFrame:
-    """The next rows of a newest-first listing after a given row: no offset to skip over."""
-    last = instant_for(df, "ts", last_ts)
-    return (
-        df.filter(F.col("ts") <= last)
-        .filter((F.col("ts") < last) | (F.col("seq") < last_seq))
-        .orderBy(F.desc("ts"), F.desc("seq"))
-        .limit(limit)
-    )
+    """The next rows of :func:`newest_first` after a given row: no offset to skip over.
+
+    Rows are listed by whole second and within it by ``seq``, so a row of the
+    same second follows if its ``seq`` is lower, whatever its fraction of a second.
+    """
+    second = utc(last_ts).replace(microsecond=0)
+    begin, end = (instant_for(df, "ts", t) for t in (second, second + timedelta(seconds=1)))
+    left = df.filter(F.col("ts") < end).filter((F.col("ts") < begin) | (F.col("seq") < last_seq))
+    return newest_first(left, limit)
 
 
 def union_inputs(*dfs: DataFrame) -> DataFrame:

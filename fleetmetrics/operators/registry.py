@@ -150,27 +150,27 @@ def get_gpu(gpus: DataFrame, cluster: str, host: str, gpu: str) -> DataFrame:
 
 
 def fleet_tree(
-    hosts: DataFrame, gpus: DataFrame, metadata: DataFrame, gpus_per_row: int = 1000
+    hosts: DataFrame, gpus: DataFrame, metadata: DataFrame, parts: int = 1
 ) -> DataFrame:
     """Cluster, host and GPUs nested: one row per host with its cluster and GPU array.
 
     ``gpus`` are those of ``gpu_status``, ``metadata`` that of
-    ``cluster_metadata``. A host with more than ``gpus_per_row`` GPUs, which
-    only a wrong host name can cause, is spread over several rows by the hash of
-    the GPU id, numbered by ``part``; so no row grows without bound.
+    ``cluster_metadata``. With ``parts`` above 1 every host's GPUs are spread
+    over as many rows by the hash of their id, numbered by ``part``; the first
+    part is there for every host, the others where they hold a GPU.
     """
     host = ["cluster_id", "hostname"]
     node = F.struct("gpu_id", "uuid", "device", "device_name", "status")
-    sizes = gpus.groupBy(*host).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(gpus_per_row)).alias("_parts")
-    )
     arrays = (
-        gpus.select(*host, "gpu_id", node.alias("_gpu"))
-        .join(sizes, host)
-        .withColumn("part", F.pmod(F.xxhash64("gpu_id"), F.col("_parts")))
+        gpus.select(
+            *host, F.pmod(F.xxhash64("gpu_id"), F.lit(parts)).alias("part"), node.alias("_gpu")
+        )
         .groupBy(*host, "part")
         .agg(F.sort_array(F.collect_list("_gpu")).alias("gpus"))
     )
+    if parts > 1:
+        every = hosts.select(*host, F.lit(0).cast("long").alias("part")).unionByName(arrays.select(*host, "part"))
+        arrays = every.distinct().join(arrays, [*host, "part"], "left")
     empty = F.array().cast(arrays.schema["gpus"].dataType)
     return (
         hosts.select(*host, F.col("status.state").alias("_state"))

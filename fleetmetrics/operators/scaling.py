@@ -24,7 +24,8 @@ DEFAULT_RULES = {
     "weight_queue": DEFAULT_WEIGHTS["queue"],
 }
 
-# Age limit of metrics, and confidences of the fixed decisions.
+# Age limit of metrics, and confidences of the fixed decisions. The reason texts in
+# scaling_decisions are fixed values too.
 MAX_AGE = timedelta(minutes=2)
 NO_DATA_CONFIDENCE, COOLDOWN_CONFIDENCE, STEADY_CONFIDENCE = 0.5, 0.8, 0.9
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batching import join_null_safe
+
 # The row code below travels with its tasks; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -55,7 +57,7 @@ def _segments(df: DataFrame, key: str, idle_micros: int, cell_micros: int) -> Da
     )
     previous = F.coalesce(F.lag("_micros").over(inside), F.col("_before"))
     gaps = (
-        rows.join(last_seen, [key, "_cell"])
+        join_null_safe(rows, last_seen, [key, "_cell"])
         .withColumn("_previous", previous)
         .withColumn(
             "_gap",
@@ -68,7 +70,7 @@ def _segments(df: DataFrame, key: str, idle_micros: int, cell_micros: int) -> Da
         .withColumn("_start", F.coalesce(F.sum("_gaps").over(earlier), F.lit(0)))
         .drop("_gaps")
     )
-    return gaps.join(starts, [key, "_cell"]).withColumn(
+    return join_null_safe(gaps, starts, [key, "_cell"]).withColumn(
         "_segment",
         F.col("_start") + F.sum("_gap").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
     )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.quality import drop_missing_identity
-from ..sources.csv_files import read_wide_csv
+from ..sources.csv_files import read_readings_csv
 from ..sources.messages import encode_messages
 
 
@@ -23,9 +22,8 @@ class Ingested:
 def ingest_folder(
     spark: SparkSession, path: str, as_of: datetime | str, *, topic: str = "telemetry",
     ttl_seconds: int = 3600, timestamp_mode: str = "event",
-    header: Sequence[str] | None = None,
 ) -> Ingested:
-    """Read, clean and check the wide files of a folder and encode the good rows."""
-    rows = read_wide_csv(spark, path, as_of, timestamp_mode=timestamp_mode, header=header)
+    """Read, clean and check the wide and long files of a folder and encode the good rows."""
+    rows = read_readings_csv(spark, path, as_of, timestamp_mode=timestamp_mode)
     good, rejected = drop_missing_identity(rows)
     return Ingested(encode_messages(good, topic, ttl_seconds, as_of), good, rejected)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from datetime import datetime, timezone
 
@@ -51,14 +50,12 @@ def shuffle_partitions(shuffled_bytes: int, target_bytes: int = 128 * 1024 * 102
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is. Only a local
-    session may run without it; then a temporary folder takes its place.
+    That is the folder named by ``spark.checkpoint.dir``, or the one the context
+    was given by ``setCheckpointDir``. A session without either is an error.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
+    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="fleetmetrics-")
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 

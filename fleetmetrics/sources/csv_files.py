@@ -1,9 +1,10 @@
 """CSV input. Columns are always bound by header name, never by position.
 
-Files of one folder may have different headers. The distinct headers (a handful
-of export formats) are found with one distributed pass; then all files are read
-in a single scan with positional columns, and each row picks its fields by the
-header of its own file.
+Files of one folder may have different headers. One distributed pass notes each
+file's header; then all files are read in a single scan with positional columns,
+and each row picks its fields by the header of its own file. Every file is read
+whatever its size; only a caller who sets ``max_bytes`` refuses larger ones, and
+the manifest then lists these as errors.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from ..functions import parsing as P
 from ..schemas import DEFAULT_CLUSTER, METRICS, REQUIRED_COLUMNS
 from ..session import instant, shared_dir
 
-MAX_FILE_BYTES = 100 * 1024 * 1024
 _CSV_GLOB = "*.[cC][sS][vV]"
 
 # Where each field of a wide record may be found, in order.
@@ -45,9 +45,7 @@ LONG_FIELDS = {
 }
 
 
-def select_input_files(
-    spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
+def select_input_files(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
     """The ``.csv`` files of at most ``max_bytes`` below a folder; contents are not read."""
     return (
         _binary(spark, path)
@@ -61,7 +59,7 @@ def select_input_files(
     )
 
 
-def _binary(spark: SparkSession, path: str) -> DataFrame:
+def _binary(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -84,13 +82,10 @@ def _header_cells(content: Column) -> Column:
     )
 
 
-def file_headers(
-    spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
-    """Per file: its header cells, size and MD5."""
+def file_headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Per file: its header cells, size and MD5. The file is read whole, for the MD5."""
     return (
         _binary(spark, path)
-        .filter(F.col("length") <= max_bytes)
         .select(
             F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_name").alias("filename"),
@@ -128,10 +123,14 @@ def _noted(spark: SparkSession, files: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: The file a row came from, under a name that no header can have: header cells are trimmed.
+_FILE = " file"
+
+
 def _cells(
-    spark: SparkSession, path: str, width: int, max_bytes: int, multi_line: bool
+    spark: SparkSession, path: str | Sequence[str], width: int, multi_line: bool
 ) -> DataFrame:
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    schema = T.StructType([T.StructField(f" {i}", T.StringType()) for i in range(width)])
     return (
         spark.read.schema(schema)
         .option("header", "true")
@@ -142,60 +141,60 @@ def _cells(
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _CSV_GLOB)
         .csv(path)
-        .filter(F.col("_metadata.file_size") <= max_bytes)
-        .select("*", F.col("_metadata.file_path").alias("source_file"))
+        .select("*", F.col("_metadata.file_path").alias(_FILE))
     )
 
 
 def read_cells_by_name(
-    spark: SparkSession, path: str, *, fold_case: bool,
-    header: Sequence[str] | None = None, required: Sequence[str] = (),
-    max_bytes: int = MAX_FILE_BYTES, multi_line: bool = True, files: DataFrame | None = None,
+    spark: SparkSession, path: str | Sequence[str], names: Sequence[str], *, fold_case: bool,
+    required: Sequence[str] = (), any_of: Sequence[str] = (), multi_line: bool = True,
+    files: DataFrame | None = None,
 ) -> DataFrame:
-    """All fields as text under their header names, plus ``source_file``.
+    """The named fields as text, plus ``source_file``; a field the file does not have is NULL.
 
-    ``header`` names the header all files share and saves the header pass;
-    ``files`` is the result of an earlier one. A file that lacks a required
-    column contributes no rows; if every file lacks one, ValueError is raised. A
-    field the file does not have is NULL.
+    Every row is bound by the header of its own file, of which two equal names
+    count as the last; other columns are not looked at, whatever their names.
+    ``files`` is the result of an earlier header pass. A file that lacks a
+    required column, or has none of ``any_of``, contributes no rows; if that is
+    so of every file, ValueError is raised.
     """
-    if header:
-        headers = [list(header)]
-    else:
-        if files is None:
-            found = file_headers(spark, path, max_bytes)
-            files = _noted(spark, found.select("source_file", "headers"))
-        # One small row per export format in use, in a fixed order.
-        headers = sorted(r.headers for r in files.select("headers").distinct().collect())
-    named = {
-        i: normalise(h) if fold_case else list(h)
-        for i, h in enumerate(headers)
-        if not missing_columns(h, required)
-    }
-    if not named:
-        missing = missing_columns(headers[0], required) if headers else list(required)
-        raise ValueError(f"missing required headers: [{' '.join(missing)}]")
-    cells = _cells(spark, path, max(map(len, headers)), max_bytes, multi_line)
-    positions = {i: {n: p for p, n in enumerate(h)} for i, h in named.items()}
-    if len(headers) == 1:
-        [where] = positions.values()
-        return cells.select(
-            *[F.col(f"c{p}").alias(n) for n, p in where.items()], "source_file"
-        )
-    numbers = F.create_map(
-        *[x for i in named for x in (F.array(*map(F.lit, headers[i])), F.lit(i))]
+    if files is None:
+        files = _noted(spark, file_headers(spark, path).select("source_file", "headers"))
+    cell = (lambda h: F.lower(P.trim_space(h))) if fold_case else (lambda h: h)
+    own = files.select("source_file", F.transform("headers", cell).alias("_cells"))
+    # Where each wanted name stands in the header, counted from 1, the last of equals; 0 where it is not.
+    where = own.select(
+        F.col("source_file").alias("_path"),
+        F.size("_cells").alias("_width"),
+        *[
+            F.when(F.array_contains("_cells", n), F.size("_cells") + 1 - F.array_position(F.reverse("_cells"), n))
+            .otherwise(0).alias(f"_at_{i}")
+            for i, n in enumerate(names)
+        ],
+        *[F.array_contains("_cells", n).alias(f"_has_{i}") for i, n in enumerate([*required, *any_of])],
     )
-    formats = files.select(
-        "source_file", F.try_element_at(numbers, F.col("headers")).alias("_format")
+    held = [F.col(f"_has_{i}") for i in range(len(required) + len(any_of))]
+    usable = F.lit(True)
+    for has in held[: len(required)]:
+        usable = usable & has
+    if any_of:
+        some = F.lit(False)
+        for has in held[len(required):]:
+            some = some | has
+        usable = usable & some
+    fit = where.filter(usable)
+    width = fit.agg(F.max("_width")).first()[0]
+    if width is None:
+        first = files.select("headers").orderBy("source_file").first()
+        missing = missing_columns(first.headers if first else [], required) or list(any_of)
+        raise ValueError(f"missing required headers: [{' '.join(missing)}]")
+    cells = _cells(spark, path, width, multi_line)
+    row = cells.select(F.array(*[F.col(f"` {i}`") for i in range(width)]).alias("_row"), F.col(f"`{_FILE}`").alias("_path"))
+    bound = row.join(fit, "_path")
+    return bound.select(
+        *[F.when(F.col(f"_at_{i}") > 0, F.get("_row", F.col(f"_at_{i}") - 1)).alias(n) for i, n in enumerate(names)],
+        F.col("_path").alias("source_file"),
     )
-    rows = cells.join(formats.filter("_format is not null"), "source_file")
-    names = list(dict.fromkeys(n for h in named.values() for n in h))
-
-    def pick(name: str) -> Column:
-        held = [(i, w[name]) for i, w in positions.items() if name in w]
-        return F.coalesce(*[F.when(F.col("_format") == i, F.col(f"c{p}")) for i, p in held])
-
-    return rows.select(*[pick(n).alias(n) for n in names], "source_file")
 
 
 def _or_null(df: DataFrame, name: str) -> Column:
@@ -240,17 +239,23 @@ def parse_wide(
     )
 
 
+#: The columns of a wide file that count.
+WIDE_COLUMNS = tuple(
+    dict.fromkeys(["timestamp", *(a for aliases in WIDE_ALIASES.values() for a in aliases), *METRICS])
+)
+
+
 def read_wide_csv(
-    spark: SparkSession, path: str, as_of: datetime | str, *,
+    spark: SparkSession, path: str | Sequence[str], as_of: datetime | str, *,
     timestamp_mode: str = "event", cluster_id: str = DEFAULT_CLUSTER,
-    header: Sequence[str] | None = None, max_bytes: int = MAX_FILE_BYTES,
     multi_line: bool = True, files: DataFrame | None = None,
 ) -> DataFrame:
     """One row per GPU and moment. Header names are trimmed and lower-cased; of two
-    equal names the last wins; rows may be short or long."""
+    equal names the last wins; rows may be short or long. A file without any
+    metric column holds no wide readings and contributes no rows."""
     cells = read_cells_by_name(
-        spark, path, fold_case=True, header=header, required=REQUIRED_COLUMNS,
-        max_bytes=max_bytes, multi_line=multi_line, files=files,
+        spark, path, WIDE_COLUMNS, fold_case=True, required=REQUIRED_COLUMNS, any_of=METRICS,
+        multi_line=multi_line, files=files,
     )
     return parse_wide(cells, as_of, timestamp_mode, cluster_id)
 
@@ -274,44 +279,115 @@ def parse_long(
     )
 
 
+#: The columns of a long file that count, and those by which it is known.
+LONG_COLUMNS = ("timestamp", *LONG_FIELDS.values(), "value", "labels_raw")
+LONG_REQUIRED = ("metric_name", "value")
+
+
 def read_long_csv(
-    spark: SparkSession, path: str, as_of: datetime | str, *,
+    spark: SparkSession, path: str | Sequence[str], as_of: datetime | str, *,
     timestamp_mode: str = "event", cluster_id: str = DEFAULT_CLUSTER,
-    header: Sequence[str] | None = None, max_bytes: int = MAX_FILE_BYTES,
-    multi_line: bool = True,
+    multi_line: bool = True, files: DataFrame | None = None, required: Sequence[str] = (),
 ) -> DataFrame:
     """One row per metric. Header names are case-sensitive; no row is rejected.
 
     ``labels_raw`` keeps its quotes, which belong to its own syntax.
     """
     cells = read_cells_by_name(
-        spark, path, fold_case=False, header=header, max_bytes=max_bytes, multi_line=multi_line
+        spark, path, LONG_COLUMNS, fold_case=False, required=required, multi_line=multi_line, files=files
     )
     return parse_long(cells, as_of, timestamp_mode, cluster_id)
 
 
+def read_readings_csv(
+    spark: SparkSession, path: str | Sequence[str], as_of: datetime | str, *,
+    timestamp_mode: str = "event", cluster_id: str = DEFAULT_CLUSTER, multi_line: bool = True,
+) -> DataFrame:
+    """Wide readings of a folder with wide and long files, each by its own header.
+
+    A file with a metric name and a value column is long; its rows become one
+    reading per GPU and second. Files of neither form are left out, and an empty
+    folder gives no rows; ``ingest_manifest`` tells which files were.
+    """
+    files = _noted(spark, file_headers(spark, path).select("source_file", "headers"))
+    how = {"timestamp_mode": timestamp_mode, "cluster_id": cluster_id, "multi_line": multi_line}
+    nothing = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (*WIDE_COLUMNS, "source_file")))
+    rows = parse_wide(nothing, as_of, timestamp_mode, cluster_id)
+    wide, long = files.filter(_is_wide()), files.filter(_is_long())
+    if not wide.isEmpty():
+        rows = rows.unionByName(read_wide_csv(spark, path, as_of, files=wide, **how))
+    if not long.isEmpty():
+        metrics = read_long_csv(spark, path, as_of, files=long, required=LONG_REQUIRED, **how)
+        rows = rows.unionByName(_long_as_wide(metrics, as_of))
+    return rows
+
+
+def _is_long() -> Column:
+    return F.array_contains("headers", LONG_REQUIRED[0]) & F.array_contains("headers", LONG_REQUIRED[1])
+
+
+def _is_wide() -> Column:
+    """Whether a file that is not long has all required columns and a metric."""
+    names = F.transform("headers", lambda h: F.lower(P.trim_space(h)))
+    held = F.arrays_overlap(names, F.array(*map(F.lit, METRICS)))
+    return ~_is_long() & held & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED_COLUMNS)), names)) == 0)
+
+
+def _long_as_wide(metrics: DataFrame, as_of: datetime | str) -> DataFrame:
+    """Long rows as rows of ``parse_wide``, with the greatest file name of the second."""
+    from ..operators.readings import METRIC_MAP, long_to_wide
+
+    names = {**METRIC_MAP, **{m: m for m in METRICS}}
+    bad = F.isnan("value") | (F.abs("value") == float("inf"))
+    wide = long_to_wide(metrics.withColumn("value", F.when(bad, 0.0).otherwise(F.col("value"))), names)
+    keys = ["cluster_id", "hostname", "gpu_id", "ts"]
+    second = F.date_trunc("second", F.col("ts")).cast(metrics.schema["ts"].dataType)
+    origin = metrics.withColumn("ts", second).groupBy(*keys).agg(
+        F.max("source_file").alias("source_file"),
+        F.bool_or(bad).alias("_bad"),
+    )
+    return wide.join(origin, keys).select(
+        "ts", "cluster_id", *WIDE_ALIASES, *METRICS, instant(as_of).alias("ingested_at"), "source_file",
+        F.when((F.col("gpu_id") == "") | (F.col("hostname") == ""), "missing required fields")
+        .when(F.col("_bad"), "metric is not a finite number").alias("reject_reason"),
+    )
+
+
 def ingest_manifest(
-    spark: SparkSession, path: str, as_of: datetime | str, *, max_bytes: int = MAX_FILE_BYTES,
+    spark: SparkSession, path: str, as_of: datetime | str, *, max_bytes: int | None = None,
 ) -> DataFrame:
-    """Per file: id, name, size, MD5, headers, record counts, status and error."""
-    files = _noted(spark, file_headers(spark, path, max_bytes))
+    """Per file: id, name, size, MD5, headers, record counts, status and error.
+
+    Files that lack columns, and with ``max_bytes`` those that are larger, are
+    listed with status ``error``. The records of a long file are its rows.
+    """
+    files = _noted(spark, file_headers(spark, path))
     names = F.transform("headers", lambda h: F.lower(P.trim_space(h)))
-    missing = F.filter(
+    lacking = F.filter(
         F.array(*map(F.lit, REQUIRED_COLUMNS)), lambda r: ~F.array_contains(names, r)
     )
-    checked = files.withColumn("_missing", missing)
-    if checked.filter(F.size("_missing") == 0).isEmpty():
-        counts = spark.createDataFrame([], "source_file string, _processed long, _total long")
-    else:
-        counts = (
-            read_wide_csv(spark, path, as_of, max_bytes=max_bytes, files=files)
-            .groupBy("source_file")
-            .agg(
-                F.count_if(F.col("reject_reason").isNull()).alias("_processed"),
-                F.count(F.lit(1)).alias("_total"),
+    missing = (
+        F.when(_is_long(), F.array().cast("array<string>"))
+        .when((F.size(lacking) == 0) & ~_is_wide(), F.array(F.lit("any metric")))
+        .otherwise(lacking)
+    )
+    refused = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
+    checked = files.withColumn("_missing", missing).withColumn("_refused", refused)
+    fit = checked.filter((F.size("_missing") == 0) & ~F.col("_refused"))
+    counts = spark.createDataFrame([], "source_file string, _processed long, _total long")
+    for chosen, read in (
+        (fit.filter(~_is_long()), read_wide_csv), (fit.filter(_is_long()), read_long_csv)
+    ):
+        if chosen.isEmpty():
+            continue
+        rows = read(spark, path, as_of, files=chosen)
+        good = F.col("reject_reason").isNull() if read is read_wide_csv else F.lit(True)
+        counts = counts.unionByName(
+            rows.groupBy("source_file").agg(
+                F.count_if(good).alias("_processed"), F.count(F.lit(1)).alias("_total")
             )
         )
-    bad = F.size("_missing") > 0
+    bad = (F.size("_missing") > 0) | F.col("_refused")
     total = F.when(bad, 0).otherwise(F.coalesce("_total", F.lit(0)))
     processed = F.when(bad, 0).otherwise(F.coalesce("_processed", F.lit(0)))
     return (
@@ -329,6 +405,8 @@ def ingest_manifest(
             (total - processed).cast("long").alias("skipped_records"),
             F.when(bad, "error").otherwise("processed").alias("status"),
             F.when(
+                F.col("_refused"), F.concat(F.lit("file is larger than "), F.lit(str(max_bytes)), F.lit(" bytes"))
+            ).when(
                 bad,
                 F.concat(
                     F.lit("missing required headers: ["), F.concat_ws(" ", "_missing"), F.lit("]")
@@ -338,28 +416,20 @@ def ingest_manifest(
     )
 
 
-def stream_csv_dir(
-    spark: SparkSession, path: str, header: Sequence[str], *,
-    files_per_trigger: int = 1000, max_bytes: int = MAX_FILE_BYTES,
+def stream_csv_files(
+    spark: SparkSession, path: str, *, files_per_trigger: int = 1000
 ) -> DataFrame:
-    """Files of one format arriving over time, as text under normalised header names."""
-    missing = missing_columns(header)
-    if missing:
-        raise ValueError(f"missing required headers: [{' '.join(missing)}]")
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    cells = (
-        spark.readStream.schema(schema)
-        .option("header", "true")
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", "true")
+    """The paths of files arriving over time below a folder; contents are not read.
+
+    A micro-batch reads its files by :func:`read_readings_csv`, so that each is
+    bound by its own header.
+    """
+    return (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("maxFilesPerTrigger", files_per_trigger)
+        .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _CSV_GLOB)
-        .csv(path)
-        .filter(F.col("_metadata.file_size") <= max_bytes)
-    )
-    where = {n: i for i, n in enumerate(normalise(header))}
-    return cells.select(
-        *[F.col(f"c{i}").alias(n) for n, i in where.items()],
-        F.col("_metadata.file_path").alias("source_file"),
+        .load(path)
+        .select("path")
     )

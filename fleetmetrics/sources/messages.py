@@ -21,15 +21,22 @@ def seconds(n: Column | float) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n if isinstance(n, Column) else F.lit(n))
 
 
+def sortable(number: Column) -> Column:
+    """A whole number as 19 digits; a negative one sorts before all others, the lowest first."""
+    digits = lambda n: F.lpad(n.cast("string"), 19, "0")
+    return F.when(number < 0, F.concat(F.lit("!"), digits(number + (2**63 - 1)))).otherwise(digits(number))
+
+
 def encode_messages(
     df: DataFrame, topic: str, ttl_seconds: int, as_of: datetime | str | Column, *,
     streamer_id: str = "streamer", prefix: str = QUEUE_PREFIX, seq: str | None = "seq",
 ) -> DataFrame:
     """Wide readings as messages: JSON payload, ordered unique key, headers, expiry.
 
-    Keys sort by publishing time, then host, GPU and ``seq``. ``seq`` must be
-    unique; without such a column the payload's hash takes its place, and rows
-    equal in every field are one message.
+    Keys sort by publishing time, then by ``seq``, which must be unique; without
+    such a column by event time and the payload's hash, and rows equal in every
+    field are one message. Numbers in keys have a fixed width, so that their
+    order as text is that of the numbers.
     """
     created = instant(as_of)
     ttl = ttl_seconds if ttl_seconds > 0 else DEFAULT_TTL_SECONDS
@@ -37,15 +44,28 @@ def encode_messages(
         "timestamp": rfc3339(F.col("ts")),
         **{c: F.col(c) for c in RECORD.fieldNames() if c != "timestamp"},
     }
-    payload = F.to_json(F.struct(*[fields[c].alias(c) for c in RECORD.fieldNames()]))
-    number = F.col(seq).cast("string") if seq and seq in df.columns else F.sha2(payload, 256)
+    payload = F.col("_payload")
+    numbered = bool(seq) and seq in df.columns
+    # The payload is made once; everything below refers to it by name.
+    df = df.withColumn(
+        "_payload", F.to_json(F.struct(*[fields[c].alias(c) for c in RECORD.fieldNames()]))
+    )
+    if numbered:
+        df = df.withColumn("_number", sortable(F.col(seq))).withColumn("_place", F.col("_number"))
+    else:
+        moment = sortable(F.unix_micros(F.col("ts").cast("timestamp")))
+        df = df.withColumn("_number", F.sha2(payload, 256)).withColumn(
+            "_place", F.concat(moment, F.lit("_"), "_number")
+        )
+    number, place = F.col("_number"), F.col("_place")
     message_id = F.concat_ws("_", "hostname", "gpu_id", number)
     nanos = F.unix_micros(created) * 1000
-    return df.select(
+    messages = df.select(
         message_id.alias("message_id"),
         F.lit(topic).alias("topic"),
         F.concat(
-            F.lit(f"{prefix}/{topic}/"), nanos.cast("string"), F.lit("_"), message_id
+            F.lit(f"{prefix}/{topic}/"), sortable(nanos), F.lit("_"), place, F.lit("_"),
+            F.concat_ws("_", "hostname", "gpu_id"),
         ).alias("stream_key"),
         F.encode(payload, "UTF-8").alias("payload"),
         F.create_map(
@@ -60,6 +80,7 @@ def encode_messages(
         F.lit(False).alias("processed"),
         F.lit(0).alias("retries"),
     )
+    return messages if numbered else messages.dropDuplicates(["message_id"])
 
 
 def decode_messages(
@@ -67,7 +88,8 @@ def decode_messages(
 ) -> tuple[DataFrame, DataFrame]:
     """(records, malformed messages with ``bad_payload``).
 
-    Missing numbers are 0, missing texts empty.
+    A payload must be one JSON object: an empty or blank one, and one with text
+    after the object, is malformed. Missing numbers are 0, missing texts empty.
     """
     with_bad = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
     text = F.decode("payload", "UTF-8")
@@ -75,7 +97,10 @@ def decode_messages(
         "record",
         F.from_json(text, with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}),
     )
-    broken = F.col("payload").isNull() | F.col("record._bad").isNotNull()
+    # The parser stops after the object. As the one element of an array, text after it shows.
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    whole = F.coalesce(alone & text.rlike(r"\A\s*\{"), F.lit(False))
+    broken = F.col("payload").isNull() | F.col("record").isNull() | F.col("record._bad").isNotNull() | ~whole
 
     def field(f: T.StructField) -> Column:
         value = F.col(f"record.{f.name}")

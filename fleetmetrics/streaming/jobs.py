@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from ..operators.quality import drop_missing_identity
 from ..operators.readings import latest_readings, stamp_lineage, upsert_readings
 from ..operators.registry import gpu_status, register_gpus, register_hosts
 from ..schemas import ATTRIBUTES, DEFAULT_CLUSTER, IDENTITY, METRICS
-from ..sources.csv_files import parse_wide, stream_csv_dir
+from ..sources.csv_files import read_readings_csv, stream_csv_files
 from ..sources.messages import decode_messages, encode_messages, records_to_readings
 from .sinks import read_batches_of, start_batches, write_batch, write_with_retry
 
@@ -33,25 +32,30 @@ def snapshot_then_tail(
 
 
 def run_ingest_stream(
-    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, header: Sequence[str], *,
+    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, *,
     as_of: datetime | str | None = None, topic: str = "telemetry", ttl_seconds: int = 3600,
     timestamp_mode: str = "event", files_per_trigger: int = 1000, interval: str | None = None,
 ) -> StreamingQuery:
-    """CSV files to ``out_dir/messages`` and ``out_dir/rejects``.
+    """Wide and long CSV files to ``out_dir/messages`` and ``out_dir/rejects``.
 
-    ``as_of`` fixes the clock, for tests and replays; otherwise it is the moment
+    Every file is bound by its own header. The driver holds the paths of one
+    micro-batch, at most ``files_per_trigger``. ``as_of`` fixes the clock, for tests and replays; otherwise it is the moment
     the micro-batch starts.
     """
-    lines = stream_csv_dir(spark, in_dir, header, files_per_trigger=files_per_trigger)
+    arrived = stream_csv_files(spark, in_dir, files_per_trigger=files_per_trigger)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         now = as_of or datetime.now().astimezone()
-        good, rejected = drop_missing_identity(parse_wide(batch, now, timestamp_mode))
+        paths = [row.path for row in batch.collect()]
+        if not paths:
+            return
+        rows = read_readings_csv(batch.sparkSession, paths, now, timestamp_mode=timestamp_mode)
+        good, rejected = drop_missing_identity(rows)
         messages = encode_messages(good, topic, ttl_seconds, now)
         write_with_retry(messages, lambda df: write_batch(df, f"{out_dir}/messages", batch_id))
         write_with_retry(rejected, lambda df: write_batch(df, f"{out_dir}/rejects", batch_id))
 
-    return start_batches(lines, handle, checkpoint, interval)
+    return start_batches(arrived, handle, checkpoint, interval)
 
 
 def run_collect_stream(

@@ -16,8 +16,20 @@ MAX_RETRIES, RETRY_DELAY = 3, 1.0
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write a micro-batch to its own folder; a replay replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
+    """Write a micro-batch to its own folder; a replay of one that was finished does nothing.
+
+    So a folder that others may be reading is never replaced; only what an
+    interrupted write has left is.
+    """
+    folder = f"{path}/micro_batch={batch_id}"
+    if not _finished(df.sparkSession, folder):
+        df.write.mode("overwrite").parquet(folder)
+
+
+def _finished(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder holds the marker that Spark leaves when all its files are there."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def read_batches_of(spark: SparkSession, path: str) -> DataFrame:

@@ -62,34 +62,6 @@ def windowed_utilisation(
     )
 
 
-def expire_stream(
-    messages: DataFrame, acks: DataFrame, longest_ttl: str, delay: str = DEFAULT_DELAY
-) -> DataFrame:
-    """Messages that had no acknowledgement by ``expires_at``.
-
-    ``longest_ttl`` bounds how long any message lives; a message is reported, and
-    leaves the state, once that time and ``delay`` have passed. The join runs in
-    the JVM; ``stateful.expire_stream`` reports each message at its own deadline.
-    """
-    sent = messages.select("message_id", "topic", "created_at", "expires_at").withWatermark(
-        "created_at", delay
-    )
-    acked = acks.select(F.col("message_id").alias("_id"), "acked_at").withWatermark(
-        "acked_at", delay
-    )
-    in_time = (
-        (F.col("message_id") == F.col("_id"))
-        & (F.col("acked_at") >= F.col("created_at"))
-        & (F.col("acked_at") <= F.col("expires_at"))
-        & (F.col("acked_at") <= F.col("created_at") + F.expr(f"interval {longest_ttl}"))
-    )
-    return (
-        sent.join(acked, in_time, "left_outer")
-        .filter(F.col("_id").isNull())
-        .select("message_id", "topic", F.col("expires_at").alias("expired_at"))
-    )
-
-
 def liveness_stream(
     sdf: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS, delay: str = "0 seconds",
     ts: str = "ts",

@@ -180,8 +180,9 @@ def test_limit_checks(values):
         if message:
             with pytest.raises(C.CheckError, match=message):
                 C.check_limit(text, 100)
-    assert (C.check_limit("50", 100), C.check_limit("", 100)) == (50, 100)
-    assert values(lambda x: C.limit_value(x, 100), ["50", "", "abc", "200"]) == [50, 100, None, None]
+    assert (C.check_limit("50", 100), C.check_limit("", 100), C.check_limit("200")) == (50, None, 200)
+    assert values(lambda x: C.limit_value(x, 100), ["50", "", "abc", "200"]) == [50, None, None, None]
+    assert values(C.limit_value, ["5000000000"]) == [5000000000]
 
 
 def test_literal_gpu_id():

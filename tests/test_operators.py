@@ -63,7 +63,9 @@ def test_main_query(frame):
     assert [r.timestamp for r in out] == ["2024-01-01T12:01:00Z", "2024-01-01T12:00:00Z"]
     assert list(out[0].asDict()) == list(R.API_COLUMNS)
     with pytest.raises(ValueError, match="cannot exceed 1000"):
-        readings_by_gpu(df, ReadingQuery("0", limit="1001"), "2024-01-02")
+        readings_by_gpu(df, ReadingQuery("0", limit="1001"), "2024-01-02", max_limit=1000)
+    many = df.crossJoin(df.sparkSession.range(1500))
+    assert readings_by_gpu(many, ReadingQuery("h1-0"), "2024-01-02").count() == 3000
 
 
 def test_filters_and_gpu_metrics(frame):
@@ -93,6 +95,10 @@ def test_long_and_wide(spark):
     wide = R.long_to_wide(df)
     row = wide.first()
     assert (row.gpu_utilization, row.temperature, row.power_draw, wide.count()) == (2.0, 70.0, 0.0, 1)
+    times = df.filter("seq in (1, 3)").withColumn(
+        "ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq / 10)"))
+    values = times.drop("seq").withColumn("value", F.lit(10.0) - F.col("value"))
+    assert R.long_to_wide(values).first().gpu_utilization == 8.0  # the later, not the greater
     back = {r.metric_name: r.value for r in R.wide_to_long(wide).collect()}
     assert back["temperature"] == 70.0 and len(back) == len(METRICS)
 
@@ -104,6 +110,13 @@ def test_pages(frame):
     assert tuple(page.summary.first()) == (10, True)
     assert tuple(R.page(df, ["seq"], 5, 5).summary.first()) == (10, False)
     assert [r.seq for r in R.page_after(df, T0 + timedelta(minutes=4), 4, 2).collect()] == [3, 2]
+    # Of one second the higher seq comes first, though it is the earlier moment.
+    close = frame(reading(1), reading(2)).withColumn(
+        "ts", F.col("ts") + F.when(F.col("seq") == 1, F.expr("interval 200 milliseconds")).otherwise(
+            F.expr("interval 100 milliseconds")))
+    first = R.newest_first(close, 1).first()
+    assert first.seq == 2
+    assert [r.seq for r in R.page_after(close, first.ts, first.seq, 5).collect()] == [1]
 
 
 def fleet(frame):
@@ -148,11 +161,11 @@ def test_status_and_roll_ups(frame):
     assert tree["c1", "h1"].cluster.total_gpus == 3
 
 
-def test_fleet_tree_splits_a_host_with_too_many_gpus(frame):
+def test_fleet_tree_in_parts(frame):
     df = frame(*[reading(i, gpu=str(i)) for i in range(40)])
     hosts, status = G.register_hosts(df), G.gpu_status(G.register_gpus(df), df)
-    tree = G.fleet_tree(hosts, status, A.cluster_metadata(hosts, status), gpus_per_row=10).collect()
-    assert len(tree) > 1 and {r.part for r in tree} <= set(range(4))
+    tree = G.fleet_tree(hosts, status, A.cluster_metadata(hosts, status), parts=4).collect()
+    assert {r.part for r in tree} == set(range(4))
     assert sorted(int(g.gpu_id) for r in tree for g in r.gpus) == list(range(40))
 
 
