@@ -61,9 +61,10 @@ def _ntz(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _registry(spark, sf_dir):
-    """(hosts, GPUs with status, wide readings)."""
+    """(hosts, GPUs with status, wide readings), from one pass over the readings."""
     wide = tm.wide(spark, sf_dir)
-    return G.register_hosts(wide), G.gpu_status(G.register_gpus(wide), wide), wide
+    seen = G.condense(wide)
+    return G.register_hosts(seen), G.gpu_status(G.register_gpus(seen), seen), wide
 
 
 # ---- queries on readings ----
@@ -928,6 +929,17 @@ def import_kv_dump(spark, sf_dir):
     return R.union_inputs(*counts)
 
 
+@query
+def broken_kv_values(spark, sf_dir):
+    """Points of which every GPU 7 lost the end of its value and every GPU 6 its value."""
+    value = F.to_json(F.struct("uuid", "device", *METRICS))
+    points = tm.wide(spark, sf_dir).select(
+        F.concat(I.gpu_path(), F.lit("/data/"), F.col("seq").cast("string")).alias("key"),
+        F.when(F.col("gpu_id") == "7", F.substring(value, 1, 9)).when(F.col("gpu_id") != "6", value).alias("value"),
+    )
+    return store.broken_kv_values(points)
+
+
 # ---- streams ----
 
 

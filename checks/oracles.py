@@ -647,6 +647,10 @@ ORACLES: dict[str, str] = {
         union all select cluster_id, host_count, 'host' from host_counts
         union all select cluster_id, 1, 'cluster' from host_counts""",
         "wide", "gpu_counts", "host_counts"),
+    "broken_kv_values": _with(
+        """select concat('/telemetry/clusters/', cluster_id, '/hosts/', hostname, '/gpus/', gpu_id, '/data/', seq)
+          as key, 'data' as kind, case when gpu_id = '7' then '{"uuid":"' end as value
+        from wide where gpu_id in ('6', '7')""", "wide"),
     "run_ingest_stream": _with(
         f"""select hostname, gpu_id, {_ISO} as "timestamp", coalesce({_REJECTS}, '') as reason,
         round(cast(temperature as double), 4) as temperature, round(cast(power_draw as double), 4) as power_draw

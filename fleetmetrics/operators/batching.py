@@ -71,11 +71,13 @@ def pack_batches(
     """
     numbered = number_batches(df, by, size, seq, chunk_width)
     record = F.struct(seq, *[c for c in df.columns if c != seq])
+    place = lambda r: F.coalesce(r[seq], F.lit(-(2**63)).cast("long"))
     return numbered.groupBy("partition", "batch_no").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(ts).alias("first_ts"),
         F.max(ts).alias("last_ts"),
         F.array_sort(
-            F.collect_list(record), lambda a, b: (a[seq] > b[seq]).cast("int") * 2 - 1
+            F.collect_list(record),
+            lambda a, b: F.when(place(a) > place(b), 1).when(place(a) < place(b), -1).otherwise(0),
         ).alias("records"),
     )

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import gpu_path, health_flag
-from ..schemas import ATTRIBUTES, IDENTITY
-from .readings import latest_readings
+from ..schemas import ATTRIBUTES, IDENTITY, METRICS
+from ..session import shared_dir
+from .readings import latest_readings, one_number
 
 
 def _labels(collector_id: str):
@@ -18,6 +19,32 @@ def _labels(collector_id: str):
     )
 
 
+def condense(df: DataFrame, name: str = "sightings") -> DataFrame:
+    """What the registry needs of readings, written once: a GPU's first and newest sighting by description.
+
+    One hashing pass over the readings; hosts, GPUs and their status come out
+    the same from this table as from the readings. It has two rows for each
+    description that a GPU ever had, and lies below ``spark.checkpoint.dir``.
+    """
+    number = one_number(df, ("ts", "seq"))
+    if number is None:
+        raise ValueError("readings need a time ts and a whole number seq")
+    measured = [c for c in METRICS if c in df.columns]
+    newest = df.groupBy(*IDENTITY, *ATTRIBUTES).agg(
+        F.min("ts").alias("_from"), F.min("seq").alias("_first"),
+        *[F.max_by(c, number).alias(f"_{c}") for c in ("ts", "seq")],
+        *[F.max_by(c, number).alias(c) for c in measured],
+    )
+    moments = F.array(
+        F.struct(F.col("_from").alias("ts"), F.col("_first").alias("seq")),
+        F.struct(F.col("_ts").alias("ts"), F.col("_seq").alias("seq")),
+    )
+    rows = newest.select(*IDENTITY, *ATTRIBUTES, F.inline(moments), *measured)
+    path = shared_dir(df.sparkSession, name)
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def register_hosts(df: DataFrame, collector_id: str = "collector") -> DataFrame:
     """One row per cluster and host, from its first sighting on."""
     seen = df.groupBy("cluster_id", "hostname").agg(

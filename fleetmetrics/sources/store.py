@@ -37,17 +37,14 @@ def import_kv_dump(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     """(clusters, hosts, gpus, points) of a dump of key and JSON value.
 
     The key says what a value is and where it belongs; values that are not JSON
-    of that shape are left out.
+    of that shape are left out here and listed by :func:`broken_kv_values`.
     """
     typed = df.select(classify_key(F.col("key")).alias("k"), "value")
 
     def documents(kind: str, schema, where: dict[str, str]) -> DataFrame:
-        with_bad = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
-        parsed = F.from_json("value", with_bad, {"columnNameOfCorruptRecord": "_bad"})
-        rows = typed.filter(F.col("k.kind") == kind).select("k", parsed.alias("d"))
+        rows = typed.filter(F.col("k.kind") == kind).select("k", _document(schema).alias("d"))
         own = [c for c in schema.fieldNames() if c not in where]
-        whole = F.col("d").isNotNull() & F.col("d._bad").isNull()
-        return rows.filter(whole).select(
+        return rows.filter(_whole("d")).select(
             *[F.col(f"k.{part}").alias(name) for name, part in where.items()],
             *[F.col(f"d.{c}").alias(c) for c in own],
         )
@@ -63,6 +60,27 @@ def import_kv_dump(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     )
 
 
+def _document(schema: T.StructType):
+    with_bad = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
+    return F.from_json("value", with_bad, {"columnNameOfCorruptRecord": "_bad"})
+
+
+def _whole(column: str):
+    return F.col(column).isNotNull() & F.col(f"{column}._bad").isNull()
+
+
+def broken_kv_values(df: DataFrame) -> DataFrame:
+    """(key, kind, value) of a dump's documents whose value is not JSON of their kind's shape."""
+    typed = df.select("key", classify_key(F.col("key"))["kind"].alias("kind"), "value")
+    shapes = {"cluster": CLUSTER, "host": HOST, "gpu": GPU, "data": STORED_POINT}
+    broken = None
+    for kind, schema in shapes.items():
+        rows = typed.filter(F.col("kind") == kind).withColumn("d", _document(schema))
+        rows = rows.filter(~F.coalesce(_whole("d"), F.lit(False))).drop("d")
+        broken = rows if broken is None else broken.unionByName(rows)
+    return broken
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """Batch envelopes stored as JSON lines."""
     return spark.read.schema(READING_BATCH).json(path)

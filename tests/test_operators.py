@@ -372,3 +372,17 @@ def test_sender_metrics(spark):
                                "n long, ok boolean, sent_at timestamp_ntz")
     out = A.sender_metrics(df, T0, T0 + timedelta(seconds=4)).first()
     assert tuple(out) == (8, 2, 1, T0, 2.0)
+
+
+def test_null_keys_survive(spark):
+    rows = spark.createDataFrame(
+        [(1, None, "PUT"), (2, "k", "PUT"), (3, None, "PUT"), (None, "k", "DELETE"), (4, None, "DELETE")],
+        "seq long, key string, op string")
+    found = {(r.seq, r.key): r.event_type for r in changes.classify_changes(rows, ["key"]).collect()}
+    assert found == {(1, None): "create", (2, "k"): "create", (3, None): "update", (None, "k"): "delete",
+                     (4, None): "delete"}
+    packed = batching.pack_batches(rows.withColumnRenamed("key", "hostname").withColumn("ts", F.current_timestamp()), "hostname", 2)
+    assert sorted((r.partition or "", r.batch_no, r.n) for r in packed.collect()) == [("", 0, 2), ("", 1, 1), ("k", 0, 2)]
+    timed = rows.select("seq", "key", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, 0, seq)").alias("ts"))
+    flagged = throttle_flags(timed.where("seq is not null"), "key", 0.1, 1)
+    assert {r.seq: r.allowed for r in flagged.collect()} == {1: True, 2: True, 3: False, 4: False}

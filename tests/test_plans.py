@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from checks import testmap as tm
 from checks.entries import MAIN_QUERY
 from fleetmetrics.operators import batching, changes, queue, readings as R, registry as G
+from fleetmetrics.operators import rollups as A
 from fleetmetrics.operators.rollups import cluster_stats, reconcile_counts
 from fleetmetrics.plans.query import readings_by_gpu, select_readings
 from fleetmetrics.session import CHECKPOINT_CONF, shared_dir
@@ -85,3 +86,31 @@ def test_shared_folder_comes_from_the_session(spark):
     base = spark.conf.get(CHECKPOINT_CONF)
     one, two = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert one.startswith(base) and one != two
+
+
+def test_newest_by_hashing_without_a_sort(spark):
+    df = spark.createDataFrame(
+        [(5, "c", "h", "0", 1.0), (None, "c", "h", "0", 2.0), (-(2**63), "c", "h", "0", 3.0)],
+        "seq long, cluster_id string, hostname string, gpu_id string, temperature double",
+    ).selectExpr("*", "cast(null as timestamp) as ts")
+    newest = R.latest_readings(df, columns=("temperature",))
+    assert [r.temperature for r in newest.collect()] == [1.0]
+    assert [r.temperature for r in R.latest_readings(df.where("seq is null or seq < 0"), columns=("temperature",)).collect()] == [3.0]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
+def test_registry_from_one_pass(spark):
+    wide = tm.wide(spark, SF)
+    seen = G.condense(wide)
+    assert seen.count() <= 2 * wide.select("cluster_id", "hostname", "gpu_id").distinct().count()
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(G.register_hosts(seen), G.register_hosts(wide))
+    assert same(G.register_gpus(seen), G.register_gpus(wide))
+    gpus = G.register_gpus(wide)
+    assert same(G.gpu_status(gpus, seen), G.gpu_status(gpus, wide))
+    hosts, status = G.register_hosts(seen), G.gpu_status(G.register_gpus(seen), seen)
+    plan = cluster_stats(wide, hosts, status)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("events.parquet") + plan.count("event_id#") >= 1
+    tree = G.fleet_tree(hosts, status, A.cluster_metadata(hosts, status))
+    assert "event_type" not in tree._jdf.queryExecution().optimizedPlan().toString()
