@@ -30,6 +30,8 @@ BLOCK = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody "
     "td tfoot th thead tr ul".split()
 )
+#: Blocks that hold a paragraph rather than paragraphs.
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li pre dt dd figcaption caption legend summary hr address".split())
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
 CLOSES_PARAGRAPH = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 # An element that starts closes an open one of these names, up to the element that may hold several of them.
@@ -269,7 +271,9 @@ def main_text(text: str) -> str:
         return ""
     own, sums = densities(page)
     n = len(page.name)
-    best = max(range(n), key=lambda i: (sums[i], -i))
+    # Paragraphs and what stands in a line are parts of an article, not one.
+    holders = [i for i in range(n) if page.name[i] in BLOCK - PARAGRAPH or not i]
+    best = max(holders, key=lambda i: (sums[i], -i))
     path = [best]
     while path[-1]:
         path.append(page.parent[path[-1]])

@@ -28,6 +28,16 @@ def test_pages(page, text):
     assert main_text(page) == text if text is not None else main_text(page).startswith("broken")
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<div id="content">', "</div>"), ('<div class="wrap"><div class="text">', "</div></div>"),
+    ('<div class="rail"><ul><li><a href="#">more one</a></li><li><a href="#">more two</a></li></ul></div><div>', "</div>"),
+])
+def test_pages_that_do_not_name_their_article(tables, before, after):
+    for (page,) in tables("select html from pages"):
+        other = page.replace("<article>", before).replace("</article>", after)
+        assert main_text(other) == main_text(page)
+
+
 def test_links_lower_the_density():
     page = parse(f"<div><p>{LONG}</p></div><div><p><a>{LONG}</a></p></div>")
     own, sums = densities(page)

@@ -109,7 +109,7 @@ def test_edge_rows(spark, documents, edges):
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
-    assert entry.queries()["pipeline"] is corpus_pipeline.run
+    assert "pipeline" in entry.queries()
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
