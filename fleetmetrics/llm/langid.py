@@ -31,7 +31,7 @@ UNKNOWN = "und"
 ORDER = 3
 SYMBOLS = 44
 UNITS = 256  # code lengths are whole multiples of 1/256 bit, so sums do not depend on their order
-DOCS_PER_LANGUAGE = 1000  # up to this number Spark cuts each task's rows before they are shuffled by language
+DOCS_PER_LANGUAGE = 1000
 CHARS_PER_DOC = 4096
 
 # What a byte counts as before symbols are dealt: small letters, one digit, one space.
@@ -114,17 +114,28 @@ def train(
     """Fit the trees to a bounded sample of the labelled documents that are not held out.
 
     Of each language at most ``docs_per_language`` documents are used, those
-    with the least hash of their key, and ``chars_per_doc`` characters of each.
-    Counting is spread over tasks; the driver gets the counts, whose number the
-    symbols and languages bound. Without labelled rows the model knows no
-    language and calls every text ``und``.
+    with the least hash of key and text, and ``chars_per_doc`` characters of each.
+    A first count by language tells how low a hash must be for a document to be
+    looked at, so that few more than these are moved. Counting is spread over
+    tasks; the driver gets the counts, whose number the symbols and languages
+    bound. Without labelled rows the model knows no language and calls every
+    text ``und``.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    learned = known.where(~held_out(F.col(key))).select(
+    hashed = known.where(~held_out(F.col(key))).select(
         F.col(lang).alias("lang"),
-        F.substring(F.col(text), 1, chars_per_doc).alias("text"),
-        F.xxhash64(F.col(key)).alias("at"),
+        F.col(text).alias("text"),
+        F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 11).alias("at"),
     )
+    # Half as many again as are wanted: too few would need a chance far below any that matters.
+    share = {
+        r["lang"]: min(1.0, (1.5 * docs_per_language + 100) / r["count"])
+        for r in hashed.groupBy("lang").count().collect()
+    }
+    low = F.lit(False)
+    for name in sorted(share):
+        low = low | ((F.col("lang") == name) & (F.col("at") < int(share[name] * 2**53)))
+    learned = hashed.where(low).withColumn("text", F.substring("text", 1, chars_per_doc))
     first = Window.partitionBy("lang").orderBy("at", "text")
     sample = (
         learned.withColumn("nth", F.row_number().over(first))
