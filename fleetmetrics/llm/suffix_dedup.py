@@ -40,7 +40,7 @@ class Repeats:
 
     length: int = 200
     gram: int = 48
-    shard_bytes: int = 1_500_000
+    shard_bytes: int = 600_000
 
 
 def _least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
@@ -184,9 +184,11 @@ def _by_shard(function: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
 
         def whole() -> Iterator[pa.RecordBatch]:
             shard = pa.Table.from_batches(held)
-            names = np.column_stack([shard.column(n).to_numpy() for n in ("g", "r")])
-            _, once = np.unique(names, axis=0, return_index=True)
-            yield from function(shard.take(pa.array(np.sort(once))))
+            # Copies of a text in several tasks may have sent a piece more than once.
+            names = [shard.column(n).to_numpy() for n in ("g", "r")]
+            order = np.lexsort(names)
+            once = order[arrays.first_of_runs(*(n[order] for n in names))]
+            yield from function(shard if len(once) == len(order) else shard.take(pa.array(np.sort(once))))
 
         for batch in rows:
             if not batch.num_rows:

@@ -74,7 +74,7 @@ def texts(seed, n=60):
     return [*out, "".join(edited), "ab" * 300, passage]
 
 
-@pytest.mark.parametrize("shard_bytes", [1_500_000, 700])
+@pytest.mark.parametrize("shard_bytes", [600_000, 700])
 def test_removal_against_every_string(documents, shard_bytes):
     rows = list(enumerate(texts(3)))
     how = Repeats(length=60, gram=16, shard_bytes=shard_bytes)  # 700 bytes: anchors over several shards
