@@ -18,6 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Shares of tokens by domain. Clean documents belong to the others in a small part, which these shares leave room for.
 WEIGHTS = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
+#: The domain that sets the budget: its tokens stay, and the others are brought to their share beside them.
+WHOLE = ("clean",)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their rates say, to the nearest whole number."""
-    return mixing.mix(docs, domain_labels(spark, sf_dir), WEIGHTS).take(docs)
+    """The documents as often as their rates say, by expectation; clean ones stay, whatever the others hold."""
+    return mixing.mix(docs, domain_labels(spark, sf_dir), WEIGHTS, whole=WHOLE).take(docs, key="doc_id")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ rates start at 1 and move no further than the fit needs.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -232,18 +232,25 @@ def memberships(docs: DataFrame, model: DomainModel, key: str = "doc_id", text:
     return rows.mapInArrow(tell, schema).withColumnRenamed("id", key)
 
 
-def _rates(chance: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps; a document's rate depends on its posterior alone."""
+def _rates(chance: np.ndarray, steps: list[np.ndarray], scale: float = 1.0) -> np.ndarray:
+    """Rates after the steps, times the scale; a document's rate depends on its posterior alone."""
     rate = np.ones(len(chance))
     for step in steps:
         rate = np.maximum(0.0, rate - chance @ step)
-    return rate
+    return rate * scale
 
 
 def fit_rates(
     members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE
 ) -> list[np.ndarray]:
-    """The gradient steps that bring the expected tokens of each domain to the targets, as far as rates of 0 or more can.
+    """The gradient steps that bring the expected tokens of each domain to the targets, as far as rates of 0 or more can."""
+    return descend(members, targets, iterations, tolerance)[0]
+
+
+def descend(
+    members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """The steps of ``fit_rates``, and the expected tokens of each domain that they reach.
 
     ``targets`` are tokens by domain. Each iteration is one pass that sums, by
     domain, tokens times rate times posterior; a residual counts in proportion
@@ -278,10 +285,10 @@ def fit_rates(
             break
         steps.append(residual / mass)
         now = expected(steps)
-    return steps
+    return steps, now
 
 
-def with_rates(members: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+def with_rates(members: DataFrame, steps: list[np.ndarray], scale: float = 1.0) -> DataFrame:
     """The memberships with ``rate``."""
     schema = T.StructType([*members.schema.fields]).add("rate", "double")
 
@@ -289,11 +296,16 @@ def with_rates(members: DataFrame, steps: list[np.ndarray]) -> DataFrame:
         for batch in rows:
             lists = batch.column("posterior")
             chance = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(chance, steps))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(chance, steps, scale))], schema.names)
 
     return members.mapInArrow(add, schema)
 
 
+def _unit(key: Column) -> Column:
+    """A number from 0 to below 1 that the key decides."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(5), key), 11).cast("double") * F.lit(2.0**-53)
+
+
 def copies(rate: Column, key: Column | None = None) -> Column:
     """How often a document is taken: the nearest whole number, or, with a key, a rounding that its hash decides.
 
@@ -302,55 +314,83 @@ def copies(rate: Column, key: Column | None = None) -> Column:
     """
     if key is None:
         return F.floor(rate + 0.5).cast("int")
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), key), 11).cast("double") * F.lit(2.0**-53)
+    unit = _unit(key)
     return (F.floor(rate) + F.when(unit < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 @dataclass(frozen=True)
 class Mix:
-    """The model, its documents' ``key, n_tokens, posterior``, and the steps that lead to their rates."""
+    """The model, its documents' ``key, n_tokens, posterior``, and the steps and the scale that lead to their rates."""
 
     model: DomainModel
     members: DataFrame
     steps: list[np.ndarray]
+    scale: float = 1.0
 
     def rates(self) -> DataFrame:
-        return with_rates(self.members, self.steps)
+        return with_rates(self.members, self.steps, self.scale)
+
+    def take(self, docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+        """The documents with all their columns, each as often as its rate says, rounded as ``copies`` does.
 
-    def take(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """The documents with all their columns, each as often as its rate says, to the nearest whole number."""
+        With a key the tokens taken have the rates' sums as their expectation. A
+        null key is rounded by its text.
+        """
         kept = docs.sparkSession.sparkContext.broadcast(self.model)
-        place, steps = docs.columns.index(text), self.steps
+        place, steps, scale = docs.columns.index(text), self.steps, self.scale
+        unit = F.lit(0.0)
+        if key is not None:
+            unit = F.when(F.col(key).isNull(), _unit(F.col(text))).otherwise(_unit(F.col(key)))
+        beside = max(docs.columns, key=len) + "_"  # no other column's name
 
         def repeat(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 chance, _ = posteriors(kept.value, batch.column(place))
-                times = np.floor(_rates(chance, steps) + 0.5).astype(np.int64)
-                yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+                rate = _rates(chance, steps, scale)
+                if key is None:
+                    times = np.floor(rate + 0.5).astype(np.int64)
+                else:
+                    units = batch.column(batch.num_columns - 1).to_numpy()
+                    times = (np.floor(rate) + (units < rate - np.floor(rate))).astype(np.int64)
+                own = batch.select(range(batch.num_columns - 1))
+                yield own.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
 
-        return docs.mapInArrow(repeat, docs.schema)
+        return docs.withColumn(beside, unit).mapInArrow(repeat, docs.schema)
 
 
 def mix(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text",
     domain: str = "domain", budget: float | None = None, sample_docs: int = SAMPLE_DOCS,
+    whole: Collection[str] = (),
 ) -> Mix:
     """Fit classifier and rates.
 
     ``weights`` are the shares of tokens that the domains are to have; a domain
     that they do not name gets 0. ``budget`` is the tokens of all together; by
     default the most for which no domain needs more tokens than its documents
-    hold by expectation, so that rates stay near 1 or below. A null text has no words and the posterior of an empty one. Null keys are passed on
-    and rows with equal texts get equal rates. Without labels, or where no
-    domain with a weight has any, posteriors tell nothing and every rate is 1.
+    hold by expectation, so that rates stay near 1 or below. With ``whole`` it is
+    the least that leaves each of these domains the tokens it holds, however
+    scarce another domain is; documents of a scarce one repeat. Where documents
+    of one domain belong to another in a part beyond its target, no rates meet
+    all targets; those that come closest are scaled, as a larger budget would.
+    A null text has no words and the posterior of an empty one. Null keys are
+    passed on and rows with equal texts get equal rates. Without labels, or where
+    no domain with a weight has any, posteriors tell nothing and every rate is 1.
     """
     model = train(docs, labels, key, text, domain, sample_docs)
     members = stored(memberships(docs, model, key, text), "memberships")
     share = np.array([float(weights.get(d, 0.0)) for d in model.domains])
     if share.sum() <= 0:
         return Mix(model, members, [])
-    if budget is None:
-        held = [F.sum(F.rint(F.col("n_tokens") * F.col("posterior")[d] * UNITS).cast("long")) for d in range(len(share))]
-        mass = np.array([(x or 0) / UNITS for x in members.agg(*held).first()])
-        budget = float((mass[share > 0] / (share / share.sum())[share > 0]).min())
-    return Mix(model, members, fit_rates(members, share / share.sum() * budget))
+    held = [F.sum(F.rint(F.col("n_tokens") * F.col("posterior")[d] * UNITS).cast("long")) for d in range(len(share))]
+    mass = np.array([(x or 0) / UNITS for x in members.agg(*held).first()])
+    kept = np.array([d in whole for d in model.domains]) & (share > 0) & (mass > 0)
+    if budget is not None:
+        kept[:] = False
+    else:
+        budgets = mass[share > 0] / (share / share.sum())[share > 0]
+        budget = float(budgets[kept[share > 0]].max() if kept.any() else budgets.min())
+    steps, reached = descend(members, share / share.sum() * budget)
+    # The rates that come closest to a multiple of the targets are that multiple of those found.
+    lacking = [mass[d] / reached[d] for d in np.flatnonzero(kept) if reached[d] > 0]
+    return Mix(model, members, steps, max(lacking, default=1.0))

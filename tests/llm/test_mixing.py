@@ -91,3 +91,41 @@ def test_rounding_by_hash(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(1.3).alias("rate"))
     total = docs.agg(F.sum(mixing.copies(F.col("rate"), F.col("doc_id")))).first()[0]
     assert abs(total / 20_000 - 1.3) < 0.02
+
+
+def test_scarce_domain_leaves_the_clean_ones_whole(spark, monkeypatch):
+    """Toxic holds half a percent of the tokens, junk 0.8 %; the texts say which domain they are of."""
+    share = {"clean": 9_870, "junk": 80, "toxic": 50}
+    names = [name for name, n in share.items() for _ in range(n)]
+    posterior = {"clean": [0.996, 0.002, 0.002], "junk": [0.005, 0.99, 0.005], "toxic": [0.005, 0.005, 0.99]}
+    rows = [(i, name) for i, name in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    model = mixing.DomainModel(tuple(share), np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(3))
+    monkeypatch.setattr(mixing, "train", lambda *_: model)
+    known = spark.createDataFrame([(i, 100, posterior[name]) for i, name in rows],
+                                  "doc_id long, n_tokens long, posterior array<double>")
+    monkeypatch.setattr(mixing, "memberships", lambda *_: known)
+    mixed = mixing.mix(docs, docs, corpus_pipeline.WEIGHTS, whole=corpus_pipeline.WHOLE)
+    rates = {r.doc_id: r.rate for r in mixed.rates().collect()}
+    assert min(rates[i] for i, name in rows if name == "clean") >= 0.99
+    counts = mixed.rates().select("doc_id", mixing.copies(F.col("rate"), F.col("doc_id")).alias("n")).collect()
+    taken = {r.doc_id: r.n for r in counts}
+    tokens = sum((taken[i] * np.array(posterior[name]) for i, name in rows), np.zeros(3))
+    assert np.abs(tokens / tokens.sum() - [0.96, 0.02, 0.02]).max() <= 0.005
+
+
+def test_taken_by_key(spark, mixed):
+    """The copies are those of the hash's rounding, and the tokens taken come near the rates' sums."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    counts = {r.doc_id: r["count"] for r in mixed.take(docs, key="doc_id").groupBy("doc_id").count().collect()}
+    said = mixed.rates().select("doc_id", "n_tokens", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("n"))
+    rows = said.collect()
+    assert counts == {r.doc_id: r.n for r in rows if r.n}
+    total = sum(r.n_tokens * r.rate for r in rows)
+    assert abs(sum(r.n_tokens * r.n for r in rows) - total) <= 0.03 * total
+
+
+def test_copies_of_rows_without_a_key(spark, mixed):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('word ', id) as text")
+    rate = mixing.Mix(mixed.model, mixed.members, [], 0.4).take(docs, key="doc_id").count() / 4000
+    assert abs(rate - 0.4) < 0.03
