@@ -3,7 +3,8 @@
 Every node of the page gets its characters per tag, lowered where the characters
 are those of links. The node whose children have the greatest sum of densities
 holds the article; the least density on its path up to the body is the threshold
-that other subtrees must reach. Parts that say what they are (menus, forms,
+that other subtrees must reach. If that node is in an article or main element, the
+others must be in one too; lists of links below the threshold go. Parts that say what they are (menus, forms,
 adverts, comments and so on) are left out before anything is counted.
 """
 
@@ -234,18 +235,25 @@ def parse(text: str) -> _Page:
     return page
 
 
+def _totals(page: _Page) -> tuple[list[int], list[int]]:
+    """The characters of every node's subtree, and those of links among them."""
+    chars, links = list(page.own_chars), list(page.own_links)
+    for node in range(len(chars) - 1, 0, -1):  # children come after their parents
+        chars[page.parent[node]] += chars[node]
+        links[page.parent[node]] += links[node]
+    return chars, links
+
+
 def densities(page: _Page) -> tuple[list[float], list[float]]:
     """The composite text density of every node, and the sum of its children's.
 
     A node's own text counts in the sum as a child with one tag.
     """
     n = len(page.name)
-    chars, links = list(page.own_chars), list(page.own_links)
+    chars, links = _totals(page)
     tags, link_tags = [0] * n, [0] * n
-    for node in range(n - 1, 0, -1):  # children come after their parents
+    for node in range(n - 1, 0, -1):
         up = page.parent[node]
-        chars[up] += chars[node]
-        links[up] += links[node]
         tags[up] += tags[node] + 1
         link_tags[up] += link_tags[node] + page.link[node]
     share = links[0] / chars[0] if chars[0] else 0.0
@@ -278,22 +286,24 @@ def main_text(text: str) -> str:
     while path[-1]:
         path.append(page.parent[path[-1]])
     threshold = min(own[i] for i in path)
-    holder = next((i for i in reversed(path) if page.name[i] in ARTICLE), None)
+    named = [False] * n  # inside an article or main element
+    for node in range(1, n):
+        named[node] = page.name[node] in ARTICLE or named[page.parent[node]]
     chosen = [False] * n
-    if holder is not None:  # the page says where its article is
-        chosen[holder] = True
-    else:
-        chosen[best] = True
-        leader = list(range(n))  # the node of each subtree with the greatest sum
-        for node in range(n - 1, 0, -1):
-            up = page.parent[node]
-            if sums[leader[node]] > sums[leader[up]]:
-                leader[up] = leader[node]
-        for node in range(1, n):
-            if own[node] >= threshold and sums[leader[node]] > 0:
-                chosen[leader[node]] = True
+    chosen[best] = True
+    leader = list(range(n))  # the node of each subtree with the greatest sum
+    for node in range(n - 1, 0, -1):
+        up = page.parent[node]
+        if sums[leader[node]] > sums[leader[up]]:
+            leader[up] = leader[node]
+    for node in range(1, n):
+        # Where the article is in a part that is named so, others must be too.
+        if own[node] >= threshold and sums[leader[node]] > 0 and named[leader[node]] >= named[best]:
+            chosen[leader[node]] = True
+    chars, links = _totals(page)
     for node in range(1, n):
-        chosen[node] = chosen[node] or chosen[page.parent[node]]
+        linked = page.name[node] in BLOCK - PARAGRAPH and 2 * links[node] > chars[node] and own[node] < threshold
+        chosen[node] = chosen[node] or chosen[page.parent[node]] and not linked
     return "\n\n".join(block for node, block in page.blocks if chosen[node])
 
 

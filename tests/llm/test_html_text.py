@@ -63,3 +63,21 @@ def test_edge_rows(spark):
     found = [tuple(r)[2:] for r in extract_pages(df).orderBy("page_id", "url").collect()]
     assert found == [("x", 1), ("", 0), ("", 0), ("", 0), ("core", 4), (("w " * 200_000).strip(), 399_999)]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+PARTS = ["<p>" + LONG + "</p>", "<p>" + LONG[:200] + "</p>"]
+RAIL = "".join(f"<li><a href='/{i}'>Another story {i}</a></li>" for i in range(12))
+
+
+def test_sibling_articles():
+    """Each part is tested for itself, not the one around the densest node alone."""
+    found = main_text(f"<body><article>{PARTS[0] * 3}</article><article>{PARTS[0] * 2}{PARTS[1]}</article></body>")
+    assert found.split("\n\n") == [LONG.strip()] * 5 + [LONG[:200].strip()]
+
+
+@pytest.mark.parametrize("page", [
+    "<main><div>{parts}</div><ul>{rail}</ul></main>", "<main>{parts}<div><ul>{rail}</ul></div></main>",
+    "<main><ul>{rail}</ul>{parts}</main>", "<main><section><div>{parts}</div></section><div><ul>{rail}</ul></div></main>",
+])
+def test_unnamed_link_rail_inside_main(page):
+    assert main_text(page.format(parts=PARTS[0] * 3, rail=RAIL)).split("\n\n") == [LONG.strip()] * 3
