@@ -4,8 +4,9 @@ Every node of the page gets its characters per tag, lowered where the characters
 are those of links. The node whose children have the greatest sum of densities
 holds the article; the least density on its path up to the body is the threshold
 that other subtrees must reach. If that node is in an article or main element, the
-others must be in one too; lists of links below the threshold go. Parts that say what they are (menus, forms,
-adverts, comments and so on) are left out before anything is counted.
+others must be in one too; lists of links below the threshold go. Parts whose element says what they are (menus, forms and so on) are left
+out before anything is counted, those whose class or id says so (adverts,
+comments) unless they hold most of the text.
 """
 
 from __future__ import annotations
@@ -59,6 +60,13 @@ LEFT_OUT_WORDS = frozenset(
     "subscribe subscription signup login comment comments commentlist disqus respond replies reply pagination pager "
     "toolbar copyright disclaimer".split()
 )
+# Words that make a name tell of a page's state or layout, not of the part: "has-sidebar", "share-enabled".
+STATE_WORDS = frozenset(
+    "has have with without no non not is enable enabled disable disabled show shows hide hides allow allows support "
+    "supports open closed on off layout template".split()
+)
+# An article in one of these means that it was never closed, or encloses the page.
+REOPENED = frozenset({"nav", "menu", "head", "header", "form"})
 WHOLE_NAMES = frozenset({"header", "site-header", "page-header", "siteheader", "pageheader"})
 
 _TOKEN = re.compile(
@@ -81,28 +89,76 @@ class _Page:
         self.own_chars: list[int] = [0]
         self.own_links: list[int] = [0]
         self.link: list[bool] = [False]
+        self.told: list[bool] = [False]  # its class or id names a part that is not the article's
         self.blocks: list[tuple[int, str]] = []  # the element where the block begins, and its text
 
 
-def _left_out(name: str, attributes: str, in_article: bool) -> bool:
+def _left_out(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether the element is never part of an article, and whether its class or id says that it is none."""
     if name in LEFT_OUT or name == "header" and not in_article:
-        return True
+        return True, False
     if not attributes or attributes.isspace():
-        return False
+        return False, False
+    told = False
     for key, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
-            return True
+            return True, False
         if key == "role" and value in LEFT_OUT_ROLES:
-            return True
+            return True, False
         if key in ("class", "id") and name not in ARTICLE and name != "body":
             names = value.split()
-            if WHOLE_NAMES.intersection(names) and not in_article:
-                return True
-            if any(LEFT_OUT_WORDS.intersection(_WORD.findall(one)) for one in names):
-                return True
-    return False
+            told = told or bool(WHOLE_NAMES.intersection(names)) and not in_article
+            for one in names:
+                words = _WORD.findall(one)
+                told = told or bool(LEFT_OUT_WORDS.intersection(words)) and not STATE_WORDS.intersection(words)
+    return False, told
+
+
+def _without_told(page: _Page, pieces: list[list[tuple[int, str]]]) -> _Page:
+    """The page without the parts that their names tell, and with its blocks.
+
+    Such a part stays if it holds most of the text outside links, of its article
+    or, if it is in none, of the page; but not if there is an article elsewhere.
+    One without blocks, as an advert beside a line of text may be, must hold more
+    than three quarters.
+    """
+    n = len(page.name)
+    chars, links = _totals(page)
+    held = [c - l for c, l in zip(chars, links)]
+    around = [-1] * n  # the innermost article or main element around the node
+    articles = [0] * n  # text in the outermost of these below the node
+    blocks = [False] * n  # whether there are any below the node
+    for node in range(1, n):
+        up = page.parent[node]
+        around[node] = up if page.name[up] in ARTICLE else around[up]
+    for node in range(n - 1, 0, -1):
+        blocks[page.parent[node]] |= blocks[node] or page.name[node] in BLOCK and held[node] > 0
+        articles[page.parent[node]] += held[node] if page.name[node] in ARTICLE else articles[node]
+    place = [0] * n
+    kept = _Page()
+    kept.own_chars[0], kept.own_links[0] = page.own_chars[0], page.own_links[0]
+    for node in range(1, n):
+        up = place[page.parent[node]]
+        most = held[max(around[node], 0)] * (0.5 if blocks[node] else 0.75)
+        elsewhere = around[node] < 0 and articles[0] > articles[node]
+        if up < 0 or page.told[node] and (elsewhere or held[node] <= most):
+            place[node] = -1
+            continue
+        place[node] = len(kept.name)
+        kept.parent.append(up)
+        for old, new in (
+            (page.name, kept.name), (page.own_chars, kept.own_chars), (page.own_links, kept.own_links),
+            (page.link, kept.link), (page.told, kept.told),
+        ):
+            new.append(old[node])
+    for block in pieces:
+        left = [(place[node], raw) for node, raw in block if place[node] >= 0]
+        text = " ".join("".join(raw for _, raw in left).split())
+        if text:
+            kept.blocks.append((left[0][0], text))
+    return kept
 
 
 def parse(text: str) -> _Page:
@@ -110,23 +166,18 @@ def parse(text: str) -> _Page:
     page = _Page()
     stack: list[tuple[str, int]] = [("body", 0)]  # name and node; node -1 for a part that is left out
     skipping = 0
-    pieces: list[str] = []
-    block_node = 0
+    blocks: list[list[tuple[int, str]]] = []
+    pieces: list[tuple[int, str]] = []  # those of the open block, with their nodes
 
     def flush() -> None:
         if pieces:
-            block = " ".join("".join(pieces).split())
+            blocks.append(pieces.copy())
             pieces.clear()
-            if block:
-                page.blocks.append((block_node, block))
 
     def add(raw: str) -> None:
-        nonlocal block_node
         if "&" in raw:
             raw = entities.unescape(raw)
-        if not pieces:
-            block_node = stack[-1][1]
-        pieces.append(raw)
+        pieces.append((stack[-1][1], raw))
         size = len("".join(raw.split()))
         if size:
             node = stack[-1][1]
@@ -183,8 +234,10 @@ def parse(text: str) -> _Page:
             end = re.compile(rf"</{name}[\s/>]|\Z", re.I).search(text, at)
             at = end.end() if end.end() == size else text.find(">", end.start()) + 1 or size
             continue
-        if name in ARTICLE and skipping:  # a menu or a head that was never closed
-            pop_to(next(i for i, (_, node) in enumerate(stack) if node < 0))
+        if name in ARTICLE and skipping:
+            first = next(i for i, (_, node) in enumerate(stack) if node < 0)
+            if stack[first][0] in REOPENED:
+                pop_to(first)
         if name in BLOCK:
             if not skipping:
                 flush()
@@ -211,7 +264,8 @@ def parse(text: str) -> _Page:
                 stack.append((name, -1))
             continue
         in_article = any(n in ARTICLE for n, _ in stack)
-        if _left_out(name, attributes, in_article):
+        left_out, told = _left_out(name, attributes, in_article)
+        if left_out:
             if name in BLOCK:
                 flush()
             if not empty:
@@ -225,14 +279,15 @@ def parse(text: str) -> _Page:
         page.own_chars.append(0)
         page.own_links.append(0)
         page.link.append(name == "a" or page.link[parent])
+        page.told.append(told)
         if empty:
             if name == "br" and pieces:
-                pieces.append(" ")
+                pieces.append((parent, " "))
         else:
             stack.append((name, node))
     pop_to(1)
     flush()
-    return page
+    return _without_told(page, blocks)
 
 
 def _totals(page: _Page) -> tuple[list[int], list[int]]:

@@ -81,3 +81,28 @@ def test_sibling_articles():
 ])
 def test_unnamed_link_rail_inside_main(page):
     assert main_text(page.format(parts=PARTS[0] * 3, rail=RAIL)).split("\n\n") == [LONG.strip()] * 3
+
+
+@pytest.mark.parametrize("name", [
+    "class='content has-sidebar'", "class=layout-no-sidebar", "class='post share-enabled'", "id=page-with-footer",
+    "class=widget", "class='related overlay'",
+])
+def test_names_of_a_wrapper_do_not_take_the_article(name):
+    page = f"<div class=menu><p>Home</p></div><div {name}><div>{PARTS[0] * 3}</div><div class=sidebar><p>Ad</p></div></div>"
+    assert main_text(page).split("\n\n") == [LONG.strip()] * 3
+
+
+def test_short_article_in_a_wrapper_beside_long_comments():
+    page = f"<div class='post share-enabled'>{PARTS[0]}</div><div class='comments-area'>{PARTS[1]}</div>"
+    assert main_text(page) == LONG.strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<article>{0}</article><div class=comments><article class=comment>{1}</article></div>",
+    "<main>{0}<section id=comments><article>{1}</article></section></main>",
+    "<div>{0}{0}</div><div class=comments><article class=comment>{1}</article></div>",
+    "<article>{0}</article><aside><article>{1}</article></aside>",
+])
+def test_articles_in_parts_left_out_do_not_come_back(page):
+    text = main_text(page.format(PARTS[0], "<p>A reader says this.</p>"))
+    assert set(text.split("\n\n")) == {LONG.strip()}
