@@ -45,7 +45,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as their rates say, by expectation; clean ones stay, whatever the others hold."""
-    return mixing.mix(docs, domain_labels(spark, sf_dir), WEIGHTS, whole=WHOLE).take(docs, key="doc_id")
+    mixed = mixing.mix(docs, domain_labels(spark, sf_dir), WEIGHTS, whole=WHOLE, iterations=None)
+    return mixed.take(docs, key="doc_id")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,8 +33,10 @@ LEAST_SPLIT = 5.0  # and stray so many standard deviations from chance in some d
 FIT_STEPS = 200
 STEP = 0.3
 PENALTY = 1e-4
-ITERATIONS = 25
+ITERATIONS = 25  # steps of plain descent; then they are scaled, which brings the last percents in few passes
 TOLERANCE = 1e-3
+STILL = 1e-3  # a step that takes less of the squared distance off is none
+LEAST_DAMP = 1e-6
 UNITS = 1024  # expected tokens are summed in whole 1/UNITS, so that sums do not depend on their order
 
 # Bytes as a word's letters (others end the word), and as shapes.
@@ -241,50 +243,71 @@ def _rates(chance: np.ndarray, steps: list[np.ndarray], scale: float = 1.0) -> n
 
 
 def fit_rates(
-    members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE
+    members: DataFrame, targets: np.ndarray, iterations: int | None = None, tolerance: float = TOLERANCE
 ) -> list[np.ndarray]:
     """The gradient steps that bring the expected tokens of each domain to the targets, as far as rates of 0 or more can."""
     return descend(members, targets, iterations, tolerance)[0]
 
 
 def descend(
-    members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE
+    members: DataFrame, targets: np.ndarray, iterations: int | None = None, tolerance: float = TOLERANCE
 ) -> tuple[list[np.ndarray], np.ndarray]:
     """The steps of ``fit_rates``, and the expected tokens of each domain that they reach.
 
     ``targets`` are tokens by domain. Each iteration is one pass that sums, by
     domain, tokens times rate times posterior; a residual counts in proportion
-    to the domain's tokens at rate 1, for which a step size of 1 is safe.
+    to the domain's tokens at rate 1, for which a step size of 1 is safe. After
+    ITERATIONS such steps the next are scaled by the second moments of the
+    posteriors of documents with a rate above 0, damped so far that the distance
+    falls. It ends within the tolerance of the targets, or, where no rates meet
+    them, when neither a scaled nor a plain step takes off more than STILL; with
+    ``iterations`` after as many steps at the latest.
     """
     width = len(targets)
 
     def summer(steps: list[np.ndarray]):
         def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width, np.int64)
+            total = np.zeros((width + 1, width), np.int64)  # the tokens, then their second moments
             for batch in rows:
                 chance = batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                share = chance * (batch.column("n_tokens").to_numpy() * _rates(chance, steps))[:, None]
-                total += np.rint(share * UNITS).astype(np.int64).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], ["domain", "tokens"])
+                tokens = batch.column("n_tokens").to_numpy()
+                rate = _rates(chance, steps)
+                total[0] += np.rint(chance * (tokens * rate)[:, None] * UNITS).astype(np.int64).sum(axis=0)
+                moved = chance * (tokens * (rate > 0))[:, None] * UNITS
+                for d in range(width):
+                    total[d + 1] += np.rint(moved * chance[:, d:d + 1]).astype(np.int64).sum(axis=0)
+            places = np.arange(total.size)
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(total.reshape(-1))], ["place", "tokens"])
 
         return add
 
-    def expected(steps: list[np.ndarray]) -> np.ndarray:
-        sums = members.select("n_tokens", "posterior").mapInArrow(summer(steps), "domain long, tokens long")
-        out = np.zeros(width)
-        for row in sums.groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect():
-            out[row["domain"]] = row["tokens"] / UNITS
-        return out
+    def expected(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sums = members.select("n_tokens", "posterior").mapInArrow(summer(steps), "place long, tokens long")
+        out = np.zeros((width + 1) * width)
+        for row in sums.groupBy("place").agg(F.sum("tokens").alias("tokens")).collect():
+            out[row["place"]] = row["tokens"] / UNITS
+        return out[:width], out[width:].reshape(width, width)
 
     steps: list[np.ndarray] = []
-    now = expected(steps)
+    now, moments = expected(steps)
     mass = np.maximum(now, 1.0)
-    for _ in range(iterations):
-        residual = now - targets
-        if np.abs(residual).sum() <= tolerance * max(targets.sum(), 1.0):
+    damp, tried, still = 1.0, 0, 0
+    while np.abs(now - targets).sum() > tolerance * max(targets.sum(), 1.0) and still < 2:
+        if iterations is not None and tried >= iterations:
             break
-        steps.append(residual / mass)
-        now = expected(steps)
+        residual = now - targets
+        plain = tried < ITERATIONS
+        step = residual / mass if plain else np.linalg.solve(moments + damp * np.diag(mass), residual)
+        reached, further = expected([*steps, step])
+        tried += 1
+        before, after = (residual**2 / mass).sum(), ((reached - targets) ** 2 / mass).sum()
+        if plain or after < before:
+            steps, now, moments = [*steps, step], reached, further
+        if plain:
+            continue
+        ended = before - after <= STILL * before and (after >= before and damp >= 1 or after < before and damp <= 1e-3)
+        still = still + 1 if ended else 0 if after < before else still
+        damp = max(damp / 10, LEAST_DAMP) if after < before else damp * 4
     return steps, now
 
 
@@ -320,12 +343,19 @@ def copies(rate: Column, key: Column | None = None) -> Column:
 
 @dataclass(frozen=True)
 class Mix:
-    """The model, its documents' ``key, n_tokens, posterior``, and the steps and the scale that lead to their rates."""
+    """The model, its documents' ``key, n_tokens, posterior``, and the steps and the scale that lead to their rates.
+
+    ``targets`` and ``reached`` are the tokens by domain, in the model's order,
+    that were asked for and that the rates give by expectation, before the scale;
+    None where nothing was fitted.
+    """
 
     model: DomainModel
     members: DataFrame
     steps: list[np.ndarray]
     scale: float = 1.0
+    targets: np.ndarray | None = None
+    reached: np.ndarray | None = None
 
     def rates(self) -> DataFrame:
         return with_rates(self.members, self.steps, self.scale)
@@ -361,7 +391,7 @@ class Mix:
 def mix(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text",
     domain: str = "domain", budget: float | None = None, sample_docs: int = SAMPLE_DOCS,
-    whole: Collection[str] = (),
+    whole: Collection[str] = (), iterations: int | None = ITERATIONS,
 ) -> Mix:
     """Fit classifier and rates.
 
@@ -373,6 +403,9 @@ def mix(
     scarce another domain is; documents of a scarce one repeat. Where documents
     of one domain belong to another in a part beyond its target, no rates meet
     all targets; those that come closest are scaled, as a larger budget would.
+    With ``iterations`` None the descent goes on until the targets are met, or
+    are as near as they can be; else it ends after so many steps, and ``reached``
+    tells how far it came.
     A null text has no words and the posterior of an empty one. Null keys are
     passed on and rows with equal texts get equal rates. Without labels, or where
     no domain with a weight has any, posteriors tell nothing and every rate is 1.
@@ -390,7 +423,8 @@ def mix(
     else:
         budgets = mass[share > 0] / (share / share.sum())[share > 0]
         budget = float(budgets[kept[share > 0]].max() if kept.any() else budgets.min())
-    steps, reached = descend(members, share / share.sum() * budget)
+    targets = share / share.sum() * budget
+    steps, reached = descend(members, targets, iterations)
     # The rates that come closest to a multiple of the targets are that multiple of those found.
     lacking = [mass[d] / reached[d] for d in np.flatnonzero(kept) if reached[d] > 0]
-    return Mix(model, members, steps, max(lacking, default=1.0))
+    return Mix(model, members, steps, max(lacking, default=1.0), targets, reached)

@@ -47,7 +47,8 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(
-        table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), {"clean": 0.94, "junk": 0.04, "toxic": 0.02}
+        table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), {"clean": 0.94, "junk": 0.04, "toxic": 0.02},
+        iterations=None,
     )
     shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(mixed.model.domains)]
     return mixed.rates().select(

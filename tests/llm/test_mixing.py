@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetmetrics.llm import mixing
-from fleetmetrics.llm.queries import domain_labels
+from fleetmetrics.llm.queries import QUERIES, domain_labels
 
 SF = "/root/testdata/sf0.01"
 
@@ -129,3 +129,42 @@ def test_copies_of_rows_without_a_key(spark, mixed):
     docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('word ', id) as text")
     rate = mixing.Mix(mixed.model, mixed.members, [], 0.4).take(docs, key="doc_id").count() / 4000
     assert abs(rate - 0.4) < 0.03
+
+
+@pytest.mark.parametrize("weights", [[0.94, 0.04, 0.02], [0.9, 0.05, 0.05]])
+def test_default_descent_meets_targets(spark, weights):
+    """Soft posteriors, most rates of the large domain held at 0: plain steps get there after hundreds."""
+    rng = np.random.default_rng(1)
+    sharp = np.full((3, 3), 0.5) + np.eye(3) * 8.5
+    chance = np.rint([rng.dirichlet(sharp[d]) * 65536 for d in rng.choice(3, 2000, p=[0.3, 0.6, 0.1])]) / 65536
+    tokens = rng.integers(1, 2000, 2000)
+    targets = np.array(weights) * ((tokens @ chance) / weights).min()
+    df = members(spark, chance, tokens).localCheckpoint()
+    steps, reached = mixing.descend(df, targets)
+    rate = np.array([r.rate for r in mixing.with_rates(df, steps).orderBy("doc_id").collect()])
+    assert (rate >= 0).all() and (rate == 0).mean() > 0.1
+    assert np.abs((rate * tokens) @ chance - targets).sum() <= 1.1e-3 * targets.sum()
+    assert np.allclose((rate * tokens) @ chance, reached, rtol=1e-3)
+
+
+def test_targets_out_of_reach_end_the_descent(spark):
+    """Every document belongs to the second domain in a tenth at least; the first alone is asked for."""
+    chance, tokens = np.array([[0.9, 0.1], [0.5, 0.5]] * 20), np.full(40, 100)
+    steps, reached = mixing.descend(members(spark, chance, tokens), np.array([1800.0, 0.0]))
+    mass, best = tokens @ chance, np.array([0.9, 0.1])
+    rate = (best * [1800.0, 0.0] / mass).sum() / (best**2 / mass).sum()  # of tokens like the first row's alone
+    assert len(steps) < 60 and np.allclose(reached, rate * best, rtol=1e-2)
+
+
+def test_query_meets_its_targets(spark):
+    """The registered query's rates give the shares that it asks for."""
+    rows = QUERIES["op5_soft_mixing"](spark, SF).collect()
+    tokens = sum(np.array([r.p_clean, r.p_junk, r.p_toxic]) * r.n_tokens * r.rate for r in rows)
+    assert np.abs(tokens / tokens.sum() - [0.94, 0.04, 0.02]).sum() <= 1.1e-3
+
+
+def test_mix_tells_what_it_reached(spark, mixed):
+    rows = mixed.rates().collect()
+    found = sum(np.array(r.posterior) * r.n_tokens * r.rate for r in rows) / mixed.scale
+    assert np.allclose(found, mixed.reached, rtol=1e-3)
+    assert mixed.targets.argmax() == mixed.model.domains.index("clean")
