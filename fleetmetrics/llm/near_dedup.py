@@ -32,25 +32,35 @@ from .tables import stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+MISSED = 1e-6
+
+
 @dataclass(frozen=True)
 class NearCopies:
     """What counts as a near copy, and how candidates are found.
 
-    With similarity 0.85, 24 bands of 5 samples miss a pair with a chance below
-    1e-6; a pair at the threshold passes the sketch test by more than 5 standard
-    deviations.
+    There are as many bands as let them miss a pair at the threshold with a chance
+    of MISSED at most, 24 of 5 samples with similarity 0.85, 35 with 0.80; a pair at
+    the threshold passes the sketch test by more than 5 standard deviations.
     """
 
     words: int = 5
     percent: int = 80  # intersection of at least this share of the union
-    bands: int = 24
+    bands: int = 0  # 0 for those that the threshold needs
     rows: int = 5
-    samples: int = 240  # all samples go into the sketch, bands * rows of them into bands
+    samples: int = 240  # or bands * rows, if more: all go into the sketch, bands * rows of them into bands
     sketch_bits: int = 1024
     seed: int = 11
     bucket_block: int = 2048  # sketches of a bucket compared in one task, against as many
     set_block: int = 150_000  # shingles of a group compared in one task, against as many
 
+    def __post_init__(self) -> None:
+        if not self.bands:
+            passed = (self.percent / 100) ** self.rows
+            needed = 1 if passed >= 1 else math.ceil(math.log(MISSED) / math.log1p(-passed))
+            object.__setattr__(self, "bands", needed)
+        object.__setattr__(self, "samples", max(self.samples, self.bands * self.rows))
+
     def multipliers(self) -> np.ndarray:
         return np.random.default_rng(self.seed).integers(0, 2**32, self.samples, np.uint32) | np.uint32(1)
 

@@ -99,3 +99,11 @@ def test_edge_rows(documents, edges):
 
 def test_no_rows(documents):
     assert near_copies(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 70, 80, 85, 90, 100])
+def test_bands_miss_few_pairs_at_the_threshold(percent):
+    how = NearCopies(percent=percent)
+    assert (1 - (percent / 100) ** how.rows) ** how.bands <= 1e-6
+    assert how.samples >= how.bands * how.rows and len(how.multipliers()) == how.samples
+    assert NearCopies(percent=85).bands == 24 and NearCopies(bands=7).bands == 7
