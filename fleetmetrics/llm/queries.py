@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from . import langid, mixing, quality, warc
 from .html_text import extract_pages
+from .license_templates import TEMPLATES
+from .licenses import digest, scan_licenses
 from .near_dedup import NearCopies, near_copies
 from .packing import pack_documents
 from .sharding import shard_documents
@@ -93,6 +95,13 @@ def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), NearCopies(words=3, percent=85))
 
 
+def op13_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = digest(scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_text_density": op2_text_density,
@@ -104,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_source": op8_warc_source,
     "op9_language_id": op9_language_id,
     "op10_odd_sketch_dedup": op10_odd_sketch_dedup,
+    "op13_template_licenses": op13_template_licenses,
 }
 
 OP6_SQL = """
