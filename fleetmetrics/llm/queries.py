@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import langid, mixing, quality, warc
+from .divergence import divergences
 from .html_text import extract_pages
 from .license_templates import TEMPLATES
 from .licenses import digest, scan_licenses
@@ -95,6 +96,10 @@ def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), NearCopies(words=3, percent=85))
 
 
+def op11_cube_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
 def op13_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest(scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES))
     return found.select(
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_source": op8_warc_source,
     "op9_language_id": op9_language_id,
     "op10_odd_sketch_dedup": op10_odd_sketch_dedup,
+    "op11_cube_divergence": op11_cube_divergence,
     "op13_template_licenses": op13_template_licenses,
 }
 
@@ -149,4 +155,49 @@ select page_id, payload_bytes, payload_digest,
 from d
 """
 
-ORACLES: dict[str, str] = {"op6_histogram_topk": OP6_SQL, "op8_warc_source": OP8_SQL}
+OP11_SQL = """
+with d as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as words
+  from documents),
+t as (select doc, lang, source, unnest(words) as term from d),
+kept as (select lang, term from t group by lang, term having count(distinct doc) >= 10),
+v as (select lang, count(*) as v from kept group by lang),
+g as (select distinct lang, source, false as whole from d union all select distinct lang, '', true from d),
+c as (
+  select lang, source, false as whole, term, count(*) as n from t semi join kept using (lang, term) group by all
+  union all
+  select lang, '', true, term, count(*) from t semi join kept using (lang, term) group by all),
+s as (select lang, source, whole, sum(n) as total from c group by all),
+p as (
+  select g.lang, g.source, g.whole, k.term, coalesce(c.n, 0) as n,
+    (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * v.v))::bigint as p
+  from g join kept k using (lang) join v using (lang)
+    left join s on s.lang = g.lang and s.source = g.source and s.whole = g.whole
+    left join c on c.lang = g.lang and c.source = g.source and c.whole = g.whole and c.term = k.term),
+f as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and not a.whole and not b.whole and a.source <> b.source
+  group by all),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(f.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source and not a.whole and not b.whole
+    left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (
+  select a.lang, a.source, a.term as item, ((a.p - b.p) * (a.p - b.p)) // (a.p + b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and not a.whole and b.whole and a.n > 0 and a.p > b.p),
+r as (
+  select lang, source, 'pair' as part, item, value from pairs
+  union all select lang, source, 'term', item, value from terms)
+select lang, source, part, item, value,
+  cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+from r qualify part = 'pair' or rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_histogram_topk": OP6_SQL,
+    "op8_warc_source": OP8_SQL,
+    "op11_cube_divergence": OP11_SQL,
+}
