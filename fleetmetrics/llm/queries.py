@@ -14,6 +14,7 @@ from .html_text import extract_pages
 from .license_templates import TEMPLATES
 from .licenses import digest, scan_licenses
 from .near_dedup import NearCopies, near_copies
+from .negatives import hard_negatives
 from .packing import pack_documents
 from .sharding import shard_documents
 from .suffix_dedup import removal_digests
@@ -100,6 +101,11 @@ def op11_cube_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest(scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES))
     return found.select(
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_odd_sketch_dedup": op10_odd_sketch_dedup,
     "op11_cube_divergence": op11_cube_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_template_licenses": op13_template_licenses,
 }
 
@@ -196,8 +203,30 @@ select lang, source, part, item, value,
 from r qualify part = 'pair' or rank <= 10
 """
 
+OP12_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * cast(x as double)) for x in embedding] as w
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.w, b.w) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id,
+  cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as int) as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same
+  and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+qualify rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op6_histogram_topk": OP6_SQL,
     "op8_warc_source": OP8_SQL,
     "op11_cube_divergence": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

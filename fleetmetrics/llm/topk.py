@@ -20,76 +20,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import vectors
 from .tables import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SCALE = 256
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 4096
 SCORED_AT_ONCE = 512  # queries of a block that are scored at a time
 DIGIT_BITS = 12
 
-_BLOCK = "size int, dim int, longest double, ids binary, vectors binary"
-
-
-def _packer(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of id and vector to blocks of vectors of one length, as whole numbers."""
-
-    def ready(ids: list, vectors: list) -> pa.RecordBatch:
-        whole = np.vstack(vectors)
-        if np.abs(whole).max(initial=0) >= 2**31:
-            raise ValueError("a scaled component does not fit 32 bits")
-        longest = float((whole * whole).sum(axis=1).max(initial=0))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([len(ids)], pa.int32()), pa.array([whole.shape[1]], pa.int32()), pa.array([longest]),
-                pa.array([np.array(ids, np.int64).tobytes()]), pa.array([whole.astype(np.int32).tobytes()]),
-            ],
-            ["size", "dim", "longest", "ids", "vectors"],
-        )
-
-    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, tuple[list, list]] = {}
-        for batch in rows:
-            column = batch.column("vector")
-            for row, (name, length) in enumerate(zip(batch.column("id").to_pylist(), column.value_lengths().to_pylist())):
-                if name is None or length is None:
-                    continue
-                values = column[row].values
-                if values.null_count:
-                    continue
-                vector = values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if not np.isfinite(vector).all():
-                    continue
-                ids, vectors = waiting.setdefault(length, ([], []))
-                ids.append(name)
-                vectors.append(np.floor(vector * SCALE))
-                if len(ids) == block:
-                    yield ready(*waiting.pop(length))
-        for ids, vectors in waiting.values():
-            yield ready(ids, vectors)
-
-    return pack
-
-
-def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
-    return stored(rows.mapInArrow(_packer(block), _BLOCK).withColumn("block", F.monotonically_increasing_id()), name)
-
-
 def _scores(queries: dict, candidates: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First query, whole scores and ids of a few queries at a time; a query's own id scores the least number."""
-    size, dim = queries["size"], queries["dim"]
-    left = np.frombuffer(queries["vectors"], np.int32).reshape(size, dim)
-    right = np.frombuffer(candidates["vectors"], np.int32).reshape(candidates["size"], dim)
-    # Floating point is exact while no partial sum can pass its whole numbers.
-    largest = np.abs(left).max(initial=0).astype(float) * np.abs(right).max(initial=0) * dim
-    kind = np.float32 if largest < 2**24 else np.float64
-    if largest >= 2**53:
-        raise ValueError("scores do not fit 53 bits")
-    own, other = np.frombuffer(queries["ids"], np.int64), np.frombuffer(candidates["ids"], np.int64)
+    left, right = vectors.vectors_of(queries), vectors.vectors_of(candidates)
+    own, other = vectors.ids_of(queries), vectors.ids_of(candidates)
+    kind = vectors.exact_kind(left, right)
     turned = np.ascontiguousarray(right.T.astype(kind))
-    for at in range(0, size, SCORED_AT_ONCE):
+    for at in range(0, queries["size"], SCORED_AT_ONCE):
         found = (left[at:at + SCORED_AT_ONCE].astype(kind) @ turned).astype(np.int64)
         found[own[at:at + SCORED_AT_ONCE, None] == other[None, :]] = np.iinfo(np.int64).min
         yield at, found, other
@@ -107,10 +54,7 @@ def _pairs(function: Callable, queries: DataFrame, candidates: DataFrame, parts:
         return pa.concat_tables(out) if out else empty
 
     empty = pa.Table.from_batches([], schema=_arrow_schema(schema))
-    left = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = candidates.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")).withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
+    left, right = vectors.dealt(queries, candidates, parts, blocks)
     return left.groupBy("at", "part").cogroup(right.groupBy("at", "part")).applyInArrow(both, schema)
 
 
@@ -163,7 +107,7 @@ def _above(offset: int):
 
     def take(queries: dict, candidates: dict) -> pa.Table:
         prefix, need = _state(queries)
-        names = np.frombuffer(queries["ids"], np.int64)
+        names = vectors.ids_of(queries)
         out = [np.zeros((0, 4), np.int64)]
         for at, found, ids in _scores(queries, candidates):
             some = slice(at, at + len(found))
@@ -187,7 +131,7 @@ def _through(found: tuple[np.ndarray, np.ndarray], order: np.ndarray) -> tuple[n
 
 
 def top_k(
-    vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
+    rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
     query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, digit_bits: int = DIGIT_BITS,
 ) -> DataFrame:
     """For each query row the ``k`` best other rows: ``query_id, rank, vec_id, score``.
@@ -197,20 +141,22 @@ def top_k(
     candidate for it. Rows with a null id, a null vector, or a null or non-finite
     component take no part, and vectors of different lengths do not meet. A
     query row that repeats is answered each time; a query with fewer
-    candidates gets all. No rows, no answers.
+    candidates gets all. No rows, no answers. Scores are exact in 64 bits; vectors
+    so long that a score may pass 2**62 are an error.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("asks"))
-    asking = rows.where("asks").select("id", "vector")
+    named = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("asks"))
+    asking = named.where("asks").select("id", "vector")
     blocks = max(1, -(-asking.count() // query_block))
-    candidates = _blocks(rows.select("id", "vector"), candidate_block, "candidate-blocks")
-    asked = _blocks(asking.repartition(blocks, F.xxhash64("id")), query_block, "query-blocks")
-    numbered = asked.withColumn("at", (F.row_number().over(Window.orderBy("block")) - 1).cast("int"))
-    queries = stored(numbered, "numbered-blocks")  # one row per thousands of queries
+    candidates = vectors.blocks(named.select("id", "vector"), candidate_block, "candidate-blocks")
+    asked = vectors.blocks(asking.repartition(blocks, F.xxhash64("id")), query_block, "query-blocks")
+    queries = vectors.numbered(asked, "numbered-blocks")
     blocks = max(1, queries.count())
     sizes = candidates.agg(F.count("*").alias("n"), F.max("longest").alias("longest")).first()
     parts = max(1, sizes["n"])
     reach = float(np.sqrt((sizes["longest"] or 0.0) * (queries.agg(F.max("longest")).first()[0] or 0.0)))
-    bits = int(reach + 1).bit_length() + 1
+    if reach >= 2.0**62:
+        raise ValueError("scores may not fit 62 bits")
+    bits = int(reach * (1 + 1e-9) + 1).bit_length() + 1
     offset = 1 << (bits - 1)
     state = queries.select("at", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("query")).select(
         "at", F.col("query").cast("long"), F.lit(0).cast("long").alias("prefix"), F.lit(k).cast("long").alias("need")

@@ -44,3 +44,13 @@ def test_no_rows(spark):
     assert top_k(df, F.col("vec_id") % 2 == 0).count() == 0
     lone = spark.createDataFrame([(2, [1.0])], "vec_id long, embedding array<float>")
     assert top_k(lone, F.col("vec_id") % 2 == 0).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    rows = [(i, [2.0**20 + i / 256, -3.0 * i, 2.0**15]) for i in range(12)] + [(20, [2.0**21, 0.0, 1.0]), (21, [0.5, 0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = top_k(df.repartition(3), F.col("vec_id") % 2 == 0, query_block=3)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, lambda q: q % 2 == 0, 5)
+    df = spark.createDataFrame([(0, [2.0**30]), (1, [2.0**30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="62 bits"):
+        top_k(df, F.col("vec_id") == 0).collect()
