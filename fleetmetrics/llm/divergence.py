@@ -249,15 +249,15 @@ def divergences(
     )
     # Kept terms that no group of both blocks has: all of them differ by the same.
     whole = F.col("value") + (F.col("vocabulary") - F.col("seen")) * F.col("rest")
-    both = F.array(F.struct("source", F.col("other").alias("item")), F.struct(F.col("other").alias("source"), F.col("source").alias("item")))
-    pairs = summed.where("other is not null").select("lang", F.explode(both).alias("at"), whole.alias("value")).select(
-        "lang", "at.source", F.lit("pair").alias("part"), "at.item", "value"
-    )
-    terms = summed.where("term is not null").select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value"
+    pair = lambda source, item: F.struct(
+        F.col(source).alias("source"), F.lit("pair").alias("part"), F.col(item).alias("item"), whole.alias("value")
     )
+    term = F.struct("source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    # A pair counts for both of its groups; one pass over the parts serves pairs and terms.
+    told = F.when(F.col("term").isNull(), F.array(pair("source", "other"), pair("other", "source"))).otherwise(F.array(term))
+    found = summed.select("lang", F.explode(told).alias("at")).select("lang", "at.*")
     down = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
     return (
-        pairs.unionByName(terms).withColumn("rank", F.row_number().over(down))
+        found.withColumn("rank", F.row_number().over(down))
         .where((F.col("part") == "pair") | (F.col("rank") <= top_terms))
     )
