@@ -24,7 +24,7 @@ from fleetmetrics.plans.query import ReadingQuery, readings_by_gpu, select_readi
 from fleetmetrics.schemas import IDENTITY, METRICS
 from fleetmetrics.session import ROCKSDB_PROVIDER, shared_dir
 from fleetmetrics.sources import csv_files, messages as M, store
-from fleetmetrics.streaming import jobs, sinks, stateful, windows
+from fleetmetrics.streaming import jobs, point_store, sinks, stateful, windows
 
 from . import testmap as tm
 
@@ -506,10 +506,10 @@ def write_with_retry(spark, sf_dir):
         if failures[0]:
             failures[0] -= 1
             raise OSError("the store is away")
-        sinks.write_batch(df, path, 0)
+        sinks.write_batch(df, path, sinks.BatchName("sender", 0))
 
     sinks.write_with_retry(tm.readings(spark, sf_dir).select("seq", "ts"), write, delay=0.0)
-    return sinks.read_batches_of(spark, path).drop("micro_batch")
+    return sinks.read_batches_of(spark, path)
 
 
 # ---- messages ----
@@ -972,12 +972,9 @@ def _stateful(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-@query
-def run_ingest_stream(spark, sf_dir):
-    """Files of two formats, other column order, names and case."""
-    folder, out = _mixed_folder(spark, sf_dir), shared_dir(spark, "ingested")
-    _run(jobs.run_ingest_stream(spark, folder, out, f"{out}/checkpoint", as_of=AS_OF))
-    sent = sinks.read_batches_of(spark, f"{out}/messages").drop("micro_batch")
+def _ingested(spark, out: str) -> DataFrame:
+    """Good and rejected rows that ingest streams have written."""
+    sent = sinks.read_batches_of(spark, f"{out}/messages")
     measured = ("temperature", "power_draw")
     good = M.decode_messages(sent)[0].select(
         "hostname", "gpu_id", "timestamp", F.lit("").alias("reason"), *measured
@@ -993,6 +990,23 @@ def run_ingest_stream(spark, sf_dir):
     )
 
 
+@query
+def run_ingest_stream(spark, sf_dir):
+    """Files of two formats, other column order, names and case."""
+    folder, out = _mixed_folder(spark, sf_dir), shared_dir(spark, "ingested")
+    _run(jobs.run_ingest_stream(spark, folder, out, f"{out}/checkpoint", as_of=AS_OF))
+    return _ingested(spark, out)
+
+
+@query
+def ingest_by_two_streams(spark, sf_dir):
+    """Two streams with inputs of their own write to one folder; each is started twice."""
+    folder, out = _mixed_folder(spark, sf_dir), shared_dir(spark, "ingested")
+    for part in ("a", "b", "a", "b"):
+        _run(jobs.run_ingest_stream(spark, f"{folder}/{part}", out, f"{out}/checkpoint-{part}", as_of=AS_OF))
+    return _ingested(spark, out)
+
+
 def _collected(spark, sf_dir) -> str:
     out = shared_dir(spark, "collected")
     sent = M.encode_messages(tm.doubled(spark, sf_dir), "telemetry", 600, AS_OF)
@@ -1006,10 +1020,28 @@ def _collected(spark, sf_dir) -> str:
 
 @query
 def run_collect_stream(spark, sf_dir):
-    points = jobs.current_points(spark, _collected(spark, sf_dir))
+    points = point_store.current_points(spark, _collected(spark, sf_dir))
     return _doubles(points.select("telemetry_id", "uuid", "power_draw"), "power_draw")
 
 
+@query
+def collected_by_two_streams(spark, sf_dir):
+    """Two streams collect into one store, of which each leaves a version; then days of it are read."""
+    out = shared_dir(spark, "collected")
+    sent = M.encode_messages(tm.doubled(spark, sf_dir), "telemetry", 600, AS_OF)
+    second = F.crc32("message_id") % 2 == 1
+    for version, part in enumerate((sent.filter(~second), sent.filter(second))):
+        _run(
+            jobs.run_collect_stream(
+                _stream_of(spark, part), out, f"{out}/checkpoint-{version}", as_of=AS_OF, cluster_id="cluster-0"
+            )
+        )
+        point_store.compact_points(spark, out, version, previous=version - 1 if version else None)
+    points = point_store.current_points(spark, out, version=1)
+    found = R.time_range(points, "2024-01-05T06:00:00Z", "2024-01-20T18:00:00Z")
+    return _doubles(found.select("telemetry_id", "uuid", "power_draw"), "power_draw")
+
+
 @query
 def collected_status(spark, sf_dir):
     gpus = jobs.current_gpus(spark, _collected(spark, sf_dir))
@@ -1032,7 +1064,7 @@ def collect_messages_job(spark, sf_dir):
 @query
 def snapshot_then_tail(spark, sf_dir):
     counts = tm.messages(spark, sf_dir).select("message_id", "topic", "created_at")
-    return _into_table(spark, _stream_of(spark, counts)).drop("micro_batch")
+    return _into_table(spark, _stream_of(spark, counts))
 
 
 @query
@@ -1057,7 +1089,7 @@ def expire_stream(spark, sf_dir):
     log = tm.messages(spark, sf_dir).select("message_id", "topic", "created_at", "expires_at")
     acks = tm.acks(spark, sf_dir).select("message_id", "acked_at")
     expired = stateful.expire_stream(_stream_of(spark, log), _stream_of(spark, acks), "0 seconds")
-    return _ntz(_into_table(spark, expired).drop("micro_batch"), "expired_at")
+    return _ntz(_into_table(spark, expired), "expired_at")
 
 
 @query
@@ -1065,7 +1097,7 @@ def liveness_stream(spark, sf_dir):
     beats = _stream_of(spark, tm.heartbeats(spark, sf_dir))
     beats = beats.withColumn("ts", F.col("ts").cast("timestamp"))
     out = _into_table(spark, windows.liveness_stream(beats, 12 * 3600))
-    return _ntz(out.drop("micro_batch"), "up_from", "down_at")
+    return _ntz(out, "up_from", "down_at")
 
 
 @query
@@ -1083,7 +1115,7 @@ def change_feed(spark, sf_dir):
     log = _stream_of(spark, tm.changelog(spark, sf_dir))
     _run(
         stateful.change_feed(
-            log, lambda batch, n: sinks.write_batch(batch, f"{path}/out", n), f"{path}/checkpoint"
+            log, lambda batch, name: sinks.write_batch(batch, f"{path}/out", name), f"{path}/checkpoint"
         )
     )
     return sinks.read_batches_of(spark, f"{path}/out").select("seq", "key", "event_type")

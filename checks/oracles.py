@@ -655,6 +655,10 @@ ORACLES: dict[str, str] = {
         f"""select hostname, gpu_id, {_ISO} as "timestamp", coalesce({_REJECTS}, '') as reason,
         round(cast(temperature as double), 4) as temperature, round(cast(power_draw as double), 4) as power_draw
         from wide_csv""", "wide_csv"),
+    "ingest_by_two_streams": _with(
+        f"""select hostname, gpu_id, {_ISO} as "timestamp", coalesce({_REJECTS}, '') as reason,
+        round(cast(temperature as double), 4) as temperature, round(cast(power_draw as double), 4) as power_draw
+        from wide_csv""", "wide_csv"),
     "ingest_long_folder": _with(
         f"""select {_ISO.replace('ts', "date_trunc('second', ts)")} as "timestamp", hostname, gpu_id, uuid,
         {', '.join(f"round(cast(cast(coalesce(arg_max(value, ts) filter (metric_name = '{m}'), 0) as float) as double), 4) as {m}" for m in METRICS)}
@@ -668,6 +672,13 @@ ORACLES: dict[str, str] = {
           select *, row_number() over (partition by telemetry_id order by seq desc) as rn
           from (select *, {_TELEMETRY_ID} as telemetry_id from doubled)) where rn = 1""",
         "doubled"),
+    "collected_by_two_streams": _with(
+        f"""select telemetry_id, uuid, {rnd('power_draw')} from (
+          select *, row_number() over (partition by telemetry_id order by seq desc) as rn
+          from (select *, {_TELEMETRY_ID} as telemetry_id from doubled))
+        where rn = 1 and date_trunc('second', ts)
+          between timestamp '2024-01-05 06:00:00' and timestamp '2024-01-20 18:00:00'""",
+        "doubled"),
     "collected_status": _with(
         f"""select hostname, gpu_id, g.uuid, g.device_name,
         l.temperature < 85 and l.gpu_utilization >= 0 as healthy,

@@ -167,14 +167,19 @@ def latest_readings(
     )
 
 
-def upsert_readings(df: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+def upsert_readings(
+    df: DataFrame, order: Sequence[str] = ("seq",), within: Sequence[str] = ()
+) -> DataFrame:
     """Last write wins per cluster, host, GPU and second.
 
+    ``within`` names columns that follow from these, such as the day; as keys
+    they let filters on them through to the table.
+
     Without the ``order`` columns, the order is event time, ingest time, source
     file and finally the content, so that the outcome never depends on chance.
     """
     keyed = df.withColumn("telemetry_id", telemetry_id())
-    keys = ["cluster_id", "hostname", "gpu_id", "telemetry_id"]
+    keys = ["cluster_id", "hostname", "gpu_id", "telemetry_id", *within]
     rest = [c for c in df.columns if c not in keys]
     known = [c for c in order if c in df.columns]
     if not known:
@@ -203,13 +208,14 @@ def stamp_lineage(df: DataFrame, collector_id: str, as_of: datetime | str | Colu
 
 
 def long_to_wide(
-    df: DataFrame, metric_map: Mapping[str, str] = METRIC_MAP, seq: str = "seq"
+    df: DataFrame, metric_map: Mapping[str, str] = METRIC_MAP, seq: str = "seq", also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per cluster, host, GPU and second with a column per metric.
 
     Of several values of a metric in a second the last by ``seq`` counts, without
     such a column the last by time, ingest time, file and value; a metric that
-    was not measured is 0. The same order picks the attributes.
+    was not measured is 0. The same order picks the attributes. ``also`` names
+    more aggregates of the same rows.
     """
     second = F.date_trunc("second", F.col("ts")).cast(df.schema["ts"].dataType)
     named = {m: [src for src, m2 in metric_map.items() if m2 == m] for m in METRICS}
@@ -231,11 +237,12 @@ def long_to_wide(
 
     attributes = F.struct(*ATTRIBUTES)
     described = F.max_by(attributes, F.struct(order, attributes))
+    more = also or {}
     return (
         df.withColumn("_moment", F.col("ts")).withColumn("ts", second)
         .groupBy(*IDENTITY, "ts")
-        .agg(described.alias("_a"), *map(last, METRICS))
-        .select("ts", *IDENTITY, "_a.*", *METRICS)
+        .agg(described.alias("_a"), *map(last, METRICS), *[c.alias(n) for n, c in more.items()])
+        .select("ts", *IDENTITY, "_a.*", *METRICS, *more)
     )
 
 

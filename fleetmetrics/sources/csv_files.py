@@ -1,16 +1,22 @@
 """CSV input. Columns are always bound by header name, never by position.
 
-Files of one folder may have different headers. One distributed pass notes each
-file's header; then all files are read in a single scan with positional columns,
-and each row picks its fields by the header of its own file. Every file is read
-whatever its size; only a caller who sets ``max_bytes`` refuses larger ones, and
-the manifest then lists these as errors.
+Files of one folder may have different headers. A first distributed pass reads
+no more of a file than its header line. Files whose headers put the wanted
+columns in the same places are then read in one scan that names its columns by
+position, so no row has to be joined to what is known of its file. Every file is
+read whatever its size; only a caller who sets ``max_bytes`` refuses larger ones,
+and the manifest then lists these as errors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import defaultdict
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +24,8 @@ from pyspark.sql import types as T
 
 from ..functions import parsing as P
 from ..schemas import DEFAULT_CLUSTER, METRICS, REQUIRED_COLUMNS
-from ..session import instant, shared_dir
+from ..session import instant
+from .file_heads import describe_files
 
 _CSV_GLOB = "*.[cC][sS][vV]"
 
@@ -68,33 +75,46 @@ def _binary(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def _header_cells(content: Column) -> Column:
-    line = F.rtrim(
-        F.substring_index(F.ltrim(content.cast("string"), F.lit("\r\n")), "\n", 1), F.lit("\r")
-    )
-    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*\z)', -1)
-    quoted = lambda c: c.startswith('"') & c.endswith('"') & (F.length(c) > 1)
-    return F.transform(
-        cells,
-        lambda c: F.when(
-            quoted(c), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(c),
-    )
+def _names(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The URIs of the CSV files at the paths, from Spark's listing; none is opened."""
+    return _binary(spark, [path] if isinstance(path, str) else list(path)).inputFiles()
 
 
-def file_headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Per file: its header cells, size and MD5. The file is read whole, for the MD5."""
-    return (
-        _binary(spark, path)
-        .select(
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_name").alias("filename"),
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("uploaded_at"),
-            F.md5("content").alias("md5_hash"),
-            _header_cells(F.col("content")).alias("headers"),
-        )
-    )
+def file_headers(spark: SparkSession, path: str | Sequence[str], digest: bool = False) -> DataFrame:
+    """Per file: name, size, time and header cells, from its first block; with ``digest`` also the MD5 of all of it."""
+    return describe_files(spark, _names(spark, path), digest)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """The files that have one header."""
+
+    headers: tuple[str, ...]
+    files: tuple[tuple[str, int], ...]  # path and size
+
+    def cells(self, fold_case: bool) -> list[str]:
+        return [h.strip(P.WHITESPACE).lower() for h in self.headers] if fold_case else list(self.headers)
+
+    def is_long(self) -> bool:
+        return set(LONG_REQUIRED) <= set(self.headers)
+
+    def is_wide(self) -> bool:
+        """Whether files that are not long have all required columns and a metric."""
+        held = set(self.cells(fold_case=True))
+        return not self.is_long() and held >= set(REQUIRED_COLUMNS) and not held.isdisjoint(METRICS)
+
+
+def layouts(spark: SparkSession, path: str | Sequence[str]) -> list[Layout]:
+    """The headers of the files, each with its files.
+
+    The driver holds the name of each file, as Spark's own listing does, and
+    each different header once.
+    """
+    heads = file_headers(spark, path).select("path", "size", "headers").toArrow()
+    found: dict[tuple[str, ...], list[tuple[str, int]]] = defaultdict(list)
+    for file, size, headers in zip(*(heads.column(i).to_pylist() for i in range(3))):
+        found[tuple(headers)].append((file, size))
+    return [Layout(headers, tuple(sorted(files))) for headers, files in sorted(found.items())]
 
 
 def normalise(names: Sequence[str]) -> list[str]:
@@ -115,21 +135,22 @@ def check_required_columns(
         raise ValueError(f"missing required headers: [{' '.join(missing)}]")
 
 
-def _noted(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """What was found out about the files, one small row each, kept in the shared folder
-    so that their contents are not read for it again."""
-    path = shared_dir(spark, "file-notes")
-    files.write.parquet(path)
-    return spark.read.parquet(path)
+#: Files of at least this size are cut into parts, if no field of theirs holds a line break.
+SPLIT_BYTES = 128 * 1024 * 1024
 
+#: The most scans that files with different headers are read in; those of still other headers are read in one more.
+MAX_SCANS = 64
 
 #: The file a row came from, under a name that no header can have: header cells are trimmed.
 _FILE = " file"
 
 
-def _cells(
-    spark: SparkSession, path: str | Sequence[str], width: int, multi_line: bool
-) -> DataFrame:
+def _literal(paths: Iterable[str]) -> list[str]:
+    """The paths with their glob characters escaped."""
+    return [re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in paths]
+
+
+def _scan(spark: SparkSession, files: Sequence[str], width: int, multi_line: bool) -> DataFrame:
     schema = T.StructType([T.StructField(f" {i}", T.StringType()) for i in range(width)])
     return (
         spark.read.schema(schema)
@@ -138,17 +159,44 @@ def _cells(
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("multiLine", str(multi_line).lower())
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _CSV_GLOB)
-        .csv(path)
+        .csv(_literal(files))
         .select("*", F.col("_metadata.file_path").alias(_FILE))
     )
 
 
+def _with_line_breaks(spark: SparkSession, files: Sequence[str]) -> set[str]:
+    """Of large files, those in which a field may hold a line break; found line by line, in parts.
+
+    Such a field begins in a line with an odd number of quotes. Lines that end
+    with a carriage return only are not told apart either.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    inner = F.col("value").contains("\r") & ~F.col("value").rlike("\\A[^\r]*\r\\z")
+    lines = spark.read.option("lineSep", "\n").text(_literal(files))
+    found = lines.where((quotes % 2 == 1) | inner).select(F.col("_metadata.file_path").alias("f")).distinct()
+    return {_spelt(unquote(row.f)) for row in found.collect()}
+
+
+def _spelt(path: str) -> str:
+    """One spelling of a decoded path: one slash before a local one."""
+    return re.sub("^file:/+", "file:/", path)
+
+
+def _cells(spark: SparkSession, files: Sequence[tuple[str, int]], width: int, multi_line: bool) -> DataFrame:
+    """The fields of the files by position; large files are split where their lines are whole records."""
+    small = [path for path, size in files if not multi_line or size < SPLIT_BYTES]
+    large = [path for path, size in files if multi_line and size >= SPLIT_BYTES]
+    broken = _with_line_breaks(spark, large) if large else set()
+    whole = small + [path for path in large if _spelt(path) in broken]
+    split = [path for path in large if _spelt(path) not in broken]
+    parts = [(whole, multi_line), (split, False)]
+    return reduce(DataFrame.unionAll, [_scan(spark, paths, width, how) for paths, how in parts if paths])
+
+
 def read_cells_by_name(
     spark: SparkSession, path: str | Sequence[str], names: Sequence[str], *, fold_case: bool,
     required: Sequence[str] = (), any_of: Sequence[str] = (), multi_line: bool = True,
-    files: DataFrame | None = None,
+    files: Sequence[Layout] | None = None,
 ) -> DataFrame:
     """The named fields as text, plus ``source_file``; a field the file does not have is NULL.
 
@@ -156,44 +204,47 @@ def read_cells_by_name(
     count as the last; other columns are not looked at, whatever their names.
     ``files`` is the result of an earlier header pass. A file that lacks a
     required column, or has none of ``any_of``, contributes no rows; if that is
-    so of every file, ValueError is raised.
+    so of every file, ValueError is raised. With ``multi_line`` a quoted field may
+    hold line breaks.
     """
-    if files is None:
-        files = _noted(spark, file_headers(spark, path).select("source_file", "headers"))
-    cell = (lambda h: F.lower(P.trim_space(h))) if fold_case else (lambda h: h)
-    own = files.select("source_file", F.transform("headers", cell).alias("_cells"))
-    # Where each wanted name stands in the header, counted from 1, the last of equals; 0 where it is not.
-    where = own.select(
-        F.col("source_file").alias("_path"),
-        F.size("_cells").alias("_width"),
-        *[
-            F.when(F.array_contains("_cells", n), F.size("_cells") + 1 - F.array_position(F.reverse("_cells"), n))
-            .otherwise(0).alias(f"_at_{i}")
-            for i, n in enumerate(names)
-        ],
-        *[F.array_contains("_cells", n).alias(f"_has_{i}") for i, n in enumerate([*required, *any_of])],
-    )
-    held = [F.col(f"_has_{i}") for i in range(len(required) + len(any_of))]
-    usable = F.lit(True)
-    for has in held[: len(required)]:
-        usable = usable & has
-    if any_of:
-        some = F.lit(False)
-        for has in held[len(required):]:
-            some = some | has
-        usable = usable & some
-    fit = where.filter(usable)
-    width = fit.agg(F.max("_width")).first()[0]
-    if width is None:
-        first = files.select("headers").orderBy("source_file").first()
+    known = layouts(spark, path) if files is None else files
+    places: dict[tuple[int, ...], list[tuple[str, int]]] = defaultdict(list)
+    for layout in known:
+        cells = layout.cells(fold_case)
+        if set(required) <= set(cells) and (not any_of or set(any_of) & set(cells)):
+            last = {cell: i for i, cell in enumerate(cells)}
+            places[tuple(last.get(n, -1) for n in names)] += layout.files
+    if not places:
+        first = min(known, key=lambda one: one.files[0], default=None)
         missing = missing_columns(first.headers if first else [], required) or list(any_of)
         raise ValueError(f"missing required headers: [{' '.join(missing)}]")
-    cells = _cells(spark, path, width, multi_line)
-    row = cells.select(F.array(*[F.col(f"` {i}`") for i in range(width)]).alias("_row"), F.col(f"`{_FILE}`").alias("_path"))
-    bound = row.join(fit, "_path")
+    by_size = sorted(places.items(), key=lambda one: (-len(one[1]), one[0]))
+    scans = []
+    for at, own in by_size[:MAX_SCANS]:
+        cells = _cells(spark, own, max(at) + 1, multi_line)
+        fields = [F.col(f"` {i}`") if i >= 0 else F.lit(None).cast("string") for i in at]
+        scans.append(cells.select(*[c.alias(n) for c, n in zip(fields, names)], F.col(f"`{_FILE}`").alias("source_file")))
+    if rest := by_size[MAX_SCANS:]:
+        scans.append(_bound_by_file(spark, rest, names, multi_line))
+    return reduce(DataFrame.unionByName, scans)
+
+
+def _bound_by_file(
+    spark: SparkSession, rest: Sequence[tuple[tuple[int, ...], Sequence[tuple[str, int]]]], names: Sequence[str],
+    multi_line: bool,
+) -> DataFrame:
+    """The named fields of files of many layouts, each row bound by what its file's name is joined to."""
+    width = max(max(at) for at, _ in rest) + 1
+    notes = spark.createDataFrame(
+        [(_spelt(path), list(at)) for at, own in rest for path, _ in own], "_path string, _at array<int>"
+    )
+    cells = _cells(spark, [file for _, own in rest for file in own], width, multi_line)
+    own_name = F.regexp_replace(F.url_decode(F.replace(F.col(f"`{_FILE}`"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    bound = cells.withColumn("_path", own_name).join(notes, "_path")
+    row = F.array(*[F.col(f"` {i}`") for i in range(width)])
     return bound.select(
-        *[F.when(F.col(f"_at_{i}") > 0, F.get("_row", F.col(f"_at_{i}") - 1)).alias(n) for i, n in enumerate(names)],
-        F.col("_path").alias("source_file"),
+        *[F.when(F.col("_at")[i] >= 0, F.get(row, F.col("_at")[i])).alias(n) for i, n in enumerate(names)],
+        F.col(f"`{_FILE}`").alias("source_file"),
     )
 
 
@@ -248,7 +299,7 @@ WIDE_COLUMNS = tuple(
 def read_wide_csv(
     spark: SparkSession, path: str | Sequence[str], as_of: datetime | str, *,
     timestamp_mode: str = "event", cluster_id: str = DEFAULT_CLUSTER,
-    multi_line: bool = True, files: DataFrame | None = None,
+    multi_line: bool = True, files: Sequence[Layout] | None = None,
 ) -> DataFrame:
     """One row per GPU and moment. Header names are trimmed and lower-cased; of two
     equal names the last wins; rows may be short or long. A file without any
@@ -287,7 +338,7 @@ LONG_REQUIRED = ("metric_name", "value")
 def read_long_csv(
     spark: SparkSession, path: str | Sequence[str], as_of: datetime | str, *,
     timestamp_mode: str = "event", cluster_id: str = DEFAULT_CLUSTER,
-    multi_line: bool = True, files: DataFrame | None = None, required: Sequence[str] = (),
+    multi_line: bool = True, files: Sequence[Layout] | None = None, required: Sequence[str] = (),
 ) -> DataFrame:
     """One row per metric. Header names are case-sensitive; no row is rejected.
 
@@ -309,28 +360,19 @@ def read_readings_csv(
     reading per GPU and second. Files of neither form are left out, and an empty
     folder gives no rows; ``ingest_manifest`` tells which files were.
     """
-    files = _noted(spark, file_headers(spark, path).select("source_file", "headers"))
+    files = layouts(spark, path)
     how = {"timestamp_mode": timestamp_mode, "cluster_id": cluster_id, "multi_line": multi_line}
-    nothing = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (*WIDE_COLUMNS, "source_file")))
-    rows = parse_wide(nothing, as_of, timestamp_mode, cluster_id)
-    wide, long = files.filter(_is_wide()), files.filter(_is_long())
-    if not wide.isEmpty():
-        rows = rows.unionByName(read_wide_csv(spark, path, as_of, files=wide, **how))
-    if not long.isEmpty():
+    wide, long = [one for one in files if one.is_wide()], [one for one in files if one.is_long()]
+    found = []
+    if wide:
+        found.append(read_wide_csv(spark, path, as_of, files=wide, **how))
+    if long:
         metrics = read_long_csv(spark, path, as_of, files=long, required=LONG_REQUIRED, **how)
-        rows = rows.unionByName(_long_as_wide(metrics, as_of))
-    return rows
-
-
-def _is_long() -> Column:
-    return F.array_contains("headers", LONG_REQUIRED[0]) & F.array_contains("headers", LONG_REQUIRED[1])
-
-
-def _is_wide() -> Column:
-    """Whether a file that is not long has all required columns and a metric."""
-    names = F.transform("headers", lambda h: F.lower(P.trim_space(h)))
-    held = F.arrays_overlap(names, F.array(*map(F.lit, METRICS)))
-    return ~_is_long() & held & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED_COLUMNS)), names)) == 0)
+        found.append(_long_as_wide(metrics, as_of))
+    if not found:
+        nothing = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (*WIDE_COLUMNS, "source_file")))
+        found.append(parse_wide(nothing, as_of, timestamp_mode, cluster_id))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _long_as_wide(metrics: DataFrame, as_of: datetime | str) -> DataFrame:
@@ -339,20 +381,25 @@ def _long_as_wide(metrics: DataFrame, as_of: datetime | str) -> DataFrame:
 
     names = {**METRIC_MAP, **{m: m for m in METRICS}}
     bad = F.isnan("value") | (F.abs("value") == float("inf"))
-    wide = long_to_wide(metrics.withColumn("value", F.when(bad, 0.0).otherwise(F.col("value"))), names)
-    keys = ["cluster_id", "hostname", "gpu_id", "ts"]
-    second = F.date_trunc("second", F.col("ts")).cast(metrics.schema["ts"].dataType)
-    origin = metrics.withColumn("ts", second).groupBy(*keys).agg(
-        F.max("source_file").alias("source_file"),
-        F.bool_or(bad).alias("_bad"),
+    values = metrics.withColumn("_bad", bad).withColumn("value", F.when(bad, 0.0).otherwise(F.col("value")))
+    wide = long_to_wide(
+        values, names, also={"source_file": F.max("source_file"), "_bad": F.bool_or("_bad")}
     )
-    return wide.join(origin, keys).select(
+    return wide.select(
         "ts", "cluster_id", *WIDE_ALIASES, *METRICS, instant(as_of).alias("ingested_at"), "source_file",
         F.when((F.col("gpu_id") == "") | (F.col("hostname") == ""), "missing required fields")
         .when(F.col("_bad"), "metric is not a finite number").alias("reject_reason"),
     )
 
 
+def _no_larger(layout: Layout, max_bytes: int | None) -> Layout:
+    return Layout(layout.headers, tuple(f for f in layout.files if max_bytes is None or f[1] <= max_bytes))
+
+
+def _file_key() -> Column:
+    return F.regexp_replace("source_file", "^file:/+", "file:/")
+
+
 def ingest_manifest(
     spark: SparkSession, path: str, as_of: datetime | str, *, max_bytes: int | None = None,
 ) -> DataFrame:
@@ -361,37 +408,41 @@ def ingest_manifest(
     Files that lack columns, and with ``max_bytes`` those that are larger, are
     listed with status ``error``. The records of a long file are its rows.
     """
-    files = _noted(spark, file_headers(spark, path))
+    fits = lambda one: one.is_long() or one.is_wide()
+    counts = spark.createDataFrame([], "_key string, _processed long, _total long")
+    known = [_no_larger(one, max_bytes) for one in layouts(spark, path) if fits(one)]
+    for long, read in ((False, read_wide_csv), (True, read_long_csv)):
+        chosen = [one for one in known if one.files and one.is_long() == long]
+        if not chosen:
+            continue
+        rows = read(spark, path, as_of, files=chosen)
+        good = F.lit(True) if long else F.col("reject_reason").isNull()
+        counts = counts.unionByName(
+            rows.groupBy(_file_key().alias("_key")).agg(
+                F.count_if(good).alias("_processed"), F.count(F.lit(1)).alias("_total")
+            )
+        )
     names = F.transform("headers", lambda h: F.lower(P.trim_space(h)))
     lacking = F.filter(
         F.array(*map(F.lit, REQUIRED_COLUMNS)), lambda r: ~F.array_contains(names, r)
     )
+    is_long = F.array_contains("headers", LONG_REQUIRED[0]) & F.array_contains("headers", LONG_REQUIRED[1])
+    no_metric = ~F.arrays_overlap(names, F.array(*map(F.lit, METRICS)))
     missing = (
-        F.when(_is_long(), F.array().cast("array<string>"))
-        .when((F.size(lacking) == 0) & ~_is_wide(), F.array(F.lit("any metric")))
+        F.when(is_long, F.array().cast("array<string>"))
+        .when((F.size(lacking) == 0) & no_metric, F.array(F.lit("any metric")))
         .otherwise(lacking)
     )
     refused = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
-    checked = files.withColumn("_missing", missing).withColumn("_refused", refused)
-    fit = checked.filter((F.size("_missing") == 0) & ~F.col("_refused"))
-    counts = spark.createDataFrame([], "source_file string, _processed long, _total long")
-    for chosen, read in (
-        (fit.filter(~_is_long()), read_wide_csv), (fit.filter(_is_long()), read_long_csv)
-    ):
-        if chosen.isEmpty():
-            continue
-        rows = read(spark, path, as_of, files=chosen)
-        good = F.col("reject_reason").isNull() if read is read_wide_csv else F.lit(True)
-        counts = counts.unionByName(
-            rows.groupBy("source_file").agg(
-                F.count_if(good).alias("_processed"), F.count(F.lit(1)).alias("_total")
-            )
-        )
+    checked = (
+        file_headers(spark, path, digest=True).withColumn("_missing", missing).withColumn("_refused", refused)
+        .withColumn("_key", _file_key())
+    )
     bad = (F.size("_missing") > 0) | F.col("_refused")
     total = F.when(bad, 0).otherwise(F.coalesce("_total", F.lit(0)))
     processed = F.when(bad, 0).otherwise(F.coalesce("_processed", F.lit(0)))
     return (
-        checked.join(counts, "source_file", "left")
+        checked.join(counts, "_key", "left")
         .select(
             F.concat_ws(
                 "_",
@@ -417,17 +468,21 @@ def ingest_manifest(
 
 
 def stream_csv_files(
-    spark: SparkSession, path: str, *, files_per_trigger: int = 1000
+    spark: SparkSession, path: str, *, files_per_trigger: int = 1000, bytes_per_trigger: int | None = None
 ) -> DataFrame:
     """The paths of files arriving over time below a folder; contents are not read.
 
     A micro-batch reads its files by :func:`read_readings_csv`, so that each is
-    bound by its own header.
+    bound by its own header. It admits ``files_per_trigger`` files or, if given,
+    files of ``bytes_per_trigger`` together (a larger one alone).
     """
+    most = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else (
+        "maxBytesPerTrigger", bytes_per_trigger
+    )
     return (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
-        .option("maxFilesPerTrigger", files_per_trigger)
+        .option(*most)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _CSV_GLOB)
         .load(path)

@@ -91,6 +91,14 @@ def decode_messages(
     A payload must be one JSON object: an empty or blank one, and one with text
     after the object, is malformed. Missing numbers are 0, missing texts empty.
     """
+    return split_decoded(parse_messages(df, schema), schema)
+
+
+def parse_messages(df: DataFrame, schema: T.StructType = RECORD) -> DataFrame:
+    """The messages with their payload as ``record``, ``broken`` where it is malformed.
+
+    A job that needs both outcomes keeps this and splits it by :func:`split_decoded`.
+    """
     with_bad = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
     text = F.decode("payload", "UTF-8")
     parsed = df.withColumn(
@@ -101,6 +109,11 @@ def decode_messages(
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     whole = F.coalesce(alone & text.rlike(r"\A\s*\{"), F.lit(False))
     broken = F.col("payload").isNull() | F.col("record").isNull() | F.col("record._bad").isNotNull() | ~whole
+    return parsed.withColumn("broken", broken)
+
+
+def split_decoded(parsed: DataFrame, schema: T.StructType = RECORD) -> tuple[DataFrame, DataFrame]:
+    """(records, malformed messages) of :func:`parse_messages`."""
 
     def field(f: T.StructField) -> Column:
         value = F.col(f"record.{f.name}")
@@ -110,10 +123,11 @@ def decode_messages(
             value = F.coalesce(value, F.lit(0).cast(f.dataType))
         return value.alias(f.name)
 
-    kept = [c for c in ("message_id", "topic", "stream_key", "created_at") if c in df.columns]
-    good = parsed.filter(~broken).select(*kept, *map(field, schema.fields))
-    bad = parsed.filter(broken).withColumn("bad_payload", F.coalesce(text, F.lit("")))
-    return good, bad.drop("record")
+    kept = [c for c in ("message_id", "topic", "stream_key", "created_at") if c in parsed.columns]
+    good = parsed.filter(~F.col("broken")).select(*kept, *map(field, schema.fields))
+    text = F.coalesce(F.decode("payload", "UTF-8"), F.lit(""))
+    bad = parsed.filter("broken").withColumn("bad_payload", text)
+    return good, bad.drop("record", "broken")
 
 
 def records_to_readings(records: DataFrame, as_of, cluster_id: str) -> DataFrame:

@@ -30,7 +30,12 @@ def write_readings(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The table of :func:`write_readings`; clusters are text, whatever their names look like."""
+    found = spark.read.parquet(path)
+    if isinstance(found.schema["cluster_id"].dataType, T.StringType):
+        return found
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "cluster_id" else f for f in found.schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def import_kv_dump(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +18,9 @@ from ..operators.readings import latest_readings, stamp_lineage, upsert_readings
 from ..operators.registry import gpu_status, register_gpus, register_hosts
 from ..schemas import ATTRIBUTES, DEFAULT_CLUSTER, IDENTITY, METRICS
 from ..sources.csv_files import read_readings_csv, stream_csv_files
-from ..sources.messages import decode_messages, encode_messages, records_to_readings
-from .sinks import read_batches_of, start_batches, write_batch, write_with_retry
+from ..sources.messages import encode_messages, parse_messages, records_to_readings, split_decoded
+from .point_store import append_points
+from .sinks import BatchName, read_batches_of, start_batches, write_batch, write_with_retry
 
 
 def snapshot_then_tail(
@@ -31,29 +35,43 @@ def snapshot_then_tail(
     )
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows, worked out once for several outputs; what a lost executor held is worked out again."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def run_ingest_stream(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, *,
     as_of: datetime | str | None = None, topic: str = "telemetry", ttl_seconds: int = 3600,
-    timestamp_mode: str = "event", files_per_trigger: int = 1000, interval: str | None = None,
+    timestamp_mode: str = "event", files_per_trigger: int = 1000, bytes_per_trigger: int | None = None,
+    interval: str | None = None,
 ) -> StreamingQuery:
     """Wide and long CSV files to ``out_dir/messages`` and ``out_dir/rejects``.
 
     Every file is bound by its own header. The driver holds the paths of one
-    micro-batch, at most ``files_per_trigger``. ``as_of`` fixes the clock, for tests and replays; otherwise it is the moment
-    the micro-batch starts.
+    micro-batch, at most ``files_per_trigger`` or those of ``bytes_per_trigger``.
+    Several streams may write to one ``out_dir``. ``as_of`` fixes the clock, for
+    tests and replays; otherwise it is the moment the micro-batch starts.
     """
-    arrived = stream_csv_files(spark, in_dir, files_per_trigger=files_per_trigger)
+    arrived = stream_csv_files(
+        spark, in_dir, files_per_trigger=files_per_trigger, bytes_per_trigger=bytes_per_trigger
+    )
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def handle(batch: DataFrame, name: BatchName) -> None:
         now = as_of or datetime.now().astimezone()
         paths = [row.path for row in batch.collect()]
         if not paths:
             return
-        rows = read_readings_csv(batch.sparkSession, paths, now, timestamp_mode=timestamp_mode)
-        good, rejected = drop_missing_identity(rows)
-        messages = encode_messages(good, topic, ttl_seconds, now)
-        write_with_retry(messages, lambda df: write_batch(df, f"{out_dir}/messages", batch_id))
-        write_with_retry(rejected, lambda df: write_batch(df, f"{out_dir}/rejects", batch_id))
+        with kept(read_readings_csv(batch.sparkSession, paths, now, timestamp_mode=timestamp_mode)) as rows:
+            good, rejected = drop_missing_identity(rows)
+            messages = encode_messages(good, topic, ttl_seconds, now)
+            write_with_retry(messages, lambda df: write_batch(df, f"{out_dir}/messages", name))
+            write_with_retry(rejected, lambda df: write_batch(df, f"{out_dir}/rejects", name))
 
     return start_batches(arrived, handle, checkpoint, interval)
 
@@ -65,21 +83,26 @@ def run_collect_stream(
 ) -> StreamingQuery:
     """Messages to logs below ``store``: points, sightings, newest readings, dead letters.
 
-    Each log has one folder per micro-batch. The points of the batch are written
-    first; what is derived from them reads only the columns it needs back.
+    Each log has one folder per stream and micro-batch, that of the points with
+    folders by cluster and day in it (:mod:`point_store`). The points of the batch
+    are written first; what is derived from them reads only the columns it needs
+    back.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def handle(batch: DataFrame, name: BatchName) -> None:
         spark = batch.sparkSession
         now = as_of or datetime.now().astimezone()
-        good, bad = decode_messages(batch)
-        points = stamp_lineage(
-            upsert_readings(records_to_readings(good, now, cluster_id), order=("stream_key",)),
-            collector_id, now,
-        )
-        write_with_retry(points, lambda df: write_batch(df, f"{store}/points", batch_id))
-        write_with_retry(bad, lambda df: write_batch(df, f"{store}/dead_letters", batch_id))
-        stored = spark.read.parquet(f"{store}/points/micro_batch={batch_id}")
+        with kept(parse_messages(batch)) as parsed:
+            good, bad = split_decoded(parsed)
+            points = stamp_lineage(
+                upsert_readings(records_to_readings(good, now, cluster_id), order=("stream_key",)),
+                collector_id, now,
+            )
+            write_with_retry(points, lambda df: append_points(df, store, name))
+            write_with_retry(bad, lambda df: write_batch(df, f"{store}/dead_letters", name))
+        # Messages without a whole record have left no files, and then no folders to read.
+        columns = points.withColumn("event_date", F.to_date("ts")).schema
+        stored = spark.read.schema(columns).parquet(f"{store}/points/{name.folder}")
         sightings = stored.groupBy(*IDENTITY, *ATTRIBUTES).agg(
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
             F.min("stream_key").alias("stream_key"),
@@ -87,30 +110,12 @@ def run_collect_stream(
         newest = latest_readings(
             stored, order=("ts", "stream_key"), columns=("ts", "stream_key", *METRICS)
         )
-        write_with_retry(sightings, lambda df: write_batch(df, f"{store}/sightings", batch_id))
-        write_with_retry(newest, lambda df: write_batch(df, f"{store}/newest", batch_id))
+        write_with_retry(sightings, lambda df: write_batch(df, f"{store}/sightings", name))
+        write_with_retry(newest, lambda df: write_batch(df, f"{store}/newest", name))
 
     return start_batches(messages, handle, checkpoint, interval)
 
 
-def current_points(
-    spark: SparkSession, store: str, compacted: int | None = None
-) -> DataFrame:
-    """The points log with the last write per GPU and second.
-
-    ``compacted`` names a version written by :func:`compact_points`; then only
-    the micro-batches after it are read from the log.
-    """
-    log = read_batches_of(spark, f"{store}/points")
-    if compacted is not None:
-        done = spark.read.parquet(_version(store, compacted))
-        log = log.filter(F.col("micro_batch") > compacted)
-        log = log.drop("micro_batch").unionByName(done)
-    else:
-        log = log.drop("micro_batch")
-    return upsert_readings(log.drop("telemetry_id"), order=("stream_key",))
-
-
 def _sightings(spark: SparkSession, store: str) -> DataFrame:
     log = read_batches_of(spark, f"{store}/sightings")
     return log.select(
@@ -130,27 +135,6 @@ def current_gpus(spark: SparkSession, store: str, collector_id: str = "collector
     return gpu_status(gpus, newest)
 
 
-def _version(store: str, micro_batch: int) -> str:
-    return f"{store}/points-up-to-{micro_batch}"
-
-
-def compact_points(
-    spark: SparkSession, store: str, micro_batch: int, previous: int | None = None
-) -> None:
-    """Write the points as of a finished micro-batch, starting from an earlier version.
-
-    Each version has its own folder, so nothing that may be read is overwritten.
-    """
-    log = read_batches_of(spark, f"{store}/points").filter(F.col("micro_batch") <= micro_batch)
-    if previous is not None:
-        log = log.filter(F.col("micro_batch") > previous)
-    log = log.drop("micro_batch")
-    if previous is not None:
-        log = log.unionByName(spark.read.parquet(_version(store, previous)))
-    merged = upsert_readings(log.drop("telemetry_id"), order=("stream_key",))
-    merged.write.mode("errorifexists").parquet(_version(store, micro_batch))
-
-
 def batch_stream(
     sdf: DataFrame, by: str, size: int, out_dir: str, checkpoint: str,
     interval: str | None = "10 seconds", seq: str = "seq",
@@ -158,8 +142,8 @@ def batch_stream(
     """Batches of at most ``size`` rows per partition key; each trigger flushes what it has."""
     return start_batches(
         sdf,
-        lambda batch, batch_id: write_with_retry(
-            pack_batches(batch, by, size, seq), lambda df: write_batch(df, out_dir, batch_id)
+        lambda batch, name: write_with_retry(
+            pack_batches(batch, by, size, seq), lambda df: write_batch(df, out_dir, name)
         ),
         checkpoint, interval,
     )

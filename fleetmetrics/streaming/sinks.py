@@ -3,38 +3,99 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 # Tries per batch and the base delay between them, in seconds.
 MAX_RETRIES, RETRY_DELAY = 3, 1.0
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+@dataclass(frozen=True)
+class BatchName:
+    """A micro-batch: the id of its stream, which the stream's checkpoint keeps over restarts, and its number."""
+
+    stream: str
+    number: int
+
+    @property
+    def folder(self) -> str:
+        return f"from_stream={self.stream}/micro_batch={self.number}"
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id in a running stream's checkpoint."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
+def write_batch(
+    df: DataFrame, path: str, batch: BatchName, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()
+) -> None:
     """Write a micro-batch to its own folder; a replay of one that was finished does nothing.
 
-    So a folder that others may be reading is never replaced; only what an
-    interrupted write has left is.
+    The folder is named by stream and number, so streams that share ``path`` stay
+    apart. When all files are there, a mark is written beside the data; a folder
+    without one is what an interrupted write has left, and is replaced. With
+    ``partition_by`` the batch has folders by these columns.
     """
-    folder = f"{path}/micro_batch={batch_id}"
-    if not _finished(df.sparkSession, folder):
-        df.write.mode("overwrite").parquet(folder)
+    spark = df.sparkSession
+    folder, mark = f"{path}/{batch.folder}", f"{path}/{_MARKS}/{batch.folder}"
+    if _exists(spark, mark):
+        return
+    if partition_by:
+        df = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *sort_by)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+    spark.range(0, 1, 1, 1).write.mode("overwrite").parquet(mark)
+
+
+#: Where the marks of finished batches lie; readers of the data pass over names that begin so.
+_MARKS = "_finished"
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("id long").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
-def _finished(spark: SparkSession, folder: str) -> bool:
-    """Whether the folder holds the marker that Spark leaves when all its files are there."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+def finished_batches(spark: SparkSession, path: str) -> DataFrame:
+    """``from_stream, micro_batch`` of the finished batches below ``path``; none where nothing was written."""
+    marks, schema = f"{path}/{_MARKS}", "id long, from_stream string, micro_batch long"
+    if not _exists(spark, marks):
+        return spark.createDataFrame([], schema).drop("id")
+    return spark.read.schema(schema).parquet(marks).drop("id")
 
 
 def read_batches_of(spark: SparkSession, path: str) -> DataFrame:
-    """All micro-batches below ``path``, with their number as ``micro_batch``."""
-    return spark.read.parquet(path)
+    """All micro-batches below ``path``, without the names of their folders."""
+    return read_named_batches(spark, path).drop("from_stream", "micro_batch")
+
+
+def read_named_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All micro-batches below ``path``, with ``from_stream`` and ``micro_batch``.
+
+    Folder names are read as text, but for the number of the batch and dates: a
+    cluster may be called 007.
+    """
+    found = spark.read.parquet(path)
+    kinds = {"micro_batch": T.LongType(), "written_in": T.IntegerType(), "event_date": T.DateType()}
+    folders = {"from_stream", "cluster_id", *kinds}
+    if all(found.schema[c].dataType == kinds.get(c, T.StringType()) for c in folders & set(found.columns)):
+        return found
+    fields = [
+        T.StructField(f.name, kinds.get(f.name, T.StringType())) if f.name in folders else f for f in found.schema.fields
+    ]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 @dataclass
@@ -114,11 +175,18 @@ def write_with_retry(
 
 
 def start_batches(
-    sdf: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
-    interval: str | None = None,
+    sdf: DataFrame, handle: Callable[[DataFrame, BatchName], None], checkpoint: str,
+    interval: str | None = None, mode: str = "append",
 ) -> StreamingQuery:
     """Run ``handle`` on every micro-batch; without an interval, until the input is used up."""
-    writer = sdf.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    own: list[str] = []
+
+    def named(batch: DataFrame, number: int) -> None:
+        if not own:
+            own.append(stream_id(batch.sparkSession, checkpoint))
+        handle(batch, BatchName(own[0], number))
+
+    writer = sdf.writeStream.outputMode(mode).foreachBatch(named).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
@@ -128,10 +196,4 @@ def start_table(
     interval: str | None = None,
 ) -> StreamingQuery:
     """Write each micro-batch of ``sdf`` to its own folder below ``path``."""
-    writer = (
-        sdf.writeStream.outputMode(mode)
-        .foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id))
-        .option("checkpointLocation", checkpoint)
-    )
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    return start_batches(sdf, lambda batch, name: write_batch(batch, path, name), checkpoint, interval, mode)

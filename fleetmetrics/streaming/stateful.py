@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.throttle import DEFAULT_BURST, DEFAULT_RATE, Bucket
-from .sinks import start_batches
+from .sinks import BatchName, start_batches
 
 # The row code below travels with its tasks; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -191,8 +191,8 @@ def change_events(
 
 
 def change_feed(
-    sdf: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str,
+    sdf: DataFrame, callback: Callable[[DataFrame, BatchName], None], checkpoint: str,
     interval: str | None = None, **columns: str,
 ) -> StreamingQuery:
-    """Hand every micro-batch of :func:`change_events` to ``callback(events, batch_id)``."""
+    """Hand every micro-batch of :func:`change_events` to ``callback(events, batch)``; ``batch`` is its name."""
     return start_batches(change_events(sdf, **columns), callback, checkpoint, interval)

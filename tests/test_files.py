@@ -192,3 +192,72 @@ def test_long_files_in_the_jobs(spark, tmp_path):
     assert [r.reject_reason for r in done.rejected.collect()] == ["missing required fields"]
     states = {r.filename: (r.status, r.record_count) for r in S.ingest_manifest(spark, folder, NOW).collect()}
     assert states == {"a.csv": ("processed", 2), "b.csv": ("processed", 3), "c.csv": ("error", 0)}
+
+
+def test_header_pass_reads_no_contents(spark, tmp_path):
+    """A sparse file above 2 GiB is listed, has its header, and is read in parts."""
+    import os
+
+    put(tmp_path, a=WIDE)
+    big = tmp_path / "big.csv"
+    big.write_text("timestamp,gpu_id,hostname,temperature\n2024-01-01T00:00:00Z,7,h,5\n")
+    os.truncate(big, 2**31 + 4096)
+    found = {r.filename: r for r in S.file_headers(spark, str(tmp_path)).collect()}
+    assert found["big.csv"].size == 2**31 + 4096 and found["big.csv"].headers[-1] == "temperature"
+    plan = S.file_headers(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "FileScan" not in plan
+    assert len(S.layouts(spark, str(tmp_path))) == 2
+    states = {r.filename: r.status for r in S.ingest_manifest(spark, str(tmp_path), NOW, max_bytes=10**6).select("filename", "status").collect()}
+    assert states == {"a.csv": "processed", "big.csv": "error"}
+
+
+def test_file_heads(tmp_path):
+    import io
+
+    from fleetmetrics.sources import file_heads as H
+
+    assert H.first_line(io.BytesIO(b"\r\n\na,b\r\nc")) == b"a,b" and H.first_line(io.BytesIO(b"")) == b""
+    wide = b",".join(b"c%d" % i for i in range(60_000))
+    assert len(wide) > 2 * H.FIRST_BLOCK and H.first_line(io.BytesIO(wide + b"\nx")) == wide
+    assert H.first_line(io.BytesIO(b"x" * (H.MAX_HEADER + 1))) == b""
+    assert H.header_cells(b'a,"b ""c"", d",') == ["a", 'b "c", d', ""] and H.header_cells(b"") == [""]
+
+
+def test_large_files_are_split_unless_a_field_holds_a_line_break(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "SPLIT_BYTES", 100)
+    lines = "".join(f"2024-01-01T00:00:{i:02d}Z,{i},h,1\n" for i in range(60))
+    header = "timestamp,gpu_id,hostname,temperature\n"
+    folder = put(
+        tmp_path, plain=header + lines, quoted=header + '2024-01-01T00:00:00Z,x,"h\n2",3\n' + lines,
+        small=header + "2024-01-01T00:00:00Z,y,h,1\n",
+    )
+    conf = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(conf, 500)
+    spark.conf.set("spark.sql.files.openCostInBytes", 10)
+    try:
+        rows = S.read_wide_csv(spark, folder, NOW)
+        assert rows.rdd.getNumPartitions() > 4
+        by_host = {(r.gpu_id, r.hostname) for r in rows.collect()}
+        assert rows.count() == 122 and ("x", "h\n2") in by_host and ("59", "h") in by_host
+    finally:
+        spark.conf.unset(conf)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_many_layouts(spark, tmp_path, monkeypatch):
+    """Files of more layouts than there may be scans give the same rows, also with odd characters in their names."""
+    import itertools
+
+    folder = tmp_path / "a b[1]{x}"
+    folder.mkdir()
+    for i, order in enumerate(itertools.permutations(("timestamp", "gpu_id", "hostname", "temperature"))):
+        values = {"timestamp": "2024-01-01T00:00:00Z", "gpu_id": str(i), "hostname": "h", "temperature": str(i)}
+        (folder / f"c+é%{i}.csv").write_text(",".join(order) + "\n" + ",".join(values[c] for c in order) + "\n")
+    want = [(str(i), float(i)) for i in range(24)]
+    for most in (64, 3):
+        monkeypatch.setattr(S, "MAX_SCANS", most)
+        rows = S.read_wide_csv(spark, str(tmp_path), NOW).collect()
+        assert sorted((r.gpu_id, r.temperature) for r in rows) == sorted(want)
+        assert len({r.source_file for r in rows}) == 24
+    manifest = S.ingest_manifest(spark, str(tmp_path), NOW).collect()
+    assert [(r.status, r.record_count) for r in manifest] == [("processed", 1)] * 24

@@ -12,7 +12,7 @@ from fleetmetrics.plans.collect import collect_messages
 from fleetmetrics.session import shared_dir
 from fleetmetrics.sources.messages import decode_messages, encode_messages
 from fleetmetrics.sources.store import read_readings, write_readings
-from fleetmetrics.streaming import jobs, sinks, stateful, windows
+from fleetmetrics.streaming import jobs, point_store, sinks, stateful, windows
 from test_operators import T0, WIDE, reading
 
 NOW = "2024-02-01T12:00:00Z"
@@ -71,17 +71,83 @@ def test_ingest_stream_binds_each_file_by_its_own_header(spark, tmp_path):
 
 
 def test_write_batch_can_be_replayed(spark, tmp_path):
-    df = spark.range(5)
-    for _ in range(2):
-        sinks.write_batch(df, str(tmp_path / "t"), 3)
-        before = set((tmp_path / "t" / "micro_batch=3").iterdir())
-    assert sinks.read_batches_of(spark, str(tmp_path / "t")).count() == 5
-    # A finished batch stays as it is; what an interrupted one left is replaced.
-    sinks.write_batch(df, str(tmp_path / "t"), 3)
-    assert set((tmp_path / "t" / "micro_batch=3").iterdir()) == before
-    (tmp_path / "t" / "micro_batch=3" / "_SUCCESS").unlink()
-    sinks.write_batch(spark.range(7), str(tmp_path / "t"), 3)
-    assert sinks.read_batches_of(spark, str(tmp_path / "t")).count() == 7
+    path, name = str(tmp_path / "t"), sinks.BatchName("s", 3)
+    folder = tmp_path / "t" / name.folder
+    sinks.write_batch(spark.range(5), path, name)
+    before = set(folder.iterdir())
+    assert sinks.read_batches_of(spark, path).count() == 5
+    # A finished batch stays as it is, also where Spark leaves no markers of its own.
+    (folder / "_SUCCESS").unlink()
+    before -= {folder / "_SUCCESS", folder / "._SUCCESS.crc"}
+    sinks.write_batch(spark.range(7), path, name)
+    assert set(folder.iterdir()) - {folder / "._SUCCESS.crc"} == before
+    # What an interrupted one left is replaced.
+    spark.range(9).write.parquet(f"{path}/from_stream=s/micro_batch=4")
+    sinks.write_batch(spark.range(2), path, sinks.BatchName("s", 4))
+    sinks.write_batch(spark.range(3), path, sinks.BatchName("other", 3))
+    assert sinks.read_batches_of(spark, path).count() == 5 + 2 + 3
+    assert rows(sinks.finished_batches(spark, path)) == [("other", 3), ("s", 3), ("s", 4)]
+    assert sinks.finished_batches(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_two_streams_into_one_folder(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for part in "abab":
+        folder = tmp_path / part
+        folder.mkdir(exist_ok=True)
+        (folder / "f.csv").write_text(f"{','.join(HEADER)}\n2024-01-01T00:00:00Z,{part},h,1\n")
+        jobs.run_ingest_stream(spark, str(folder), out, f"{out}/ckpt-{part}", as_of=NOW).awaitTermination()
+    sent = sinks.read_batches_of(spark, f"{out}/messages")
+    assert sorted(r.gpu_id for r in decode_messages(sent)[0].collect()) == ["a", "b"]
+    packed = str(tmp_path / "packed")
+    for part in (1, 2):
+        one = spark.createDataFrame([reading(part, part)], WIDE)
+        jobs.batch_stream(stream(spark, one), "hostname", 5, f"{packed}/out", f"{packed}/ckpt-{part}", None).awaitTermination()
+    assert sinks.read_batches_of(spark, f"{packed}/out").selectExpr("sum(n)").first()[0] == 2
+
+
+def test_versions_of_the_store(spark):
+    """Clusters named like numbers, two writers, days that only one version touches."""
+    out = shared_dir(spark, "store")
+
+    def collect(part, clusters, *data):
+        df = spark.createDataFrame(list(data), WIDE)
+        for cluster in clusters:
+            sdf = stream(spark, encode_messages(df, "telemetry", 60, NOW))
+            where = f"{out}/ckpt-{part}-{cluster}"
+            jobs.run_collect_stream(sdf, out, where, as_of=NOW, cluster_id=cluster).awaitTermination()
+
+    def seen(**version):
+        got = point_store.current_points(spark, out, **version)
+        return rows(got.select("cluster_id", F.col("event_date").cast("string"), "gpu_id", "temperature"))
+
+    broken = encode_messages(spark.createDataFrame([reading(1)], WIDE), "telemetry", 60, NOW)
+    broken = broken.withColumn("payload", F.encode(F.lit("{"), "UTF-8"))
+    jobs.run_collect_stream(stream(spark, broken), out, f"{out}/ckpt", as_of=NOW).awaitTermination()
+    assert seen() == []
+    day = 24 * 3600
+    collect(1, ("007", "7"), reading(1, 0, temp=1.0), reading(2, day, temp=2.0))
+    first = seen()
+    assert len(first) == 4 and {r[0] for r in first} == {"007", "7"}
+    point_store.compact_points(spark, out, 1)
+    assert seen(version=1) == first
+    collect(2, ("7",), reading(3, day, temp=3.0), reading(4, 2 * day, gpu="1", temp=4.0))
+    second = seen()
+    assert second != first and seen(version=1) == second
+    point_store.compact_points(spark, out, 2, previous=1)
+    assert seen(version=2) == second
+    # The second version holds only the days that were touched, and finds the others where they were.
+    written = sinks.read_named_batches(spark, f"{out}/days").groupBy("written_in", "cluster_id").count()
+    assert rows(written) == [(1, "007", 2), (1, "7", 2), (2, "7", 2)]
+    collect(3, ("8",), reading(5, 0))
+    one_day = R.time_range(point_store.current_points(spark, out, version=2), T0, T0 + timedelta(hours=1))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = one_day._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line and ("/points]" in line or "/days]" in line)]
+    assert len(scans) >= 3 and all("event_date" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+    assert "dynamicpruning" in plan.lower()
+    assert sorted(r.cluster_id for r in one_day.collect()) == ["007", "7", "8"]
 
 
 def test_collect_stream_equals_the_batch_job(spark):
@@ -97,17 +163,17 @@ def test_collect_stream_equals_the_batch_job(spark):
     jobs.run_collect_stream(sdf, out, f"{out}/ckpt", as_of=NOW).awaitTermination()
     batch = collect_messages(sent[0].unionByName(sent[1]), NOW)
     pick = ("telemetry_id", "stream_key", "temperature", "batch_id", "collector_id")
-    points = jobs.current_points(spark, out)
+    points = point_store.current_points(spark, out)
     assert rows(points.select(*pick)) == rows(batch.points.select(*pick))
     status = ("hostname", "gpu_id", "uuid", "status")
     assert rows(jobs.current_gpus(spark, out).select(*status)) == rows(batch.gpus.select(*status))
     assert rows(jobs.current_hosts(spark, out).select("hostname", "created_at", "status.last_seen")) == \
         rows(batch.hosts.select("hostname", "created_at", "status.last_seen"))
     assert sinks.read_batches_of(spark, f"{out}/dead_letters").count() == 1
-    jobs.compact_points(spark, out, 0)
-    assert rows(jobs.current_points(spark, out, compacted=0).select(*pick)) == rows(points.select(*pick))
-    jobs.compact_points(spark, out, 1, previous=0)
-    assert rows(jobs.current_points(spark, out, compacted=1).select(*pick)) == rows(points.select(*pick))
+    point_store.compact_points(spark, out, 0)
+    assert rows(point_store.current_points(spark, out, version=0).select(*pick)) == rows(points.select(*pick))
+    point_store.compact_points(spark, out, 1, previous=0)
+    assert rows(point_store.current_points(spark, out, version=1).select(*pick)) == rows(points.select(*pick))
 
 
 def test_first_sightings_and_status(spark):
@@ -160,7 +226,7 @@ def test_liveness_stretches(spark):
              [(0, "healthy"), (20, "unhealthy"), (60, ""), (1000, "healthy")]]
     schema = "service_type string, instance_id string, ts timestamp, health string"
     df = spark.createDataFrame(beats, schema)
-    got = table(spark, windows.liveness_stream(stream(spark, df), 30)).drop("micro_batch")
+    got = table(spark, windows.liveness_stream(stream(spark, df), 30))
     at = lambda s: T0 + timedelta(seconds=s)
     assert rows(got) == [("x", "a", at(0), at(50), "unhealthy", 2), ("x", "a", at(60), at(90), "healthy", 1)]
 
@@ -199,7 +265,7 @@ def test_batch_stream_flushes_every_trigger(spark):
     jobs.batch_stream(stream(spark, a, a), "hostname", 5, f"{path}/out", f"{path}/ckpt", None).awaitTermination()
     got = sinks.read_batches_of(spark, f"{path}/out")
     assert sorted(r.n for r in got.collect()) == [2, 2, 5, 5]
-    assert rows(got.filter("micro_batch = 0").select("batch_no", "n")) == rows(
+    assert rows(sinks.read_named_batches(spark, f"{path}/out").filter("micro_batch = 0").select("batch_no", "n")) == rows(
         pack_batches(a, "hostname", 5).select("batch_no", "n"))
 
 
@@ -210,7 +276,7 @@ def test_windows_batch_equals_stream(spark):
     got = table(spark, windows.windowed_utilisation(stream(spark, df), "10 minutes", "5 minutes", "0 seconds"))
     last = df.agg(F.max("ts")).first()[0]
     closed = batch.filter(F.col("window_end") <= F.lit(last))
-    assert rows(got.drop("micro_batch")) == rows(closed) and got.count() > 30
+    assert rows(got) == rows(closed) and got.count() > 30
 
 
 def test_retry():
