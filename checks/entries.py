@@ -771,7 +771,7 @@ def publish_decisions(spark, sf_dir):
 @query
 def throttle_batch(spark, sf_dir):
     rows = tm.readings(spark, sf_dir).select("seq", "hostname", "ts")
-    return throttle_flags(rows, "hostname", DAILY_RATE, DAILY_BURST, cell_seconds=86400)
+    return throttle_flags(rows, "hostname", DAILY_RATE, DAILY_BURST)
 
 
 # ---- files ----

@@ -8,40 +8,40 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batching import CHUNK_WIDTH, join_null_safe
+from .batching import RANGE_ROWS, by_ranges, join_null_safe
 
 
 def classify_changes(
     changelog: DataFrame, keys: Sequence[str], seq: str = "seq", op: str = "op",
-    chunk_width: int = CHUNK_WIDTH,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Each PUT as ``create`` or ``update`` and each DELETE as ``delete``, in ``event_type``.
 
     A put is a creation if the key was never put before or was deleted last.
-    ``seq`` is a unique whole number. Each chunk of it takes the key's last
-    operation from the chunks before, so a hot key needs no single window.
-    A NULL key is a key like others; rows without ``seq`` come first.
+    ``seq`` is a unique whole number. Each run of rows (:func:`by_ranges`) takes
+    the key's last operation from the runs before, so a hot key needs no single
+    window. A NULL key is a key like others; rows without ``seq`` come first.
     """
-    rows = changelog.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk_width))).withColumn(
-        "_gone", F.col(op) == "DELETE"
-    )
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    rows = by_ranges(changelog, keys, [seq], range_rows).withColumn("_gone", F.col(op) == "DELETE")
+    by_range = Window.partitionBy(*keys).orderBy("_range")
+    # A key's last row of a run: rows without seq come before all others.
+    place = F.struct(F.col(seq).isNotNull(), F.col(seq))
     carried = (
-        rows.groupBy(*keys, "_chunk")
-        .agg(F.max_by("_gone", seq).alias("_last"))
-        .withColumn("_before", F.lag("_last").over(by_chunk))
+        rows.groupBy(*keys, "_range")
+        .agg(F.max_by("_gone", place).alias("_last"))
+        .withColumn("_before", F.lag("_last").over(by_range))
         .drop("_last")
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(seq)
+    inside = Window.partitionBy(*keys, "_range").orderBy(seq)
     absent = F.coalesce(F.lag("_gone").over(inside), F.col("_before"), F.lit(True))
     return (
-        join_null_safe(rows, carried, [*keys, "_chunk"])
+        join_null_safe(rows, carried, [*keys, "_range"])
         .withColumn("_absent", absent)
         .withColumn(
             "event_type",
             F.when(F.col("_gone"), "delete").when(F.col("_absent"), "create").otherwise("update"),
         )
-        .drop("_chunk", "_gone", "_before", "_absent")
+        .drop("_range", "_gone", "_before", "_absent")
     )
 
 

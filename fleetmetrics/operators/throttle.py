@@ -5,13 +5,13 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batching import join_null_safe
+from .batching import RANGE_ROWS, by_ranges, join_null_safe
 
 # The row code below travels with its tasks; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -19,6 +19,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Rate per second and bucket size.
 DEFAULT_RATE, DEFAULT_BURST = 1000.0, 100
 
+#: When rows without a time came: long before all others, at one moment.
+LONG_AGO = -(10**17)
+
+#: A bucket counts as full only if it would overflow by this share of a token, so that rounding cannot matter.
+MARGIN = 0.01
+
 
 class Bucket:
     """Starts full, refills with time up to its size; a refused row costs nothing."""
@@ -28,9 +34,10 @@ class Bucket:
         self.tokens = self.burst if tokens is None else tokens
         self.last = last
 
-    def take(self, micros: int) -> bool:
-        elapsed = 0 if self.last is None else max(0, micros - self.last)
-        self.last = micros if self.last is None else max(micros, self.last)
+    def take(self, micros: int | None) -> bool:
+        moment = LONG_AGO if micros is None else micros
+        elapsed = 0 if self.last is None else max(0, moment - self.last)
+        self.last = moment if self.last is None else max(moment, self.last)
         self.tokens = min(self.burst, self.tokens + elapsed / 1e6 * self.rate)
         if self.tokens >= 1.0:
             self.tokens -= 1.0
@@ -38,58 +45,62 @@ class Bucket:
         return False
 
 
-def _segments(df: DataFrame, key: str, idle_micros: int, cell_micros: int) -> DataFrame:
-    """Rows with ``_segment``: numbered per key, a new one after each idle gap.
+def _segments(rows: DataFrame, key: str, rate: float) -> DataFrame:
+    """Rows with ``_segment``: numbered per key, a new one wherever the bucket is surely full.
 
-    After such a gap the bucket is full whatever happened before, so segments
-    are independent of each other. Gaps are found per cell of time, with the
-    last time and the number of gaps carried over from the cells before.
+    A bucket that charges every row, also those refused, never holds more than
+    the true one. Its backlog before the nth row is the greatest that n minus the
+    tokens refilled by then has risen above an earlier value of the same; so
+    where that number falls below all earlier ones both buckets are full, and
+    what follows does not depend on what was before. The number's minimum and
+    the rows before are carried from run to run.
     """
-    rows = df.withColumn("_cell", F.floor(F.col("_micros") / F.lit(cell_micros)))
-    cells = Window.partitionBy(key).orderBy("_cell")
-    earlier = cells.rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(key, "_cell").orderBy("_micros", "_seq")
-    last_seen = (
-        rows.groupBy(key, "_cell")
-        .agg(F.max("_micros").alias("_last"))
-        .withColumn("_before", F.lag("_last").over(cells))
-        .drop("_last")
+    runs = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_range").orderBy("_micros", "_seq")
+    refilled = F.col("_micros").cast("double") * F.lit(rate / 1e6)
+    local = rows.withColumn("_rise", F.row_number().over(inside) - refilled)
+    carried = (
+        local.groupBy(key, "_range")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_rise").alias("_low"))
+        .withColumn("_rows", F.coalesce(F.sum("_n").over(runs), F.lit(0)))
+        .withColumn("_before", F.min(F.col("_low") + F.col("_rows")).over(runs))
+        .select(key, "_range", "_rows", "_before")
     )
-    previous = F.coalesce(F.lag("_micros").over(inside), F.col("_before"))
-    gaps = (
-        join_null_safe(rows, last_seen, [key, "_cell"])
-        .withColumn("_previous", previous)
-        .withColumn(
-            "_gap",
-            F.coalesce((F.col("_micros") - F.col("_previous") >= idle_micros).cast("int"), F.lit(0)),
-        )
+    lowest = F.min("_rise").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    cuts = (
+        join_null_safe(local, carried, [key, "_range"])
+        .withColumn("_rise", F.col("_rise") + F.col("_rows"))
+        .withColumn("_lowest", F.least(lowest, "_before"))
+        .withColumn("_cut", F.coalesce((F.col("_rise") < F.col("_lowest") - MARGIN).cast("int"), F.lit(0)))
     )
     starts = (
-        gaps.groupBy(key, "_cell")
-        .agg(F.sum("_gap").alias("_gaps"))
-        .withColumn("_start", F.coalesce(F.sum("_gaps").over(earlier), F.lit(0)))
-        .drop("_gaps")
+        cuts.groupBy(key, "_range")
+        .agg(F.sum("_cut").alias("_cuts"))
+        .withColumn("_start", F.coalesce(F.sum("_cuts").over(runs), F.lit(0)))
+        .drop("_cuts")
     )
-    return join_null_safe(gaps, starts, [key, "_cell"]).withColumn(
+    return join_null_safe(cuts, starts, [key, "_range"]).withColumn(
         "_segment",
-        F.col("_start") + F.sum("_gap").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        F.col("_start") + F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
     )
 
 
 def throttle_flags(
     df: DataFrame, key: str, rate: float = DEFAULT_RATE, burst: int = DEFAULT_BURST,
-    ts: str = "ts", seq: str = "seq", cell_seconds: int = 3600,
+    ts: str = "ts", seq: str = "seq", range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Rows with ``allowed``: whether the key's bucket still had a token at that time.
 
-    The keys are split into independent segments at idle gaps; each task then
-    walks its sorted rows batch by batch and holds one bucket at a time.
+    Each key's rows are cut wherever its bucket is surely full, so that a key
+    whose rate stays below the limit on the whole is walked by many tasks even if
+    it never rests; each task walks its sorted rows batch by batch and holds one
+    bucket at a time. Only a key that stays over its limit is one long segment.
+    A NULL key is a key like others. Rows without a time come first, long before
+    the others; equal times go by ``seq``.
     """
-    timed = df.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_seq", F.col(seq)
-    )
-    idle = -(-int(burst * 1_000_000) // rate)
-    split = _segments(timed, key, int(idle) + 1, cell_seconds * 1_000_000)
+    moment = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(LONG_AGO))
+    timed = df.withColumn("_micros", moment).withColumn("_seq", F.col(seq))
+    split = _segments(by_ranges(timed, [key], ["_micros", "_seq"], range_rows), key, rate)
     ordered = (
         split.select(*df.columns, "_micros", "_segment")
         .repartition(key, "_segment")
@@ -98,14 +109,19 @@ def throttle_flags(
     schema = T.StructType([*df.schema.fields, T.StructField("allowed", T.BooleanType())])
     columns = df.columns
 
-    def walk(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, bucket = None, Bucket(rate, burst)
-        for frame in frames:
+        for batch in batches:
+            # The columns pass through as they are; only the flags are new.
+            named = dict(zip(batch.schema.names, batch.columns))
             flags = []
-            for owner, part, micros in zip(frame[key], frame["_segment"], frame["_micros"]):
+            for owner, part, micros in zip(*(named[c].to_pylist() for c in (key, "_segment", "_micros"))):
+                owner = "NaN" if owner != owner else owner  # NaN is one key
                 if current != (owner, part):
                     current, bucket = (owner, part), Bucket(rate, burst)
                 flags.append(bucket.take(micros))
-            yield frame[columns].assign(allowed=flags)
+            yield pa.RecordBatch.from_arrays(
+                [*[named[c] for c in columns], pa.array(flags, pa.bool_())], [*columns, "allowed"]
+            )
 
-    return ordered.mapInPandas(walk, schema)
+    return ordered.mapInArrow(walk, schema)

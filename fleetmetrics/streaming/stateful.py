@@ -22,6 +22,11 @@ from .sinks import BatchName, start_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _nulls_first(values: tuple) -> list[tuple]:
+    """A key that sorts NULL before any value, as the batch forms do."""
+    return [(v is not None, v if v is not None else 0) for v in values]
+
+
 class _Expiry(StatefulProcessor):
     """One timer per message; an acknowledgement by the deadline takes it away."""
 
@@ -119,7 +124,7 @@ class _Throttle(StatefulProcessor):
         tokens, last = self._state.get() if self._state.exists() else (None, None)
         bucket = Bucket(self._rate, self._burst, tokens, last)
         # The rows of one key within one micro-batch, which the source's rate limit bounds.
-        for micros, seq in sorted((r["_micros"], r["_seq"]) for r in rows):
+        for micros, seq in sorted(((r["_micros"], r["_seq"]) for r in rows), key=_nulls_first):
             yield Row(key=key[0], seq=seq, micros=micros, allowed=bucket.take(micros))
         self._state.update((bucket.tokens, bucket.last))
 
@@ -160,7 +165,9 @@ class _Changes(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         present = self._state.exists() and self._state.get()[0]
         # The rows of one key within one micro-batch, which the source's rate limit bounds.
-        for seq, op, value in sorted((r["_seq"], r["_op"], r["_value"]) for r in rows):
+        for seq, op, value in sorted(
+            ((r["_seq"], r["_op"], r["_value"]) for r in rows), key=_nulls_first
+        ):
             if op == "DELETE":
                 event, present = "delete", False
             else:

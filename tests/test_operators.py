@@ -244,7 +244,7 @@ def test_batches_do_not_depend_on_chunks(spark, chunk):
     want = {}
     for seq, _, host, _ in rows:
         want.setdefault(host, []).append(seq)
-    got = batching.pack_batches(df, "hostname", 40, chunk_width=chunk).collect()
+    got = batching.pack_batches(df, "hostname", 40, range_rows=chunk).collect()
     for r in got:
         expected = want[r.partition][r.batch_no * 40:(r.batch_no + 1) * 40]
         assert [x.seq for x in r.records] == expected and r.n == len(expected)
@@ -260,7 +260,7 @@ def test_changes_do_not_depend_on_chunks(spark, chunk):
     for seq, key, op in rows:
         want[seq] = "delete" if op == "DELETE" else "update" if present.get(key) else "create"
         present[key] = op == "PUT"
-    got = changes.classify_changes(df, ["key"], chunk_width=chunk)
+    got = changes.classify_changes(df, ["key"], range_rows=chunk)
     assert {r.seq: r.event_type for r in got.collect()} == want
 
 
@@ -349,8 +349,8 @@ def test_live_services(spark):
     assert [r.instance_id for r in live_services(df, at, service_type="y").collect()] == ["c"]
 
 
-@pytest.mark.parametrize("cell", [1, 5, 3600])
-def test_throttle_equals_a_plain_loop(spark, cell):
+@pytest.mark.parametrize("size", [7, 100, 5000])
+def test_throttle_equals_a_plain_loop(spark, size):
     rng = random.Random(3)
     rows, clock = [], {"hot": 0, "cold": 0}
     for i in range(600):
@@ -362,11 +362,58 @@ def test_throttle_equals_a_plain_loop(spark, cell):
     for seq, key, ts in rows:
         bucket = buckets.setdefault(key, Bucket(4.0, 5))
         want[seq] = bucket.take(round((ts - T0).total_seconds() * 1e6))
-    got = throttle_flags(df, "k", 4.0, 5, cell_seconds=cell)
+    got = throttle_flags(df, "k", 4.0, 5, range_rows=size)
     assert {r.seq: r.allowed for r in got.collect()} == want
     assert 0 < sum(want.values()) < 600
 
 
+def test_throttle_keeps_numeric_keys_and_times_apart(spark):
+    """NULL is one key, numbers above 2**53 are different ones, and other columns pass through unchanged."""
+    big = 2**53
+    rows = [(i, None, T0, big + i) for i in range(6)] + [(10 + i, big + i, T0, None) for i in range(3)]
+    rows += [(20, 5, None, 1), (None, 5, None, 2), (21, 5, T0, 3)]
+    df = spark.createDataFrame(rows, "seq long, k long, ts timestamp_ntz, other long")
+    got = {(r.seq, r.k): (r.allowed, r.other) for r in throttle_flags(df, "k", 0.001, 2).collect()}
+    assert [got[i, None] for i in range(6)] == [(i < 2, big + i) for i in range(6)]
+    assert [got[10 + i, big + i] for i in range(3)] == [(True, None)] * 3
+    assert got[None, 5] == (True, 2) and got[20, 5] == (True, 1) and got[21, 5] == (True, 3)
+    nan = spark.createDataFrame([(i, float("nan"), T0) for i in range(4)], "seq long, k double, ts timestamp")
+    assert sorted(r.allowed for r in throttle_flags(nan, "k", 0.001, 2).collect()) == [False, False, True, True]
+
+
+@pytest.mark.parametrize("size", [150, 10**6])
+def test_a_hot_key_without_rests_is_cut(spark, size):
+    """Gaps never last as long as the bucket takes to fill, yet most segments are short."""
+    from fleetmetrics.operators import throttle
+    from fleetmetrics.operators.batching import by_ranges
+
+    rng = random.Random(8)
+    clock, rows, bucket, want = 0, [], Bucket(2.0, 20), {}
+    for i in range(3000):
+        clock += rng.choice([100_000, 300_000, 500_000, 900_000, 1_500_000])
+        rows.append((i, "k", clock))
+        want[i] = bucket.take(clock)
+    rows += [(3000 + i, "k", clock) for i in range(30)]
+    want |= {3000 + i: bucket.take(clock) for i in range(30)}
+    df = spark.createDataFrame(rows, "seq long, k string, us long").selectExpr("seq", "k", "timestamp_micros(us) as ts")
+    got = {r.seq: r.allowed for r in throttle_flags(df, "k", 2.0, 20, range_rows=size).collect()}
+    assert got == want and 0 < sum(want.values()) < 3030
+    timed = by_ranges(df.selectExpr("*", "unix_micros(ts) as _micros", "seq as _seq"), ["k"], ["_micros", "_seq"], size)
+    sizes = [r["count"] for r in throttle._segments(timed, "k", 2.0).groupBy("_segment").count().collect()]
+    assert len(sizes) > 300 and max(sizes) < 200
+
+
+def test_runs_are_even_however_values_are_spread(spark):
+    from fleetmetrics.operators.batching import by_ranges
+
+    df = spark.range(20_000).selectExpr("if(id < 18000, 'hot', string(id % 50)) as k", "id * id * id as seq")
+    sizes = [r["count"] for r in by_ranges(df, ["k"], ["seq"], 1000).groupBy("_range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3000
+    placed = batching.running_position(df, ["k"], "seq", into="p", range_rows=1000)
+    want = df.selectExpr("k", "seq", "row_number() over (partition by k order by seq) - 1 as p")
+    assert placed.select("k", "seq", "p").exceptAll(want).count() == 0 and placed.count() == 20_000
+
+
 def test_sender_metrics(spark):
     df = spark.createDataFrame([(5, True, T0), (3, True, T0), (9, False, T0)],
                                "n long, ok boolean, sent_at timestamp_ntz")

@@ -63,10 +63,10 @@ def test_no_cross_joins_and_no_windows_without_keys(spark):
         assert "CartesianProduct" not in text and "SinglePartition" not in text
 
 
-def test_rows_of_a_hot_partition_are_sorted_per_chunk(spark):
-    text = plan(batching.running_position(tm.readings(spark, SF), ["hostname"], "seq", into="p"))
+def test_rows_of_a_hot_partition_are_sorted_per_run(spark):
+    text = plan(batching.running_position(tm.readings(spark, SF), ["hostname"], "seq", into="p", range_rows=100))
     ranked = [line for line in text.splitlines() if "row_number()" in line and "Window" in line]
-    assert ranked and all("_chunk" in line for line in ranked)
+    assert ranked and all("_range" in line for line in ranked)
 
 
 def test_top_n_is_cut_down_before_the_shuffle(spark):
