@@ -102,6 +102,6 @@ def describe_files(spark: SparkSession, uris: Sequence[str], digest: bool = Fals
 
     Tasks take ``FILES_PER_TASK`` files each; with a digest, which reads all bytes, one.
     """
-    names = spark.createDataFrame([(uri,) for uri in uris], "uri string")
     tasks = max(1, len(uris) if digest else -(-len(uris) // FILES_PER_TASK))
-    return names.repartition(tasks).mapInArrow(_describer(digest), DESCRIBED)
+    names = spark.sparkContext.parallelize([(uri,) for uri in uris], tasks)
+    return spark.createDataFrame(names, "uri string", verifySchema=False).mapInArrow(_describer(digest), DESCRIBED)
