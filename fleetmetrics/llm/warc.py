@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import sys
 import uuid
@@ -50,16 +51,22 @@ HEADERS = {
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To",
 }
+# Field names have no case; these are given as the standard spells them.
+_SPELT = {
+    name.lower(): name
+    for name in (*HEADERS.values(), "Content-Length", "Content-Type", "WARC-Profile", "WARC-Truncated", "WARC-IP-Address")
+}
 GZIP_START = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff"  # deflate, with extra field, no time
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, payload_digest string, "
     "refers_to string, payload_bytes long, headers map<string,string>, payload binary"
 )
-MANIFEST = "_written.json"
+MANIFEST = "_written"  # each write leaves a list of its files, whose name begins so
 FILE_BYTES = 64 << 20
 PARTITION_BYTES = 64 << 20
 FIRST_READ = 2048
 BATCH_BYTES = 4 << 20
+_OWN_FILE = re.compile(r"/part-[0-9a-f]{32}\.warc\.gz$")
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -108,12 +115,13 @@ def parse_head(data: bytes) -> tuple[dict[str, str], int] | None:
     first, *lines = data[:end].decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
-    return {n.strip(): v.strip() for n, _, v in (line.partition(":") for line in lines)}, end + 4
+    fields = ((n.strip(), v.strip()) for n, _, v in (line.partition(":") for line in lines))
+    return {_SPELT.get(n.lower(), n): v for n, v in fields}, end + 4
 
 
 def parse_block(block: bytes, fields: dict[str, str]) -> tuple[bytes | None, int | None]:
     """The payload and the length of the full payload: without HTTP headers where the block has them."""
-    if not fields.get("Content-Type", "").startswith("application/http"):
+    if not fields.get("Content-Type", "").lower().startswith("application/http"):
         return block, len(block)
     head, _, payload = block.partition(b"\r\n\r\n")
     length = None
@@ -200,6 +208,22 @@ class _Written(WriterCommitMessage):
     files: list[str]
 
 
+def _listed(store: fs.FileSystem, base: str, files: Iterable[fs.FileInfo]) -> list[str]:
+    """The files that the writes to the folder have listed, and those that stand beside them."""
+    names: list[str] = []
+    lists = [x.path for x in files if x.base_name.startswith(MANIFEST) and x.path.count("/") == base.rstrip("/").count("/") + 1]
+    for path in sorted(lists):
+        with store.open_input_file(path) as f:
+            names += json.loads(f.read())
+    if names:
+        prefix = base.rstrip("/") + "/"
+        names += [
+            x.path.removeprefix(prefix) for x in files
+            if x.path.endswith((".warc", ".warc.gz")) and not _OWN_FILE.search(x.path)
+        ]
+    return names
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self._path = options["path"]
@@ -230,13 +254,13 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[_Files]:
         """Whole files, small ones together up to ``PARTITION_BYTES``."""
         store, base = open_store(self._path)
-        manifest = f"{base}/{MANIFEST}"
-        if store.get_file_info(manifest).type == fs.FileType.File:
-            with store.open_input_file(manifest) as f:
-                found = store.get_file_info([f"{base}/{name}" for name in json.loads(f.read())])
-        else:
-            listed = store.get_file_info(fs.FileSelector(base, recursive=True))
-            found = [x for x in listed if x.path.endswith((".warc", ".warc.gz"))]
+        listed = store.get_file_info(fs.FileSelector(base, recursive=True))
+        archives = {x.path: x for x in listed if x.path.endswith((".warc", ".warc.gz"))}
+        names = [f"{base}/{name}" for name in _listed(store, base, listed)]
+        # Where this module wrote, files that no list names are those of tasks that failed.
+        found = [archives[name] for name in names if name in archives] if names else [
+            x for path, x in archives.items() if not _OWN_FILE.search(path)
+        ]
         out: list[_Files] = []
         held = PARTITION_BYTES
         for one in sorted(found, key=lambda x: x.path):
@@ -311,7 +335,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         store, base = open_store(self._path)
         store.create_dir(base, recursive=True)
-        with store.open_output_stream(f"{base}/{MANIFEST}", compression=None) as out:
+        with store.open_output_stream(f"{base}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps([name for m in messages if m for name in m.files]).encode())
 
     def abort(self, messages: list[_Written | None]) -> None:
@@ -382,18 +406,20 @@ def page_records(
         F.col(key).alias("id"), F.col(url).alias("target_uri"), payload.alias("payload"),
         base32(F.sha1(payload)).alias("payload_digest"),
     )
-    # One row per payload; the copies are reduced before they are shuffled.
-    firsts = rows.groupBy("payload_digest").agg(F.min("id").alias("first"))
+    # What is compared by digest has no payloads; these move by digest and key, so that copies do not meet in a task.
+    named_rows = rows.where(F.col("id").isNotNull() & (F.octet_length("payload") >= min_bytes))
+    known = named_rows.select("payload_digest", "id").distinct()
+    firsts = known.groupBy("payload_digest").agg(F.min("id").alias("first"))
+    again = known.join(firsts, "payload_digest").where("id != first")
     named = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
-    again = (F.octet_length("payload") >= min_bytes) & F.col("id").isNotNull() & (F.col("id") != F.col("first"))
-    return rows.join(firsts, "payload_digest").select(
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
+    return rows.join(again, ["payload_digest", "id"], "left").select(
+        F.when(F.col("first").isNotNull(), "revisit").otherwise("response").alias("record_type"),
         F.coalesce(named("id"), F.lit("<urn:page:>")).alias("record_id"),
-        "target_uri", "payload", "payload_digest",
-        F.when(again, named("first")).alias("refers_to"),
+        "target_uri", "payload", "payload_digest", named("first").alias("refers_to"),
     )
 
 
 def write_warc(records_: DataFrame, path: str) -> None:
+    """Add archives with the records to a folder; what earlier writes left there stays."""
     register(records_.sparkSession)
     records_.write.format("warc").mode("append").save(path)

@@ -88,3 +88,37 @@ def test_no_pages(spark, pages):
     path = shared_dir(spark, "warc-empty")
     warc.write_warc(warc.page_records(pages.limit(0)), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+def test_a_second_write_adds_to_the_first(spark, pages):
+    """Files that a failed task left are not read; archives from elsewhere are."""
+    path = shared_dir(spark, "warc-twice")
+    for part in ("page_id <= 3", "page_id > 3"):
+        warc.write_warc(warc.page_records(pages.where(part)).repartition(2), path)
+    page = warc.record_bytes("response", "<foreign>", "d", "u", b"body", "D", None)
+    store, base = warc.open_store(path)
+    for name in ("part-" + "0" * 32 + ".warc.gz", "other.warc.gz"):
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+            out.write(warc.gzip_member(page))
+    found = sorted(r.record_id for r in warc.read_warc(spark, path).collect())
+    assert found == sorted([f"<urn:page:{i}>" for i in range(1, 8)] + ["<foreign>"])
+
+
+def test_header_names_have_no_case(spark, tmp_path):
+    page = warc.record_bytes("response", "<p>", "d", "u", b"body", "D", None)
+    head, _, block = page.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    small = b"\r\n".join([lines[0], *(n.lower() + b":" + v for n, _, v in (line.partition(b":") for line in lines[1:]))])
+    (tmp_path / "a.warc").write_bytes(small + b"\r\n\r\n" + block + page)
+    found = warc.read_warc(spark, str(tmp_path)).where("record_type = 'response'").collect()
+    assert [(r.record_id, bytes(r.payload), r.payload_bytes) for r in found] == [("<p>", b"body", 4)] * 2
+
+
+def test_many_copies_of_a_page(spark):
+    """Copies meet by digest without their payloads."""
+    df = spark.range(3000).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, 'same', string(id)) as html")
+    found = warc.page_records(df)
+    assert found.groupBy("record_type", "refers_to").count().orderBy("count").collect()[0][1] == "<urn:page:0>"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    by_digest = [line for line in plan.split("\n") if "Join" in line]
+    assert len(by_digest) == 2 and "id#" in by_digest[0] and "id#" not in by_digest[1].split("=")[-1]
