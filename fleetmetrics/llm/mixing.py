@@ -10,7 +10,7 @@ rates start at 1 and move no further than the fit needs.
 from __future__ import annotations
 
 import sys
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -215,13 +215,22 @@ def posteriors(model: DomainModel, column: pa.Array) -> tuple[np.ndarray, np.nda
     return np.rint(out * 65536).astype(np.int64) / 65536, tokens
 
 
-def memberships(docs: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's words and posterior: ``key, n_tokens, posterior``, in the order of ``model.domains``."""
-    kept = docs.sparkSession.sparkContext.broadcast(model)  # no larger than the sample's features
+def memberships(
+    docs: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text",
+    counter: Callable[[pa.Array], np.ndarray] | None = None,
+) -> DataFrame:
+    """Each row's tokens and posterior: ``key, n_tokens, posterior``, in the order of ``model.domains``.
+
+    Tokens are words unless ``counter`` counts other ones of each text.
+    """
+    kept = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))  # no larger than the sample's features
 
     def tell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = DomainModel(**kept.value)  # plain arrays travel to workers without this package
         for batch in rows:
-            chance, tokens = posteriors(kept.value, batch.column("text"))
+            chance, tokens = posteriors(known, batch.column("text"))
+            if counter is not None:
+                tokens = counter(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(tokens), pa.array(chance.tolist(), pa.list_(pa.float64()))],
                 ["id", "n_tokens", "posterior"],
@@ -366,7 +375,7 @@ class Mix:
         With a key the tokens taken have the rates' sums as their expectation. A
         null key is rounded by its text.
         """
-        kept = docs.sparkSession.sparkContext.broadcast(self.model)
+        kept = docs.sparkSession.sparkContext.broadcast(dict(vars(self.model)))
         place, steps, scale = docs.columns.index(text), self.steps, self.scale
         unit = F.lit(0.0)
         if key is not None:
@@ -374,8 +383,9 @@ class Mix:
         beside = max(docs.columns, key=len) + "_"  # no other column's name
 
         def repeat(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = DomainModel(**kept.value)
             for batch in rows:
-                chance, _ = posteriors(kept.value, batch.column(place))
+                chance, _ = posteriors(model, batch.column(place))
                 rate = _rates(chance, steps, scale)
                 if key is None:
                     times = np.floor(rate + 0.5).astype(np.int64)
@@ -392,11 +402,12 @@ def mix(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text",
     domain: str = "domain", budget: float | None = None, sample_docs: int = SAMPLE_DOCS,
     whole: Collection[str] = (), iterations: int | None = ITERATIONS,
+    counter: Callable[[pa.Array], np.ndarray] | None = None,
 ) -> Mix:
     """Fit classifier and rates.
 
     ``weights`` are the shares of tokens that the domains are to have; a domain
-    that they do not name gets 0. ``budget`` is the tokens of all together; by
+    that they do not name gets 0. Tokens are words, or what ``counter`` counts. ``budget`` is the tokens of all together; by
     default the most for which no domain needs more tokens than its documents
     hold by expectation, so that rates stay near 1 or below. With ``whole`` it is
     the least that leaves each of these domains the tokens it holds, however
@@ -411,7 +422,7 @@ def mix(
     no domain with a weight has any, posteriors tell nothing and every rate is 1.
     """
     model = train(docs, labels, key, text, domain, sample_docs)
-    members = stored(memberships(docs, model, key, text), "memberships")
+    members = stored(memberships(docs, model, key, text, counter), "memberships")
     share = np.array([float(weights.get(d, 0.0)) for d in model.domains])
     if share.sum() <= 0:
         return Mix(model, members, [])
