@@ -16,6 +16,10 @@ from fleetmetrics.llm.tables import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: The languages of the corpus; documents that are predicted to be in another go.
+LANGUAGES = ("de", "en", "es", "fr")
+#: The least posterior of the predicted language.
+MIN_SCORE = 0.5
 #: Shares of tokens by domain. Clean documents belong to the others in a small part, which these shares leave room for.
 WEIGHTS = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
 #: The domain that sets the budget: its tokens stay, and the others are brought to their share beside them.
@@ -23,18 +27,21 @@ WHOLE = ("clean",)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with a language; those without letters or text, called ``und``, go."""
-    return langid.keep_identified(docs, langid.train(docs))
+    """The documents whose predicted language is one of ``LANGUAGES``; texts without letters, called ``und``, go."""
+    return langid.keep_languages(docs, langid.train(docs), LANGUAGES, MIN_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the least id.
 
-    Rows that repeat an id are one document and count once; rows without an id stay.
+    Rows that repeat an id with the same text count once; those with other texts
+    stay, since they are other documents. Rows without an id stay.
     """
     kept = near_copies(docs, NearCopies()).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    once = named.withColumn("_text", digest).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
