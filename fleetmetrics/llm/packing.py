@@ -15,7 +15,7 @@ import re
 import struct
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,12 +130,13 @@ def public_vocabulary() -> dict[str, str]:
 
 def tokenized_pieces(
     docs: DataFrame, vocabulary: dict[str, str], key: str = "doc_id", text: str = "text",
-    capacity: int = CAPACITY, end_id: int = END_ID,
+    capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
 ) -> DataFrame:
     """Each document's ids and then ``end_id``, cut where it is longer than a sequence.
 
-    Returns ``key, piece, start, length, ids_crc32``. A longer document is cut
-    into pieces of ``capacity`` ids, with what is left over as its first piece.
+    Returns ``key, piece, start, length, ids_crc32`` and, if asked for, ``ids``. A
+    longer document is cut into pieces of ``capacity`` ids, with what is left over
+    as its first piece.
     """
     end = _packed([end_id])
 
@@ -143,7 +144,7 @@ def tokenized_pieces(
         bpe = ByteBpe(**vocabulary)
         for batch in rows:
             names, texts = batch.columns
-            owner, piece, start, length, crc = [], [], [], [], []
+            owner, piece, start, length, crc, parts = [], [], [], [], [], []
             for row, value in enumerate(texts):
                 ids = bpe.ids(value.as_py() or "") + end
                 total = len(ids) // 4
@@ -154,22 +155,40 @@ def tokenized_pieces(
                     piece.append(nth)
                     start.append(at)
                     length.append(size)
-                    crc.append(zlib.crc32(ids[4 * at:4 * (at + size)]))
+                    part = ids[4 * at:4 * (at + size)]
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        parts.append(part)
                     at, nth, size = at + size, nth + 1, capacity
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()),
-                 pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["id", "piece", "start", "length", "ids_crc32"],
-            )
+            columns = [
+                names.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+            ]
+            if with_ids:
+                every = pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), every))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     schema = (
         T.StructType().add("id", docs.schema[key].dataType).add("piece", "integer")
         .add("start", "long").add("length", "long").add("ids_crc32", "long")
     )
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, schema).withColumnRenamed("id", key)
 
 
+def token_counter(vocabulary: dict[str, str]) -> Callable[[pa.Array], np.ndarray]:
+    """A function that tells how many ids the pieces of each text hold, the end id included."""
+
+    def count(column: pa.Array) -> np.ndarray:
+        bpe = ByteBpe(**vocabulary)
+        return np.array([len(bpe.ids(text.as_py() or "")) // 4 + 1 for text in column], np.int64)
+
+    return count
+
+
 # ---------------------------------------------------------------- bins
 
 
@@ -267,7 +286,7 @@ class _Stock:
 
 
 def _closings(stock: _Stock, room: int, total: int) -> Iterator[tuple[int, ...]]:
-    """Undominated sets of two or three pieces with this sum; a set that fills the room needs no test."""
+    """Sets of two pieces with this sum or, if there are none, of three; a set that fills the room needs no test."""
     paired = False
     for a, b in stock.pairs(total):
         if total == room or stock.beside(room, a) <= b and stock.beside(room, b) <= a:
@@ -281,7 +300,7 @@ def _closings(stock: _Stock, room: int, total: int) -> Iterator[tuple[int, ...]]
 
 
 def fillings(stock: _Stock, room: int, most_waste: int) -> Iterator[tuple[int, ...] | None]:
-    """Undominated sets of pieces for the room that waste no more than told, the fullest first.
+    """Sets of few pieces for the room that waste no more than told, the fullest first; not all there are.
 
     Where more than three pieces fit, the largest go in first and sets of one to
     three close the rest. A set no fuller than the largest single piece that
@@ -313,19 +332,103 @@ def fillings(stock: _Stock, room: int, most_waste: int) -> Iterator[tuple[int, .
     yield (*head, lone) if lone else tuple(head)
 
 
+def every_filling(
+    stock: _Stock, room: int, allowed: Callable[[], int], told: set[tuple[int, ...]]
+) -> Iterator[tuple[int, ...]]:
+    """All undominated sets of any number of pieces for the room that are not ``told`` yet, the fullest first.
+
+    Sums that the pieces cannot make are passed over by what the smaller sizes
+    reach, so every step leads to a set. Left out are sets beside which one more
+    piece fits, and those of which a piece, or two together, can be exchanged
+    for a larger piece that is left: what is packed with such a set can also be
+    packed with the other one. Sets no fuller than the largest piece that fits
+    are dominated by it.
+    """
+    sizes = [s for s in range(min(room, stock.capacity), 0, -1) if stock.counts[s]]
+    if not sizes:
+        if () not in told:
+            yield ()
+        return
+    counts = {s: stock.counts[s] for s in sizes}
+    reach = [1]  # the sums that the sizes from here on make, as bits; the last is that of none
+    within = (2 << room) - 1
+    for size in reversed(sizes):
+        sums, copies, step = reach[-1], min(counts[size], room // size), 1
+        while copies:
+            step = min(step, copies)
+            sums |= (sums << size * step) & within
+            copies, step = copies - step, 2 * step
+        reach.append(sums)
+    reach.reverse()
+
+    def sets(total: int, at: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        for i in range(at, len(sizes)):
+            if not reach[i] >> total & 1:
+                return
+            size = sizes[i]
+            for n in range(min(counts[size], total // size), 0, -1):
+                if reach[i + 1] >> (total - n * size) & 1:
+                    for rest in sets(total - n * size, i + 1):
+                        yield (size,) * n + rest
+
+    def dominated(filling: tuple[int, ...]) -> bool:
+        spare = room - sum(filling)
+        if not spare and len(filling) < 2:
+            return False
+        left = stock.sizes
+        for size in set(filling):
+            if stock.counts[size] == filling.count(size):
+                left ^= 1 << size
+        if left & ((2 << spare) - 1):
+            return True
+        distinct = sorted(set(filling))
+        if any(left >> (size + 1) & ((1 << spare) - 1) for size in distinct):
+            return True
+        pairs = ((a, b) for i, a in enumerate(distinct) for b in distinct[i:] if a != b or filling.count(a) > 1)
+        return any(left >> (a + b) & ((2 << spare) - 1) for a, b in pairs)
+
+    lone, total = sizes[0], room
+    while total > lone and room - total <= allowed():
+        if reach[0] >> total & 1:
+            for filling in sets(total, 0):
+                if filling not in told and not dominated(filling):
+                    yield filling
+        total -= 1
+    if (lone,) not in told and room - lone <= allowed():
+        yield (lone,)
+
+
+def completions(stock: _Stock, room: int, allowed: Callable[[], int]) -> Iterator[tuple[int, ...] | None]:
+    """Fillings of the room: those of few pieces first, which mostly do, then all others that are undominated."""
+    told = set()
+    for filling in fillings(stock, room, allowed()):
+        if filling is not None:
+            told.add(tuple(sorted(filling, reverse=True)))
+        yield filling
+    yield from every_filling(stock, room, allowed, told)
+
+
 _NO_MORE = (0,)
 
 
 def bin_completion(counts: list[int], capacity: int, nodes: int = SEARCH_NODES) -> list[list[int]]:
-    """Few sequences for ``counts[size]`` pieces of each size, as lists of sizes.
+    """Few sequences for ``counts[size]`` pieces of each size, as lists of sizes; see :func:`search`."""
+    return search(counts, capacity, nodes)[0]
+
 
-    The result is optimal if the search ended by itself or met the lower bound;
-    after ``nodes`` fillings beyond one descent it is the best packing found.
+def search(counts: list[int], capacity: int, nodes: int = SEARCH_NODES) -> tuple[list[list[int]], bool]:
+    """The best packing found, and whether no other can have fewer sequences.
+
+    That is known if the search ended by itself or met the lower bound; it is cut
+    after ``nodes`` fillings beyond one descent.
     """
     best = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
     if len(best) == bound:
-        return best
+        return best, True
     whole = sum(size * n for size, n in enumerate(counts))
     stock = _Stock(counts, capacity)
     left, tries, waste = sum(counts[1:]), nodes + 4 * len(best), 0
@@ -341,7 +444,7 @@ def bin_completion(counts: list[int], capacity: int, nodes: int = SEARCH_NODES)
     def open_level() -> None:
         size = stock.largest(capacity)
         stock.take(size)
-        levels.append((size, fillings(stock, capacity - size, allowed())))
+        levels.append((size, completions(stock, capacity - size, allowed)))
 
     open_level()
     while levels and tries:
@@ -356,12 +459,13 @@ def bin_completion(counts: list[int], capacity: int, nodes: int = SEARCH_NODES)
         filling = next(options, _NO_MORE)
         if filling is None:
             continue
-        spare = capacity - size - sum(filling)
-        # Fuller sets come first: if this one wastes too much, so does every later one.
-        if filling is _NO_MORE or spare > allowed():
+        if filling is _NO_MORE:
             stock.put(size)
             levels.pop()
             continue
+        spare = capacity - size - sum(filling)
+        if spare > allowed():
+            continue
         for piece in filling:
             stock.take(piece)
         left -= 1 + len(filling)
@@ -375,8 +479,8 @@ def bin_completion(counts: list[int], capacity: int, nodes: int = SEARCH_NODES)
             if len(chosen) < len(best):
                 best = [list(c) for c in chosen]
                 if len(best) == bound:
-                    break
-    return best
+                    return best, True
+    return best, not levels
 
 
 def _pack_group(capacity: int, nodes: int, first_id: int):
@@ -446,13 +550,20 @@ def pack_pieces(
 def pack_documents(
     docs: DataFrame, vocabulary: dict[str, str] | None = None, key: str = "doc_id", text: str = "text",
     capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, nodes: int = SEARCH_NODES,
+    with_ids: bool = False,
 ) -> DataFrame:
     """Every document's pieces with their places in sequences of at most ``capacity`` ids.
 
-    Returns ``key, piece, start, length, ids_crc32, sequence_id, offset``. A null
-    or empty text is one piece, the end id alone. Rows that repeat a key or a
-    text are packed each for itself. An empty table gives an empty table; other
-    columns are ignored, whatever their names.
+    Returns ``key, piece, start, length, ids_crc32, sequence_id, offset`` and, if
+    asked for, the piece's ``ids``: a sequence's ids are those of its pieces by
+    offset. A null or empty text is one piece, the end id alone. Rows that repeat
+    a key or a text are packed each for itself. An empty table gives an empty
+    table; other columns are ignored, whatever their names.
     """
-    pieces = tokenized_pieces(docs, vocabulary or public_vocabulary(), key, text, capacity, end_id)
-    return pack_pieces(pieces, capacity, group_pieces, nodes)
+    pieces = tokenized_pieces(docs, vocabulary or public_vocabulary(), key, text, capacity, end_id, with_ids)
+    if not with_ids:
+        return pack_pieces(pieces, capacity, group_pieces, nodes)
+    # Only the lengths go through the packing; the ids meet their places afterwards.
+    held = stored(pieces.withColumn("at", F.monotonically_increasing_id()), "piece-ids")
+    placed = pack_pieces(held.drop("ids"), capacity, group_pieces, nodes)
+    return placed.join(held.select("at", "ids"), "at").drop("at")

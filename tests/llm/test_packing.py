@@ -4,12 +4,14 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from fleetmetrics.llm import packing
 from fleetmetrics.llm.packing import (
     ByteBpe,
     best_fit,
@@ -134,3 +136,71 @@ def test_loose_sequences_of_groups_meet(spark):
 
 def test_no_rows(documents):
     assert pack_documents(documents([])).count() == 0
+
+
+def fewest(sizes, capacity):
+    """The least number of sequences, by all subsets in the order of their bits."""
+    n = len(sizes)
+    best = [(0, 0)] + [(n + 1, 0)] * ((1 << n) - 1)  # sequences, and the fill of the last one
+    for some in range(1 << n):
+        count, fill = best[some]
+        for i in range(n):
+            if not some >> i & 1:
+                step = (count, fill + sizes[i]) if count and fill + sizes[i] <= capacity else (count + 1, sizes[i])
+                best[some | 1 << i] = min(best[some | 1 << i], step)
+    return best[-1][0]
+
+
+def counted(sizes, capacity):
+    counts = [0] * (capacity + 1)
+    for size in sizes:
+        counts[size] += 1
+    return counts
+
+
+def test_search_that_ended_has_the_optimum():
+    sizes = [2, 5, 5, 7, 9, 10, 11, 11]
+    found, proven = packing.search(counted(sizes, 30), 30, 10**6)
+    assert proven and len(found) == 2 and sorted(x for one in found for x in one) == sizes
+    assert len(packing.bin_completion(counted([70, 25, 25, 25, 25, 30, 100, 100], 100), 100, 10**6)) == 4
+    rng = random.Random(10)
+    for _ in range(10_000):
+        capacity = rng.randrange(8, 40)
+        top = rng.choice([capacity, capacity // 2, capacity // 3 + 1])
+        sizes = [rng.randrange(1, top + 1) for _ in range(rng.randrange(1, 9))]
+        found, proven = packing.search(counted(sizes, capacity), capacity, 10**6)
+        assert proven and all(sum(one) <= capacity for one in found)
+        assert sorted(x for one in found for x in one) == sorted(sizes)
+        assert len(found) == fewest(sizes, capacity), (capacity, sizes)
+
+
+def test_a_cut_search_claims_nothing():
+    rng = random.Random(3)
+    sizes = [rng.randrange(200, 400) for _ in range(300)]
+    found, proven = packing.search(counted(sizes, 1000), 1000, 5)
+    assert not proven or len(found) == packing.lower_bound(counted(sizes, 1000), 1000)
+
+
+def test_sequences_rebuild_the_texts(spark, documents, edges):
+    """The ids of a document's pieces are those of its text, and a sequence's places hold them."""
+    from tokenizers import Tokenizer
+
+    rows = [*edges, (30, "word " * 3000)]
+    found = packing.pack_documents(documents(rows), with_ids=True).collect()
+    full = Tokenizer.from_file(packing.public_vocabulary()["json_path"])
+    by_doc, places = collections.defaultdict(list), collections.defaultdict(list)
+    for r in found:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        by_doc[r.doc_id].append((r.start, r.ids))
+        places[r.sequence_id].append((r.offset, r.length))
+    for spots in places.values():
+        assert sorted(spots)[0][0] == 0 and sum(n for _, n in spots) <= 1024
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(spots), sorted(spots)[1:]))
+    for key, text in rows:
+        if key != 9:  # which is there twice
+            ids = [i for _, part in sorted(by_doc[key]) for i in part]
+            assert ids == [*full.encode(text or "", add_special_tokens=False).ids, 2]
+    counter = packing.token_counter(packing.public_vocabulary())
+    import pyarrow as pa
+
+    assert counter(pa.array([t for _, t in rows])).tolist()[:2] == [1, 1]
