@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetmetrics.llm import langid, mixing
 from fleetmetrics.llm.near_dedup import NearCopies, near_copies
-from fleetmetrics.llm.packing import pack_documents
+from fleetmetrics.llm.packing import pack_documents, public_vocabulary, token_counter
 from fleetmetrics.llm.queries import domain_labels
 from fleetmetrics.llm.suffix_dedup import remove_repeats
 from fleetmetrics.llm.tables import stored, table
@@ -51,14 +51,18 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their rates say, by expectation; clean ones stay, whatever the others hold."""
-    mixed = mixing.mix(docs, domain_labels(spark, sf_dir), WEIGHTS, whole=WHOLE, iterations=None)
+    """The documents as often as their rates say, by expectation; clean ones stay, whatever the others hold.
+
+    Tokens are those that the packing stage puts into sequences.
+    """
+    counter = token_counter(public_vocabulary())
+    mixed = mixing.mix(docs, domain_labels(spark, sf_dir), WEIGHTS, whole=WHOLE, iterations=None, counter=counter)
     return mixed.take(docs, key="doc_id")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and its place there."""
-    return pack_documents(docs)
+    """The pieces of all documents with their ids, each with its sequence and its place there."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
