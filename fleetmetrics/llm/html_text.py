@@ -3,8 +3,10 @@
 Every node of the page gets its characters per tag, lowered where the characters
 are those of links. The node whose children have the greatest sum of densities
 holds the article; the least density on its path up to the body is the threshold
-that other subtrees must reach. If that node is in an article or main element, the
-others must be in one too; lists of links below the threshold go. Parts whose element says what they are (menus, forms and so on) are left
+that other subtrees must reach. They must also be as dense as the article and have
+half of its density sum; where article or main elements say what belongs to the
+article, the threshold is enough for parts in one, and others go. Lists of links
+below the threshold go. Parts whose element says what they are (menus, forms and so on) are left
 out before anything is counted, those whose class or id says so (adverts,
 comments) unless they hold most of the text.
 """
@@ -15,7 +17,8 @@ import html as entities
 import math
 import re
 import sys
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -69,6 +72,9 @@ STATE_WORDS = frozenset(
 REOPENED = frozenset({"nav", "menu", "head", "header", "form"})
 WHOLE_NAMES = frozenset({"header", "site-header", "page-header", "siteheader", "pageheader"})
 
+#: Another part of an article that no element names has at least this share of the greatest density sum.
+SMALLEST_PART = 0.5
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
@@ -166,6 +172,10 @@ def parse(text: str) -> _Page:
     page = _Page()
     stack: list[tuple[str, int]] = [("body", 0)]  # name and node; node -1 for a part that is left out
     skipping = 0
+    skipped_from = 0  # where in the stack the part that is left out begins
+    # Where in the stack the open elements of each name are, and the blocks: no tag has to look through all of them.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    block_places = [0]
     blocks: list[list[tuple[int, str]]] = []
     pieces: list[tuple[int, str]] = []  # those of the open block, with their nodes
 
@@ -189,11 +199,24 @@ def parse(text: str) -> _Page:
         nonlocal skipping
         while len(stack) > depth:
             name, node = stack.pop()
+            places[name].pop()
+            if name in BLOCK:
+                block_places.pop()
             if node < 0:
                 skipping -= 1
             elif name in BLOCK:
                 flush()
 
+    def push(name: str, node: int) -> None:
+        places[name].append(len(stack))
+        if name in BLOCK:
+            block_places.append(len(stack))
+        stack.append((name, node))
+
+    def innermost(names: Collection[str]) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((places[n][-1] for n in names if places[n]), default=0)
+
     at, size = 0, len(text)
     while at < size:
         mark = text.find("<", at)
@@ -219,12 +242,10 @@ def parse(text: str) -> _Page:
         if closing:
             if name in ("body", "html"):
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
-                if name not in BLOCK and name not in LEFT_OUT and stack[depth][0] in BLOCK:
-                    break  # an inline end tag does not close blocks
+            depth = innermost((name,))
+            # An inline end tag does not close blocks.
+            if depth and (name in BLOCK or name in LEFT_OUT or depth > block_places[-1]):
+                pop_to(depth)
             continue
         if name in ("body", "html"):
             if skipping and stack[-1][0] == "head":
@@ -235,42 +256,33 @@ def parse(text: str) -> _Page:
             at = end.end() if end.end() == size else text.find(">", end.start()) + 1 or size
             continue
         if name in ARTICLE and skipping:
-            first = next(i for i, (_, node) in enumerate(stack) if node < 0)
-            if stack[first][0] in REOPENED:
-                pop_to(first)
+            if stack[skipped_from][0] in REOPENED:
+                pop_to(skipped_from)
         if name in BLOCK:
             if not skipping:
                 flush()
-            if name in CLOSES_PARAGRAPH:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == "p":
-                        pop_to(depth)
-                        break
-                    if stack[depth][0] in BLOCK:
-                        break
+            if name in CLOSES_PARAGRAPH and stack[block_places[-1]][0] == "p":
+                pop_to(block_places[-1])
         if name in CLOSES:
             names, until = CLOSES[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in names:
-                    pop_to(depth)
-                    if name != "tr" or stack[-1][0] not in names:
-                        break
-                elif stack[depth][0] in until or stack[depth][0] in ARTICLE:
+            while (depth := innermost(names)) > innermost(until | ARTICLE):
+                pop_to(depth)
+                if name != "tr" or stack[-1][0] not in names:
                     break
         empty = name in VOID or attributes.endswith("/") and name not in BLOCK
         if skipping:
             if not empty:
                 skipping += 1
-                stack.append((name, -1))
+                push(name, -1)
             continue
-        in_article = any(n in ARTICLE for n, _ in stack)
-        left_out, told = _left_out(name, attributes, in_article)
+        left_out, told = _left_out(name, attributes, innermost(ARTICLE) > 0)
         if left_out:
             if name in BLOCK:
                 flush()
             if not empty:
                 skipping += 1
-                stack.append((name, -1))
+                skipped_from = len(stack)
+                push(name, -1)
             continue
         parent = stack[-1][1]
         node = len(page.name)
@@ -284,7 +296,7 @@ def parse(text: str) -> _Page:
             if name == "br" and pieces:
                 pieces.append((parent, " "))
         else:
-            stack.append((name, node))
+            push(name, node)
     pop_to(1)
     flush()
     return _without_told(page, blocks)
@@ -327,6 +339,22 @@ def densities(page: _Page) -> tuple[list[float], list[float]]:
     return own, sums
 
 
+def _densest(page: _Page, sums: list[float], held: list[int]) -> int:
+    """The node whose children have the greatest sum of densities.
+
+    Where that is the body, or a wrapper of all text, the part in it that holds
+    most of the text is taken instead: what stands beside it on the page, as
+    headers and footers do, adds to the sum but is no part of the article.
+    """
+    # Paragraphs and what stands in a line are parts of an article, not one.
+    holders = [i for i in range(len(page.name)) if page.name[i] in BLOCK - PARAGRAPH or not i]
+    best = max(holders, key=lambda i: (sums[i], -i))
+    most = {page.parent[i]: i for i in holders if i and 2 * held[i] > held[page.parent[i]]}
+    while held[best] == held[0] and best in most:
+        best = most[best]
+    return best
+
+
 def main_text(text: str) -> str:
     """The article's blocks, two newlines between them; empty if the page has none."""
     page = parse(text)
@@ -334,9 +362,8 @@ def main_text(text: str) -> str:
         return ""
     own, sums = densities(page)
     n = len(page.name)
-    # Paragraphs and what stands in a line are parts of an article, not one.
-    holders = [i for i in range(n) if page.name[i] in BLOCK - PARAGRAPH or not i]
-    best = max(holders, key=lambda i: (sums[i], -i))
+    chars, links = _totals(page)
+    best = _densest(page, sums, [c - l for c, l in zip(chars, links)])
     path = [best]
     while path[-1]:
         path.append(page.parent[path[-1]])
@@ -351,11 +378,14 @@ def main_text(text: str) -> str:
         up = page.parent[node]
         if sums[leader[node]] > sums[leader[up]]:
             leader[up] = leader[node]
+    around = set(path)
     for node in range(1, n):
-        # Where the article is in a part that is named so, others must be too.
-        if own[node] >= threshold and sums[leader[node]] > 0 and named[leader[node]] >= named[best]:
-            chosen[leader[node]] = True
-    chars, links = _totals(page)
+        first = leader[node]
+        if node in around or sums[first] <= 0 or own[node] < threshold or named[first] < named[best]:
+            continue
+        # Beside an article that no element names, another part has to be as dense as it is, and not far smaller.
+        if named[first] or own[node] >= own[best] and sums[first] >= SMALLEST_PART * sums[best]:
+            chosen[first] = True
     for node in range(1, n):
         linked = page.name[node] in BLOCK - PARAGRAPH and 2 * links[node] > chars[node] and own[node] < threshold
         chosen[node] = chosen[node] or chosen[page.parent[node]] and not linked
