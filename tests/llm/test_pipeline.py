@@ -4,9 +4,11 @@ import collections
 import re
 
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from fleetmetrics.llm import packing
 from fleetmetrics.llm.queries import ORACLES, QUERIES
 from checks.compare import database, rows_of
 
@@ -37,6 +39,27 @@ def test_columns(stages):
 def test_languages(stages):
     before, after = texts(stages[0]), texts(stages[1])
     assert set(after) == {k for k, t in before.items() if any(map(str.isalpha, t or ""))}
+    given = {r.doc_id: r.lang for r in stages[0].collect()}
+    told = {r.doc_id: r.lang for r in stages[1].collect()}
+    assert sum(given[k] == told[k] for k in told) >= 0.99 * len(told)
+
+
+def test_documents_of_other_languages_go(spark, monkeypatch):
+    """The languages are a choice, and what is predicted to be in another is dropped."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("de", "fr"))
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    given = {r.doc_id: r.lang for r in docs.collect()}
+    assert set(kept.values()) == {"de", "fr"}
+    wanted = {k for k, lang in given.items() if lang in ("de", "fr")}
+    assert len(set(kept) & wanted) >= 0.99 * len(wanted) and len(set(kept) - wanted) <= 0.01 * len(given)
+
+
+def test_texts_that_share_an_id_stay(spark, documents):
+    rows = [(1, "one text of its own"), (1, "quite another text here"), (1, "one text of its own"), (2, None), (2, "")]
+    df = documents(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    kept = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup(spark, df, SF).collect())
+    assert kept == [(1, "one text of its own"), (1, "quite another text here"), (2, "")]
 
 
 def test_near_copies(stages):
@@ -93,6 +116,16 @@ def test_packing(stages):
     for r in rows:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 1024 and len(fill) <= -(-sum(fill.values()) // 1024) + 1
+    # The ids of a document's pieces are those of the text that the stage before kept.
+    full = Tokenizer.from_file(packing.public_vocabulary()["json_path"])
+    pieces = collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, tuple(r.ids)))
+    once = [r for r in stages[4].collect() if len(set(pieces[r.doc_id])) == len(pieces[r.doc_id])]
+    assert len(once) > 100
+    for r in once:
+        ids = [i for _, part in sorted(pieces[r.doc_id]) for i in part]
+        assert ids == [*full.encode(r.text, add_special_tokens=False).ids, 2]
 
 
 def test_edge_rows(spark, documents, edges):
@@ -108,7 +141,7 @@ def test_edge_rows(spark, documents, edges):
 
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
