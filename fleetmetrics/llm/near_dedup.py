@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import arrays
 from .components import components
-from .tables import stored
+from .tables import spread_join, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -191,6 +191,16 @@ class _Union:
         return bool((self.label == self.label[0]).all())
 
 
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are compared with which: those of one block with each other, those of two across."""
+    low, high = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    if low == high:
+        every = np.arange(rows.num_rows)
+        return every, every
+    own = rows.column("own").to_numpy()
+    return np.flatnonzero(own == low), np.flatnonzero(own == high)
+
+
 def _similar_sketches(how: NearCopies):
     most, percent = how.most_differing_bits(), how.percent
 
@@ -199,8 +209,10 @@ def _similar_sketches(how: NearCopies):
         sketches = body.reshape(rows.num_rows, -1).view(np.uint64)
         size = rows.column("n").to_numpy()
         found = _Union(rows.column("node").to_numpy())
-        for row in range(rows.num_rows - 1):
-            apart = np.flatnonzero(found.label[row + 1:] != found.label[row]) + row + 1
+        ours, theirs = _sides(rows)
+        for row in ours.tolist():
+            others = theirs[np.searchsorted(theirs, row, "right"):] if ours is theirs else theirs
+            apart = others[found.label[others] != found.label[row]]
             lesser, greater = np.minimum(size[apart], size[row]), np.maximum(size[apart], size[row])
             apart = apart[100 * lesser >= percent * greater]
             if len(apart):
@@ -226,12 +238,15 @@ def _similar_sets(how: NearCopies):
         order = np.argsort(number, kind="stable")
         holders, start = member[order], np.searchsorted(number[order], np.arange(len(shingles) + 1))
         begins = np.concatenate([[0], np.cumsum(size)])
-        for row in range(len(sets)):
+        ours, theirs = _sides(rows)
+        compared = np.zeros(len(sets), bool)
+        compared[theirs] = True
+        for row in ours.tolist():
             own = number[begins[row]:begins[row + 1]]
             shared = np.bincount(
                 holders[arrays.ragged(start[own], start[own + 1] - start[own])], minlength=len(sets)
             )
-            found.join(row, np.flatnonzero(100 * shared >= how.percent * (size + size[row] - shared)))
+            found.join(row, np.flatnonzero(compared & (100 * shared >= how.percent * (size + size[row] - shared))))
             if found.whole():
                 break
         return found.a, found.b
@@ -240,15 +255,20 @@ def _similar_sets(how: NearCopies):
 
 
 def _dealt(rows: DataFrame, group: str, blocks: str, keys: list[str]) -> DataFrame:
-    """Rows of each group in pairs of blocks: a group of one block once, of more in every pair of its blocks."""
+    """Rows of each group in pairs of blocks: a group of one block once, of more in every pair of its blocks.
+
+    The work of a pair is far more than its bytes tell, so there are as many tasks
+    as shuffles have, which adaptive execution leaves alone.
+    """
     own = F.pmod(F.xxhash64("node"), F.col(blocks))
     every = F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
     lone = F.when(F.col(blocks) > 1, every).otherwise(F.array(own))
     paired = rows.withColumn("own", own).withColumn("other", F.explode(lone)).select(
         "*", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
-    ).drop("own", "other", blocks)
+    ).drop("other", blocks)
     assert keys == [group, "lo", "hi"]
-    return paired.repartition(*keys).sortWithinPartitions(*keys)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return paired.repartition(tasks, *keys).sortWithinPartitions(*keys)
 
 
 def near_copies(
@@ -304,7 +324,8 @@ def near_copies(
     named = nodes.select("d1", "d2", "node").join(classes, "node", "left").select(
         "d1", "d2", F.coalesce("component", "node").alias("component")
     )
-    own = described.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    # Copies of one text may be a third of all rows.
+    own = spread_join(described.select("id", "n", "d1", "d2"), named, ["d1", "d2"], "id", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     )
