@@ -60,11 +60,12 @@ def _ntz(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def _registry(spark, sf_dir):
-    """(hosts, GPUs with status, wide readings), from one pass over the readings."""
+def _registry(spark, sf_dir, measured=G.STATUS_METRICS):
+    """(hosts, GPUs with status, wide readings), from one pass over the readings; without metrics names only."""
     wide = tm.wide(spark, sf_dir)
-    seen = G.condense(wide)
-    return G.register_hosts(seen), G.gpu_status(G.register_gpus(seen), seen), wide
+    seen = G.condense(wide, measured=measured)
+    gpus = G.register_gpus(seen)
+    return G.register_hosts(seen), G.gpu_status(gpus, seen) if measured else gpus, wide
 
 
 # ---- queries on readings ----
@@ -117,14 +118,14 @@ def latest_readings(spark, sf_dir):
 
 @query
 def page_rows(spark, sf_dir):
-    rows = tm.readings(spark, sf_dir).filter(F.col("metric_name") == "temperature")
+    rows = tm.readings(spark, sf_dir)
     page = R.page(rows, [F.desc("ts"), F.desc("seq")], limit=50, offset=100)
     return page.rows.select("seq", "ts", "value")
 
 
 @query
 def page_summary(spark, sf_dir):
-    rows = tm.readings(spark, sf_dir).filter(F.col("metric_name") == "temperature")
+    rows = tm.readings(spark, sf_dir)
     return R.page(rows, ["seq"], limit=50, offset=100).summary
 
 
@@ -351,12 +352,12 @@ def gpu_status(spark, sf_dir):
 
 @query
 def list_gpus(spark, sf_dir):
-    return G.list_gpus(_registry(spark, sf_dir)[1])
+    return G.list_gpus(_registry(spark, sf_dir, measured=())[1])
 
 
 @query
 def list_clusters(spark, sf_dir):
-    hosts, gpus, _ = _registry(spark, sf_dir)
+    hosts, gpus, _ = _registry(spark, sf_dir, measured=())
     return G.list_clusters(hosts, A.cluster_counts(hosts, gpus))
 
 
@@ -414,19 +415,19 @@ def cluster_metadata(spark, sf_dir):
 
 @query
 def cluster_counts(spark, sf_dir):
-    hosts, gpus, _ = _registry(spark, sf_dir)
+    hosts, gpus, _ = _registry(spark, sf_dir, measured=())
     return A.cluster_counts(hosts, gpus)
 
 
 @query
 def get_cluster(spark, sf_dir):
-    hosts, gpus, _ = _registry(spark, sf_dir)
+    hosts, gpus, _ = _registry(spark, sf_dir, measured=())
     return G.get_cluster(A.cluster_counts(hosts, gpus), "cluster-1")
 
 
 @query
 def hosts_with_gpu_count(spark, sf_dir):
-    hosts, gpus, _ = _registry(spark, sf_dir)
+    hosts, gpus, _ = _registry(spark, sf_dir, measured=())
     return A.hosts_with_gpu_count(hosts, gpus)
 
 
@@ -1024,9 +1025,8 @@ def run_collect_stream(spark, sf_dir):
     return _doubles(points.select("telemetry_id", "uuid", "power_draw"), "power_draw")
 
 
-@query
-def collected_by_two_streams(spark, sf_dir):
-    """Two streams collect into one store, of which each leaves a version; then days of it are read."""
+def _collected_in_versions(spark, sf_dir) -> str:
+    """A store that two streams collect into, of which each leaves a version."""
     out = shared_dir(spark, "collected")
     sent = M.encode_messages(tm.doubled(spark, sf_dir), "telemetry", 600, AS_OF)
     second = F.crc32("message_id") % 2 == 1
@@ -1037,11 +1037,27 @@ def collected_by_two_streams(spark, sf_dir):
             )
         )
         point_store.compact_points(spark, out, version, previous=version - 1 if version else None)
-    points = point_store.current_points(spark, out, version=1)
+    return out
+
+
+@query
+def collected_by_two_streams(spark, sf_dir):
+    """Days of the store's last version."""
+    points = point_store.current_points(spark, _collected_in_versions(spark, sf_dir), version=1)
     found = R.time_range(points, "2024-01-05T06:00:00Z", "2024-01-20T18:00:00Z")
     return _doubles(found.select("telemetry_id", "uuid", "power_draw"), "power_draw")
 
 
+@query
+def collected_cluster_stats(spark, sf_dir):
+    """From the tallies that were kept with the store, and the registry's log; no point is read."""
+    out = _collected_in_versions(spark, sf_dir)
+    hosts, gpus = jobs.current_hosts(spark, out), jobs.current_gpus(spark, out)
+    stats = A.stats_of_tallies(point_store.current_tallies(spark, out, version=1), hosts, gpus)
+    stats = _ntz(_doubles(stats, "average_gpu_util", "average_memory_util"), "last_updated")
+    return stats.drop("active_gpus")
+
+
 @query
 def collected_status(spark, sf_dir):
     gpus = jobs.current_gpus(spark, _collected(spark, sf_dir))

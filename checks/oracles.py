@@ -85,10 +85,9 @@ _CTES = {
         concat('i-', user_id) as instance_id, ts,
         case event_type when 'error' then 'unhealthy' else 'healthy' end as health
         from events""",
-    "divided": """select *, case event_type when 'click' then 5.0 when 'view' then 50.0
-        when 'signup' then 250.0 else 900.0 end::double as divisor from events
-        where event_type <> 'error'
-          and (event_type <> 'view' or ts < timestamp '2024-01-20 00:00:00')""",
+    "divided": """select * replace (case event_type when 'view' then ts - interval 10 days else ts end as ts),
+        case event_type when 'click' then 5.0 when 'view' then 50.0
+        when 'signup' then 250.0 when 'purchase' then 900.0 else 500.0 end::double as divisor from events""",
     "metrics": """select event_id as seq, ts, concat('svc-', event_type) as service_type,
         concat('i-', user_id) as instance_id,
         least(value / divisor, 1.0::double) as cpu_usage,
@@ -302,11 +301,10 @@ ORACLES: dict[str, str] = {
           select *, row_number() over (partition by {_IDENTITY} order by ts desc, seq desc) as rn
           from readings) where rn = 1""", "readings"),
     "page_rows": _with(
-        """select seq, ts, value from readings where metric_name = 'temperature'
+        """select seq, ts, value from readings
         order by ts desc, seq desc limit 50 offset 100""", "readings"),
     "page_summary": _with(
-        """select count(*) as total_count, count(*) > 150 as has_more from readings
-        where metric_name = 'temperature'""", "readings"),
+        """select count(*) as total_count, count(*) > 150 as has_more from readings""", "readings"),
     "page_after": _with(
         """select seq, ts, value from readings where (ts, seq) <
         (timestamp '2024-01-15 12:00:00', 0) order by ts desc, seq desc limit 75""", "readings"),
@@ -672,6 +670,17 @@ ORACLES: dict[str, str] = {
           select *, row_number() over (partition by telemetry_id order by seq desc) as rn
           from (select *, {_TELEMETRY_ID} as telemetry_id from doubled)) where rn = 1""",
         "doubled"),
+    "collected_cluster_stats": _with(
+        f"""select cluster_id, count(distinct hostname)::integer as total_hosts,
+          count(distinct (hostname, gpu_id))::integer as total_gpus, count(*) as telemetry_records,
+          round(avg(cast(gpu_utilization as double)), 4) as average_gpu_util,
+          round(avg(cast(memory_utilization as double)), 4) as average_memory_util,
+          date_trunc('second', max(ts))::timestamp as last_updated
+        from (
+          select * replace ('cluster-0' as cluster_id), row_number() over (partition by telemetry_id order by seq desc) as rn
+          from (select *, {_TELEMETRY_ID} as telemetry_id from doubled))
+        where rn = 1 group by 1""",
+        "doubled"),
     "collected_by_two_streams": _with(
         f"""select telemetry_id, uuid, {rnd('power_draw')} from (
           select *, row_number() over (partition by telemetry_id order by seq desc) as rn

@@ -147,15 +147,14 @@ LOAD_DIVISORS = {"click": 5.0, "view": 50.0, "signup": 250.0, "purchase": 900.0}
 
 
 def instance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads that differ by service; ``svc-view`` fell silent, ``svc-error`` never reported."""
+    """Loads that differ by service; ``svc-view`` reported ten days earlier and is silent now."""
     divisor = F.coalesce(
-        *[F.when(F.col("event_type") == e, F.lit(d)) for e, d in LOAD_DIVISORS.items()]
+        *[F.when(F.col("event_type") == e, F.lit(d)) for e, d in LOAD_DIVISORS.items()], F.lit(500.0)
     )
-    silent = F.lit("2024-01-20").cast("timestamp_ntz")
+    earlier = F.when(F.col("event_type") == "view", F.col("ts") - F.expr("interval 10 days")).otherwise(F.col("ts"))
     return (
         events(spark, sf_dir)
-        .filter(F.col("event_type") != "error")
-        .filter((F.col("event_type") != "view") | (F.col("ts") < silent))
+        .withColumn("ts", earlier)
         .select(
             F.col("event_id").alias("seq"), "ts", _service().alias("service_type"),
             F.concat(F.lit("i-"), _number("user_id")).alias("instance_id"),

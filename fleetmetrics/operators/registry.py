@@ -19,17 +19,25 @@ def _labels(collector_id: str):
     )
 
 
-def condense(df: DataFrame, name: str = "sightings") -> DataFrame:
+#: What a GPU's status is made of.
+STATUS_METRICS = ("gpu_utilization", "memory_utilization", "temperature", "power_draw")
+
+
+def condense(
+    df: DataFrame, name: str = "sightings", measured: Sequence[str] = METRICS
+) -> DataFrame:
     """What the registry needs of readings, written once: a GPU's first and newest sighting by description.
 
     One hashing pass over the readings; hosts, GPUs and their status come out
     the same from this table as from the readings. It has two rows for each
     description that a GPU ever had, and lies below ``spark.checkpoint.dir``.
+    ``measured`` names the metrics to keep: ``STATUS_METRICS`` for the status,
+    none where only names are wanted, which then cost nothing to read.
     """
     number = one_number(df, ("ts", "seq"))
     if number is None:
         raise ValueError("readings need a time ts and a whole number seq")
-    measured = [c for c in METRICS if c in df.columns]
+    measured = [c for c in measured if c in df.columns]
     newest = df.groupBy(*IDENTITY, *ATTRIBUTES).agg(
         F.min("ts").alias("_from"), F.min("seq").alias("_first"),
         *[F.max_by(c, number).alias(f"_{c}") for c in ("ts", "seq")],
@@ -104,8 +112,7 @@ def gpu_status(gpus: DataFrame, readings: DataFrame) -> DataFrame:
 
     A GPU without readings is active and healthy with zeros.
     """
-    measured = ("gpu_utilization", "memory_utilization", "temperature", "power_draw")
-    newest = latest_readings(readings, columns=("ts", *measured)).withColumnRenamed("ts", "_ts")
+    newest = latest_readings(readings, columns=("ts", *STATUS_METRICS)).withColumnRenamed("ts", "_ts")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0).cast("float"))
     status = F.struct(
         F.lit("active").alias("state"),

@@ -64,28 +64,52 @@ def hosts_with_gpu_count(
     )
 
 
-def cluster_stats(readings: DataFrame, hosts: DataFrame, gpus: DataFrame) -> DataFrame:
-    """Per cluster: hosts, GPUs, healthy GPUs, readings, mean utilisation, last update."""
-    measured = readings.groupBy("cluster_id").agg(
-        _rows().alias("telemetry_records"),
-        F.avg(F.col("gpu_utilization").cast("double")).alias("average_gpu_util"),
-        F.avg(F.col("memory_utilization").cast("double")).alias("average_memory_util"),
-        F.max("ts").alias("last_updated"),
+#: The metrics whose means clusters report.
+TALLIED = ("gpu_utilization", "memory_utilization")
+
+
+def reading_tallies(readings: DataFrame, keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
+    """Per key: rows, sums of the tallied metrics and the last time.
+
+    Tallies of parts of the readings add up to those of the whole
+    (:func:`add_tallies`), so that a job can keep them with what it writes.
+    """
+    return readings.groupBy(*keys).agg(
+        _rows().alias("n"),
+        *[F.sum(F.col(m).cast("double")).alias(f"sum_{m}") for m in TALLIED],
+        *[F.count(m).alias(f"n_{m}") for m in TALLIED],
+        F.max("ts").alias("last_ts"),
     )
+
+
+def add_tallies(tallies: DataFrame, keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
+    """Tallies of parts, added up per key."""
+    counted = ["n", *[f"{kind}_{m}" for kind in ("sum", "n") for m in TALLIED]]
+    return tallies.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counted], F.max("last_ts").alias("last_ts"))
+
+
+def stats_of_tallies(tallies: DataFrame, hosts: DataFrame, gpus: DataFrame) -> DataFrame:
+    """:func:`cluster_stats` from tallies, whatever parts they are of."""
+    mean = lambda m: F.coalesce(F.try_divide(f"sum_{m}", f"n_{m}"), F.lit(0.0))
     return (
         cluster_metadata(hosts, gpus)
-        .join(measured, "cluster_id", "left")
+        .join(add_tallies(tallies), "cluster_id", "left")
         .select(
             "cluster_id", "total_hosts", "total_gpus",
             F.col("active_gpus"),
-            F.coalesce("telemetry_records", F.lit(0)).alias("telemetry_records"),
-            F.coalesce("average_gpu_util", F.lit(0.0)).alias("average_gpu_util"),
-            F.coalesce("average_memory_util", F.lit(0.0)).alias("average_memory_util"),
-            "last_updated",
+            F.coalesce("n", F.lit(0)).alias("telemetry_records"),
+            mean("gpu_utilization").alias("average_gpu_util"),
+            mean("memory_utilization").alias("average_memory_util"),
+            F.col("last_ts").alias("last_updated"),
         )
     )
 
 
+def cluster_stats(readings: DataFrame, hosts: DataFrame, gpus: DataFrame) -> DataFrame:
+    """Per cluster: hosts, GPUs, healthy GPUs, readings, mean utilisation, last update."""
+    return stats_of_tallies(reading_tallies(readings), hosts, gpus)
+
+
 def ingest_stats(
     good: DataFrame, rejected: DataFrame, seconds: float | None = None
 ) -> DataFrame:

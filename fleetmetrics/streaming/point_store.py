@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.readings import upsert_readings
+from ..operators.rollups import reading_tallies
 from ..schemas import ATTRIBUTES, METRICS
 from ..sources.store import SORT_WITHIN_FILE
 from .sinks import BatchName, finished_batches, write_batch
@@ -35,6 +36,10 @@ POINT = T.StructType([
     T.StructField("cluster_id", T.StringType()), T.StructField("event_date", T.DateType()),
 ])
 
+_TALLIES = (
+    "cluster_id string, event_date date, n long, sum_gpu_utilization double, sum_memory_utilization double, "
+    "n_gpu_utilization long, n_memory_utilization long, last_ts timestamp, written_in int"
+)
 _LIST = "cluster_id string, event_date date, written_in int, version int"
 _POSITIONS = "from_stream string, micro_batch long, version int"
 
@@ -95,20 +100,40 @@ def current_points(spark: SparkSession, store: str, version: int | None = None)
     batches are read, and only the days that these touch are merged again.
     Filters on cluster and day reach the files either way.
     """
-    log = _log(spark, store)
     if version is None:
-        return _merged(log.drop("from_stream", "micro_batch"))
-    log = log.filter(_after(_positions(spark, store, version))).drop("from_stream", "micro_batch")
-    touched = _small(log.select(*DAY).distinct())
+        return _merged(_log(spark, store).drop("from_stream", "micro_batch"))
+    listed = _small(_list(spark, store, version))
+    log, touched = _since(spark, store, version)
+    untouched = _days(spark, store, listed).join(touched, list(DAY), "left_anti")
+    return untouched.unionByName(_merged_since(spark, store, listed, log, touched))
+
+
+def _since(spark: SparkSession, store: str, version: int) -> tuple[DataFrame, DataFrame]:
+    """The points that came after a version, and the days they touch."""
+    log = _log(spark, store).filter(_after(_positions(spark, store, version))).drop("from_stream", "micro_batch")
+    return log, _small(log.select(*DAY).distinct())
+
+
+def _merged_since(spark: SparkSession, store: str, listed: DataFrame, log: DataFrame, touched: DataFrame) -> DataFrame:
+    before = _days(spark, store, listed).join(touched, list(DAY), "left_semi")
+    return _merged(before.unionByName(log))
+
+
+def current_tallies(spark: SparkSession, store: str, version: int) -> DataFrame:
+    """Tallies by cluster and day that add up to those of :func:`current_points`.
+
+    Those of days that nothing came for since the version were kept by its
+    compaction; only points of other days are read.
+    """
     listed = _small(_list(spark, store, version))
-    days = _days(spark, store, listed)
-    untouched = days.join(touched, list(DAY), "left_anti")
-    merged = _merged(days.join(touched, list(DAY), "left_semi").unionByName(log))
-    return untouched.unionByName(merged)
+    log, touched = _since(spark, store, version)
+    kept = spark.read.schema(_TALLIES).parquet(f"{store}/tallies").join(listed, [*DAY, "written_in"]).drop("written_in")
+    fresh = reading_tallies(_merged_since(spark, store, listed, log, touched), DAY)
+    return kept.join(touched, list(DAY), "left_anti").unionByName(fresh)
 
 
 def compact_points(spark: SparkSession, store: str, version: int, previous: int | None = None) -> None:
-    """Write a new version: the days touched since the previous one, and the list of all days.
+    """Write a new version: the days touched since the previous one with their tallies, and the list of all days.
 
     Only finished batches are taken, and each stream's position is kept, so that
     several streams may write to the store.
@@ -132,6 +157,8 @@ def compact_points(spark: SparkSession, store: str, version: int, previous: int
         kept = before.join(touched, list(DAY), "left_anti")
     merged = _merged(rows).hint("rebalance", *DAY).sortWithinPartitions(*DAY, *SORT_WITHIN_FILE)
     merged.write.mode("errorifexists").partitionBy(*DAY).parquet(f"{store}/days/written_in={version}")
+    written = spark.read.schema(POINT).parquet(f"{store}/days/written_in={version}")
+    reading_tallies(written, DAY).write.mode("errorifexists").parquet(f"{store}/tallies/written_in={version}")
     listed = touched.withColumn("written_in", F.lit(version))
     listed = listed if kept is None else kept.unionByName(listed)
     listed.write.mode("errorifexists").parquet(f"{store}/day-list/version={version}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetmetrics.operators import queue, readings as R
 from fleetmetrics.operators.batching import pack_batches
 from fleetmetrics.operators.changes import classify_changes
+from fleetmetrics.operators.rollups import add_tallies, reading_tallies
 from fleetmetrics.operators.throttle import throttle_flags
 from fleetmetrics.plans.collect import collect_messages
 from fleetmetrics.session import shared_dir
@@ -140,6 +141,9 @@ def test_versions_of_the_store(spark):
     written = sinks.read_named_batches(spark, f"{out}/days").groupBy("written_in", "cluster_id").count()
     assert rows(written) == [(1, "007", 2), (1, "7", 2), (2, "7", 2)]
     collect(3, ("8",), reading(5, 0))
+    whole = point_store.current_points(spark, out, version=2)
+    tallies = point_store.current_tallies(spark, out, version=2)
+    assert rows(add_tallies(tallies)) == rows(reading_tallies(whole)) and tallies.count() == 6
     one_day = R.time_range(point_store.current_points(spark, out, version=2), T0, T0 + timedelta(hours=1))
     spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
     plan = one_day._jdf.queryExecution().executedPlan().toString()
