@@ -890,6 +890,15 @@ def ingest_folder_job(spark, sf_dir):
     return _doubles(good.select("timestamp", "hostname", "gpu_id", "uuid", *METRICS), *METRICS)
 
 
+@query
+def custom_metrics(spark, sf_dir):
+    """A column that names no metric, from the files through messages to stored points."""
+    path = shared_dir(spark, "uploads")
+    _write_csv(_wide_text(spark, sf_dir), path)
+    done = collect_messages(_sent(ingest_folder(spark, path, AS_OF).messages), AS_OF)
+    return done.points.select("telemetry_id", F.col("custom_metrics")["seq"].cast("long").alias("seq"))
+
+
 @query
 def write_readings(spark, sf_dir):
     path = shared_dir(spark, "readings")

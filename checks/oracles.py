@@ -122,7 +122,7 @@ _CTES = {
         from readings""",
     "batched": """select *, hostname as "partition", cast(floor((row_number() over (
         partition by hostname order by seq) - 1) / 100) as bigint) as batch_no from some_hosts""",
-    "wide_csv": f"""select date_trunc('second', ts) as ts,
+    "wide_csv": f"""select seq, date_trunc('second', ts) as ts,
         case when greatest({', '.join(METRICS)}) < 5 then '' else hostname end as hostname,
         gpu_id, uuid, device, model_name, {', '.join(METRICS)} from wide""",
     "requests": """select
@@ -653,6 +653,11 @@ ORACLES: dict[str, str] = {
         f"""select hostname, gpu_id, {_ISO} as "timestamp", coalesce({_REJECTS}, '') as reason,
         round(cast(temperature as double), 4) as temperature, round(cast(power_draw as double), 4) as power_draw
         from wide_csv""", "wide_csv"),
+    "custom_metrics": _with(
+        f"""select telemetry_id, seq from (
+          select *, row_number() over (partition by telemetry_id order by ts desc, seq desc) as rn
+          from (select *, {_TELEMETRY_ID} as telemetry_id from wide_csv where {_REJECTS} is null)) where rn = 1""",
+        "wide_csv"),
     "ingest_by_two_streams": _with(
         f"""select hostname, gpu_id, {_ISO} as "timestamp", coalesce({_REJECTS}, '') as reason,
         round(cast(temperature as double), 4) as temperature, round(cast(power_draw as double), 4) as power_draw

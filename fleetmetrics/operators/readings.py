@@ -194,11 +194,13 @@ def upsert_readings(
 
 
 def stamp_lineage(df: DataFrame, collector_id: str, as_of: datetime | str | Column) -> DataFrame:
-    """Collection time, collector, batch id and an empty custom-metric map."""
+    """Collection time, collector and batch id; the custom metrics stay, and are an empty map where there are none."""
     now = instant(as_of)
+    none = F.create_map().cast("map<string,float>")
+    custom = F.coalesce(F.col("custom_metrics"), none) if "custom_metrics" in df.columns else none
     return df.withColumns(
         {
-            "custom_metrics": F.create_map().cast("map<string,float>"),
+            "custom_metrics": custom,
             "collected_at": now,
             "processed_at": now,
             "collector_id": F.lit(collector_id),

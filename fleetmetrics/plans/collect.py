@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.readings import stamp_lineage, upsert_readings
 from ..operators.registry import gpu_status, register_gpus, register_hosts
-from ..schemas import DEFAULT_CLUSTER
+from ..schemas import DEFAULT_CLUSTER, RECORD_WITH_CUSTOM
 from ..sources.messages import decode_messages, records_to_readings
 
 
@@ -26,7 +26,7 @@ def collect_messages(
     cluster_id: str = DEFAULT_CLUSTER,
 ) -> Collected:
     """Decode, keep the last write per GPU and second, and derive hosts, GPUs and status."""
-    good, bad = decode_messages(messages)
+    good, bad = decode_messages(messages, RECORD_WITH_CUSTOM)
     readings = records_to_readings(good, as_of, cluster_id)
     points = stamp_lineage(
         upsert_readings(readings, order=("stream_key",)), collector_id, as_of

@@ -39,6 +39,9 @@ RECORD = _struct(
     **{m: _F for m in METRICS},
 )
 
+# The same with what other numbers a file held.
+RECORD_WITH_CUSTOM = T.StructType([*RECORD, T.StructField("custom_metrics", T.MapType(_S, _F))])
+
 # One metric per row.
 LONG_READING = _struct(
     timestamp=_TS, metric_name=_S, gpu_id=_S, device=_S, uuid=_S, model_name=_S,

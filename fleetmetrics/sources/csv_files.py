@@ -196,10 +196,13 @@ def _cells(spark: SparkSession, files: Sequence[tuple[str, int]], width: int, mu
 def read_cells_by_name(
     spark: SparkSession, path: str | Sequence[str], names: Sequence[str], *, fold_case: bool,
     required: Sequence[str] = (), any_of: Sequence[str] = (), multi_line: bool = True,
-    files: Sequence[Layout] | None = None,
+    files: Sequence[Layout] | None = None, others: bool = False,
 ) -> DataFrame:
     """The named fields as text, plus ``source_file``; a field the file does not have is NULL.
 
+    With ``others`` the fields of all other header names are added as a map
+    ``others``, if any file has such; blank names are left out.
+
     Every row is bound by the header of its own file, of which two equal names
     count as the last; other columns are not looked at, whatever their names.
     ``files`` is the result of an earlier header pass. A file that lacks a
@@ -208,12 +211,13 @@ def read_cells_by_name(
     hold line breaks.
     """
     known = layouts(spark, path) if files is None else files
-    places: dict[tuple[int, ...], list[tuple[str, int]]] = defaultdict(list)
+    places: dict[_Places, list[tuple[str, int]]] = defaultdict(list)
     for layout in known:
         cells = layout.cells(fold_case)
         if set(required) <= set(cells) and (not any_of or set(any_of) & set(cells)):
             last = {cell: i for i, cell in enumerate(cells)}
-            places[tuple(last.get(n, -1) for n in names)] += layout.files
+            more = sorted((n, i) for n, i in last.items() if n and n not in names) if others else ()
+            places[_Places(tuple(last.get(n, -1) for n in names), tuple(more))] += layout.files
     if not places:
         first = min(known, key=lambda one: one.files[0], default=None)
         missing = missing_columns(first.headers if first else [], required) or list(any_of)
@@ -221,22 +225,41 @@ def read_cells_by_name(
     by_size = sorted(places.items(), key=lambda one: (-len(one[1]), one[0]))
     scans = []
     for at, own in by_size[:MAX_SCANS]:
-        cells = _cells(spark, own, max(at) + 1, multi_line)
-        fields = [F.col(f"` {i}`") if i >= 0 else F.lit(None).cast("string") for i in at]
-        scans.append(cells.select(*[c.alias(n) for c, n in zip(fields, names)], F.col(f"`{_FILE}`").alias("source_file")))
+        cells = _cells(spark, own, at.width(), multi_line)
+        fields = [F.col(f"` {i}`") if i >= 0 else F.lit(None).cast("string") for i in at.named]
+        more = [F.create_map(*[c for n, i in at.others for c in (F.lit(n), F.col(f"` {i}`"))])] if at.others else []
+        scans.append(cells.select(
+            *[c.alias(n) for c, n in zip(fields, names)], F.col(f"`{_FILE}`").alias("source_file"),
+            *[c.alias("others") for c in more],
+        ))
     if rest := by_size[MAX_SCANS:]:
         scans.append(_bound_by_file(spark, rest, names, multi_line))
-    return reduce(DataFrame.unionByName, scans)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+
+
+@dataclass(frozen=True, order=True)
+class _Places:
+    """Where in a file's rows the wanted names stand, -1 for none, and where the others do."""
+
+    named: tuple[int, ...]
+    others: tuple[tuple[str, int], ...] = ()
+
+    def width(self) -> int:
+        return max([*self.named, *(i for _, i in self.others)]) + 1
 
 
 def _bound_by_file(
-    spark: SparkSession, rest: Sequence[tuple[tuple[int, ...], Sequence[tuple[str, int]]]], names: Sequence[str],
+    spark: SparkSession, rest: Sequence[tuple[_Places, Sequence[tuple[str, int]]]], names: Sequence[str],
     multi_line: bool,
 ) -> DataFrame:
     """The named fields of files of many layouts, each row bound by what its file's name is joined to."""
-    width = max(max(at) for at, _ in rest) + 1
+    width = max(at.width() for at, _ in rest)
     notes = spark.createDataFrame(
-        [(_spelt(path), list(at)) for at, own in rest for path, _ in own], "_path string, _at array<int>"
+        [
+            (_spelt(path), list(at.named), [n for n, _ in at.others], [i for _, i in at.others])
+            for at, own in rest for path, _ in own
+        ],
+        "_path string, _at array<int>, _others array<string>, _others_at array<int>",
     )
     cells = _cells(spark, [file for _, own in rest for file in own], width, multi_line)
     own_name = F.regexp_replace(F.url_decode(F.replace(F.col(f"`{_FILE}`"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
@@ -245,6 +268,10 @@ def _bound_by_file(
     return bound.select(
         *[F.when(F.col("_at")[i] >= 0, F.get(row, F.col("_at")[i])).alias(n) for i, n in enumerate(names)],
         F.col(f"`{_FILE}`").alias("source_file"),
+        *(
+            [F.map_from_arrays("_others", F.transform("_others_at", lambda i: F.get(row, i))).alias("others")]
+            if any(at.others for at, _ in rest) else []
+        ),
     )
 
 
@@ -275,7 +302,9 @@ def parse_wide(
         ],
         *[P.trim_space(_or_null(df, m)).alias(m) for m in METRICS],
         "source_file",
+        *(["others"] if "others" in df.columns else []),
     )
+    custom = [_numbers("others").alias("custom_metrics")] if "others" in df.columns else []
     ts = now if timestamp_mode == "processing" else P.parse_ts(F.col("timestamp"), now)
     return texts.select(
         ts.alias("ts"),
@@ -287,9 +316,18 @@ def parse_wide(
         F.when((F.col("gpu_id") == "") | (F.col("hostname") == ""), "missing required fields")
         .when(P.any_not_finite(*map(F.col, METRICS)), "metric is not a finite number")
         .alias("reject_reason"),
+        *custom,
     )
 
 
+def _numbers(fields: str) -> Column:
+    """Those of a map of texts that are finite 32-bit numbers."""
+    largest = F.lit(3.4028234663852886e38)
+    whole = F.transform_values(fields, lambda _, v: P.trim_space(v).try_cast("double"))
+    kept = F.map_filter(whole, lambda _, v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= largest))
+    return F.transform_values(kept, lambda _, v: v.cast("float"))
+
+
 #: The columns of a wide file that count.
 WIDE_COLUMNS = tuple(
     dict.fromkeys(["timestamp", *(a for aliases in WIDE_ALIASES.values() for a in aliases), *METRICS])
@@ -299,14 +337,16 @@ WIDE_COLUMNS = tuple(
 def read_wide_csv(
     spark: SparkSession, path: str | Sequence[str], as_of: datetime | str, *,
     timestamp_mode: str = "event", cluster_id: str = DEFAULT_CLUSTER,
-    multi_line: bool = True, files: Sequence[Layout] | None = None,
+    multi_line: bool = True, files: Sequence[Layout] | None = None, custom_metrics: bool = False,
 ) -> DataFrame:
     """One row per GPU and moment. Header names are trimmed and lower-cased; of two
     equal names the last wins; rows may be short or long. A file without any
-    metric column holds no wide readings and contributes no rows."""
+    metric column holds no wide readings and contributes no rows. With
+    ``custom_metrics`` the finite numbers under all other names are kept as a map, if
+    any file has other names."""
     cells = read_cells_by_name(
         spark, path, WIDE_COLUMNS, fold_case=True, required=REQUIRED_COLUMNS, any_of=METRICS,
-        multi_line=multi_line, files=files,
+        multi_line=multi_line, files=files, others=custom_metrics,
     )
     return parse_wide(cells, as_of, timestamp_mode, cluster_id)
 
@@ -353,6 +393,7 @@ def read_long_csv(
 def read_readings_csv(
     spark: SparkSession, path: str | Sequence[str], as_of: datetime | str, *,
     timestamp_mode: str = "event", cluster_id: str = DEFAULT_CLUSTER, multi_line: bool = True,
+    custom_metrics: bool = False,
 ) -> DataFrame:
     """Wide readings of a folder with wide and long files, each by its own header.
 
@@ -365,14 +406,14 @@ def read_readings_csv(
     wide, long = [one for one in files if one.is_wide()], [one for one in files if one.is_long()]
     found = []
     if wide:
-        found.append(read_wide_csv(spark, path, as_of, files=wide, **how))
+        found.append(read_wide_csv(spark, path, as_of, files=wide, custom_metrics=custom_metrics, **how))
     if long:
         metrics = read_long_csv(spark, path, as_of, files=long, required=LONG_REQUIRED, **how)
         found.append(_long_as_wide(metrics, as_of))
     if not found:
         nothing = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (*WIDE_COLUMNS, "source_file")))
         found.append(parse_wide(nothing, as_of, timestamp_mode, cluster_id))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
 def _long_as_wide(metrics: DataFrame, as_of: datetime | str) -> DataFrame:

@@ -44,11 +44,15 @@ def encode_messages(
         "timestamp": rfc3339(F.col("ts")),
         **{c: F.col(c) for c in RECORD.fieldNames() if c != "timestamp"},
     }
+    names = list(RECORD.fieldNames())
+    if "custom_metrics" in df.columns:  # a field of the payload where there are any
+        fields["custom_metrics"] = F.when(F.size("custom_metrics") > 0, F.col("custom_metrics"))
+        names.append("custom_metrics")
     payload = F.col("_payload")
     numbered = bool(seq) and seq in df.columns
     # The payload is made once; everything below refers to it by name.
     df = df.withColumn(
-        "_payload", F.to_json(F.struct(*[fields[c].alias(c) for c in RECORD.fieldNames()]))
+        "_payload", F.to_json(F.struct(*[fields[c].alias(c) for c in names]))
     )
     if numbered:
         df = df.withColumn("_number", sortable(F.col(seq))).withColumn("_place", F.col("_number"))
@@ -136,5 +140,5 @@ def records_to_readings(records: DataFrame, as_of, cluster_id: str) -> DataFrame
         parse_ts(F.col("timestamp"), as_of).alias("ts"),
         F.lit(cluster_id).alias("cluster_id"),
         "hostname", "gpu_id", "uuid", "device", "model_name", *METRICS,
-        *[c for c in ("stream_key",) if c in records.columns],
+        *[c for c in ("stream_key", "custom_metrics") if c in records.columns],
     )

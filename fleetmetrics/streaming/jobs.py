@@ -16,7 +16,7 @@ from ..operators.batching import pack_batches
 from ..operators.quality import drop_missing_identity
 from ..operators.readings import latest_readings, stamp_lineage, upsert_readings
 from ..operators.registry import gpu_status, register_gpus, register_hosts
-from ..schemas import ATTRIBUTES, DEFAULT_CLUSTER, IDENTITY, METRICS
+from ..schemas import ATTRIBUTES, DEFAULT_CLUSTER, IDENTITY, METRICS, RECORD_WITH_CUSTOM
 from ..sources.csv_files import read_readings_csv, stream_csv_files
 from ..sources.messages import encode_messages, parse_messages, records_to_readings, split_decoded
 from .point_store import append_points
@@ -49,7 +49,7 @@ def run_ingest_stream(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, *,
     as_of: datetime | str | None = None, topic: str = "telemetry", ttl_seconds: int = 3600,
     timestamp_mode: str = "event", files_per_trigger: int = 1000, bytes_per_trigger: int | None = None,
-    interval: str | None = None,
+    custom_metrics: bool = True, interval: str | None = None,
 ) -> StreamingQuery:
     """Wide and long CSV files to ``out_dir/messages`` and ``out_dir/rejects``.
 
@@ -67,7 +67,10 @@ def run_ingest_stream(
         paths = [row.path for row in batch.collect()]
         if not paths:
             return
-        with kept(read_readings_csv(batch.sparkSession, paths, now, timestamp_mode=timestamp_mode)) as rows:
+        found = read_readings_csv(
+            batch.sparkSession, paths, now, timestamp_mode=timestamp_mode, custom_metrics=custom_metrics
+        )
+        with kept(found) as rows:
             good, rejected = drop_missing_identity(rows)
             messages = encode_messages(good, topic, ttl_seconds, now)
             write_with_retry(messages, lambda df: write_batch(df, f"{out_dir}/messages", name))
@@ -92,8 +95,8 @@ def run_collect_stream(
     def handle(batch: DataFrame, name: BatchName) -> None:
         spark = batch.sparkSession
         now = as_of or datetime.now().astimezone()
-        with kept(parse_messages(batch)) as parsed:
-            good, bad = split_decoded(parsed)
+        with kept(parse_messages(batch, RECORD_WITH_CUSTOM)) as parsed:
+            good, bad = split_decoded(parsed, RECORD_WITH_CUSTOM)
             points = stamp_lineage(
                 upsert_readings(records_to_readings(good, now, cluster_id), order=("stream_key",)),
                 collector_id, now,

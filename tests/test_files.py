@@ -261,3 +261,20 @@ def test_many_layouts(spark, tmp_path, monkeypatch):
         assert len({r.source_file for r in rows}) == 24
     manifest = S.ingest_manifest(spark, str(tmp_path), NOW).collect()
     assert [(r.status, r.record_count) for r in manifest] == [("processed", 1)] * 24
+
+
+def test_custom_metrics(spark, tmp_path, monkeypatch):
+    """Finite numbers under other names, from files of different headers, through messages and back."""
+    from fleetmetrics.plans.collect import collect_messages
+
+    a = "timestamp,gpu_id,hostname,temperature,Fan_RPM,note\n2024-01-01T00:00:00Z,0,h,1,1500.5,x\n2024-01-01T00:00:00Z,1,h,1,,7\n"
+    b = "timestamp,gpu_id,hostname,temperature,ecc errors,\n2024-01-01T00:00:00Z,2,h,1, 3 ,9\n2024-01-01T00:00:00Z,3,h,1,NaN,1\n"
+    folder = put(tmp_path, a=a, b=b, c="timestamp,gpu_id,hostname,temperature\n2024-01-01T00:00:00Z,4,h,1\n")
+    want = {"0": {"fan_rpm": 1500.5}, "1": {"note": 7.0}, "2": {"ecc errors": 3.0}, "3": {}, "4": {}}
+    for most in (64, 0):
+        monkeypatch.setattr(S, "MAX_SCANS", most)
+        points = collect_messages(ingest_folder(spark, folder, NOW).messages, NOW).points
+        assert {r.gpu_id: r.custom_metrics for r in points.collect()} == want
+    assert "custom_metrics" not in S.read_readings_csv(spark, folder, NOW).columns
+    plain = ingest_folder(spark, put(tmp_path / "..", d=WIDE) and str(tmp_path / ".." / "d.csv"), NOW)
+    assert b"custom_metrics" not in bytes(plain.messages.first().payload)
