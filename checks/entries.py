@@ -14,6 +14,7 @@ from fleetmetrics.functions import identity as I
 from fleetmetrics.functions import parsing as P
 from fleetmetrics.operators import batching, changes, quality, queue, readings as R
 from fleetmetrics.operators import registry as G
+from fleetmetrics.operators.paging import index_pages
 from fleetmetrics.operators import rollups as A
 from fleetmetrics.operators import scaling as S
 from fleetmetrics.operators.services import live_services
@@ -88,6 +89,13 @@ def match_gpu_exact(spark, sf_dir):
     return found.select("seq", "uuid", "ts", "value")
 
 
+@query
+def match_known_gpu(spark, sf_dir):
+    """A part of an id, resolved on the GPUs that were seen."""
+    seen = G.condense(tm.wide(spark, sf_dir), measured=())
+    return R.match_known_gpu(tm.readings(spark, sf_dir), seen, "U-0000001").select("seq", "uuid", "gpu_id", "value")
+
+
 @query
 def telemetry_oldest_first(spark, sf_dir):
     rows = R.time_range(tm.readings(spark, sf_dir), "2024-01-10T12:00:00Z", None)
@@ -129,6 +137,14 @@ def page_summary(spark, sf_dir):
     return R.page(rows, ["seq"], limit=50, offset=100).summary
 
 
+@query
+def page_deep(spark, sf_dir):
+    """A page from the middle of the whole table, from an index of ranges."""
+    rows = tm.readings(spark, sf_dir)
+    index = index_pages(rows, range_rows=max(1, rows.count() // 20))
+    return index.page(50, index.total // 2).rows.select("seq", "ts", "value")
+
+
 @query
 def page_after(spark, sf_dir):
     rows = R.page_after(tm.readings(spark, sf_dir), "2024-01-15T12:00:00", 0, 75)

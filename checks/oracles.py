@@ -305,6 +305,14 @@ ORACLES: dict[str, str] = {
         order by ts desc, seq desc limit 50 offset 100""", "readings"),
     "page_summary": _with(
         """select count(*) as total_count, count(*) > 150 as has_more from readings""", "readings"),
+    "page_deep": _with(
+        """select seq, ts, value from (
+          select *, row_number() over (order by date_trunc('second', ts) desc, seq desc) as rn, count(*) over () as n
+          from readings)
+        where rn > n // 2 and rn <= n // 2 + 50""", "readings"),
+    "match_known_gpu": _with(
+        """select seq, uuid, gpu_id, value from readings
+        where gpu_id like '%U-0000001%' or uuid like '%U-0000001%'""", "readings"),
     "page_after": _with(
         """select seq, ts, value from readings where (ts, seq) <
         (timestamp '2024-01-15 12:00:00', 0) order by ts desc, seq desc limit 75""", "readings"),

@@ -37,7 +37,7 @@ def by_ranges(
     spark = df.sparkSession
     path = shared_dir(spark, "ranges")
     placed = df.repartitionByRange(runs, *keys, *order).withColumn("_range", F.spark_partition_id())
-    placed.write.parquet(path)
+    placed.write.partitionBy("_range").parquet(path)  # a folder per run: a reader of some runs opens no others
     return spark.read.schema(placed.schema).parquet(path)
 
 

@@ -45,6 +45,28 @@ def match_gpu(df: DataFrame, gpu: str, exact: bool = False) -> DataFrame:
     return df.filter(hit("gpu_id") | hit("uuid"))
 
 
+#: The most ids that a text is resolved to; a text that more GPUs contain is searched for in the rows.
+RESOLVED_IDS = 1000
+
+
+def match_known_gpu(df: DataFrame, known: DataFrame, gpu: str) -> DataFrame:
+    """:func:`match_gpu`, with the text resolved to ids first, which prune the files of ``df``.
+
+    ``known`` has every ``gpu_id`` and ``uuid`` that ``df`` has, as the registry's
+    sightings do, and far fewer rows. Of it only the matching ids are read, at
+    most RESOLVED_IDS of each kind; where there are more, the rows are searched.
+    """
+
+    def matching(column: str) -> list[str]:
+        hit = (F.col(column) != "") & F.col(column).contains(gpu)
+        return [r[0] for r in known.filter(hit).select(column).distinct().limit(RESOLVED_IDS + 1).collect()]
+
+    ids, uuids = matching("gpu_id"), matching("uuid")
+    if max(len(ids), len(uuids)) > RESOLVED_IDS:
+        return match_gpu(df, gpu)
+    return df.filter(F.col("gpu_id").isin(ids) | F.col("uuid").isin(uuids))
+
+
 def time_range(
     df: DataFrame, start: datetime | str | None = None, end: datetime | str | None = None,
     ts: str = "ts",

@@ -114,3 +114,38 @@ def test_registry_from_one_pass(spark):
     assert plan.count("events.parquet") + plan.count("event_id#") >= 1
     tree = G.fleet_tree(hosts, status, A.cluster_metadata(hosts, status))
     assert "event_type" not in tree._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_resolved_ids_reach_the_reader(spark, tmp_path, monkeypatch):
+    from fleetmetrics.operators import readings as R
+
+    df = tm.readings(spark, SF)
+    path = str(tmp_path / "readings")
+    df.write.parquet(path)
+    stored, seen = spark.read.parquet(path), G.condense(tm.wide(spark, SF), measured=())
+    found = R.match_known_gpu(stored, seen, "U-0000001")
+    text = plan(found)
+    pushed = text.split("PushedFilters: [")[1]
+    assert "In(uuid, [" in pushed.split("ReadSchema")[0] and "Contains" not in text
+    want = R.match_gpu(df, "U-0000001")
+    assert found.exceptAll(want).count() == 0 and found.count() == want.count() > 0
+    monkeypatch.setattr(R, "RESOLVED_IDS", 2)
+    assert R.match_known_gpu(stored, seen, "U-0000001").count() == want.count()
+    assert R.match_known_gpu(stored, seen, "nothing").count() == 0
+
+
+def test_a_deep_page_reads_its_range_only(spark):
+    from fleetmetrics.operators.paging import index_pages
+    from fleetmetrics.operators.readings import newest_first
+
+    df = tm.readings(spark, SF)
+    index = index_pages(df, range_rows=90)
+    assert len(index.counts) > 8 and index.total == df.count()
+    want = [r.seq for r in newest_first(df).collect()]
+    for limit, offset in ((50, 0), (30, 500), (200, 333), (50, index.total - 10), (5, index.total + 5)):
+        page = index.page(limit, offset)
+        assert [r.seq for r in page.rows.collect()] == want[offset:offset + limit]
+        assert tuple(page.summary.first()) == (len(want), len(want) > limit + offset)
+    text = plan(index.page(30, 500).rows)
+    assert "_range" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert index_pages(df.limit(0)).page(5).rows.count() == 0
