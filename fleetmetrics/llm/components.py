@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import spread_join, stored
+from .tables import stored
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -13,8 +13,9 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Alternates the large-star and small-star steps until no link changes: each
     node's greater neighbours are hung on its least neighbour, then its lesser
-    ones. A node's neighbours are only ever reduced to their minimum, and meet it
-    in parts, so a node with links to a third of all others needs no task of its own. The number of
+    ones. A node's neighbours are only ever reduced to their minimum, so a node
+    with links to a third of all others needs no task of its own; where they meet
+    it, adaptive execution splits a node's links by their size. The number of
     rounds grows with the logarithm of the longest chain. Links of a node to
     itself make it a component; null ends are ignored.
     """
@@ -28,11 +29,11 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         # Large star: of all neighbours and the node itself the least, m; every greater neighbour is hung on m.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = spread_join(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: the lesser neighbours and the node itself are hung on the least of them.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            spread_join(large, lowest, ["u"], "v")
+            large.join(lowest, "u")
             .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
             .where("u != v").distinct()
         )
