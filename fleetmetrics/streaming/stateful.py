@@ -5,6 +5,7 @@ They need the RocksDB state store (``session.RECOMMENDED_CONF``).
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -110,45 +111,99 @@ def expire_stream(
     )
 
 
+class _Slices:
+    """A key's rows that wait for their turn: by slices of event time, each given out when the watermark has passed it.
+
+    A slice is an entry of map state with a timer of its own, so that only the
+    rows of one slice of a key are ever held in a list.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, millis: int) -> None:
+        self._handle, self._millis = handle, millis
+        self._state = handle.getMapState(
+            "waiting", T.StructType().add("slice", T.LongType()),
+            T.StructType().add("rows", T.ArrayType(T.StringType())),
+        )
+
+    def add(self, rows: Iterator[tuple]) -> None:
+        """Rows whose first value is their time in microseconds."""
+        by_slice: dict[int, list[str]] = {}
+        for row in rows:
+            by_slice.setdefault(row[0] // 1000 // self._millis, []).append(json.dumps(row))
+        for place, found in sorted(by_slice.items()):
+            if self._state.containsKey((place,)):
+                found = [*self._state.getValue((place,))[0], *found]
+            else:
+                self._handle.registerTimer((place + 1) * self._millis)
+            self._state.updateValue((place,), (found,))
+
+    def due(self, expiry: int) -> list[tuple]:
+        """The rows of the slice that ends then; it is forgotten."""
+        place = expiry // self._millis - 1
+        if not self._state.containsKey((place,)):
+            return []
+        rows = [tuple(json.loads(one)) for one in self._state.getValue((place,))[0]]
+        self._state.removeKey((place,))
+        return rows
+
+
 class _Throttle(StatefulProcessor):
-    def __init__(self, rate: float, burst: float):
-        self._rate, self._burst = rate, burst
+    def __init__(self, rate: float, burst: float, slice_millis: int = 0):
+        self._rate, self._burst, self._millis = rate, burst, slice_millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._waiting = _Slices(handle, self._millis) if self._millis else None
         self._state = handle.getValueState(
             "bucket",
             T.StructType().add("tokens", T.DoubleType()).add("last", T.LongType()),
         )
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def _take(self, key: Any, rows: list[tuple]) -> Iterator[Row]:
         tokens, last = self._state.get() if self._state.exists() else (None, None)
         bucket = Bucket(self._rate, self._burst, tokens, last)
-        # The rows of one key within one micro-batch, which the source's rate limit bounds.
-        for micros, seq in sorted(((r["_micros"], r["_seq"]) for r in rows), key=_nulls_first):
+        for micros, seq in sorted(rows, key=_nulls_first):
             yield Row(key=key[0], seq=seq, micros=micros, allowed=bucket.take(micros))
         self._state.update((bucket.tokens, bucket.last))
 
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        found = ((r["_micros"], r["_seq"]) for r in rows)
+        if self._waiting is None:
+            # The rows of one key within one micro-batch, which the source's rate limit bounds.
+            yield from self._take(key, list(found))
+        else:
+            self._waiting.add(found)
+
+    def handleExpiredTimer(
+        self, key: Any, timerValues: Any, expiredTimerInfo: Any
+    ) -> Iterator[Row]:
+        yield from self._take(key, self._waiting.due(expiredTimerInfo.getExpiryTimeInMs()))
+
     def close(self) -> None:
         pass
 
 
 def throttle_stream(
     sdf: DataFrame, key: str, rate: float = DEFAULT_RATE, burst: int = DEFAULT_BURST,
-    ts: str = "ts", seq: str = "seq",
+    ts: str = "ts", seq: str = "seq", delay: str | None = None, slice_seconds: float = 1.0,
 ) -> DataFrame:
     """Key, ``seq``, time and ``allowed`` per row; the bucket of a key lives on between batches.
 
-    A row older than the key's newest one refills nothing.
+    Rows are judged as they come: one older than the key's newest refills
+    nothing. With ``delay`` they wait until the watermark has passed their slice of
+    ``slice_seconds``, and are judged in the order of time and ``seq`` whatever
+    batch they came in, as :func:`throttle_flags` does; rows still later are
+    dropped, as are those without a time, and the last ones wait for newer rows.
     """
     rows = sdf.select(
-        F.col(key).alias("_key"),
+        F.col(key).alias("_key"), F.col(ts).cast("timestamp").alias("_time"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros"),
         F.col(seq).cast("long").alias("_seq"),
     )
+    rows, mode, millis = _timed(rows, delay, slice_seconds)
     kind = sdf.schema[key].dataType.simpleString()
     out = rows.groupBy("_key").transformWithState(
-        _Throttle(rate, burst), f"key {kind}, seq long, micros long, allowed boolean",
-        "Append", "None",
+        _Throttle(rate, burst, millis), f"key {kind}, seq long, micros long, allowed boolean",
+        "Append", mode,
     )
     return out.select(
         F.col("key").alias(key), F.col("seq").alias(seq),
@@ -156,18 +211,27 @@ def throttle_stream(
     )
 
 
+def _timed(rows: DataFrame, delay: str | None, slice_seconds: float) -> tuple[DataFrame, str, int]:
+    """The rows with a watermark if there is a delay, the time mode, and the slices' length."""
+    if delay is None:
+        return rows.drop("_time"), "None", 0
+    timed = rows.filter(F.col("_time").isNotNull()).withWatermark("_time", delay)
+    return timed, "EventTime", max(1, round(slice_seconds * 1000))
+
+
 class _Changes(StatefulProcessor):
+    def __init__(self, slice_millis: int = 0):
+        self._millis = slice_millis
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._waiting = _Slices(handle, self._millis) if self._millis else None
         self._state = handle.getValueState(
             "present", T.StructType().add("present", T.BooleanType())
         )
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def _tell(self, key: Any, rows: list[tuple]) -> Iterator[Row]:
         present = self._state.exists() and self._state.get()[0]
-        # The rows of one key within one micro-batch, which the source's rate limit bounds.
-        for seq, op, value in sorted(
-            ((r["_seq"], r["_op"], r["_value"]) for r in rows), key=_nulls_first
-        ):
+        for *_, seq, op, value in sorted(rows, key=_nulls_first):
             if op == "DELETE":
                 event, present = "delete", False
             else:
@@ -175,21 +239,48 @@ class _Changes(StatefulProcessor):
             yield Row(key=key[0], seq=seq, event_type=event, value=value)
         self._state.update((present,))
 
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        if self._waiting is None:
+            # The rows of one key within one micro-batch, which the source's rate limit bounds.
+            yield from self._tell(key, [(r["_seq"], r["_op"], r["_value"]) for r in rows])
+        else:
+            self._waiting.add((r["_micros"], r["_seq"], r["_op"], r["_value"]) for r in rows)
+
+    def handleExpiredTimer(
+        self, key: Any, timerValues: Any, expiredTimerInfo: Any
+    ) -> Iterator[Row]:
+        yield from self._tell(key, self._waiting.due(expiredTimerInfo.getExpiryTimeInMs()))
+
     def close(self) -> None:
         pass
 
 
 def change_events(
-    sdf: DataFrame, key: str = "key", seq: str = "seq", op: str = "op", value: str = "value"
+    sdf: DataFrame, key: str = "key", seq: str = "seq", op: str = "op", value: str = "value",
+    ts: str = "ts", delay: str | None = None, slice_seconds: float = 1.0,
 ) -> DataFrame:
-    """Each change of a key as create, update or delete, across micro-batches."""
+    """Each change of a key as create, update or delete, across micro-batches.
+
+    Within a micro-batch changes go by ``seq``. With ``delay`` they wait, as in
+    :func:`throttle_stream`, and go by time ``ts`` and then ``seq`` whatever batch
+    they came in.
+    """
     rows = sdf.select(
         F.col(key).cast("string").alias("_key"), F.col(seq).cast("long").alias("_seq"),
         F.col(op).alias("_op"),
         F.coalesce(F.col(value).cast("string"), F.lit("")).alias("_value"),
+        *(
+            [] if delay is None else [
+                F.col(ts).cast("timestamp").alias("_time"),
+                F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros"),
+            ]
+        ),
     )
+    mode, millis = "None", 0
+    if delay is not None:
+        rows, mode, millis = _timed(rows, delay, slice_seconds)
     out = rows.groupBy("_key").transformWithState(
-        _Changes(), "key string, seq long, event_type string, value string", "Append", "None"
+        _Changes(millis), "key string, seq long, event_type string, value string", "Append", mode
     )
     return out.select(
         F.col("key").alias(key), F.col("seq").alias(seq), "event_type",
@@ -199,7 +290,7 @@ def change_events(
 
 def change_feed(
     sdf: DataFrame, callback: Callable[[DataFrame, BatchName], None], checkpoint: str,
-    interval: str | None = None, **columns: str,
+    interval: str | None = None, **columns: Any,
 ) -> StreamingQuery:
     """Hand every micro-batch of :func:`change_events` to ``callback(events, batch)``; ``batch`` is its name."""
     return start_batches(change_events(sdf, **columns), callback, checkpoint, interval)

@@ -248,6 +248,52 @@ def test_throttle_stream_equals_batch(spark):
     assert rows(got.select("seq", "allowed")) == rows(throttle_flags(df, "k", 2.0, 3).select("seq", "allowed"))
 
 
+def shuffled_by_time(spark, data, schema, far):
+    """Rows as batches in which each may come one batch late, and a last row that lets the watermark pass them."""
+    rng = random.Random(12)
+    size, batches = 60, [[] for _ in range(len(data) // 60 + 2)]
+    for i, row in enumerate(data):
+        batches[i // size + (rng.random() < 0.4)].append(row)
+    for batch in batches:
+        rng.shuffle(batch)
+    batches.append([far])
+    return stream(spark, *[spark.createDataFrame(b, schema) for b in batches if b])
+
+
+def test_late_rows_are_throttled_in_order(spark):
+    rng = random.Random(7)
+    clock, data = 0, []
+    for i in range(240):
+        clock += rng.choice([0, 50, 400, 3000])
+        data.append((i, rng.choice("kkl"), T0 + timedelta(milliseconds=clock)))
+    schema = "seq long, k string, ts timestamp"
+    sdf = shuffled_by_time(spark, data, schema, (999, "k", T0 + timedelta(days=1)))
+    got = table(spark, stateful.throttle_stream(sdf, "k", 2.0, 3, delay="1 hour"))
+    want = throttle_flags(spark.createDataFrame(data, schema), "k", 2.0, 3)
+    assert rows(got.select("seq", "allowed")) == rows(want.select("seq", "allowed"))
+
+
+def test_late_changes_are_told_in_order(spark):
+    rng = random.Random(8)
+    data = [(i, rng.choice("abc"), rng.choice(["PUT", "DELETE", "PUT"]), str(i), T0 + timedelta(seconds=i // 3)) for i in range(150)]
+    schema = "seq long, key string, op string, value string, ts timestamp"
+    sdf = shuffled_by_time(spark, data, schema, (999, "a", "PUT", "", T0 + timedelta(days=1)))
+    got = table(spark, stateful.change_events(sdf, delay="10 minutes"))
+    want = classify_changes(spark.createDataFrame(data, schema), ["key"])
+    assert rows(got.select("seq", "key", "event_type")) == rows(want.select("seq", "key", "event_type"))
+
+
+def test_missing_numbers_and_times_in_streams(spark):
+    """NULL sorts before any value in one batch, as it does in the batch forms."""
+    log = spark.createDataFrame([(2, "k", "PUT", "b"), (None, "k", "PUT", "a"), (1, "k", "DELETE", "c")],
+                                "seq long, key string, op string, value string")
+    got = table(spark, stateful.change_events(stream(spark, log)))
+    assert {(r.seq, r.event_type) for r in got.collect()} == {(None, "create"), (1, "delete"), (2, "create")}
+    timed = spark.createDataFrame([(1, "k", T0), (None, "k", T0), (3, "k", None)], "seq long, k string, ts timestamp")
+    got = table(spark, stateful.throttle_stream(stream(spark, timed), "k", 0.001, 1))
+    assert {(r.seq, r.allowed) for r in got.collect()} == {(3, True), (None, True), (1, False)}
+
+
 def test_change_feed_across_micro_batches(spark):
     rng = random.Random(6)
     data = [(i, rng.choice("abc"), rng.choice(["PUT", "DELETE", "PUT"]), str(i)) for i in range(90)]
