@@ -20,7 +20,7 @@ from ..schemas import ATTRIBUTES, DEFAULT_CLUSTER, IDENTITY, METRICS, RECORD_WIT
 from ..sources.csv_files import read_readings_csv, stream_csv_files
 from ..sources.messages import encode_messages, parse_messages, records_to_readings, split_decoded
 from .point_store import append_points
-from .sinks import BatchName, read_batches_of, start_batches, write_batch, write_with_retry
+from .sinks import BatchName, SenderTotals, read_batches_of, start_batches, write_batch, write_with_retry
 
 
 def snapshot_then_tail(
@@ -49,7 +49,7 @@ def run_ingest_stream(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, *,
     as_of: datetime | str | None = None, topic: str = "telemetry", ttl_seconds: int = 3600,
     timestamp_mode: str = "event", files_per_trigger: int = 1000, bytes_per_trigger: int | None = None,
-    custom_metrics: bool = True, interval: str | None = None,
+    custom_metrics: bool = True, interval: str | None = None, totals: SenderTotals | None = None,
 ) -> StreamingQuery:
     """Wide and long CSV files to ``out_dir/messages`` and ``out_dir/rejects``.
 
@@ -57,6 +57,7 @@ def run_ingest_stream(
     micro-batch, at most ``files_per_trigger`` or those of ``bytes_per_trigger``.
     Several streams may write to one ``out_dir``. ``as_of`` fixes the clock, for
     tests and replays; otherwise it is the moment the micro-batch starts.
+    ``totals`` keeps the running counts of messages, batches and errors.
     """
     arrived = stream_csv_files(
         spark, in_dir, files_per_trigger=files_per_trigger, bytes_per_trigger=bytes_per_trigger
@@ -73,8 +74,10 @@ def run_ingest_stream(
         with kept(found) as rows:
             good, rejected = drop_missing_identity(rows)
             messages = encode_messages(good, topic, ttl_seconds, now)
-            write_with_retry(messages, lambda df: write_batch(df, f"{out_dir}/messages", name))
             write_with_retry(rejected, lambda df: write_batch(df, f"{out_dir}/rejects", name))
+            write_with_retry(messages, lambda df: write_batch(df, f"{out_dir}/messages", name), totals=totals)
+            if totals is not None:
+                totals.records += good.count()  # of rows that are kept
 
     return start_batches(arrived, handle, checkpoint, interval)
 
@@ -82,14 +85,14 @@ def run_ingest_stream(
 def run_collect_stream(
     messages: DataFrame, store: str, checkpoint: str, *, as_of: datetime | str | None = None,
     collector_id: str = "collector", cluster_id: str = DEFAULT_CLUSTER,
-    interval: str | None = None,
+    interval: str | None = None, totals: SenderTotals | None = None,
 ) -> StreamingQuery:
     """Messages to logs below ``store``: points, sightings, newest readings, dead letters.
 
     Each log has one folder per stream and micro-batch, that of the points with
     folders by cluster and day in it (:mod:`point_store`). The points of the batch
     are written first; what is derived from them reads only the columns it needs
-    back.
+    back. ``totals`` keeps the running counts of records, batches and errors.
     """
 
     def handle(batch: DataFrame, name: BatchName) -> None:
@@ -101,7 +104,9 @@ def run_collect_stream(
                 upsert_readings(records_to_readings(good, now, cluster_id), order=("stream_key",)),
                 collector_id, now,
             )
-            write_with_retry(points, lambda df: append_points(df, store, name))
+            write_with_retry(points, lambda df: append_points(df, store, name), totals=totals)
+            if totals is not None:
+                totals.records += good.count()  # of messages that are kept parsed
             write_with_retry(bad, lambda df: write_batch(df, f"{store}/dead_letters", name))
         # Messages without a whole record have left no files, and then no folders to read.
         columns = points.withColumn("event_date", F.to_date("ts")).schema

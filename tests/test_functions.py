@@ -23,8 +23,8 @@ def test_to_float32(values):
 
 
 def test_to_float64(values):
-    assert values(P.to_float64_or_zero, ['"85.5"', "invalid", "", "1e39", "1e400", '" 1"']) == [
-        85.5, 0.0, 0.0, 1e39, 0.0, 0.0]
+    assert values(P.to_float64_or_zero, ['"61.25"', "invalid", "", "1e39", "1e400", '" 1"']) == [
+        61.25, 0.0, 0.0, 1e39, 0.0, 0.0]
 
 
 def test_any_not_finite(values):
@@ -34,22 +34,22 @@ def test_any_not_finite(values):
 
 
 def test_parse_ts(spark):
-    texts = ["2025-07-18T20:42:34Z", "2025-07-18T20:42:34.5Z", "2025-07-18T20:42:34+02:00",
-             "2024-01-01 12:00:01", "2025", "invalid-timestamp", "", None, "2025-07-18T20:42:34",
-             "2025-07-18T20:42:34Z\n", "2025-13-01T00:00:00Z"]
+    texts = ["2023-11-09T21:08:17Z", "2023-11-09T21:08:17.5Z", "2023-11-09T21:08:17+02:00",
+             "2022-05-06 07:08:09", "2025", "no time at all", "", None, "2023-11-09T21:08:17",
+             "2023-11-09T21:08:17Z\n", "2023-13-01T00:00:00Z"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     out = df.select("i", P.rfc3339(P.parse_ts(F.col("t"), NOW)).alias("r")).orderBy("i").collect()
     now = "2024-02-01T12:00:00Z"
     assert [r.r for r in out] == [
-        "2025-07-18T20:42:34Z", "2025-07-18T20:42:34Z", "2025-07-18T18:42:34Z",
-        "2024-01-01T12:00:01Z", now, now, now, now, now, now, now]
+        "2023-11-09T21:08:17Z", "2023-11-09T21:08:17Z", "2023-11-09T19:08:17Z",
+        "2022-05-06T07:08:09Z", now, now, now, now, now, now, now]
 
 
 def test_cleaning(values):
     assert values(P.clean_field, [' \t"a" ', '""', None, 'a"b', '"" x']) == ["a", "", "", 'a"b', " x"]
-    assert values(P.sanitize, ["hello world", "  hello world  ", "hello\x00world",
-                               "hello\x01\x02world", "hello\tworld\ntest", "", " x　"]) == [
-        "hello world", "hello world", "helloworld", "helloworld", "hello\tworld\ntest", "", "x"]
+    assert values(P.sanitize, ["rack 7 node", "  rack 7 node  ", "rack 7\x00node",
+                               "rack 7\x01\x02node", "rack 7\tnode\nend", "", " x　"]) == [
+        "rack 7 node", "rack 7 node", "rack 7node", "rack 7node", "rack 7\tnode\nend", "", "x"]
     assert values(lambda x: P.first_non_empty(x, F.lit("b")), ["a", " ", None]) == ["a", "b", "b"]
 
 

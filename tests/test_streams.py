@@ -45,9 +45,11 @@ def test_ingest_stream_picks_up_new_files_once(spark, tmp_path):
     def put(name, *lines):
         (folder / name).write_text("\n".join([",".join(HEADER), *lines]) + "\n")
 
+    totals = sinks.SenderTotals()
+
     def run():
         jobs.run_ingest_stream(
-            spark, str(folder), out, f"{out}/ckpt", as_of=NOW
+            spark, str(folder), out, f"{out}/ckpt", as_of=NOW, totals=totals
         ).awaitTermination()
         sent = sinks.read_batches_of(spark, f"{out}/messages")
         return sorted(r.gpu_id for r in decode_messages(sent)[0].collect())
@@ -57,6 +59,7 @@ def test_ingest_stream_picks_up_new_files_once(spark, tmp_path):
     put("b.CSV", "2024-01-01T00:00:00Z,1,h,1")
     (folder / "c.txt").write_text("x\n")
     assert run() == ["0", "1"] and run() == ["0", "1"]
+    assert (totals.records, totals.batches, totals.errors) == (2, 2, 0) and totals.processing_rate > 0
     assert sinks.read_batches_of(spark, f"{out}/rejects").count() == 1
 
 
