@@ -1124,6 +1124,19 @@ def latest_status_stream(spark, sf_dir):
     return R.latest_readings(updates).select(*IDENTITY, "seq", "ts", "value")
 
 
+@query
+def status_from_state(spark, sf_dir):
+    """GPUs with the status that a stream's state holds after its last batch."""
+    _stateful(spark)
+    path = shared_dir(spark, "state")
+    _run(stateful.keep_status(_stream_of(spark, tm.wide(spark, sf_dir)), path))
+    status = G.gpu_status(G.register_gpus(tm.wide(spark, sf_dir)), stateful.kept_status(spark, path))
+    found = status.select(*IDENTITY, "status.*").drop("last_updated", "state")
+    return _doubles(
+        found, "utilization_percent", "memory_used_percent", "temperature_celsius", "power_draw_watts"
+    )
+
+
 @query
 def expire_stream(spark, sf_dir):
     _stateful(spark)

@@ -716,6 +716,9 @@ ORACLES: dict[str, str] = {
         f"""select {_IDENTITY}, seq, ts, value from (
           select *, row_number() over (partition by {_IDENTITY} order by ts desc, seq desc) as rn
           from readings) where rn = 1""", "readings"),
+    "status_from_state": _with(
+        f"""select {_IDENTITY}, {rnd('utilization_percent')}, {rnd('memory_used_percent')},
+        {rnd('temperature_celsius')}, {rnd('power_draw_watts')}, healthy from status""", "status"),
     "expire_stream": _with(
         """select message_id, topic, expires_at as expired_at from fates
         where (acked_at is null or acked_at > expires_at)

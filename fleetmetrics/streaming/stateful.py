@@ -7,16 +7,18 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..operators.registry import STATUS_METRICS
 from ..operators.throttle import DEFAULT_BURST, DEFAULT_RATE, Bucket
+from ..schemas import IDENTITY
 from .sinks import BatchName, start_batches
 
 # The row code below travels with its tasks; executors need no copy of the package.
@@ -288,6 +290,66 @@ def change_events(
     )
 
 
+class _Newest(StatefulProcessor):
+    """Keeps a GPU's newest reading and tells nothing; the state itself is the result."""
+
+    def __init__(self, measured: Sequence[str], ttl_millis: int | None):
+        self._measured, self._ttl = tuple(measured), ttl_millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kept = T.StructType().add("micros", T.LongType()).add("seq", T.LongType())
+        for name in self._measured:
+            kept = kept.add(name, T.FloatType())
+        self._state = handle.getValueState(_NEWEST, kept, self._ttl)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        newest = tuple(self._state.get()) if self._state.exists() else None
+        before = newest
+        for row in rows:
+            found = tuple(row[c] for c in ("micros", "seq", *self._measured))
+            if newest is None or _nulls_first(found[:2]) > _nulls_first(newest[:2]):
+                newest = found
+        if newest != before:
+            self._state.update(newest)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+_NEWEST = "newest"
+
+
+def keep_status(
+    sdf: DataFrame, checkpoint: str, measured: Sequence[str] = STATUS_METRICS, ttl_seconds: int | None = None,
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Keep each GPU's newest reading, by time and ``seq``, in the stream's state; :func:`kept_status` reads it.
+
+    With a TTL a GPU that is silent for so long is forgotten. Nothing else is
+    written, so the table of present states is as large as the fleet.
+    """
+    rows = sdf.select(
+        *IDENTITY, F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+        F.col("seq").cast("long").alias("seq"), *[F.col(c).cast("float").alias(c) for c in measured],
+    )
+    ttl = None if ttl_seconds is None else ttl_seconds * 1000
+    mode = "None" if ttl is None else "ProcessingTime"
+    out = rows.groupBy(*IDENTITY).transformWithState(_Newest(measured, ttl), "nothing string", "Update", mode)
+    writer = out.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return writer.trigger(**trigger).start()
+
+
+def kept_status(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The newest reading of each GPU, as :func:`keep_status` has it after its last batch; for ``gpu_status``."""
+    state = spark.read.format("statestore").option("stateVarName", _NEWEST).load(checkpoint)
+    return state.select("key.*", "value.*").select(
+        *IDENTITY, F.timestamp_micros("micros").alias("ts"), "seq",
+        *[c for c in state.schema["value"].dataType.fieldNames() if c not in ("micros", "seq")],
+    )
+
+
 def change_feed(
     sdf: DataFrame, callback: Callable[[DataFrame, BatchName], None], checkpoint: str,
     interval: str | None = None, **columns: Any,

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetmetrics.operators import queue, readings as R
+from fleetmetrics.operators import registry as G
 from fleetmetrics.operators.batching import pack_batches
 from fleetmetrics.operators.changes import classify_changes
 from fleetmetrics.operators.rollups import add_tallies, reading_tallies
@@ -195,6 +196,18 @@ def test_first_sightings_and_status(spark):
     assert rows(final) == rows(R.latest_readings(a.unionByName(b)).select("gpu_id", "seq")) == [("0", 3), ("1", 5)]
 
 
+def test_status_is_read_from_the_state(spark):
+    a = spark.createDataFrame([reading(1, 0, temp=90.0), reading(2, 1, gpu="1"), reading(3, 2, temp=20.0)], WIDE)
+    b = spark.createDataFrame([reading(4, 1, temp=3.0), reading(5, 9, gpu="1", temp=95.0), reading(6, 2, temp=21.0)], WIDE)
+    path = shared_dir(spark, "state")
+    stateful.keep_status(stream(spark, a, b), path).awaitTermination()
+    kept = stateful.kept_status(spark, path)
+    assert sorted((r.gpu_id, r.seq, r.temperature) for r in kept.collect()) == [("0", 6, 21.0), ("1", 5, 95.0)]
+    gpus = G.register_gpus(a)
+    assert rows(G.gpu_status(gpus, kept).select("gpu_id", "status.healthy", "status.temperature_celsius")) == rows(
+        G.gpu_status(gpus, a.unionByName(b)).select("gpu_id", "status.healthy", "status.temperature_celsius"))
+
+
 def test_dedup_within_watermark(spark):
     df = spark.createDataFrame([reading(i, 0) for i in range(4)], WIDE)
     df = df.withColumn("ts", F.col("ts").cast("timestamp"))
