@@ -38,31 +38,60 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+#: The kinds of values in a dump: their shape, and which columns their key gives.
+_KINDS = {
+    "cluster": (CLUSTER, {"cluster_id": "cluster"}),
+    "host": (HOST, {"cluster_id": "cluster", "hostname": "host"}),
+    "gpu": (GPU, {"cluster_id": "cluster", "hostname": "host", "gpu_id": "gpu"}),
+    "data": (STORED_POINT, {"cluster_id": "cluster", "hostname": "host", "gpu_id": "gpu", "telemetry_id": "point"}),
+}
+
+
+def parse_kv_dump(df: DataFrame) -> DataFrame:
+    """The dump with the parts of each key as ``k``, and each value parsed by its kind, in one pass.
+
+    A value is in the column of its kind; ``whole`` tells whether it is JSON of
+    that shape, NULL for keys of other kinds. A job that wants several kinds, or
+    the broken values too, keeps this and takes it apart by :func:`kv_documents`
+    and :func:`broken_documents`.
+    """
+    typed = df.select("key", classify_key(F.col("key")).alias("k"), "value")
+    kind = F.col("k.kind")
+    parsed = typed.select(
+        "*", *[F.when(kind == name, _document(schema)).alias(name) for name, (schema, _) in _KINDS.items()]
+    )
+    whole = F.lit(None).cast("boolean")
+    for name in _KINDS:
+        whole = F.when(kind == name, F.coalesce(_whole(name), F.lit(False))).otherwise(whole)
+    return parsed.withColumn("whole", whole)
+
+
+def kv_documents(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(clusters, hosts, gpus, points) of :func:`parse_kv_dump`."""
+
+    def documents(name: str) -> DataFrame:
+        schema, where = _KINDS[name]
+        own = [c for c in schema.fieldNames() if c not in where]
+        return parsed.filter((F.col("k.kind") == name) & F.col("whole")).select(
+            *[F.col(f"k.{part}").alias(column) for column, part in where.items()],
+            *[F.col(f"{name}.{c}").alias(c) for c in own],
+        )
+
+    return tuple(documents(name) for name in _KINDS)
+
+
+def broken_documents(parsed: DataFrame) -> DataFrame:
+    """(key, kind, value) of the documents of :func:`parse_kv_dump` that are not JSON of their kind's shape."""
+    return parsed.filter(~F.col("whole")).select("key", F.col("k.kind").alias("kind"), "value")
+
+
 def import_kv_dump(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(clusters, hosts, gpus, points) of a dump of key and JSON value.
 
     The key says what a value is and where it belongs; values that are not JSON
     of that shape are left out here and listed by :func:`broken_kv_values`.
     """
-    typed = df.select(classify_key(F.col("key")).alias("k"), "value")
-
-    def documents(kind: str, schema, where: dict[str, str]) -> DataFrame:
-        rows = typed.filter(F.col("k.kind") == kind).select("k", _document(schema).alias("d"))
-        own = [c for c in schema.fieldNames() if c not in where]
-        return rows.filter(_whole("d")).select(
-            *[F.col(f"k.{part}").alias(name) for name, part in where.items()],
-            *[F.col(f"d.{c}").alias(c) for c in own],
-        )
-
-    return (
-        documents("cluster", CLUSTER, {"cluster_id": "cluster"}),
-        documents("host", HOST, {"cluster_id": "cluster", "hostname": "host"}),
-        documents("gpu", GPU, {"cluster_id": "cluster", "hostname": "host", "gpu_id": "gpu"}),
-        documents(
-            "data", STORED_POINT,
-            {"cluster_id": "cluster", "hostname": "host", "gpu_id": "gpu", "telemetry_id": "point"},
-        ),
-    )
+    return kv_documents(parse_kv_dump(df))
 
 
 def _document(schema: T.StructType):
@@ -76,14 +105,7 @@ def _whole(column: str):
 
 def broken_kv_values(df: DataFrame) -> DataFrame:
     """(key, kind, value) of a dump's documents whose value is not JSON of their kind's shape."""
-    typed = df.select("key", classify_key(F.col("key"))["kind"].alias("kind"), "value")
-    shapes = {"cluster": CLUSTER, "host": HOST, "gpu": GPU, "data": STORED_POINT}
-    broken = None
-    for kind, schema in shapes.items():
-        rows = typed.filter(F.col("kind") == kind).withColumn("d", _document(schema))
-        rows = rows.filter(~F.coalesce(_whole("d"), F.lit(False))).drop("d")
-        broken = rows if broken is None else broken.unionByName(rows)
-    return broken
+    return broken_documents(parse_kv_dump(df))
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

@@ -433,3 +433,24 @@ def test_null_keys_survive(spark):
     timed = rows.select("seq", "key", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, 0, seq)").alias("ts"))
     flagged = throttle_flags(timed.where("seq is not null"), "key", 0.1, 1)
     assert {r.seq: r.allowed for r in flagged.collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_kv_dump_is_parsed_in_one_pass(spark):
+    from fleetmetrics.sources import store
+
+    base = "/telemetry/clusters/c1"
+    dump = spark.createDataFrame([
+        (base, '{"cluster_id": "c1", "region": "eu"}'), (f"{base}/hosts/h1", '{"hostname": "h1", "os_version": "x"}'),
+        (f"{base}/hosts/h1/gpus/0", '{"uuid": "U"}'), (f"{base}/hosts/h1/gpus/0/data/p1", '{"uuid": "U", "temperature": 5}'),
+        (f"{base}/hosts/h1/gpus/0/data/p2", '{"uuid": '), (f"{base}/hosts/h2", None), ("/elsewhere/x", "{"),
+    ], "key string, value string")
+    parsed = store.parse_kv_dump(dump)
+    clusters, hosts, gpus, points = store.kv_documents(parsed)
+    assert [(r.cluster_id, r.region) for r in clusters.collect()] == [("c1", "eu")]
+    assert [(r.cluster_id, r.hostname, r.os_version) for r in hosts.collect()] == [("c1", "h1", "x")]
+    assert [(r.hostname, r.gpu_id, r.uuid) for r in gpus.collect()] == [("h1", "0", "U")]
+    assert [(r.telemetry_id, r.temperature) for r in points.collect()] == [("p1", 5.0)]
+    broken = store.broken_documents(parsed)
+    assert sorted((r.key.rsplit("/", 1)[1], r.kind) for r in broken.collect()) == [("h2", "host"), ("p2", "data")]
+    plan = broken._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
