@@ -18,8 +18,6 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: The languages of the corpus; documents that are predicted to be in another go.
 LANGUAGES = ("de", "en", "es", "fr")
-#: The least posterior of the predicted language.
-MIN_SCORE = 0.5
 #: Shares of tokens by domain. Clean documents belong to the others in a small part, which these shares leave room for.
 WEIGHTS = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
 #: The domain that sets the budget: its tokens stay, and the others are brought to their share beside them.
@@ -28,7 +26,7 @@ WHOLE = ("clean",)
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose predicted language is one of ``LANGUAGES``; texts without letters, called ``und``, go."""
-    return langid.keep_languages(docs, langid.train(docs), LANGUAGES, MIN_SCORE)
+    return langid.keep_languages(docs, langid.train(docs), LANGUAGES)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
