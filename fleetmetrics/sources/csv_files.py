@@ -417,19 +417,27 @@ def read_readings_csv(
 
 
 def _long_as_wide(metrics: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Long rows as rows of ``parse_wide``, with the greatest file name of the second."""
+    """Long rows as rows of ``parse_wide``, with the greatest file name of the second.
+
+    A value that is not finite counts as not measured; a second with such a value
+    is told once as a reject, beside the reading of its other metrics.
+    """
     from ..operators.readings import METRIC_MAP, long_to_wide
 
     names = {**METRIC_MAP, **{m: m for m in METRICS}}
     bad = F.isnan("value") | (F.abs("value") == float("inf"))
-    values = metrics.withColumn("_bad", bad).withColumn("value", F.when(bad, 0.0).otherwise(F.col("value")))
+    values = metrics.withColumn("_bad", bad).withColumn("metric_name", F.when(bad, "").otherwise(F.col("metric_name")))
     wide = long_to_wide(
-        values, names, also={"source_file": F.max("source_file"), "_bad": F.bool_or("_bad")}
+        values, names,
+        also={
+            "source_file": F.max("source_file"), "_bad": F.bool_or("_bad"), "_some": F.bool_or(~F.col("_bad")),
+        },
     )
-    return wide.select(
+    outcomes = F.array_compact(F.array(F.when(F.col("_some"), F.lit(False)), F.when(F.col("_bad"), F.lit(True))))
+    return wide.withColumn("_refused", F.explode(outcomes)).select(
         "ts", "cluster_id", *WIDE_ALIASES, *METRICS, instant(as_of).alias("ingested_at"), "source_file",
         F.when((F.col("gpu_id") == "") | (F.col("hostname") == ""), "missing required fields")
-        .when(F.col("_bad"), "metric is not a finite number").alias("reject_reason"),
+        .when(F.col("_refused"), "metric is not a finite number").alias("reject_reason"),
     )
 
 

@@ -278,3 +278,16 @@ def test_custom_metrics(spark, tmp_path, monkeypatch):
     assert "custom_metrics" not in S.read_readings_csv(spark, folder, NOW).columns
     plain = ingest_folder(spark, put(tmp_path / "..", d=WIDE) and str(tmp_path / ".." / "d.csv"), NOW)
     assert b"custom_metrics" not in bytes(plain.messages.first().payload)
+
+
+def test_one_value_that_is_not_finite(spark, tmp_path):
+    """The other metrics of its second stay; the value is told as a reject."""
+    at = "2024-05-06T01:02:03Z"
+    text = LONG_HEADER + "".join(
+        f"{at},{m},0,d,u,mo,h,,,,{v},\n"
+        for m, v in (("temperature", "40"), ("temperature", "NaN"), ("power_draw", "inf"), ("gpu_utilization", "7"))
+    ) + f"{at},temperature,1,d,u,mo,h,,,,NaN,\n"
+    good, rejected = drop_missing_identity(S.read_readings_csv(spark, put(tmp_path, a=text), NOW))
+    assert [(r.gpu_id, r.temperature, r.power_draw, r.gpu_utilization) for r in good.collect()] == [("0", 40.0, 0.0, 7.0)]
+    assert sorted((r.gpu_id, r.reject_reason) for r in rejected.collect()) == [
+        ("0", "metric is not a finite number"), ("1", "metric is not a finite number")]
