@@ -30,17 +30,25 @@ def _nulls_first(values: tuple) -> list[tuple]:
     return [(v is not None, v if v is not None else 0) for v in values]
 
 
+#: Into how many buckets :func:`expire_stream` deals messages. A checkpoint keeps the number it began with.
+EXPIRY_BUCKETS = 16_384
+
+
 class _Expiry(StatefulProcessor):
-    """One timer per message; an acknowledgement by the deadline takes it away."""
+    """The messages of a bucket that wait for their deadlines, as one value of state with one timer, at the earliest.
+
+    A call to the state store costs as much as handling a thousand messages, so
+    a bucket's are read and written together.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
+        texts, numbers = T.ArrayType(T.StringType()), T.ArrayType(T.LongType())
         self._state = handle.getValueState(
-            "message",
+            "waiting",
             T.StructType()
-            .add("topic", T.StringType())
-            .add("expires", T.LongType())
-            .add("acked", T.LongType()),
+            .add("ids", texts).add("topics", texts).add("expires", numbers).add("acked", numbers)
+            .add("timer", T.LongType()),
         )
 
     @staticmethod
@@ -50,45 +58,71 @@ class _Expiry(StatefulProcessor):
         micros = acked if expires is None else expires
         return None if micros is None else micros // 1000 + 1
 
+    def _waiting(self) -> tuple[dict[str | None, tuple], int | None]:
+        """(topic, expires, acked) by message id, and the timer that is registered."""
+        known = self._state.get()
+        if known is None:
+            return {}, None
+        ids, *columns, timer = known
+        return dict(zip(ids, zip(*columns))), timer
+
+    def _keep(self, waiting: dict[str | None, tuple], before: int | None) -> None:
+        timers = (self._timer(expires, acked) for _, expires, acked in waiting.values())
+        after = min((t for t in timers if t is not None), default=None)
+        if before != after:
+            if before is not None:
+                self._handle.deleteTimer(before)
+            if after is not None:
+                self._handle.registerTimer(after)
+        if waiting:
+            self._state.update(([*waiting], *map(list, zip(*waiting.values())), after))
+        else:
+            self._state.clear()
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        known = self._state.get() if self._state.exists() else (None, None, None)
-        topic, expires, acked = known
+        waiting, timer = self._waiting()
+        touched = set()
         for row in rows:
-            if row["acked"] is not None:
-                acked = row["acked"] if acked is None else min(acked, row["acked"])
+            message, acked = row["message_id"], row["acked"]
+            known = waiting.get(message, (None, None, None))
+            if acked is not None:
+                waiting[message] = (*known[:2], acked if known[2] is None else min(acked, known[2]))
             else:
-                topic, expires = row["topic"], row["expires"]
-        before, after = self._timer(*known[1:]), self._timer(expires, acked)
-        done = expires is not None and acked is not None and acked <= expires
-        if before is not None and (done or before != after):
-            self._handle.deleteTimer(before)
-        if done:
-            self._state.clear()
-        else:
-            if before != after:
-                self._handle.registerTimer(after)
-            self._state.update((topic, expires, acked))
+                waiting[message] = (row["topic"], row["expires"], known[2])
+            touched.add(message)
+        for message in touched:
+            _, expires, acked = waiting[message]
+            if expires is not None and acked is not None and acked <= expires:
+                del waiting[message]
+        self._keep(waiting, timer)
         yield from ()
 
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
     ) -> Iterator[Row]:
-        topic, expires, _ = self._state.get()
-        self._state.clear()
-        if expires is not None:
-            yield Row(message_id=key[0], topic=topic, expires_micros=expires)
+        waiting, _ = self._waiting()
+        now, left = timerValues.getCurrentWatermarkInMs(), {}
+        for message, (topic, expires, acked) in waiting.items():
+            timer = self._timer(expires, acked)
+            if timer is None or timer > now:
+                left[message] = (topic, expires, acked)
+            elif expires is not None:
+                yield Row(message_id=message, topic=topic, expires_micros=expires)
+        self._keep(left, None)  # the timer that fired is gone
 
     def close(self) -> None:
         pass
 
 
 def expire_stream(
-    messages: DataFrame, acks: DataFrame, delay: str = "10 minutes"
+    messages: DataFrame, acks: DataFrame, delay: str = "10 minutes", buckets: int = EXPIRY_BUCKETS
 ) -> DataFrame:
     """Messages that reached ``expires_at`` without an acknowledgement by then.
 
     Event time is ``created_at`` of messages and ``acked_at`` of
-    acknowledgements; ``delay`` says how late either may come.
+    acknowledgements; ``delay`` says how late either may come. State is kept in
+    ``buckets`` by a hash of the id: a thousand messages that wait to a bucket
+    are about right.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     none = F.lit(None)
@@ -102,10 +136,10 @@ def expire_stream(
         F.col("acked_at").cast("timestamp").alias("_time"),
         none.cast("long").alias("expires"), micros("acked_at").alias("acked"),
     ).withWatermark("_time", delay)
-    timed = sent.unionByName(acked)
+    timed = sent.unionByName(acked).withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(buckets)))
     schema = "message_id string, topic string, expires_micros long"
     return (
-        timed.groupBy("message_id")
+        timed.groupBy("bucket")
         .transformWithState(_Expiry(), schema, "Append", "EventTime")
         .select(
             "message_id", "topic", F.timestamp_micros("expires_micros").alias("expired_at")

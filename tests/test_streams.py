@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fleetmetrics.operators import queue, readings as R
@@ -241,6 +242,71 @@ def test_expiry_stream_equals_batch(spark):
     assert rows(got) == rows(want) and 0 < got.count() < 60
 
 
+def test_expiry_in_few_buckets_equals_batch(spark):
+    """Several messages to a bucket, one of them without an id."""
+    log, acks = lifetimes(spark)
+    log = log.unionByName(spark.createDataFrame([(None, "t", T0, T0 + timedelta(hours=3))], log.schema))
+    far = T0 + timedelta(days=1)
+    end = spark.createDataFrame([("end", "t", far, far + timedelta(days=9))], log.schema)
+    late = spark.createDataFrame([("end2", far)], acks.schema)
+    made = stateful.expire_stream(stream(spark, log, end), stream(spark, acks, late), "1 hour", buckets=3)
+    want = queue.expired_unacked(log, acks, far).select("message_id", "topic", "expires_at")
+    found = lambda df: sorted((str(r[0]), *r[1:]) for r in df.collect())
+    assert found(table(spark, made).select("message_id", "topic", "expired_at")) == found(want)
+    assert len(found(want)) > 20
+
+
+class _Calls:
+    """The state store of one bucket, which counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def _did(self, value=None):
+        self.calls += 1
+        return value
+
+    def exists(self):
+        return self._did(self.value is not None)
+
+    def get(self):
+        return self._did(self.value)
+
+    def update(self, value):
+        self._did()
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, at):
+        self._did(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._did(self.timers.remove(at))
+
+    def getCurrentWatermarkInMs(self):
+        return 600
+
+
+def test_expiry_asks_the_state_store_per_bucket():
+    """A thousand messages, of which some are acknowledged and half are due, cost a handful of calls."""
+    store, expiry = _Calls(), stateful._Expiry()
+    expiry.init(store)
+    message = lambda i, topic, expires, acked: Row(message_id=f"m{i}", topic=topic, expires=expires, acked=acked)
+    sent = [message(i, "t", i * 1000, None) for i in range(1000)]
+    acks = [message(i, None, None, i * 1000 + i % 2) for i in range(0, 1000, 5)]
+    assert list(expiry.handleInputRows((0,), iter(sent + acks), store)) == []
+    assert store.timers == {2}
+    store.timers.clear()  # it fires
+    due = [r.message_id for r in expiry.handleExpiredTimer((0,), store, None)]
+    assert due == [f"m{i}" for i in range(600) if i % 10]
+    assert store.timers == {602} and store.calls <= 8
+
+
 def test_liveness_stretches(spark):
     beats = [("x", "a", T0 + timedelta(seconds=s), h) for s, h in
              [(0, "healthy"), (20, "unhealthy"), (60, ""), (1000, "healthy")]]
