@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.identity import partition_key
 from ..session import shared_dir
 
-#: How many rows one window task is meant to see of one key.
-RANGE_ROWS = 5_000_000
+#: How many rows one window task is meant to see of one key. The task that writes a run sorts it: 300 bytes a row for
+#: readings, so some 150 MB.
+RANGE_ROWS = 500_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -454,3 +455,10 @@ def test_kv_dump_is_parsed_in_one_pass(spark):
     assert sorted((r.key.rsplit("/", 1)[1], r.kind) for r in broken.collect()) == [("h2", "host"), ("p2", "data")]
     plan = broken._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_runs_are_small_enough_to_sort(spark):
+    """The task that writes a run sorts it, so that runs of the usual size stay far below the memory of a task."""
+    rows = spark.range(1_500_000).select(F.lit("k").alias("k"), F.col("id").alias("seq"))
+    sizes = [r["count"] for r in batching.by_ranges(rows, ["k"], ["seq"]).groupBy("_range").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 1_000_000 and sum(sizes) == 1_500_000
