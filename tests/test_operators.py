@@ -462,3 +462,33 @@ def test_runs_are_small_enough_to_sort(spark):
     rows = spark.range(1_500_000).select(F.lit("k").alias("k"), F.col("id").alias("seq"))
     sizes = [r["count"] for r in batching.by_ranges(rows, ["k"], ["seq"]).groupBy("_range").count().collect()]
     assert len(sizes) >= 3 and max(sizes) < 1_000_000 and sum(sizes) == 1_500_000
+
+
+@pytest.mark.parametrize("size", [1, 40, 5000])
+def test_many_first_rows_are_not_picked_by_one_task(spark, monkeypatch, size):
+    """Ties by the second, rows without a time or number, and runs of rows that agree in both."""
+    monkeypatch.setattr(R, "FIRST_ROWS", size)
+    rng = random.Random(8)
+    data = [
+        (rng.choice([None, *range(900)] if rng.random() < 0.1 else range(900)),
+         None if rng.random() < 0.05 else T0 + timedelta(milliseconds=rng.choice([100, 100, 400 * i])))
+        for i in range(3000)
+    ]
+    df = spark.createDataFrame(data, "seq long, ts timestamp").repartition(5)
+    second = lambda t: (t is not None, t and t.replace(microsecond=0))
+    number = lambda s: (s is not None, s)
+    newest = sorted(data, key=lambda r: (second(r[1]), number(r[0])), reverse=True)
+    oldest = sorted(data, key=lambda r: ((r[1] is not None, r[1]), number(r[0])))
+    for limit in (41, 700, 2999, 3000, 9000):
+        got = [(r.ts and r.ts.replace(microsecond=0), r.seq) for r in R.newest_first(df, limit).collect()]
+        assert got == [(t and t.replace(microsecond=0), s) for s, t in newest[:limit]]
+        assert [(r.seq, r.ts) for r in R.oldest_first(df, limit).collect()] == oldest[:limit]
+
+
+def test_parted_first_rows_leave_few_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(R, "FIRST_ROWS", 1000)
+    df = spark.range(0, 200_000, 1, 8).selectExpr("id as seq", "timestamp_seconds(id % 5000) as ts")
+    plan = R.newest_first(df, 20_000)._jdf.queryExecution().optimizedPlan().toString()
+    limits = [int(n) for n in re.findall(r"GlobalLimit (\d+)", plan)]
+    assert limits and max(limits) <= 1000
+    assert R.newest_first(df, 20_000).selectExpr("min(ts)", "count(1)", "count(distinct seq)").first()[1:] == (20_000, 20_000)
