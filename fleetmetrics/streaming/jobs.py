@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +15,9 @@ from ..operators.readings import latest_readings, stamp_lineage, upsert_readings
 from ..operators.registry import gpu_status, register_gpus, register_hosts
 from ..schemas import ATTRIBUTES, DEFAULT_CLUSTER, IDENTITY, METRICS, RECORD_WITH_CUSTOM
 from ..sources.csv_files import read_readings_csv, stream_csv_files
-from ..sources.messages import encode_messages, parse_messages, records_to_readings, split_decoded
+from ..sources.messages import encode_messages, parse_messages, records_to_readings, split_decoded, whole_records
 from .point_store import append_points
-from .sinks import BatchName, SenderTotals, read_batches_of, start_batches, write_batch, write_with_retry
+from .sinks import BatchName, SenderTotals, kept, read_batches_of, start_batches, write_batch, write_with_retry
 
 
 def snapshot_then_tail(
@@ -35,16 +32,6 @@ def snapshot_then_tail(
     )
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """The rows, worked out once for several outputs; what a lost executor held is worked out again."""
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield held
-    finally:
-        held.unpersist()
-
-
 def run_ingest_stream(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, *,
     as_of: datetime | str | None = None, topic: str = "telemetry", ttl_seconds: int = 3600,
@@ -98,28 +85,37 @@ def run_collect_stream(
     def handle(batch: DataFrame, name: BatchName) -> None:
         spark = batch.sparkSession
         now = as_of or datetime.now().astimezone()
-        with kept(parse_messages(batch, RECORD_WITH_CUSTOM)) as parsed:
-            good, bad = split_decoded(parsed, RECORD_WITH_CUSTOM)
+        parsed = parse_messages(batch, RECORD_WITH_CUSTOM)
+        with kept(parsed.select("stream_key", "record", "broken")) as records:
+            good = whole_records(records, RECORD_WITH_CUSTOM)
             points = stamp_lineage(
                 upsert_readings(records_to_readings(good, now, cluster_id), order=("stream_key",)),
                 collector_id, now,
             )
             write_with_retry(points, lambda df: append_points(df, store, name), totals=totals)
             if totals is not None:
-                totals.records += good.count()  # of messages that are kept parsed
+                totals.records += good.count()  # of records that are kept
+            # The rest of a message is read, and its payload parsed again, only where there are malformed ones.
+            bad = split_decoded(parsed, RECORD_WITH_CUSTOM)[1]
+            if records.filter("broken").isEmpty():
+                bad = bad.limit(0)
             write_with_retry(bad, lambda df: write_batch(df, f"{store}/dead_letters", name))
         # Messages without a whole record have left no files, and then no folders to read.
         columns = points.withColumn("event_date", F.to_date("ts")).schema
         stored = spark.read.schema(columns).parquet(f"{store}/points/{name.folder}")
-        sightings = stored.groupBy(*IDENTITY, *ATTRIBUTES).agg(
+        measured = ("ts", "stream_key", *METRICS)
+        seen = stored.groupBy(*IDENTITY, *ATTRIBUTES).agg(
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
             F.min("stream_key").alias("stream_key"),
+            F.max_by(F.struct(*measured), F.struct("ts", "stream_key")).alias("_newest"),
         )
-        newest = latest_readings(
-            stored, order=("ts", "stream_key"), columns=("ts", "stream_key", *METRICS)
-        )
-        write_with_retry(sightings, lambda df: write_batch(df, f"{store}/sightings", name))
-        write_with_retry(newest, lambda df: write_batch(df, f"{store}/newest", name))
+        with kept(seen) as seen:  # a row for each description of a GPU
+            sightings = seen.drop("_newest")
+            newest = latest_readings(
+                seen.select(*IDENTITY, "_newest.*"), order=("ts", "stream_key"), columns=measured
+            )
+            write_with_retry(sightings, lambda df: write_batch(df, f"{store}/sightings", name))
+            write_with_retry(newest, lambda df: write_batch(df, f"{store}/newest", name))
 
     return start_batches(messages, handle, checkpoint, interval)
 

@@ -8,6 +8,7 @@ file that a reader may have open is ever replaced: a version is read by its list
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,9 @@ DAY = ("cluster_id", "event_date")
 #: Lists of days and positions of streams up to this many rows are broadcast; they are counted first.
 BROADCAST_ROWS = 500_000
 
+#: About how many rows of a cluster-day one task of a compaction takes.
+PART_ROWS = 500_000
+
 _TIMES = ("ts", "collected_at", "processed_at")
 #: A stored point; given to the reader, since a log in which no message was whole has no files to tell it.
 POINT = T.StructType([
@@ -55,9 +59,21 @@ def _log(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(named).parquet(f"{store}/points")
 
 
-def _merged(points: DataFrame) -> DataFrame:
+def _merged(points: DataFrame, within: Sequence[str] = ("event_date",)) -> DataFrame:
     """The last write per GPU and second; the day is part of the key, so that filters on it reach the files."""
-    return upsert_readings(points.drop("telemetry_id"), order=("stream_key",), within=("event_date",))
+    return upsert_readings(points.drop("telemetry_id"), order=("stream_key",), within=within)
+
+
+def _merged_for_files(points: DataFrame) -> DataFrame:
+    """:func:`_merged`, dealt out once, by day and, in big days, by GPU: as it is merged and as it is written.
+
+    Batches hold a GPU's second once, so there is nothing to merge before. A
+    part has at most the rows of one GPU-day more than PART_ROWS or so.
+    """
+    parts = points.groupBy(*DAY).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_parts"))
+    part = F.pmod(F.xxhash64("hostname", "gpu_id"), F.coalesce("_parts", F.lit(1)))
+    dealt = points.join(_small(parts), list(DAY), "left").withColumn("_part", part).drop("_parts")
+    return _merged(dealt.repartition(*DAY, "_part"), ("event_date", "_part")).drop("_part")
 
 
 def _positions(spark: SparkSession, store: str, version: int | None) -> dict[str, int]:
@@ -155,7 +171,7 @@ def compact_points(spark: SparkSession, store: str, version: int, previous: int
         again = _small(before.join(touched, list(DAY), "left_semi"))
         rows = log.unionByName(_days(spark, store, again))
         kept = before.join(touched, list(DAY), "left_anti")
-    merged = _merged(rows).hint("rebalance", *DAY).sortWithinPartitions(*DAY, *SORT_WITHIN_FILE)
+    merged = _merged_for_files(rows).sortWithinPartitions(*DAY, *SORT_WITHIN_FILE)
     merged.write.mode("errorifexists").partitionBy(*DAY).parquet(f"{store}/days/written_in={version}")
     written = spark.read.schema(POINT).parquet(f"{store}/days/written_in={version}")
     reading_tallies(written, DAY).write.mode("errorifexists").parquet(f"{store}/tallies/written_in={version}")

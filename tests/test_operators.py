@@ -12,7 +12,8 @@ from fleetmetrics.operators.services import live_services
 from fleetmetrics.operators.throttle import Bucket, throttle_flags
 from fleetmetrics.operators.topn import first_n_per_key
 from fleetmetrics.plans.query import ReadingQuery, readings_by_gpu
-from fleetmetrics.schemas import METRICS
+from fleetmetrics.schemas import METRICS, RECORD_WITH_CUSTOM
+from fleetmetrics.sources import messages
 
 T0 = datetime(2024, 1, 1, 12)
 WIDE = "seq long, ts timestamp_ntz, cluster_id string, hostname string, gpu_id string, uuid string, " \
@@ -225,6 +226,18 @@ def test_queue(spark):
     assert queue.topic_exists(log, "u") and not queue.topic_exists(log, "v")
 
 
+def test_a_payload_is_one_object_and_its_common_form_is_parsed_once(spark):
+    whole = ['{"gpu_id":"1"}', ' {"gpu_id":"1"} ', '{"gpu_id":"}"}', '{"uuid":"NVIDIA"}', '{"custom_metrics":{"a":1}}',
+             "{'gpu_id':'1'}", '{"other":[1,{"b":2}]}', "{}"]
+    broken = ['{"a":1}{"b":2}', '{"a":1}}', '{"a":1} x', '{"a":NaN}', '{"a":-INF}', '{"a":Infinity}', "[]", "", "{",
+              '{"a":1', '{"a" 1}', '{"a":01}', '"}', '{"gpu_utilization":"}']
+    df = spark.createDataFrame([(p.encode(),) for p in whole + broken], "payload binary")
+    got = {r.payload.decode(): r.broken for r in messages.parse_messages(df, RECORD_WITH_CUSTOM).collect()}
+    assert got == {p: False for p in whole} | {p: True for p in broken}
+    common = spark.createDataFrame([(p,) for p in ('{"gpu_id":"1"}', '{"gpu_id":"1","a":0.5}')], "p string")
+    assert common.filter(F.col("p").rlike(messages._PLAIN)).count() == 2
+
+
 def test_recover_orphans(spark):
     log = message_log(spark)
     waiting, processing = log.filter("seq < 5"), log.filter("seq >= 5")

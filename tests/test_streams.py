@@ -185,6 +185,35 @@ def test_collect_stream_equals_the_batch_job(spark):
     assert rows(point_store.current_points(spark, out, version=1).select(*pick)) == rows(points.select(*pick))
 
 
+def test_compaction_deals_the_rows_out_once(spark, monkeypatch):
+    """A big day goes to several tasks, each GPU's to one; the last write counts, and an unnamed cluster's rows stay."""
+    named = lambda df, c: df.withColumn("cluster_id", F.lit(c))
+    data = spark.createDataFrame([reading(i, i % 40, gpu=str(i % 7), temp=float(i)) for i in range(200)], WIDE)
+    points = named(data, "a").unionByName(named(data.limit(20), None)).select(
+        "*", F.to_date("ts").alias("event_date"), F.lpad(F.col("seq").cast("string"), 6, "0").alias("stream_key"),
+        F.lit("").alias("telemetry_id"),
+    )
+    monkeypatch.setattr(point_store, "PART_ROWS", 50)
+    merged = point_store._merged_for_files(points)
+    pick = ("hostname", "gpu_id", "telemetry_id", "stream_key", "temperature")
+    for c in (F.col("cluster_id") == "a", F.col("cluster_id").isNull()):
+        assert rows(merged.filter(c).select(*pick)) == rows(point_store._merged(points).filter(c).select(*pick))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "_part" in plan  # one of them counts the days
+
+
+def test_collect_reads_malformed_messages_whole(spark):
+    sent = encode_messages(spark.createDataFrame([reading(i, i) for i in range(4)], WIDE), "telemetry", 60, NOW)
+    broken = sent.limit(2).withColumn("payload", F.encode(F.lit('{"a":NaN}'), "UTF-8"))
+    out, totals = shared_dir(spark, "store"), sinks.SenderTotals()
+    sdf = stream(spark, sent.unionByName(broken), sent)
+    jobs.run_collect_stream(sdf, out, f"{out}/ckpt", as_of=NOW, totals=totals).awaitTermination()
+    letters = sinks.read_batches_of(spark, f"{out}/dead_letters")
+    assert rows(letters.select("message_id", "bad_payload", "expires_at", F.col("headers")["hostname"])) == \
+        rows(broken.select("message_id", F.lit('{"a":NaN}'), "expires_at", F.col("headers")["hostname"]))
+    assert totals.records == 8
+
+
 def test_first_sightings_and_status(spark):
     a = spark.createDataFrame([reading(1, 0), reading(2, 1, gpu="1"), reading(3, 2)], WIDE)
     b = spark.createDataFrame([reading(4, 1, temp=3.0), reading(5, 9, gpu="1", temp=5.0)], WIDE)
