@@ -291,3 +291,17 @@ def test_one_value_that_is_not_finite(spark, tmp_path):
     assert [(r.gpu_id, r.temperature, r.power_draw, r.gpu_utilization) for r in good.collect()] == [("0", 40.0, 0.0, 7.0)]
     assert sorted((r.gpu_id, r.reject_reason) for r in rejected.collect()) == [
         ("0", "metric is not a finite number"), ("1", "metric is not a finite number")]
+
+
+def test_messages_of_one_moment_go_by_their_files_seq(spark, tmp_path):
+    """A row without a seq comes first, as does a lower one; rows equal in every field are one message."""
+    from fleetmetrics.plans.collect import collect_messages
+
+    at = "2024-01-01T00:00:00Z,0,h"
+    seqs = ["9", "-3", "10", "", "x", "1e30", "100", "100", "0"]
+    text = "timestamp,gpu_id,hostname,temperature,SEQ\n" + "".join(f"{at},{40 + i // 7 * 7},{s}\n" for i, s in enumerate(seqs))
+    done = ingest_folder(spark, put(tmp_path, a=text), NOW)
+    sent = done.messages.select("stream_key", F.get_json_object(F.col("payload").cast("string"), "$.custom_metrics.seq").alias("s"))
+    order = [r.s and float(r.s) for r in sorted(sent.collect())]
+    assert order[-6:] == [-3.0, 0.0, 9.0, 10.0, 100.0, 100.0] and len(order) == 8
+    assert [r.custom_metrics["seq"] for r in collect_messages(done.messages, NOW).points.collect()] == [100.0]

@@ -1,11 +1,20 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+import ast
+from datetime import datetime, timedelta
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
+import checks.compare
+import checks.entries
+import checks.oracles
+import checks.testmap
 from checks.compare import database, differences
 from checks.entries import QUERIES
 from checks.oracles import ORACLES
+from checks.testmap import EVENTS
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +37,30 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     assert differences(spark, db, name, SF) is None
+
+
+@pytest.mark.parametrize("module", [checks.entries, checks.oracles, checks.testmap, checks.compare])
+def test_no_name_is_defined_twice(module):
+    """The later one would replace the earlier one in all its uses."""
+    body = ast.parse(Path(module.__file__).read_text()).body
+    names = [n.name for n in body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+    assert sorted(set(names)) == sorted(names)
+
+
+def events(spark, tmp_path, rows) -> str:
+    """A folder with an ``events`` table of (event_id, second, user_id, event_type, value)."""
+    at = lambda second: datetime(2024, 1, 5) + timedelta(seconds=second)
+    data = [(i, at(second), user, kind, value, "{}") for i, second, user, kind, value in rows]
+    spark.createDataFrame(data, EVENTS).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_custom_metrics_takes_the_last_seq_of_a_second(spark, tmp_path):
+    """Whatever the event times within the second and the other values are; GPUs and seconds apart stay apart."""
+    rows = [(i, 0.01 * i, 17, "click", 90.0 - i) for i in range(1, 12)]
+    rows += [(20, 1.0, 17, "view", 8.0), (21, 0.2, 16, "error", 7.0), (22, 0.0, 25, "click", 1.0)]
+    got = QUERIES["custom_metrics"](spark, events(spark, tmp_path, rows)).collect()
+    second = 1704412800
+    assert sorted((r.telemetry_id, r.seq) for r in got) == [
+        (f"gpu-node-00002_0_{second}", 21), (f"gpu-node-00002_1_{second}", 11), (f"gpu-node-00002_1_{second + 1}", 20),
+    ]
