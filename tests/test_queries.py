@@ -64,3 +64,17 @@ def test_custom_metrics_takes_the_last_seq_of_a_second(spark, tmp_path):
     assert sorted((r.telemetry_id, r.seq) for r in got) == [
         (f"gpu-node-00002_0_{second}", 21), (f"gpu-node-00002_1_{second}", 11), (f"gpu-node-00002_1_{second + 1}", 20),
     ]
+
+
+def test_ingest_folder_job_sends_every_row_that_has_a_host(spark, tmp_path):
+    """From files of both formats; a reading whose metrics are all below 5 lacks its host there."""
+    rows = [(1, 0.5, 17, "click", 90.0), (2, 0.7, 17, "purchase", 7.5), (3, 61.0, 16, "error", 8192.0),
+            (4, 0.0, 25, "view", 4.5), (5, 3.0, 24, "signup", 5.0)]
+    got = QUERIES["ingest_folder_job"](spark, events(spark, tmp_path, rows)).collect()
+    measured = ("gpu_utilization", "power_draw", "memory_used_mb", "temperature")
+    assert sorted((r.timestamp, r.hostname, r.gpu_id, r.uuid, *[r[m] for m in measured]) for r in got) == [
+        ("2024-01-05T00:00:00Z", "gpu-node-00002", "1", "GPU-00000017", 0.0, 7.5, 0.0, 0.0),
+        ("2024-01-05T00:00:00Z", "gpu-node-00002", "1", "GPU-00000017", 90.0, 0.0, 0.0, 0.0),
+        ("2024-01-05T00:00:03Z", "gpu-node-00003", "0", "GPU-00000024", 0.0, 0.0, 0.0, 5.0),
+        ("2024-01-05T00:01:01Z", "gpu-node-00002", "0", "GPU-00000016", 0.0, 0.0, 8192.0, 0.0),
+    ]
