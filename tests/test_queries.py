@@ -78,3 +78,17 @@ def test_ingest_folder_job_sends_every_row_that_has_a_host(spark, tmp_path):
         ("2024-01-05T00:00:03Z", "gpu-node-00003", "0", "GPU-00000024", 0.0, 0.0, 0.0, 5.0),
         ("2024-01-05T00:01:01Z", "gpu-node-00002", "0", "GPU-00000016", 0.0, 0.0, 8192.0, 0.0),
     ]
+
+
+def test_ingest_long_folder_sends_a_reading_per_gpu_and_second(spark, tmp_path):
+    """With each metric of the second, and none left out."""
+    rows = [(1, 0.1, 17, "click", 90.0), (2, 0.4, 17, "purchase", 7.5), (3, 0.9, 17, "view", 3.0),
+            (4, 1.0, 17, "click", 1.25), (5, 0.2, 25, "signup", 41.0), (6, 0.3, 16, "error", 0.0)]
+    got = QUERIES["ingest_long_folder"](spark, events(spark, tmp_path, rows)).collect()
+    measured = ("gpu_utilization", "memory_utilization", "power_draw", "temperature", "memory_used_mb")
+    assert sorted((r.timestamp, r.hostname, r.gpu_id, r.uuid, *[r[m] for m in measured]) for r in got) == [
+        ("2024-01-05T00:00:00Z", "gpu-node-00002", "0", "GPU-00000016", 0.0, 0.0, 0.0, 0.0, 0.0),
+        ("2024-01-05T00:00:00Z", "gpu-node-00002", "1", "GPU-00000017", 90.0, 3.0, 7.5, 0.0, 0.0),
+        ("2024-01-05T00:00:00Z", "gpu-node-00003", "1", "GPU-00000025", 0.0, 0.0, 0.0, 41.0, 0.0),
+        ("2024-01-05T00:00:01Z", "gpu-node-00002", "1", "GPU-00000017", 1.25, 0.0, 0.0, 0.0, 0.0),
+    ]
